@@ -27,12 +27,24 @@ def words(text):
     return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def _hash(w, at, k: int):
+    """Hash of the k words from the zero-based place at; taken element by element, as slice() copies slowly."""
+    return F.xxhash64(*(F.get(w, at + i) for i in range(k)))
+
+
+def _hash_from(k: int):
+    return lambda x: _hash(F.col("w"), x, k)
+
+
 def windows_of(items: DataFrame, n: int) -> DataFrame:
     """(hash, length, words, items): the distinct windows and the sorted ids of the items that have them."""
     w = items.select(F.col("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     w = w.select("item_id", "w", F.least(F.lit(n), F.size("w")).alias("length"))
     w = w.select("item_id", "length", F.explode(F.transform(F.sequence(F.lit(1), F.expr("size(w) - length + 1")), lambda k: F.slice(F.col("w"), k, F.col("length")))).alias("words"))
-    return w.groupBy("words", "length").agg(F.array_sort(F.collect_set("item_id")).alias("items")).select(F.xxhash64("words").alias("hash"), "length", "words", "items")
+    hashed = F.lit(None).cast("long")
+    for k in range(1, n + 1):
+        hashed = F.when(F.col("length") == k, _hash(F.col("words"), F.lit(0), k)).otherwise(hashed)
+    return w.groupBy("words", "length").agg(F.array_sort(F.collect_set("item_id")).alias("items")).select(hashed.alias("hash"), "length", "words", "items")
 
 
 def marks(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -45,8 +57,8 @@ def marks(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     hashes, at, length = [F.array(F.lit(0).cast("long"))], F.col("p"), F.lit(0)
     count = lambda k: F.greatest(F.lit(0), F.size("w") - (k - 1))
     for i, k in enumerate(lengths):
-        places = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
-        hashes.append(F.transform(places, lambda x, k=k: F.xxhash64(F.slice(F.col("w"), x, k))))
+        places = F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k)).otherwise(F.array().cast("array<int>"))
+        hashes.append(F.transform(places, _hash_from(k)))
         before = sum((count(j) for j in lengths[:i]), F.lit(0))
         length = F.when((F.col("p") > before) & (F.col("p") <= before + count(k)), F.lit(k)).otherwise(length)
         at = F.when(F.col("p") > before, F.col("p") - before).otherwise(at)
