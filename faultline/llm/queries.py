@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, simhash, toxicity, url_filter
+from . import bpe, chat, decontaminate, embedding, language_id, simhash, toxicity, url_filter, warc
 
 #: The rules of op1.
 RULES = tuple(url_filter.Rule(v, h, p) for v, h, p in (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")))
@@ -41,5 +42,23 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_language_id, op4_simhash, op5_decontamination)}
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")) for k, role in enumerate(("user", "assistant"))))).alias("t")).select("t.*")
+    return chat.digest(chat.windows(conversations.unionByName(more)))
+
+
+def op9_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_language_id, op4_simhash, op5_decontamination, op6_warc, op7_chat, op9_embedding, op10_bpe)}
 ORACLES: dict[str, str] = {}
