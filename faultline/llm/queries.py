@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embedding, language_id, simhash, toxicity, url_filter, warc
+from . import bpe, chat, decontaminate, embedding, language_id, lm_score, simhash, toxicity, url_filter, warc
 
 #: The rules of op1.
 RULES = tuple(url_filter.Rule(v, h, p) for v, h, p in (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")))
@@ -52,6 +52,12 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.windows(conversations.unionByName(more)))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = lm_score.train(docs, _table(spark, sf_dir, "labels"), "quality")
+    return lm_score.score(docs, model, ["doc_id"])
+
+
 def op9_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -60,5 +66,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_language_id, op4_simhash, op5_decontamination, op6_warc, op7_chat, op9_embedding, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_language_id, op4_simhash, op5_decontamination, op6_warc, op7_chat, op8_lm_score, op9_embedding, op10_bpe)}
 ORACLES: dict[str, str] = {}
