@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import free
+
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KEPT = 250_000
@@ -261,7 +263,7 @@ def encode(docs: DataFrame, path: str, keep, with_ids: bool = False, text: str =
 
     own = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     out = T.StructType([*head.schema.fields, *own] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
-    return docs.select(*keep, F.make_valid_utf8(text).alias("_text")).mapInArrow(run, out)
+    return docs.select(*keep, F.make_valid_utf8(text).alias(free("_text", names))).mapInArrow(run, out)
 
 
 def decode(rows: DataFrame, path: str, keep, ids: str = "ids") -> DataFrame:
@@ -276,4 +278,4 @@ def decode(rows: DataFrame, path: str, keep, ids: str = "ids") -> DataFrame:
             texts = [codec.decode(np.array(x or [], "<u4").tobytes()).decode() for x in b.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(texts, pa.string())], names=[*names, "text"])
 
-    return rows.select(*keep, F.col(ids).alias("_ids")).mapInArrow(run, T.StructType([*head.schema.fields, T.StructField("text", T.StringType())]))
+    return rows.select(*keep, F.col(ids).alias(free("_ids", names))).mapInArrow(run, T.StructType([*head.schema.fields, T.StructField("text", T.StringType())]))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, sized, staged
+from .shared import ascii_lower, free, sized, staged
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -84,9 +84,9 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """docs without the rows that hold a window of the benchmark; all columns stay."""
-    bad = marks(docs, benchmark, n).where(F.size("hits") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    bad = marks(docs, benchmark, n).where(F.size("hits") > 0).select(F.col("doc_id").alias(free("_id", docs.columns)), F.col("text_hash").alias(free("_hash", docs.columns)))
     bad = sized(staged(bad, "contaminated"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[bad.columns[0]]) & (F.xxhash64(docs["text"]) == bad[bad.columns[1]]), "left_anti")
 
 
 def cut(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:

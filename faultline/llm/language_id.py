@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import free
+
 _GAP = re.compile(r"[\W\d_]+")
 _CHUNK = 1 << 20
 
@@ -165,15 +167,15 @@ def predict(texts: list[str | None], m: LangModel) -> tuple[list[str], np.ndarra
     return lang, score, bad
 
 
-def identify(docs: DataFrame, model: LangModel, keep) -> DataFrame:
-    """The columns ``keep`` of docs, then lang_pred, score and rejected; one pass, no shuffle."""
+def identify(docs: DataFrame, model: LangModel, keep, prefix: str = "") -> DataFrame:
+    """The columns ``keep`` of docs, then lang_pred, score and rejected, after prefix; one pass, no shuffle."""
     head = docs.select(*keep)
 
     def run(batches):
         for b in batches:
             lang, score, bad = predict(b.column(len(head_names)).to_pylist(), model)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(head_names)], pa.array(lang, pa.string()), pa.array(score), pa.array(bad)], names=[*head_names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(head_names)], pa.array(lang, pa.string()), pa.array(score), pa.array(bad)], names=out.names)
 
     head_names = head.columns
-    out = T.StructType([*head.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return docs.select(*keep, F.make_valid_utf8("text").alias("_text")).mapInArrow(run, out)
+    out = T.StructType([*head.schema.fields, T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}rejected", T.BooleanType())])
+    return docs.select(*keep, F.make_valid_utf8("text").alias(free("_text", head_names))).mapInArrow(run, out)

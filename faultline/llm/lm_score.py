@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import sized, staged
+from .shared import free, sized, staged
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _UNKNOWN, _START, _FIRST = 0, 1, 2
@@ -187,4 +187,4 @@ def score(docs: DataFrame, model: LMPair, keep, p: LMParams = LMParams()) -> Dat
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()), strict=True))], names=out.names)
 
-    return docs.select(*keep, F.make_valid_utf8("text").alias("_text")).mapInArrow(run, out)
+    return docs.select(*keep, F.make_valid_utf8("text").alias(free("_text", names))).mapInArrow(run, out)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embedding, language_id, lm_score, simhash, toxicity, url_filter, warc
+from . import bpe, chat, decontaminate, embedding, language_id, lm_score, oracles, simhash, toxicity, url_filter, warc
 
 #: The rules of op1.
 RULES = tuple(url_filter.Rule(v, h, p) for v, h, p in (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")))
@@ -67,4 +67,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_language_id, op4_simhash, op5_decontamination, op6_warc, op7_chat, op8_lm_score, op9_embedding, op10_bpe)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_filter": oracles.url_sql(RULES, url_filter.Vocabulary()),
+    "op5_decontamination": oracles.DECONTAMINATION,
+    "op6_warc": oracles.WARC,
+    "op7_chat": oracles.chat_sql(chat.ChatParams()),
+    "op9_embedding": oracles.EMBEDDING,
+}

@@ -77,6 +77,14 @@ def sized(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.limit(most + 1).count() <= most else small
 
 
+def free(name: str, taken) -> str:
+    """name with as many underscores before it as make it differ from all names taken, whatever their case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(c):
     """A-Z lower-cased; no other character changes."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

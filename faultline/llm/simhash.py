@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import connected_components, roots_of, sized, staged
+from .shared import connected_components, free, roots_of, sized, staged
 
 MOST = 4
 BUCKET = 8_192
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, keep, shingle: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(fps.view(np.int64))], names=[*names, "fp"])
 
     out = T.StructType([*head.schema.fields, T.StructField("fp", T.LongType())])
-    return docs.select(*keep, F.col("text").cast("binary").alias("_text")).mapInArrow(run, out)
+    return docs.select(*keep, F.col("text").cast("binary").alias(free("_text", names))).mapInArrow(run, out)
 
 
 def _forest(group: np.ndarray, fp: np.ndarray, four: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,3 +197,30 @@ def near_duplicates(docs: DataFrame, keep=("doc_id",), shingle: int = 4) -> Data
     marked = staged(fingerprints(docs, keep, shingle), "marked")
     out = components(marked)
     return out.select(*marked.columns[:-1], F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """docs with one row of each component: the smallest id, and of rows that repeat it the first by text hash.
+
+    Whole columns do not go through the search. The rows to drop, by id and text hash, are taken out by one join;
+    rows that repeat both are collapsed apart from the others.
+    """
+    by = F.xxhash64("text")
+    marked = staged(fingerprints(docs, ["doc_id", by.alias("_text")], shingle), "marked")
+    placed = staged(components(marked).select("doc_id", "_text", "fp", "component_id"), "placed-rows")
+    # a component without any id has no name; its rows are grouped by fingerprint
+    group = F.when(F.col("component_id").isNotNull(), F.struct("component_id", F.lit(0).cast("long").alias("fp"))).otherwise(F.struct("component_id", "fp"))
+    rows = placed.select(group.alias("g"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_text").alias("key"))
+    sizes = rows.groupBy("g", "key").count()
+    firsts = sizes.groupBy("g").agg(F.min("key").alias("first"))
+    judged = staged(sizes.join(firsts, "g").select("key.doc_id", F.col("key._text").alias("_text"), (F.col("key") == F.col("first")).alias("stays"), "count"), "judged")
+    a, b = free("_id", docs.columns), free("_hash", docs.columns)
+    same = lambda side: docs["doc_id"].eqNullSafe(side[a]) & (F.xxhash64(docs["text"]) == side[b])
+    named = lambda cond: sized(judged.where(cond).select(F.col("doc_id").alias(a), F.col("_text").alias(b)))
+    gone = named("not stays or count > 1")
+    kept = docs.join(gone, same(gone), "left_anti")
+    if not judged.where("stays and count > 1").limit(1).count():
+        return kept
+    again = named("stays and count > 1")
+    keyed = docs.join(again, same(again), "left_semi").withColumn(b, by)
+    return kept.unionByName(keyed.dropDuplicates(["doc_id", b]).drop(b))

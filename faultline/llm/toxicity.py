@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import sized
+from .shared import free, sized
 
 _TERM = re.compile(r"[^\W\d_]+")
 
@@ -168,8 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable, p: FMParams =
     return fit([np.frombuffer(r, np.int32) for r in rows], np.array([float(np.mean(alike[r]) >= 0.5) for r in rows]), p)
 
 
-def score(docs: DataFrame, model: FMModel, keep, threshold: float = 0.7) -> DataFrame:
-    """The columns ``keep`` (names or columns) of docs, then score and predicted; one pass, no shuffle."""
+def score(docs: DataFrame, model: FMModel, keep, threshold: float = 0.7, prefix: str = "") -> DataFrame:
+    """The columns ``keep`` (names or columns) of docs, then score and predicted, after prefix; one pass, no shuffle."""
     size = 1 << model.bits
     index = {int(s): i for i, s in enumerate(model.slots)}
     kept = docs.select(*keep).columns
@@ -189,8 +189,8 @@ def score(docs: DataFrame, model: FMModel, keep, threshold: float = 0.7) -> Data
                         own.add(i)
                 rows.append(np.fromiter(own, np.int64, len(own)))
             value = model.scores(rows)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(value), pa.array((value >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(value), pa.array((value >= threshold).astype(np.int32))], names=out.names)
 
-    source = docs.select(*keep, F.make_valid_utf8("text").alias("_text"))
-    out = T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    source = docs.select(*keep, F.make_valid_utf8("text").alias(free("_text", kept)))
+    out = T.StructType([*docs.select(*keep).schema.fields, T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}predicted", T.IntegerType())])
     return source.mapInArrow(run, out)
