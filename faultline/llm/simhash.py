@@ -181,14 +181,17 @@ def fingerprint_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def components(marked: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """marked plus component_id, the smallest id reachable by links. marked: any rows with doc_id and fp."""
+    """marked plus component (a fingerprint of it) and component_id (the smallest id reachable by links).
+
+    marked: rows with doc_id and fp. Two components can share a component_id only if rows of both have that id.
+    """
     of_fp = marked.groupBy("fp").agg(F.min(doc_id).alias("_least"))
     of_fp = staged(of_fp, "fingerprints")
     comps = connected_components(fingerprint_links(of_fp.select("fp")))
     placed = of_fp.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_least", F.coalesce("component", "fp").alias("_c"))
     placed = staged(placed, "placed")
     names = placed.groupBy("_c").agg(F.min("_least").alias("component_id"))
-    changed = placed.join(names, "_c").select("fp", "component_id")
+    changed = placed.join(names, "_c").select("fp", F.col("_c").alias("component"), "component_id")
     return marked.join(changed, "fp")
 
 
@@ -207,10 +210,8 @@ def keep_first(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """
     by = F.xxhash64("text")
     marked = staged(fingerprints(docs, ["doc_id", by.alias("_text")], shingle), "marked")
-    placed = staged(components(marked).select("doc_id", "_text", "fp", "component_id"), "placed-rows")
-    # a component without any id has no name; its rows are grouped by fingerprint
-    group = F.when(F.col("component_id").isNotNull(), F.struct("component_id", F.lit(0).cast("long").alias("fp"))).otherwise(F.struct("component_id", "fp"))
-    rows = placed.select(group.alias("g"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_text").alias("key"))
+    placed = staged(components(marked).select("doc_id", "_text", "component"), "placed-rows")
+    rows = placed.select(F.col("component").alias("g"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_text").alias("key"))
     sizes = rows.groupBy("g", "key").count()
     firsts = sizes.groupBy("g").agg(F.min("key").alias("first"))
     judged = staged(sizes.join(firsts, "g").select("key.doc_id", F.col("key._text").alias("_text"), (F.col("key") == F.col("first")).alias("stays"), "count"), "judged")
