@@ -33,7 +33,7 @@ from .shared import free
 
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT = 250_000
+KEPT = 100_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -122,10 +122,10 @@ class Merges:
         """Ids, as little-endian unsigned 32-bit integers, of distinct non-empty words."""
         out: dict[bytes, bytes] = {}
         step, back, ends, apart = self.step, self.back, self.ends, self._apart
-        if len(step) > 1_500_000:
+        if len(step) > 400_000:
             self._index()
             step, back, ends = self.step, self.back, self.ends
-        if len(apart) > 500_000:
+        if len(apart) > 150_000:
             apart.clear()
         before, last, state, size = b"", [-1], [0], [0]  # by depth: the last token, its length, the automaton's state
         for w in sorted(words):
@@ -191,7 +191,7 @@ class Codec:
         for t in texts:
             group.append(t or "")
             chars += len(group[-1])
-            if chars > 4_000_000:
+            if chars > 1_000_000:
                 yield from self._encode(group)
                 group, chars = [], 0
         yield from self._encode(group)
@@ -249,8 +249,8 @@ def encode(docs: DataFrame, path: str, keep, with_ids: bool = False, text: str =
     def run(batches):
         codec = _codec(spec.value)
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                own = b.slice(k, 512)
+            for k in range(0, b.num_rows, 256):
+                own = b.slice(k, 256)
                 n, a, d, every = [], [], [], []
                 for ids in codec.encode_batch(own.column(len(names)).to_pylist()):
                     n.append(len(ids) // 4)

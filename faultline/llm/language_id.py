@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import free
 
@@ -167,15 +166,29 @@ def predict(texts: list[str | None], m: LangModel) -> tuple[list[str], np.ndarra
     return lang, score, bad
 
 
-def identify(docs: DataFrame, model: LangModel, keep, prefix: str = "") -> DataFrame:
-    """The columns ``keep`` of docs, then lang_pred, score and rejected, after prefix; one pass, no shuffle."""
-    head = docs.select(*keep)
+def language(text, model: LangModel):
+    """A struct column lang_pred, score, rejected; only the text goes through Python."""
+
+    @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
+    def run(texts: pa.Array) -> pa.Array:
+        lang, score, bad = [], [np.zeros(0)], [np.zeros(0, bool)]
+        for k in range(0, len(texts), 256):
+            a, b, c = predict(texts.slice(k, 256).to_pylist(), model)
+            lang += a
+            score.append(b)
+            bad.append(c)
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(score)), pa.array(np.concatenate(bad))], names=["lang_pred", "score", "rejected"])
+
+    return run(F.make_valid_utf8(text))
+
+
+def identify(docs: DataFrame, model: LangModel, keep) -> DataFrame:
+    """The columns ``keep`` of docs, then lang_pred, score and rejected; one pass, no shuffle."""
+    own = free("_language", docs.select(*keep).columns)
+    return docs.select(*keep, language(F.col("text"), model).alias(own)).select("*", F.col(f"{own}.lang_pred"), F.col(f"{own}.score"), F.col(f"{own}.rejected")).drop(own)
 
-    def run(batches):
-        for b in batches:
-            lang, score, bad = predict(b.column(len(head_names)).to_pylist(), model)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(head_names)], pa.array(lang, pa.string()), pa.array(score), pa.array(bad)], names=out.names)
 
-    head_names = head.columns
-    out = T.StructType([*head.schema.fields, T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}rejected", T.BooleanType())])
-    return docs.select(*keep, F.make_valid_utf8("text").alias(free("_text", head_names))).mapInArrow(run, out)
+def keep_known(docs: DataFrame, model: LangModel) -> DataFrame:
+    """docs without the rows that are rejected; all columns stay as they are."""
+    own = free("_language", docs.columns)
+    return docs.withColumn(own, language(F.col("text"), model)).where(~F.col(f"{own}.rejected")).drop(own)

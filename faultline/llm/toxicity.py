@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import free, sized
 
@@ -168,29 +167,39 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable, p: FMParams =
     return fit([np.frombuffer(r, np.int32) for r in rows], np.array([float(np.mean(alike[r]) >= 0.5) for r in rows]), p)
 
 
-def score(docs: DataFrame, model: FMModel, keep, threshold: float = 0.7, prefix: str = "") -> DataFrame:
-    """The columns ``keep`` (names or columns) of docs, then score and predicted, after prefix; one pass, no shuffle."""
+def toxic(text, model: FMModel):
+    """The score as a column; only the text goes through Python."""
     size = 1 << model.bits
     index = {int(s): i for i, s in enumerate(model.slots)}
-    kept = docs.select(*keep).columns
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
         seen: dict[str, int] = {}
-        for b in batches:
+        out = [np.zeros(0)]
+        for k in range(0, len(texts), 256):
             rows = []
-            for s in b.column(len(kept)).to_pylist():
+            for s in texts.slice(k, 256).to_pylist():
                 own = set()
                 for t in terms(s):
                     if (i := seen.get(t)) is None:
-                        if len(seen) > 400_000:
+                        if len(seen) > 200_000:
                             seen.clear()
                         i = seen[t] = index.get(zlib.crc32(t.encode()) & (size - 1), -1)
                     if i >= 0:
                         own.add(i)
                 rows.append(np.fromiter(own, np.int64, len(own)))
-            value = model.scores(rows)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(value), pa.array((value >= threshold).astype(np.int32))], names=out.names)
+            out.append(model.scores(rows))
+        return pa.array(np.concatenate(out))
+
+    return run(F.make_valid_utf8(text))
+
+
+def score(docs: DataFrame, model: FMModel, keep, threshold: float = 0.7) -> DataFrame:
+    """The columns ``keep`` (names or columns) of docs, then score and predicted; one pass, no shuffle."""
+    return docs.select(*keep, toxic(F.col("text"), model).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
 
-    source = docs.select(*keep, F.make_valid_utf8("text").alias(free("_text", kept)))
-    out = T.StructType([*docs.select(*keep).schema.fields, T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}predicted", T.IntegerType())])
-    return source.mapInArrow(run, out)
+def keep_civil(docs: DataFrame, model: FMModel, threshold: float = 0.7) -> DataFrame:
+    """docs without the rows predicted toxic; all columns stay as they are."""
+    own = free("_toxic", docs.columns)
+    return docs.withColumn(own, toxic(F.col("text"), model)).where(F.col(own) < threshold).drop(own)
