@@ -29,7 +29,7 @@ ranges AS (
   SELECT {_hash('l_suppkey')} AS hash, CASE WHEN p_partkey % 13 <> 0 THEN path END AS old_path, CASE WHEN p_partkey % 17 <> 0 THEN path END AS new_path,
     p_partkey % 500 + 1 AS old_start, CAST(p_size % 9 AS BIGINT) AS old_count, p_partkey % 11 AS new_count, 'fn_' || (p_partkey % 97) AS function,
     CASE WHEN p_partkey % 50 = 0 THEN 'binary' WHEN p_partkey % 51 = 0 THEN 'unparsed' ELSE 'text' END AS kind
-  FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN (
+  FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey % 100 = l_suppkey % 100) JOIN (
     SELECT *, {_quoted(FOLDERS)}[p_size % {len(FOLDERS)} + 1] || '/f' || (p_partkey % 40) || '.c' AS path FROM part) ON l_partkey = p_partkey),
 sites AS (
   SELECT bug_id, CASE WHEN bug_id % 11 <> 0 THEN {_quoted(FOLDERS)}[CAST(custkey % {len(FOLDERS)} AS BIGINT) + 1] || '/f' || (bug_id % 40) || '.c' END AS path,
