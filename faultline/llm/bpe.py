@@ -33,7 +33,7 @@ from .shared import free
 
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT = 100_000
+KEPT = 250_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -125,7 +125,7 @@ class Merges:
         if len(step) > 400_000:
             self._index()
             step, back, ends = self.step, self.back, self.ends
-        if len(apart) > 150_000:
+        if len(apart) > 400_000:
             apart.clear()
         before, last, state, size = b"", [-1], [0], [0]  # by depth: the last token, its length, the automaton's state
         for w in sorted(words):
@@ -201,19 +201,20 @@ class Codec:
         if len(self.known) > KEPT:
             self.known.clear()
         known = self.known
-        new = {w for words in split for w in words if w not in known}
+        new = set().union(*split)
+        new.difference_update(known)
         special = self.merges.special
         plain = {w: w.encode() for w in new if w not in special}
         got = self.merges.encode_words(list(plain.values()))
         known.update((w, got[b]) for w, b in plain.items())
         known.update((w, np.array([special[w]], "<u4").tobytes()) for w in new if w in special)
         for words in split:
-            yield b"".join([known[w] for w in words])
+            yield b"".join(map(known.__getitem__, words))
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the decoded text."""
         of = self.merges.bytes_of
-        raw = b"".join([of[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        raw = b"".join(map(of.__getitem__, array("I", ids)))
         try:
             raw.decode()
             return raw
