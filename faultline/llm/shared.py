@@ -118,18 +118,20 @@ def _contracted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(names[root[own]])], names=["u", "v"])
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, max_rounds: int = 60, contracted: bool = False) -> DataFrame:
     """(node, component): the smallest node of each component, for every node that has a link.
 
     links: two columns of longs without nulls, in any order and repeated or not; loops are ignored.
     Large-star and small-star rounds on Spark's shuffles, each round written to the workspace. The
     driver sees only a row count and a checksum. A hub with many links is pre-aggregated by min, and the
-    join back to it is one that adaptive execution can split.
+    join back to it is one that adaptive execution can split. contracted: the
+    links come as forests already, so they are not contracted again, which would chain a second Python worker to the
+    tasks that make them.
     """
     spark = links.sparkSession
     u, v = (F.col(c) for c in links.columns[:2])
     pairs = links.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
-    now = staged(pairs.mapInArrow(_contracted, "u long, v long").distinct(), "links")
+    now = staged((pairs if contracted else pairs.mapInArrow(_contracted, "u long, v long")).distinct(), "links")
     seen = None
     for _ in range(max_rounds):
         both = now.union(now.select("v", "u")).toDF("u", "v")

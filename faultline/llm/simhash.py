@@ -187,7 +187,7 @@ def components(marked: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """
     of_fp = marked.groupBy("fp").agg(F.min(doc_id).alias("_least"))
     of_fp = staged(of_fp, "fingerprints")
-    comps = connected_components(fingerprint_links(of_fp.select("fp")))
+    comps = connected_components(fingerprint_links(of_fp.select("fp")), contracted=True)
     placed = of_fp.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_least", F.coalesce("component", "fp").alias("_c"))
     placed = staged(placed, "placed")
     names = placed.groupBy("_c").agg(F.min("_least").alias("component_id"))
