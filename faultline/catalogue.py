@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import core
+from .plans import core, study
 
-QUERIES: dict = {**core.QUERIES}
-ORACLES: dict[str, str] = {**core.ORACLES}
+QUERIES: dict = {**core.QUERIES, **study.QUERIES}
+ORACLES: dict[str, str] = {**core.ORACLES, **study.ORACLES}

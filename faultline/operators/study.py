@@ -24,10 +24,25 @@ def source_first(hunks: DataFrame) -> DataFrame:
     return hunks.withColumn("_any", any_source).where("is_source or not _any").drop("_any")
 
 
-def graded(pairs: DataFrame) -> DataFrame:
-    """pairs (crash_path, crash_line, crash_function, fix_path, touched, functions) plus grade and both subsystems."""
-    c = F.col
-    return pairs.select("*", classify.grade(c("crash_path"), c("crash_line"), c("crash_function"), c("fix_path"), c("touched"), c("functions")).alias("grade"))
+def placed(paths: DataFrame) -> DataFrame:
+    """path, subsystem, component of the distinct paths of a one-column DataFrame.
+
+    Paths repeat far more often than they differ, so the rules run once a path; each step is a projection of its own.
+    """
+    own = paths.toDF("path").where("path is not null").distinct().withColumn("subsystem", classify.subsystem(F.col("path")))
+    return own.withColumn("component", classify.component(F.col("path"), F.col("subsystem")))
+
+
+def graded(sites: DataFrame, hunks: DataFrame) -> DataFrame:
+    """hunks next to their bug's crash site, with subsystems and grade.
+
+    sites: bug_id, crash_path, crash_line, crash_function. hunks: bug_id, fix_path, touched, functions and more. Both are
+    placed by their own paths before they meet, and a hash aggregation by path precedes each join.
+    """
+    places = lambda df, c, name: df.join(placed(df.select(c)).select(F.col("path").alias(c), F.struct("path", "subsystem", "component").alias(name)), c, "left")
+    met = places(hunks, "fix_path", "_fix").join(places(sites, "crash_path", "_crash"), "bug_id")
+    grade = classify.grade(F.col("_crash"), F.col("_fix"), F.col("crash_line"), F.col("crash_function"), F.col("touched"), F.col("functions"))
+    return met.select("*", grade.alias("grade"), F.col("_crash.subsystem").alias("crash_subsystem"), F.col("_fix.subsystem").alias("fix_subsystem"), F.col("_fix.component").alias("fix_component")).drop("_crash", "_fix")
 
 
 def per_bug(hunks: DataFrame) -> DataFrame:
