@@ -36,7 +36,7 @@ def average_rank(value: str) -> Column:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: rho, null where a side is constant or there are fewer than two pairs.
+    """One row: rho, NaN where a side is constant or there are fewer than two pairs.
 
     Ranks come from the counts of distinct values, so no window holds all rows.
     """
@@ -48,4 +48,4 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
         return counts.select(c, (below + (F.col("n") + 1) / 2).alias(f"r{c}"))
 
     ranked = pairs.join(ranks("x"), "x").join(ranks("y"), "y")
-    return ranked.agg(F.when((F.count("*") > 1) & (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))).alias("rho"))
+    return ranked.agg(F.when((F.count("*") > 1) & (F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))).otherwise(float("nan")).alias("rho"))

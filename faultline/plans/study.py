@@ -96,7 +96,7 @@ def max_vs_min_grade(spark, d):
     return out.withColumn("difference", F.col("by_highest") - F.col("by_lowest"))
 
 
-_ROWS = "study AS (SELECT bug_id, bug_type, family, access_mode, priority, highest, hunks, opened, weight FROM by_bug JOIN classified USING (bug_id))"
+_ROWS = "study AS MATERIALIZED (SELECT bug_id, bug_type, family, access_mode, priority, highest, hunks, opened, weight FROM by_bug JOIN classified USING (bug_id))"
 
 
 def rows(spark, d) -> DataFrame:
@@ -106,9 +106,9 @@ def rows(spark, d) -> DataFrame:
 
 
 @query(_study_sql("""
-  SELECT 'family' AS dimension, family AS value, NULL AS other, count(*) AS n FROM study GROUP BY family UNION ALL SELECT 'bug_type', bug_type, NULL, count(*) FROM study GROUP BY bug_type
-  UNION ALL SELECT 'highest', CAST(highest AS VARCHAR), NULL, count(*) FROM study GROUP BY highest UNION ALL SELECT 'access_mode', access_mode, NULL, count(*) FROM study GROUP BY access_mode
-  UNION ALL SELECT 'family x highest', family, CAST(highest AS VARCHAR), count(*) FROM study GROUP BY family, highest UNION ALL SELECT 'family x bug_type', family, bug_type, count(*) FROM study GROUP BY family, bug_type""", _ROWS))
+  SELECT dimension, value, other, count(*) AS n FROM (
+    SELECT unnest(['family', 'bug_type', 'highest', 'access_mode', 'family x highest', 'family x bug_type']) AS dimension, unnest([family, bug_type, CAST(highest AS VARCHAR), access_mode, family, family]) AS value,
+      unnest([NULL, NULL, NULL, NULL, CAST(highest AS VARCHAR), bug_type]) AS other FROM study) GROUP BY ALL""", _ROWS))
 def study_count_maps(spark, d):
     return study.count_maps(rows(spark, d), ("family", "bug_type", "highest", "access_mode"), (("family", "highest"), ("family", "bug_type")))
 
