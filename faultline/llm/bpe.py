@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free
+from .shared import free, give_back, text_batches
 
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT = 250_000
+KEPT = 150_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -118,6 +118,9 @@ class Merges:
                 until_right, y = ry, self.parts[y][0]
         return out
 
+    def forget(self) -> None:
+        self._apart.clear()
+
     def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids, as little-endian unsigned 32-bit integers, of distinct non-empty words."""
         out: dict[bytes, bytes] = {}
@@ -176,6 +179,11 @@ class Codec:
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.known: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drops what later batches would have reused; the vocabulary stays."""
+        self.known.clear()
+        self.merges.forget()
+
     def pieces(self, text: str) -> list[str]:
         """The words of text in order; special tokens stand as pieces of their own."""
         if self.special is None or not self.special.search(text):
@@ -261,10 +269,12 @@ def encode(docs: DataFrame, path: str, keep, with_ids: bool = False, text: str =
                         every.append(np.frombuffer(ids, "<i4"))
                 cols = [*own.columns[: len(names)], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(every, pa.list_(pa.int32()))] * with_ids, names=out.names)
+        codec.forget()
+        give_back()
 
     own = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     out = T.StructType([*head.schema.fields, *own] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
-    return docs.select(*keep, F.make_valid_utf8(text).alias(free("_text", names))).mapInArrow(run, out)
+    return text_batches(docs).select(*keep, F.make_valid_utf8(text).alias(free("_text", names))).mapInArrow(run, out)
 
 
 def decode(rows: DataFrame, path: str, keep, ids: str = "ids") -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free
+from .shared import free, give_back, text_batches
 
 _GAP = re.compile(r"[\W\d_]+")
 _CHUNK = 1 << 20
@@ -132,7 +132,7 @@ def _sparse(dims: int):
 
 def train(docs: DataFrame, usable, p: LangParams = LangParams()) -> LangModel:
     """Learns from the rows with a language for which the condition ``usable`` holds."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & usable)
+    rows = text_batches(docs).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & usable)
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     share = F.lit(0)
     for lang, n in sorted(sizes.items()):
@@ -177,6 +177,7 @@ def language(text, model: LangModel):
             lang += a
             score.append(b)
             bad.append(c)
+        give_back()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(score)), pa.array(np.concatenate(bad))], names=["lang_pred", "score", "rejected"])
 
     return run(F.make_valid_utf8(text))
@@ -185,10 +186,10 @@ def language(text, model: LangModel):
 def identify(docs: DataFrame, model: LangModel, keep) -> DataFrame:
     """The columns ``keep`` of docs, then lang_pred, score and rejected; one pass, no shuffle."""
     own = free("_language", docs.select(*keep).columns)
-    return docs.select(*keep, language(F.col("text"), model).alias(own)).select("*", F.col(f"{own}.lang_pred"), F.col(f"{own}.score"), F.col(f"{own}.rejected")).drop(own)
+    return text_batches(docs).select(*keep, language(F.col("text"), model).alias(own)).select("*", F.col(f"{own}.lang_pred"), F.col(f"{own}.score"), F.col(f"{own}.rejected")).drop(own)
 
 
 def keep_known(docs: DataFrame, model: LangModel) -> DataFrame:
     """docs without the rows that are rejected; all columns stay as they are."""
     own = free("_language", docs.columns)
-    return docs.withColumn(own, language(F.col("text"), model)).where(~F.col(f"{own}.rejected")).drop(own)
+    return text_batches(docs).withColumn(own, language(F.col("text"), model)).where(~F.col(f"{own}.rejected")).drop(own)

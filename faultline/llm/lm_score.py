@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free, sized, staged
+from .shared import free, sized, staged, text_batches
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _UNKNOWN, _START, _FIRST = 0, 1, 2
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, p: LMParams = LMParams
     """Both models from all of docs; the target is the rows whose label is 1."""
     spark = docs.sparkSession
     ids = labels.where(F.col(label) == 1).select("doc_id").where("doc_id is not null").distinct().withColumn("_target", F.lit(True))
-    rows = docs.select("doc_id", F.make_valid_utf8("text").alias("text")).join(sized(ids), "doc_id", "left").select(F.coalesce("_target", F.lit(False)).alias("target"), "text")
+    rows = text_batches(docs).select("doc_id", F.make_valid_utf8("text").alias("text")).join(sized(ids), "doc_id", "left").select(F.coalesce("_target", F.lit(False)).alias("target"), "text")
     words = staged(rows.mapInArrow(_word_counts, "word string, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "words")
     total, total_target = (x or 0 for x in words.agg(F.sum("n"), F.sum("n_target")).first())
     kept = sorted((r.word, r.n, r.n_target) for r in words.where(F.col("n") >= p.word_share * total).collect())
@@ -187,4 +187,4 @@ def score(docs: DataFrame, model: LMPair, keep, p: LMParams = LMParams()) -> Dat
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()), strict=True))], names=out.names)
 
-    return docs.select(*keep, F.make_valid_utf8("text").alias(free("_text", names))).mapInArrow(run, out)
+    return text_batches(docs).select(*keep, F.make_valid_utf8("text").alias(free("_text", names))).mapInArrow(run, out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -77,6 +78,29 @@ def sized(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.limit(most + 1).count() <= most else small
 
 
+def text_batches(df: DataFrame, rows: int = 1_000, size: int = 4 << 20) -> DataFrame:
+    """df, after limiting the session's Arrow batches to rows and size where they are larger.
+
+    Batches of whole texts are held by the JVM and by the worker at once; the defaults suit narrow rows.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is not None and conf.isModifiable(key):
+        conf.set(key, size)
+    return df
+
+
+def give_back() -> None:
+    """Returns a Python worker's freed memory to the system: Spark keeps idle workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def free(name: str, taken) -> str:
     """name with as many underscores before it as make it differ from all names taken, whatever their case."""
     low = {c.lower() for c in taken}

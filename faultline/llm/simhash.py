@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import connected_components, free, roots_of, sized, staged
+from .shared import connected_components, free, give_back, roots_of, sized, staged, text_batches
 
 MOST = 4
 BUCKET = 8_192
@@ -89,9 +89,10 @@ def fingerprints(docs: DataFrame, keep, shingle: int = 4) -> DataFrame:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(len(names))], np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(fps.view(np.int64))], names=[*names, "fp"])
+        give_back()
 
     out = T.StructType([*head.schema.fields, T.StructField("fp", T.LongType())])
-    return docs.select(*keep, F.col("text").cast("binary").alias(free("_text", names))).mapInArrow(run, out)
+    return text_batches(docs).select(*keep, F.col("text").cast("binary").alias(free("_text", names))).mapInArrow(run, out)
 
 
 def _forest(group: np.ndarray, fp: np.ndarray, four: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +160,7 @@ def _links_of_buckets(batches):
         held, size = rows.slice(cut).to_batches(), size - cut
     if size:
         yield out(pa.Table.from_batches(held))
+    give_back()
 
 
 def fingerprint_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:

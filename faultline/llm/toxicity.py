@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free, sized
+from .shared import free, give_back, sized, text_batches
 
 _TERM = re.compile(r"[^\W\d_]+")
 
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable, p: FMParams =
     n = marked.count()
     if n > p.sample_rows:
         marked = marked.where(F.xxhash64("doc_id").bitwiseAND((1 << 30) - 1) < int(p.sample_rows / n * (1 << 30)))
-    rows = docs.select("doc_id", F.make_valid_utf8("text").alias("text")).join(sized(marked), "doc_id").select("_y", "text")
+    rows = text_batches(docs).select("doc_id", F.make_valid_utf8("text").alias("text")).join(sized(marked), "doc_id").select("_y", "text")
     got = rows.mapInArrow(_slot_sets(p.bits), "y double, slots binary").toArrow()
     sets = [np.frombuffer(s.as_py(), np.int32) for s in got.column(1)]
     y = got.column(0).to_numpy()
@@ -189,6 +189,7 @@ def toxic(text, model: FMModel):
                         own.add(i)
                 rows.append(np.fromiter(own, np.int64, len(own)))
             out.append(model.scores(rows))
+        give_back()
         return pa.array(np.concatenate(out))
 
     return run(F.make_valid_utf8(text))
@@ -196,10 +197,10 @@ def toxic(text, model: FMModel):
 
 def score(docs: DataFrame, model: FMModel, keep, threshold: float = 0.7) -> DataFrame:
     """The columns ``keep`` (names or columns) of docs, then score and predicted; one pass, no shuffle."""
-    return docs.select(*keep, toxic(F.col("text"), model).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return text_batches(docs).select(*keep, toxic(F.col("text"), model).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_civil(docs: DataFrame, model: FMModel, threshold: float = 0.7) -> DataFrame:
     """docs without the rows predicted toxic; all columns stay as they are."""
     own = free("_toxic", docs.columns)
-    return docs.withColumn(own, toxic(F.col("text"), model)).where(F.col(own) < threshold).drop(own)
+    return text_batches(docs).withColumn(own, toxic(F.col("text"), model)).where(F.col(own) < threshold).drop(own)
