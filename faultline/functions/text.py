@@ -105,8 +105,8 @@ def link_key(link) -> Column:
     """``extid-X`` or ``id-X`` of a link with exactly one such parameter; null for any other link."""
     query = F.regexp_extract(link, r"\?([^#]*)", 1)
     own = F.filter(F.split(query, "&"), lambda p: p.rlike(r"^(extid|id)=."))
-    value = F.try_url_decode(F.regexp_extract(own[0], r"=(.*)$", 1))
-    key = F.concat(F.regexp_extract(own[0], r"^(\w+)=", 1), F.lit("-"), value)
+    value = F.try_url_decode(F.regexp_extract(F.get(own, F.lit(0)), r"=(.*)$", 1))
+    key = F.concat(F.regexp_extract(F.get(own, F.lit(0)), r"^(\w+)=", 1), F.lit("-"), value)
     return F.when((F.size(own) == 1) & is_key(key), key)
 
 
