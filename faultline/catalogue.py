@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import core, study
+from .plans import core, detail, study
 
-QUERIES: dict = {**core.QUERIES, **study.QUERIES}
-ORACLES: dict[str, str] = {**core.ORACLES, **study.ORACLES}
+QUERIES: dict = {**core.QUERIES, **study.QUERIES, **detail.QUERIES}
+ORACLES: dict[str, str] = {**core.ORACLES, **study.ORACLES, **detail.ORACLES}
