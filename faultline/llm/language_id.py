@@ -59,7 +59,7 @@ def gram_counts(text: str | None, dims: int) -> np.ndarray | None:
     total = None
     for k in range(0, max(len(text), 1), _CHUNK):
         own = _GAP.sub(" ", text[k : k + _CHUNK].lower()).strip()
-        if not own:
+        if not any(map(str.isalpha, own)):  # digits of other scripts and the like are left too
             continue
         c = np.frombuffer(f" {own} ".encode("utf-32-le", "surrogatepass"), np.uint32)
         h = c * np.uint32(0x9E3779B1)
