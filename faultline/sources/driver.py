@@ -92,7 +92,7 @@ class DriverTables:
         b = self.bugs().join(self.sites().select("bug_id", "path", "line"), "bug_id")
         k, at = F.col("bug_id"), F.concat(F.coalesce("path", F.lit("fs/none.c")), F.lit(":"), F.coalesce("line", F.lit(1)))
         lines = (
-            F.col("title"), F.concat(F.when(k % 2 == 0, "Read").otherwise("Write"), F.lit(" of size 8 at addr ffff88 by task syz/"), k % 50), F.lit(""), F.lit("CPU: 0 PID: 7 Comm: syz"), F.lit("Call Trace:"), F.lit(" <TASK>"),
+            F.col("title"), F.concat(F.when(k % 2 == 0, "Read").otherwise("Write"), F.lit(" of size 8 at addr ffff88 by task exe/"), k % 50), F.lit(""), F.lit("CPU: 0 PID: 7 Comm: exe"), F.lit("Call Trace:"), F.lit(" <TASK>"),
             F.lit(" dump_stack_lvl+0x1/0x2 lib/dump_stack.c:106"), F.concat(F.lit(" "), F.col("function"), F.lit(".constprop.0+0x10/0x20 "), at), F.concat(F.lit(" "), _function(k, 89), F.lit("+0x3/0x4 fs/open.c:"), k % 90 + 1),
             F.lit(" do_syscall_64+0x5/0x6"), F.lit("Allocated by task 7:"), F.lit(" kmem_alloc+0x1/0x9 mm/slab.c:33"), F.concat(F.lit("Freed by task "), k % 3 + 6, F.lit(":")), F.lit(" kfree+0x1/0x9 mm/slab.c:44"),
         )

@@ -36,7 +36,7 @@ sites AS (
     CASE WHEN bug_id % 11 <> 0 THEN bug_id % 500 + 1 END AS line, function FROM bugs),
 reports AS (
   SELECT bug_id, title, CASE WHEN bug_id % 10 = 0 THEN '<html>' || text || '</html>' ELSE text END AS report FROM (
-    SELECT bug_id, title, concat_ws(chr(10), title, CASE WHEN bug_id % 2 = 0 THEN 'Read' ELSE 'Write' END || ' of size 8 at addr ffff88 by task syz/' || (bug_id % 50), '', 'CPU: 0 PID: 7 Comm: syz',
+    SELECT bug_id, title, concat_ws(chr(10), title, CASE WHEN bug_id % 2 = 0 THEN 'Read' ELSE 'Write' END || ' of size 8 at addr ffff88 by task exe/' || (bug_id % 50), '', 'CPU: 0 PID: 7 Comm: exe',
       'Call Trace:', ' <TASK>', ' dump_stack_lvl+0x1/0x2 lib/dump_stack.c:106', ' ' || b.function || '.constprop.0+0x10/0x20 ' || coalesce(path, 'fs/none.c') || ':' || coalesce(line, 1),
       ' fn_' || (bug_id % 89) || '+0x3/0x4 fs/open.c:' || (bug_id % 90 + 1), ' do_syscall_64+0x5/0x6', 'Allocated by task 7:', ' kmem_alloc+0x1/0x9 mm/slab.c:33',
       'Freed by task ' || (bug_id % 3 + 6) || ':', ' kfree+0x1/0x9 mm/slab.c:44') AS text

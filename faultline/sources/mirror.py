@@ -20,7 +20,7 @@ from ..operators.corpus import valid_patch, valid_report
 
 _FIX = "struct<title:string,link:string,hash:string,repo:string,branch:string>"
 _LISTING = f"array<struct<title:string,link:string,`fix-commits`:array<{_FIX}>>>"
-_CRASH = "struct<title:string,`syz-reproducer`:string,`c-reproducer`:string,`kernel-config`:string,`kernel-source-git`:string,`kernel-source-commit`:string,`syzkaller-commit`:string,`crash-report-link`:string>"
+_CRASH = "struct<title:string,`c-reproducer`:string,`kernel-config`:string,`kernel-source-git`:string,`kernel-source-commit`:string,`crash-report-link`:string>"
 DETAIL = f"id string, title string, status string, `first-crash` string, `last-crash` string, `fix-time` string, `close-time` string, `fix-commits` array<{_FIX}>, crashes array<{_CRASH}>, discussions array<string>, _corrupt string"
 
 

@@ -27,7 +27,7 @@ def test_every_type_has_a_title(spark):
 
 
 REPORT = """BUG: KASAN: use-after-free in foo+0x1/0x2 net/a.c:10
-Read of size 8 at addr ffff by task syz/7
+Read of size 8 at addr ffff by task exe/7
 Call Trace:
  <TASK>
  [<ffffffff81000001>] dump_stack_lvl+0x1/0x2 lib/d.c:1
