@@ -6,7 +6,8 @@ the bytes down to it. That state suffices: the encoding of a prefix is the encod
 last token, plus that token. Which token is last is decided by the merges: among the tokens that end there, the one
 is right that the tokens before it would not have merged into, i.e. whose boundary with the state before it survives
 (``Merges.apart``). So each prefix shared by many words is worked out once, and a word's encoding is read off
-by walking the states back. Encodings are kept for later batches, up to ``KEPT`` words, then dropped and redone.
+by walking the states back. Encodings are kept for later batches in two generations of ``KEPT`` words: when the young one is
+full it becomes the old one, whose words come back when they are met again.
 
 Texts are split as the tokenizer file says: special tokens first, then its pattern. Encoding and decoding run in one
 pass over whole texts without a shuffle; ids are decoded to bytes, and bytes that are no UTF-8 become U+FFFD.
@@ -33,7 +34,7 @@ from .shared import free, give_back, text_batches
 
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT = 150_000
+KEPT = 125_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -118,9 +119,6 @@ class Merges:
                 until_right, y = ry, self.parts[y][0]
         return out
 
-    def forget(self) -> None:
-        self._apart.clear()
-
     def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids, as little-endian unsigned 32-bit integers, of distinct non-empty words."""
         out: dict[bytes, bytes] = {}
@@ -178,11 +176,7 @@ class Codec:
         special = sorted(self.merges.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.known: dict[str, bytes] = {}
-
-    def forget(self) -> None:
-        """Drops what later batches would have reused; the vocabulary stays."""
-        self.known.clear()
-        self.merges.forget()
+        self.older: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         """The words of text in order; special tokens stand as pieces of their own."""
@@ -199,7 +193,7 @@ class Codec:
         for t in texts:
             group.append(t or "")
             chars += len(group[-1])
-            if chars > 1_000_000:
+            if chars > 2_000_000:
                 yield from self._encode(group)
                 group, chars = [], 0
         yield from self._encode(group)
@@ -207,10 +201,13 @@ class Codec:
     def _encode(self, texts: list[str]):
         split = [self.pieces(t) for t in texts]
         if len(self.known) > KEPT:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         known = self.known
         new = set().union(*split)
         new.difference_update(known)
+        back = new.intersection(self.older)
+        known.update((w, self.older[w]) for w in back)
+        new -= back
         special = self.merges.special
         plain = {w: w.encode() for w in new if w not in special}
         got = self.merges.encode_words(list(plain.values()))
@@ -258,8 +255,8 @@ def encode(docs: DataFrame, path: str, keep, with_ids: bool = False, text: str =
     def run(batches):
         codec = _codec(spec.value)
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                own = b.slice(k, 256)
+            for k in range(0, b.num_rows, 1_000):
+                own = b.slice(k, 1_000)
                 n, a, d, every = [], [], [], []
                 for ids in codec.encode_batch(own.column(len(names)).to_pylist()):
                     n.append(len(ids) // 4)
@@ -269,7 +266,6 @@ def encode(docs: DataFrame, path: str, keep, with_ids: bool = False, text: str =
                         every.append(np.frombuffer(ids, "<i4"))
                 cols = [*own.columns[: len(names)], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(every, pa.list_(pa.int32()))] * with_ids, names=out.names)
-        codec.forget()
         give_back()
 
     own = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
