@@ -4,15 +4,20 @@ Method. A target model (documents picked by a label) and a background model (all
 over one vocabulary, smoothed alike. A document's score is the mean over its tokens of target loss - background
 loss, in bits; below zero it is more like the target than like the corpus.
 
-Counts are taken over all documents. The vocabulary is every word with at least ``word_share`` of all tokens, so it
-cannot have more than 1 / word_share words; other words are one unknown word. A pair of words is kept if it has at
-least ``pair_share`` of all tokens, so no more than 1 / pair_share are; these two bounds, and not the input, are the size of
-what is broadcast. With c the counts and K(u) the share of u's followers that kept pairs hold,
+Counts are taken over all documents. With c the counts and K(u) the share of u's followers that kept pairs hold,
     P(v | u) = weight * c(u, v) / c(u) + (1 - weight * K(u)) * P(v),     P(v) = (c(v) + 1/2) / (N + |V| / 2)
 which sums to one over the vocabulary, whatever was kept; for a u that was never seen, P(v | u) = P(v).
 
-Counting goes by partial sums: each task adds up what it has read before anything is shuffled, words by word and pairs
-by a number, so a very common word is one row a task.
+``whole_scores`` keeps every word and every pair, so K(u) is 1 for each u seen, and broadcasts nothing. Documents are numbered
+once, in chunks of about ``_WHOLE`` tokens that are one row each. A chunk sends the counts of its distinct words and pairs
+through a shuffle by word and by pair, and gets back the sums of those that other chunks hold too. Words go by 64-bit hashes,
+pairs by both; two words of one hash would be counted as one.
+
+``train`` and ``score`` hold a bounded model instead: words with at least ``word_share`` of all tokens, other words being one
+unknown word, and pairs with at least ``pair_share``. These two bounds, and not the input, are the size of what they broadcast.
+
+Counting goes by partial sums: each task adds up what it has read before anything is shuffled, so a very common word is
+one row a task or chunk.
 
 Defined results: null and empty texts, and texts without a token, have 0 tokens, null losses and score, and are not
 selected. A document is a target if any of its label rows says so; rows without an id never are. Without any target
@@ -22,22 +27,26 @@ the target model is uniform. Repeated rows count as often as they stand there.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free, sized, staged, text_batches
+from .shared import free, give_back, sized, staged, text_batches
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _UNKNOWN, _START, _FIRST = 0, 1, 2
 _FLUSH = 200_000
 _CHUNK = 1 << 20
+_WHOLE = 1 << 22
+_SLICE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -188,3 +197,184 @@ def score(docs: DataFrame, model: LMPair, keep, p: LMParams = LMParams()) -> Dat
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()), strict=True))], names=out.names)
 
     return text_batches(docs).select(*keep, F.make_valid_utf8("text").alias(free("_text", names))).mapInArrow(run, out)
+
+
+_PACKED = "chunk long, lengths binary, targets binary, ids binary, hashes binary"
+
+
+def _packed(kept: pa.Schema):
+    """Rows (target, text, kept columns) become chunks, a row each: the kept columns as Arrow bytes, token numbers and the words' hashes."""
+
+    def run(batches):
+        words, heads, lengths, targets, ids, n, seq = None, [], [], [], [], 0, 0
+
+        def out():
+            rows = pa.Table.from_batches(heads, kept).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as w:
+                w.write_table(rows)
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in words), np.uint64, len(words))
+            chunk = (TaskContext.get().partitionId() << 24) + seq
+            body = (np.array(lengths, np.int32), np.array(targets, np.bool_), np.concatenate([np.zeros(0, np.int32), *ids]), hashes)
+            cols = [pa.array([chunk], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in body), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["chunk", "lengths", "targets", "ids", "hashes", "head"])
+
+        for b in batches:
+            start = 0
+            for k, (is_target, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if words is None:
+                    words = defaultdict()
+                    words.default_factory = words.__len__
+                    words[""]  # the start of a text is number 0
+                tokens = _TOKEN.findall((text or "").lower())
+                ids.append(np.fromiter(map(words.__getitem__, tokens), np.int32, len(tokens)))
+                lengths.append(len(tokens))
+                targets.append(is_target)
+                n += len(tokens)
+                if n >= _WHOLE:
+                    heads.append(pa.RecordBatch.from_arrays(b.columns[2:], schema=kept).slice(start, k + 1 - start))
+                    yield out()
+                    words, heads, lengths, targets, ids, n, seq, start = None, [], [], [], [], 0, seq + 1, k + 1
+            if start < b.num_rows:
+                heads.append(pa.RecordBatch.from_arrays(b.columns[2:], schema=kept).slice(start))
+        if lengths:
+            yield out()
+        give_back()
+
+    return run
+
+
+def _keys(lengths: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
+    """For each token of a chunk the number of its pair."""
+    prior = np.zeros(len(ids), np.int64)
+    prior[1:] = ids[:-1]
+    ends = np.cumsum(lengths)
+    prior[(ends - lengths)[lengths > 0]] = 0
+    return prior * size + ids
+
+
+def _unpacked(b, k: int, names) -> list[np.ndarray]:
+    kinds = {"lengths": np.int32, "targets": np.bool_, "ids": np.int32, "hashes": np.uint64}
+    return [np.frombuffer(b.column(c)[k].as_buffer(), kinds[c]) for c in names]
+
+
+def _sums(which: np.ndarray, size: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each number below size occurs, in all tokens and in the target's."""
+    return np.bincount(which, minlength=size), np.bincount(which[own], minlength=size)
+
+
+def _chunk_words(lengths, targets, ids, hashes):
+    """For a chunk's words the counts c of both models, and b, how often another token follows."""
+    own = np.repeat(targets, lengths)
+    prior = _keys(lengths, ids, 1) - ids
+    return [*_sums(ids, len(hashes), own), *_sums(prior, len(hashes), own)]
+
+
+def _sliced(cols, names):
+    for k in range(0, len(cols[0]), _SLICE):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + _SLICE]) for c in cols], names=names)
+
+
+def _words_sent(batches):
+    for b in batches:
+        for k in range(b.num_rows):
+            lengths, targets, ids, hashes = _unpacked(b, k, ("lengths", "targets", "ids", "hashes"))
+            at = np.arange(len(hashes), dtype=np.int32)
+            yield from _sliced([np.full(len(at), b.column(0)[k].as_py()), at, hashes.view(np.int64), *_chunk_words(lengths, targets, ids, hashes)], ["chunk", "at", "u", "c", "c_target", "b", "b_target"])
+
+
+def _pairs_sent(batches):
+    for b in batches:
+        for k in range(b.num_rows):
+            lengths, targets, ids, hashes = _unpacked(b, k, ("lengths", "targets", "ids", "hashes"))
+            keys, of = np.unique(_keys(lengths, ids, len(hashes)), return_inverse=True)
+            n, n_target = _sums(of, len(keys), np.repeat(targets, lengths))
+            del of
+            h = hashes.view(np.int64)
+            yield from _sliced([np.full(len(keys), b.column(0)[k].as_py()), np.arange(len(keys), dtype=np.int32), h[keys // len(h)], h[keys % len(h)], n, n_target], ["chunk", "at", "u", "v", "c", "c_target"])
+    give_back()
+
+
+def _whole_rows(kept: pa.Schema, names, totals, size: int, p: LMParams):
+    """Rows (chunk, kind, at, counts, packed chunk), of each chunk the sums first (1 words, 2 pairs), then the chunk (3)."""
+
+    def scored(b, k, sums):
+        lengths, targets, ids, hashes = _unpacked(b, k, ("lengths", "targets", "ids", "hashes"))
+        key, of = np.unique(_keys(lengths, ids, len(hashes)), return_inverse=True)
+        word = _chunk_words(lengths, targets, ids, hashes)
+        pair = [*_sums(of, len(key), np.repeat(targets, lengths))]
+        for kind, values in ((1, word), (2, pair)):
+            for part in sums[kind]:
+                for j, x in enumerate(values):
+                    x[part[0]] = part[j + 1]
+        u, v = key // len(hashes), key % len(hashes)
+        doc, out = np.repeat(np.arange(len(lengths)), lengths), []
+        for j in (1, 0):
+            p1 = (word[j][v] + 0.5) / (totals[j] + size / 2)
+            followed = word[2 + j][u]
+            prob = np.where(followed > 0, p.weight * pair[j] / np.maximum(followed, 1) + (1 - p.weight) * p1, p1)
+            out.append(np.bincount(doc, -np.log2(prob)[of], len(lengths)))
+        n = lengths.astype(np.int64)
+        none = n == 0
+        a, c = (x / np.maximum(n, 1) for x in out)
+        s = (out[0] - out[1]) / np.maximum(n, 1)
+        head = pa.ipc.open_stream(b.column(len(b.columns) - 1)[k].as_buffer()).read_all().combine_chunks()
+        cols = [*(head.column(i).combine_chunks() for i in range(len(kept))), pa.array(n), *(pa.array(x, mask=none) for x in (a, c, s)), pa.array(~none & (s < p.threshold))]
+        return pa.Table.from_arrays(cols, names=names)
+
+    def run(batches):
+        chunk, sums = None, {1: [], 2: []}
+        for b in batches:
+            ids, kinds = (b.column(k).to_numpy() for k in (0, 1))
+            cut = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (kinds[1:] != kinds[:-1])])
+            for lo, hi in zip(cut, [*cut[1:], len(ids)], strict=True):
+                if ids[lo] != chunk:
+                    chunk, sums = ids[lo], {1: [], 2: []}
+                if kinds[lo] < 3:
+                    sums[kinds[lo]].append([b.column(k).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for k in range(2, 7)])
+                    continue
+                yield from scored(b, int(lo), sums).to_batches(max_chunksize=_SLICE)
+                sums = {1: [], 2: []}
+        give_back()
+
+    return run
+
+
+def whole_scores(docs: DataFrame, labels: DataFrame, label: str, keep, p: LMParams = LMParams()) -> DataFrame:
+    """The columns of score() under models of every word and pair of docs; the shares of p are not used."""
+    spark = docs.sparkSession
+    head = docs.select(*keep)
+    names = head.columns
+    ids = labels.where(F.col(label) == 1).select(F.col("doc_id").alias("_of")).where("_of is not null").distinct().withColumn("_target", F.lit(True))
+    rows = text_batches(docs).join(sized(ids), docs["doc_id"] == F.col("_of"), "left").select(F.coalesce("_target", F.lit(False)).alias("_target"), F.make_valid_utf8("text").alias("_text"), *keep)
+    kept = pa.schema([pa.field(f"c{k}", x.type) for k, x in enumerate(head.limit(0).toArrow().schema)])
+    chunks = staged(rows.mapInArrow(_packed(kept), f"{_PACKED}, head binary"), "chunks")
+    body = chunks.drop("head")
+    words = staged(body.mapInArrow(_words_sent, "chunk long, at int, u long, c long, c_target long, b long, b_target long"), "words")
+    of_word = words.groupBy("u").agg(F.sum("c").alias("c"), F.sum("c_target").alias("t"))
+    size, n, n_target = (x or 0 for x in of_word.agg(F.count_if(F.col("c") > 0), F.sum("c"), F.sum("t")).first())
+    pairs = body.mapInArrow(_pairs_sent, "chunk long, at int, u long, v long, c long, c_target long")
+
+    def back(rows, by, kind, counts):
+        """Of the rows whose word or pair other chunks hold too the sums over all chunks."""
+        over = Window.partitionBy(*by)
+        seen = rows.withColumns({f"s_{c}": F.sum(c).over(over) for c in counts})
+        more = seen.where(" or ".join(f"s_{c} <> {c}" for c in counts))
+        sums = [F.col(f"s_{c}").alias(c) for c in counts] + [F.lit(0).cast("long").alias(c) for c in ("b", "b_target")[len(counts) // 4 * 2 :]]
+        return more.select("chunk", F.lit(kind).alias("kind"), "at", *sums)
+
+    sums = back(words, ["u"], 1, ["c", "c_target", "b", "b_target"]).unionByName(back(pairs, ["u", "v"], 2, ["c", "c_target"]))
+    both = sums.unionByName(chunks.withColumn("kind", F.lit(3)), allowMissingColumns=True)
+    own = [T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score")), T.StructField("selected", T.BooleanType())]
+    out = T.StructType([*head.schema.fields, *own])
+    for f in out.fields:
+        f.nullable = True
+    run = _whole_rows(kept, out.names, (n, n_target), size + _FIRST, p)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    most = spark.conf.get(key)
+    spark.conf.set(key, _SLICE)  # rows of numbers; a chunk is more than the limit in bytes and comes alone
+    try:
+        cols = ["chunk", "kind", "at", "c", "c_target", "b", "b_target", "lengths", "targets", "ids", "hashes", "head"]
+        return staged(both.select(*cols).repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, out), "scores")
+    finally:
+        spark.conf.set(key, most)

@@ -53,9 +53,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    model = lm_score.train(docs, _table(spark, sf_dir, "labels"), "quality")
-    return lm_score.score(docs, model, ["doc_id"])
+    return lm_score.whole_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "quality", ["doc_id"])
 
 
 def op9_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:

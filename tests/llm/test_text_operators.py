@@ -177,6 +177,30 @@ def test_lm_without_rows_or_targets(spark):
     assert lm_score.score(d.limit(0), m, ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1, 90, 1 << 22])
+def test_lm_scores_use_rare_words_and_pairs(spark, tmp_path, monkeypatch, chunk):
+    monkeypatch.setattr(lm_score, "_WHOLE", chunk)
+    rng = random.Random(6)
+    texts = ["the a " * 70_000] + [" ".join(rng.choice(["the", "cat", "x!", "Rare%d" % rng.randint(0, 40)]) for _ in range(rng.randint(0, 30))) for _ in range(40)] + [None, "", "once"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i % 3 == 0)) for i in range(0, 44, 2)] + [(0, 0), (None, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op8_lm_score(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, (n, a, b) in enumerate(_plain_scores(texts, [i % 6 == 0 for i in range(44)], lm_score.LMParams(word_share=0, pair_share=0))):
+        assert got[i].n_tokens == n and (got[i].score is None) == (a is None)
+        if n:
+            assert got[i].target_loss == pytest.approx(a) and got[i].background_loss == pytest.approx(b) and got[i].score == pytest.approx(a - b)
+        assert got[i].selected == (n > 0 and got[i].score < 0)
+
+
+def test_whole_lm_without_rows_or_targets(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    d = docs(spark, ["a b", None])
+    assert sorted(r.n_tokens for r in lm_score.whole_scores(d, none, "quality", ["doc_id"]).collect()) == [0, 2]
+    assert lm_score.whole_scores(d.limit(0), none, "quality", ["doc_id"]).count() == 0
+
+
 # --- BPE
 
 
