@@ -7,6 +7,8 @@ Scans read only the columns used; nothing is cached or collected.
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,28 @@ def _function(n, modulus: int = 97):
     return F.concat(F.lit("fn_"), n % modulus)
 
 
+#: Set while a query is planned over whole relations.
+_whole: ContextVar[bool] = ContextVar("whole", default=False)
+
+
+def sampled(df: DataFrame, condition: str) -> DataFrame:
+    """The rows of df that a query's SQL is limited to; all of them for a query from whole()."""
+    return df if _whole.get() else df.where(condition)
+
+
+def whole(query):
+    """query without the samples that its SQL is limited to."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _whole.set(True)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _whole.reset(token)
+
+    return run
+
+
 class DriverTables:
     """Relations over the tables in sf_dir."""
 
@@ -70,8 +94,8 @@ class DriverTables:
         return self.raw("supplier").select(F.sha2(s.cast("string"), 256).alias("hash"), s.alias("suppkey"), (s % 5 != 0).alias("is_valid"), (s % 7 != 0).alias("is_complete"))
 
     def ranges(self) -> DataFrame:
-        """hash, old_path, new_path, old_start, old_count, new_count, function, kind."""
-        own = self.raw("lineitem").where("l_partkey % 100 = l_suppkey % 100")
+        """hash, old_path, new_path, old_start, old_count, new_count, function, kind; sampled: about 1% of the parts a supplier delivers."""
+        own = sampled(self.raw("lineitem"), "l_partkey % 100 = l_suppkey % 100")
         pairs = own.select("l_suppkey", "l_partkey").distinct().join(self.raw("part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
         path = F.concat(_pick(FOLDERS, F.col("p_size")), F.lit("/f"), F.col("p_partkey") % 40, F.lit(".c"))
         p = F.col("p_partkey")
