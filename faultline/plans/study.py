@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, stats, text
 from ..functions.classify import CLASS_RULES, PATCH_BOOSTS, PATCH_RULES, SUBSYSTEMS
 from ..operators import checks, corpus, diffs, fixes, ingest, stacks, study
-from ..sources.driver import DriverTables
+from ..sources.driver import DriverTables, sampled
 from ..sources.driver_sql import with_relations
 from .core import CLASSIFIED, METRICS, load
 
@@ -375,7 +375,7 @@ def listing_errors(spark, d):
 
 @query(with_relations("SELECT bug_id, CASE WHEN bug_id % 2 = 0 THEN 'warning' ELSE 'kasan' END AS stored, bug_type AS expected FROM classified WHERE bug_id % 5 = 0 AND bug_type <> CASE WHEN bug_id % 2 = 0 THEN 'warning' ELSE 'kasan' END", CLASSIFIED))
 def integrity_type_mismatch(spark, d):
-    b = DriverTables(spark, d).bugs().where("bug_id % 5 = 0")
+    b = sampled(DriverTables(spark, d).bugs(), "bug_id % 5 = 0")
     return checks.wrong_types(b.select("bug_id", "title", F.when(F.col("bug_id") % 2 == 0, "warning").otherwise("kasan").alias("bug_type")))
 
 
@@ -461,10 +461,10 @@ idx AS (SELECT *, row_number() OVER (PARTITION BY bug_id ORDER BY report_line) -
 fx AS (SELECT DISTINCT bug_id, ranges.function AS fix_function FROM fix_refs JOIN ranges USING (hash) WHERE bug_id % 4 = 1)"""))
 def stack_distance(spark, d):
     t = DriverTables(spark, d)
-    f = stacks.frames(t.reports().where("not startswith(report, '<html>') and bug_id % 4 = 1")).where("section = 'manifestation'")
+    f = stacks.frames(sampled(t.reports().where("not startswith(report, '<html>')"), "bug_id % 4 = 1")).where("section = 'manifestation'")
     f = f.withColumn("idx", F.row_number().over(Window.partitionBy("bug_id").orderBy("report_line", "ordinal")) - 1)
-    functions = t.fix_refs().where("hash is not null and bug_id % 4 = 1").select("bug_id", "hash").distinct().join(t.ranges().select("hash", "function"), "hash").select("bug_id", "function").distinct()
-    return study.stack_distance(f, t.sites().where("bug_id % 4 = 1"), functions)
+    functions = sampled(t.fix_refs().where("hash is not null"), "bug_id % 4 = 1").select("bug_id", "hash").distinct().join(t.ranges().select("hash", "function"), "hash").select("bug_id", "function").distinct()
+    return study.stack_distance(f, sampled(t.sites(), "bug_id % 4 = 1"), functions)
 
 
 def _patch_texts(spark, d) -> DataFrame:
