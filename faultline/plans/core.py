@@ -9,7 +9,7 @@ from ..functions import text
 from ..functions.classify import FAMILIES, MARKERS, SANITIZERS
 from ..operators import corpus, filters, fixes, research
 from ..operators.filters import Criteria
-from ..sources.driver import DriverTables
+from ..sources.driver import DriverTables, sampled
 from ..sources.driver_sql import with_relations
 
 
@@ -326,7 +326,7 @@ def html_hrefs(spark, d):
 
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'extid-x' || page_id WHEN page_id % 3 = 1 THEN NULL END AS key, lower(regexp_extract(url, '^(https?://[^/?#@\\s]+)', 1)) AS origin FROM pages WHERE page_id % 3 < 2")
 def link_keys(spark, d):
-    p = DriverTables(spark, d).raw("pages").where("page_id % 3 < 2")
+    p = sampled(DriverTables(spark, d).raw("pages"), "page_id % 3 < 2")
     link = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/bug?a=b&extid=x"), "page_id", F.lit("#t"))).otherwise(F.concat(F.lit("/bug?id=1&id="), "page_id"))
     return p.select("page_id", text.link_key(link).alias("key"), text.origin(F.col("url")).alias("origin"))
 

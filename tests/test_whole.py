@@ -6,14 +6,14 @@ import pytest
 from faultline import catalogue
 
 SF = "/root/testdata/sf0.001"
-SAMPLES = [" WHERE l_partkey % 100 = l_suppkey % 100", " WHERE bug_id % 4 = 1", " AND bug_id % 4 = 1", "bug_id % 5 = 0 AND ", " WHERE bug_id <= 500"]
+SAMPLES = [" WHERE l_partkey % 100 = l_suppkey % 100", " WHERE bug_id % 4 = 1", " AND bug_id % 4 = 1", "bug_id % 5 = 0 AND ", " WHERE bug_id <= 500", " WHERE page_id % 3 < 2"]
 
 
 def _rows(rows):
     return sorted((tuple(r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", ["range_rendering", "patch_metrics", "stats_relationship", "filter_fix_file_glob", "stack_distance", "integrity_type_mismatch", "bug_detail"])
+@pytest.mark.parametrize("name", ["range_rendering", "patch_metrics", "stats_relationship", "filter_fix_file_glob", "stack_distance", "integrity_type_mismatch", "bug_detail", "link_keys"])
 def test_whole_queries(spark, name):
     db = duckdb.connect()
     for table in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "pages", "documents", "labels"):
