@@ -1,0 +1,128 @@
+"""Near copies by the Jaccard similarity of word shingles: MinHash candidates, exact checks, components.
+
+Method. Two texts link if their sets of five-word shingles have a similarity of ``LEAST`` = 0.8 or more. Texts of one set are
+collapsed first. ``BANDS`` keys of ``ROWS`` minima each make the candidates: a pair of similarity s shares a key with
+probability 1 - (1 - s**4)**20, 0.99997 at 0.8. Of buckets with the same members one is kept. Only texts in a bucket with others
+are read again, and every pair in it that is not yet connected is checked by the sets themselves. A bucket sends out a
+spanning forest of its links; one of more than ``BUCKET`` texts is cut into pairs of blocks, as in simhash.
+
+Defined results: as in simhash; texts without words are copies of each other. Shingles are compared by 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import simhash
+from .shared import give_back, sized, staged, text_batches
+
+LEAST, SHINGLE = 0.8, 5
+BANDS, ROWS = 20, 4
+BUCKET = 1_024
+_rng = np.random.default_rng(7)
+_XOR, _ODD = (_rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64, endpoint=True) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+
+def shingles(text: bytes | None) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; of a shorter text all its words are one."""
+    words = simhash._WORD.findall((text or b"").lower())
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, at = b" ".join(words), np.cumsum([0, *(len(w) + 1 for w in words)])
+    first, last = at[: max(1, len(words) - SHINGLE + 1)].tolist(), (at[min(SHINGLE, len(words)) :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[s:e], 42) for s, e in zip(first, last, strict=True)], np.uint64))
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """A key for each band, of a set that is not empty."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(own), 4_096):
+        least = np.minimum(least, ((own[k : k + 4_096, None] ^ _XOR) * _ODD).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+
+
+def _marked(batches):
+    """Rows (doc_id, text hash, text) become (doc_id, text hash, fp of the set, keys)."""
+    for b in batches:
+        fps, keys = np.zeros(b.num_rows, np.uint64), []
+        for k, text in enumerate(b.column(2)):
+            own = shingles(text.as_py())
+            fps[k] = xxhash.xxh64_intdigest(own.tobytes()) if len(own) else 0
+            keys.append(band_keys(own).view(np.int64) if len(own) else [])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "_text", "fp", "keys"])
+    give_back()
+
+
+def _sets(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["fp", "own"])
+    give_back()
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the similarity of two sorted sets is LEAST or more."""
+    if min(len(a), len(b)) < LEAST * max(len(a), len(b)):
+        return False
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return both >= LEAST * (len(a) + len(b) - both)
+
+
+def _forest(fps, sets):
+    """Links that span the components of one bucket."""
+    root = np.arange(len(fps))
+    out = []
+    for shift in range(1, len(fps)):
+        if (root == root[0]).all():
+            break
+        for a in range(len(fps) - shift):
+            if root[a] != root[a + shift] and similar(sets[a], sets[a + shift]):
+                out.append((fps[a], fps[a + shift]))
+                root[root == root[a + shift]] = root[a]
+    return out
+
+
+def _links(batches):
+    """Rows (key, a, b, fp, own), sorted by the first three."""
+    now, fps, sets = None, [], []
+
+    def out():
+        got = _forest(fps, sets) if len(fps) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    for batch in batches:
+        for *group, fp, own in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if group != now:
+                yield out()
+                now, fps, sets = group, [], []
+            fps.append(fp)
+            sets.append(np.frombuffer(own, np.uint64))
+    yield out()
+    give_back()
+
+
+def links(docs: DataFrame, marked: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(u, v): links between the sets' fps that connect all similar ones that share a key."""
+    sets = marked.where("size(keys) > 0").groupBy("fp").agg(F.min(F.struct("_text", "keys")).alias("m")).select("fp", "m._text", F.explode("m.keys").alias("key"))
+    sets = staged(sets, "keys")
+    count = sets.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.min("fp").alias("least")).where("n > 1")
+    full = count.groupBy("n", "x", "least").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / bucket).cast("int").alias("blocks"))
+    members = staged(sets.join(sized(staged(full, "buckets")), "key"), "members")
+    text = docs.select(F.xxhash64("text").alias("_text"), F.col("text").cast("binary").alias("text"))
+    wanted = members.select("fp", "_text").distinct()
+    own = staged(text_batches(text.join(sized(wanted), "_text").dropDuplicates(["fp"]).select("fp", "text")).mapInArrow(_sets, "fp long, own binary"), "sets")
+    at = F.expr("cast(pmod(xxhash64(fp), blocks) as int)")
+    place = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(at, k).alias("a"), F.greatest(at, k).alias("b")))
+    dealt = members.select("key", "fp", F.explode(place).alias("p")).select("key", "p.a", "p.b", "fp").join(own, "fp").select("key", "a", "b", "fp", "own")
+    return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_links, "u long, v long")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component of similar texts, chosen as simhash.keep_first does."""
+    rows = text_batches(docs).select("doc_id", F.xxhash64("text").alias("_text"), F.col("text").cast("binary").alias("text"))
+    marked = staged(rows.mapInArrow(_marked, "doc_id long, _text long, fp long, keys array<long>"), "marked")
+    return simhash.firsts(docs, simhash.components(marked.drop("keys"), links=links(docs, marked)))

@@ -182,14 +182,14 @@ def fingerprint_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_links_of_buckets, "u long, v long")
 
 
-def components(marked: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def components(marked: DataFrame, doc_id: str = "doc_id", links: DataFrame | None = None) -> DataFrame:
     """marked plus component (a fingerprint of it) and component_id (the smallest id reachable by links).
 
-    marked: rows with doc_id and fp. Two components can share a component_id only if rows of both have that id.
+    marked: rows with doc_id and fp. links: forests of links between fps, by default those within MOST bits. Two components can share a component_id only if rows of both have that id.
     """
     of_fp = marked.groupBy("fp").agg(F.min(doc_id).alias("_least"))
     of_fp = staged(of_fp, "fingerprints")
-    comps = connected_components(fingerprint_links(of_fp.select("fp")), contracted=True)
+    comps = connected_components(fingerprint_links(of_fp.select("fp")) if links is None else links, contracted=True)
     placed = of_fp.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_least", F.coalesce("component", "fp").alias("_c"))
     placed = staged(placed, "placed")
     names = placed.groupBy("_c").agg(F.min("_least").alias("component_id"))
@@ -210,9 +210,13 @@ def keep_first(docs: DataFrame, shingle: int = 4) -> DataFrame:
     Whole columns do not go through the search. The rows to drop, by id and text hash, are taken out by one join;
     rows that repeat both are collapsed apart from the others.
     """
+    return firsts(docs, components(staged(fingerprints(docs, ["doc_id", F.xxhash64("text").alias("_text")], shingle), "marked")))
+
+
+def firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with the first row of each component; found: doc_id, _text (the text's hash) and component of every row."""
     by = F.xxhash64("text")
-    marked = staged(fingerprints(docs, ["doc_id", by.alias("_text")], shingle), "marked")
-    placed = staged(components(marked).select("doc_id", "_text", "component"), "placed-rows")
+    placed = staged(found.select("doc_id", "_text", "component"), "placed-rows")
     rows = placed.select(F.col("component").alias("g"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_text").alias("key"))
     sizes = rows.groupBy("g", "key").count()
     firsts = sizes.groupBy("g").agg(F.min("key").alias("first"))
