@@ -9,11 +9,15 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side of a join is broadcast; beyond it the join is shuffled.
+#: Rows and bytes up to which a side of a join is broadcast; beyond them the join is shuffled.
 BROADCAST_ROWS = 400_000
+BROADCAST_BYTES = 32 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -73,23 +77,61 @@ def unstage(df: DataFrame) -> None:
     remove(df.sparkSession, df._staged_at)
 
 
-def sized(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """small, marked for broadcast if it has at most ``most`` rows; small should be cheap to count."""
-    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+def _width(field: T.StructField):
+    """About the bytes that a column takes in a row, as an expression."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        if isinstance(inner, T.StringType | T.BinaryType):
+            return F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + 16 + F.coalesce(F.octet_length(x), F.lit(0))), F.lit(0)) + 16
+        return F.coalesce(F.size(c), F.lit(0)) * 16 + 16
+    return F.lit(8)
 
 
-def text_batches(df: DataFrame, rows: int = 1_000, size: int = 4 << 20) -> DataFrame:
-    """df, after limiting the session's Arrow batches to rows and size where they are larger.
+def sized(small: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """small, marked for broadcast if it has at most ``most`` rows and about ``most_bytes``; it should be cheap to read."""
+    n, size = extent(small.limit(most + 1))
+    return F.broadcast(small) if n <= most and size <= most_bytes else small
 
-    Batches of whole texts are held by the JVM and by the worker at once; the defaults suit narrow rows.
+
+def extent(df: DataFrame) -> tuple[int, int]:
+    """Rows of df, and about their bytes."""
+    widths = sum((_width(f) for f in df.schema.fields), F.lit(16))
+    return tuple(df.agg(F.count("*"), F.coalesce(F.sum(widths), F.lit(0)).cast("long")).first())
+
+
+def with_sums(rows: DataFrame, sums: DataFrame, keys, total: int) -> DataFrame:
+    """rows joined by keys with sums, which has a row a key and in n the number of rows of that key; n is left out.
+
+    total: the sum of n, or more. At most 4,096 keys can have more than a 4,096th of all rows each, so those few are broadcast,
+    and what is dealt by key is never a large part of a task.
     """
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(key, None) is not None and conf.isModifiable(key):
-        conf.set(key, size)
-    return df
+    keys, most = list(keys), max(256, total >> 12)
+    heavy = sums.where(F.col("n") > most).drop("n")
+    light = sums.where(F.col("n") <= most).drop("n")
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest)
+
+
+def store(folder: str) -> tuple[arrow_fs.FileSystem, str]:
+    """Arrow's file system of a folder, and its path there."""
+    return arrow_fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 1_000, size: int = 4 << 20):
+    """The batch in parts of at most ``rows`` rows and about ``size`` bytes of that column (a row at least).
+
+    The session decides how large the batches are that come in; what a worker makes of one at a time is bounded here.
+    """
+    texts = batch.column(column)
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    at, done = 0, 0
+    while at < batch.num_rows:
+        to = max(at + 1, min(at + rows, int(np.searchsorted(ends, done + size, side="right"))))
+        yield batch.slice(at, to - at)
+        at, done = to, int(ends[to - 1])
 
 
 def give_back() -> None:
@@ -109,6 +151,12 @@ def free(name: str, taken) -> str:
     return name
 
 
+def without(df: DataFrame, taken) -> list:
+    """The columns of df but for those whose names, whatever their case, are taken."""
+    low = {c.lower() for c in taken}
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in low]
+
+
 def ascii_lower(c):
     """A-Z lower-cased; no other character changes."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -147,8 +195,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60, contracted: boo
 
     links: two columns of longs without nulls, in any order and repeated or not; loops are ignored.
     Large-star and small-star rounds on Spark's shuffles, each round written to the workspace. The
-    driver sees only a row count and a checksum. A hub with many links is pre-aggregated by min, and the
-    join back to it is one that adaptive execution can split. contracted: the
+    driver sees only a row count and a checksum. A hub with many links is pre-aggregated by min, and what joins back to it
+    is not dealt by its key (``with_sums``). contracted: the
     links come as forests already, so they are not contracted again, which would chain a second Python worker to the
     tasks that make them.
     """
@@ -156,19 +204,19 @@ def connected_components(links: DataFrame, max_rounds: int = 60, contracted: boo
     u, v = (F.col(c) for c in links.columns[:2])
     pairs = links.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
     now = staged((pairs if contracted else pairs.mapInArrow(_contracted, "u long, v long")).distinct(), "links")
-    seen = None
+    seen, checksum = None, (F.count("*"), F.expr("bit_xor(xxhash64(u, v))"))
+    state = now.agg(*checksum).first()
     for _ in range(max_rounds):
-        both = now.union(now.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        with_least = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        small = with_least.select("e.u", "e.v").where("u <> v").distinct()
-        after = staged(small, "links")
-        unstage(now)
-        now = after
-        state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
         seen = state
+        both = now.union(now.select("v", "u")).toDF("u", "v")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = staged(with_sums(both, least, ["u"], 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "links")
+        unstage(now)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        with_least = with_sums(large, least, ["u"], 2 * state[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        now = staged(with_least.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        unstage(large)
+        state = now.agg(*checksum).first()
     raise RuntimeError(f"components have not settled in {max_rounds} rounds")
