@@ -1,17 +1,19 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Method: a text is the set of its terms (runs of letters, A-Z and all other letters lower-cased), each hashed to
-``2**bits`` slots. With x_i = 1 for the slots that a text has, after dropping slots that training saw too rarely,
+``2**bits`` slots. With x_i = 1 for the slots that a text has and the model knows,
     f(x) = w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j,    score = 1 / (1 + exp(-f))
 The pairwise part lets two terms say more together than their weights add up to. It is trained by mini-batch AdaGrad
-on the log loss over a sample of labelled rows bounded by ``sample_rows`` (expected size, picked by a hash of the id,
-so it is the same for every run). Slots enter the model only if the difference of their rates in the two
-classes is clear of chance; this keeps long texts from summing up noise. Scoring reads whole texts, in one pass,
-without a shuffle; the model is a few hundred kB of arrays whatever the input.
+on the log loss over a sample of labelled rows bounded by ``sample_rows`` (expected number of ids, picked by a hash of the id,
+so it is the same for every run). A slot enters the model if the rate of the label among its texts is clear of chance (``min_z``, which fewer than ``min_texts`` texts cannot show),
+or if that rate among the texts that it shares with another slot is clear of what the two say one by one (``pair_z``); so a
+pair is learned even where neither of its terms tells anything alone. Weights for all other slots would add up noise in long texts. Scoring reads
+whole texts, in one pass, without a shuffle; the model is a few hundred kB of arrays whatever the input.
 
 Defined results: a null or empty text scores the model's value for no terms. A null id is never learned from and counts
-as held out. Repeated rows score alike. A document's label is the greatest of its non-null labels. With no labels,
-or with only one class, the score is that class's rate (0 if there are none) for every text.
+as held out. Repeated rows score alike; of rows that repeat an id one is learned from, and equal sets of terms count once, by the majority of
+their labels. A document's label is the greatest of its non-null labels. With no labels,
+or with only one class, the score is that class's rate (0 if there are none) for every text. Kept columns named score or predicted are left out.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free, give_back, sized, text_batches
+from .shared import free, give_back, sized, slices, without
 
 _TERM = re.compile(r"[^\W\d_]+")
 
@@ -39,7 +41,9 @@ class FMParams:
     rate: float = 0.3
     ridge: float = 1e-3
     min_z: float = 5.0
-    max_features: int = 4_096
+    min_texts: int = 5
+    pair_z: float = 7.0
+    pair_share: float = 0.01
     batch: int = 256
     seed: int = 7
 
@@ -75,6 +79,49 @@ def slot(term: str, bits: int) -> int:
     return zlib.crc32(term.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1)
 
 
+def _surprise(seen, expected, variance):
+    """Standard deviations between what was seen and expected, with a correction that few cases cannot overcome."""
+    away = np.abs(seen - expected) - 0.5
+    return np.sign(seen - expected) * np.maximum(away, 0) / np.sqrt(variance + 1)
+
+
+def telling_pairs(rows: list[np.ndarray], y: np.ndarray, both: np.ndarray, hit: np.ndarray, p: FMParams) -> np.ndarray:
+    """Slots of pairs that say something other than the sum of what their two slots say.
+
+    Looks at every two slots that each have ``pair_share`` of the texts: rarer ones meet too seldom for a pair to be told from chance.
+    """
+    n = len(y)
+    prior = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
+    often = np.flatnonzero(both >= max(p.pair_share * n, 1))
+    place = np.full(len(both), -1, np.int64)
+    place[often] = np.arange(len(often))
+    own = np.log((hit[often] + 0.5) / (both[often] - hit[often] + 0.5)) - prior
+    texts = np.repeat(np.arange(n), [len(r) for r in rows])
+    at = place[np.concatenate(rows).astype(np.int64)]
+    texts, at = texts[at >= 0], at[at >= 0]
+    step, told = 256, np.zeros(len(often), bool)
+
+    def block(k: int) -> np.ndarray:
+        out = np.zeros((n, min(step, len(often) - k)), np.float32)
+        mine = (at >= k) & (at < k + step)
+        out[texts[mine], at[mine] - k] = 1
+        return out
+
+    for i in range(0, len(often), step):
+        a = block(i)
+        marked = a * y[:, None].astype(np.float32)
+        for j in range(i, len(often), step):
+            b = a if i == j else block(j)
+            met, toxic_met = a.T @ b, marked.T @ b
+            sure = 1 / (1 + np.exp(-(prior + own[i : i + step, None] + own[None, j : j + step])))
+            told_here = np.abs(_surprise(toxic_met, met * sure, met * sure * (1 - sure))) >= p.pair_z
+            if i == j:
+                np.fill_diagonal(told_here, False)
+            told[i : i + step] |= told_here.any(axis=1)
+            told[j : j + step] |= told_here.any(axis=0)
+    return often[told]
+
+
 def fit(rows: list[np.ndarray], y: np.ndarray, p: FMParams) -> FMModel:
     """rows: the slots of each training text, each once; y: 0 or 1."""
     n, pos = len(y), float(y.sum()) if len(y) else 0.0
@@ -87,11 +134,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray, p: FMParams) -> FMModel:
     size = 1 << p.bits
     both = np.bincount(x, minlength=size)
     hit = np.bincount(x, weights=y[at], minlength=size)
-    rate = both / n
-    z = (hit - pos * rate) / np.sqrt(np.maximum(pos * rate * (1 - rate) * (1 - pos / n), 1e-9))
-    z[both < 5] = 0
-    clear = np.flatnonzero(np.abs(z) >= p.min_z)
-    slots = np.sort(clear[np.argsort(-np.abs(z[clear]), kind="stable")[: p.max_features]])
+    rate = pos / n
+    share = both / n
+    z = (hit - pos * share) / np.sqrt(np.maximum(pos * share * (1 - share) * (1 - rate), 1e-9))
+    single = (np.abs(z) >= p.min_z) & (both >= p.min_texts)
+    slots = np.union1d(np.flatnonzero(single), telling_pairs(rows, y, both, hit, p))
     index = np.full(size, -1, np.int64)
     index[slots] = np.arange(len(slots))
     known = index[x] >= 0
@@ -139,10 +186,13 @@ def held_out(doc_id, parts: int, part: int):
 
 
 def _slot_sets(bits: int):
+    """Rows (doc_id, y, text) become (doc_id, y, slots)."""
+
     def run(batches):
-        for b in batches:
-            rows = [np.unique(np.fromiter((slot(t, bits) for t in terms(s)), np.int32)) if s else np.zeros(0, np.int32) for s in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], names=["y", "slots"])
+        for batch in batches:
+            for b in slices(batch, 2):
+                rows = [np.unique(np.fromiter((slot(t, bits) for t in terms(s)), np.int32)) if s else np.zeros(0, np.int32) for s in b.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "y", "slots"])
 
     return run
 
@@ -150,21 +200,16 @@ def _slot_sets(bits: int):
 def train(docs: DataFrame, labels: DataFrame, label: str, usable, p: FMParams = FMParams()) -> FMModel:
     """Learns from the labelled rows of docs for which the condition ``usable`` on doc_id holds.
 
-    At most about ``sample_rows`` of them reach the driver, as term slots.
+    At most about ``sample_rows`` sets of term slots reach the driver, whatever repeats.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & usable).groupBy("doc_id").agg(F.max(label).cast("double").alias("_y"))
     n = marked.count()
     if n > p.sample_rows:
         marked = marked.where(F.xxhash64("doc_id").bitwiseAND((1 << 30) - 1) < int(p.sample_rows / n * (1 << 30)))
-    rows = text_batches(docs).select("doc_id", F.make_valid_utf8("text").alias("text")).join(sized(marked), "doc_id").select("_y", "text")
-    got = rows.mapInArrow(_slot_sets(p.bits), "y double, slots binary").toArrow()
-    sets = [np.frombuffer(s.as_py(), np.int32) for s in got.column(1)]
-    y = got.column(0).to_numpy()
-    alike: dict[bytes, list[float]] = {}
-    for own, label_of in zip(sets, y, strict=True):  # copies count once, by the majority of their labels
-        alike.setdefault(own.tobytes(), []).append(label_of)
-    rows = sorted(alike)
-    return fit([np.frombuffer(r, np.int32) for r in rows], np.array([float(np.mean(alike[r]) >= 0.5) for r in rows]), p)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8("text").alias("text")).join(sized(marked), "doc_id").select("doc_id", "_y", "text")
+    sets = rows.mapInArrow(_slot_sets(p.bits), "doc_id long, y double, slots binary").groupBy("doc_id", "y").agg(F.min("slots").alias("slots"))
+    got = sets.groupBy("slots").agg(F.avg("y").alias("y")).orderBy("slots").toArrow()
+    return fit([np.frombuffer(s.as_py(), np.int32) for s in got.column(0)], (got.column(1).to_numpy() >= 0.5).astype(float), p)
 
 
 def toxic(text, model: FMModel):
@@ -176,9 +221,9 @@ def toxic(text, model: FMModel):
     def run(texts: pa.Array) -> pa.Array:
         seen: dict[str, int] = {}
         out = [np.zeros(0)]
-        for k in range(0, len(texts), 256):
+        for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), 0, 256):
             rows = []
-            for s in texts.slice(k, 256).to_pylist():
+            for s in part.column(0).to_pylist():
                 own = set()
                 for t in terms(s):
                     if (i := seen.get(t)) is None:
@@ -197,10 +242,13 @@ def toxic(text, model: FMModel):
 
 def score(docs: DataFrame, model: FMModel, keep, threshold: float = 0.7) -> DataFrame:
     """The columns ``keep`` (names or columns) of docs, then score and predicted; one pass, no shuffle."""
-    return text_batches(docs).select(*keep, toxic(F.col("text"), model).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    head = docs.select(*keep)
+    own = free("_score", head.columns)
+    out = docs.select(*keep, toxic(F.col("text"), model).alias(own))
+    return out.select(*without(head, ("score", "predicted")), F.col(own).alias("score"), (F.col(own) >= threshold).cast("int").alias("predicted"))
 
 
 def keep_civil(docs: DataFrame, model: FMModel, threshold: float = 0.7) -> DataFrame:
     """docs without the rows predicted toxic; all columns stay as they are."""
     own = free("_toxic", docs.columns)
-    return text_batches(docs).withColumn(own, toxic(F.col("text"), model)).where(F.col(own) < threshold).drop(own)
+    return docs.withColumn(own, toxic(F.col("text"), model)).where(F.col(own) < threshold).drop(own)
