@@ -4,32 +4,26 @@ Method. A target model (documents picked by a label) and a background model (all
 over one vocabulary, smoothed alike. A document's score is the mean over its tokens of target loss - background
 loss, in bits; below zero it is more like the target than like the corpus.
 
-Counts are taken over all documents. With c the counts and K(u) the share of u's followers that kept pairs hold,
-    P(v | u) = weight * c(u, v) / c(u) + (1 - weight * K(u)) * P(v),     P(v) = (c(v) + 1/2) / (N + |V| / 2)
-which sums to one over the vocabulary, whatever was kept; for a u that was never seen, P(v | u) = P(v).
+Every word and every pair of all documents counts and is used. With c the counts,
+    P(v | u) = weight * c(u, v) / c(u) + (1 - weight) * P(v),     P(v) = (c(v) + 1/2) / (N + |V| / 2)
+which sums to one over the vocabulary; for a u that was never seen, P(v | u) = P(v). Both models know the scored documents
+themselves: a document of the target is among what its target model was counted from.
 
-``whole_scores`` keeps every word and every pair, so K(u) is 1 for each u seen, and broadcasts nothing. Documents are numbered
-once, in chunks of about ``_WHOLE`` tokens that are one row each. A chunk sends the counts of its distinct words and pairs
-through a shuffle by word and by pair, and gets back the sums of those that other chunks hold too. Words go by 64-bit hashes,
-pairs by both; two words of one hash would be counted as one.
-
-``train`` and ``score`` hold a bounded model instead: words with at least ``word_share`` of all tokens, other words being one
-unknown word, and pairs with at least ``pair_share``. These two bounds, and not the input, are the size of what they broadcast.
-
-Counting goes by partial sums: each task adds up what it has read before anything is shuffled, so a very common word is
-one row a task or chunk.
+Documents are numbered once, in chunks of about ``_WHOLE`` tokens that are one row each. A chunk sends the counts of its distinct
+words and pairs through a shuffle by word and by pair, as three numbers each, and gets back the sums of those that other chunks hold
+too. So a very common word is one row a chunk, and nothing is broadcast but the targets' ids. Words and pairs go by 64-bit hashes; two
+of one hash would be counted as one.
 
 Defined results: null and empty texts, and texts without a token, have 0 tokens, null losses and score, and are not
 selected. A document is a target if any of its label rows says so; rows without an id never are. Without any target
-the target model is uniform. Repeated rows count as often as they stand there.
+the target model is uniform. Repeated rows count as often as they stand there. Kept columns named like a result are left out.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,166 +33,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free, give_back, sized, staged, text_batches
+from .shared import free, give_back, sized, slices, staged
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_UNKNOWN, _START, _FIRST = 0, 1, 2
-_FLUSH = 200_000
-_CHUNK = 1 << 20
 _WHOLE = 1 << 22
 _SLICE = 1 << 16
+#: A place is a chunk (partition and number in it) and a position in it, in one long.
+_AT, _SEQ = 30, 12
 
 
 @dataclass(frozen=True)
 class LMParams:
-    word_share: float = 2.0**-16
-    pair_share: float = 2.0**-20
     weight: float = 0.7
     threshold: float = 0.0
 
 
-@dataclass(frozen=True)
-class LMPair:
-    """Target (row 0) and background (row 1) over one vocabulary."""
-
-    vocabulary: dict[str, int]
-    word: np.ndarray  # P(v), 2 x V
-    rest: np.ndarray  # 1 - weight * K(u), 2 x V
-    keys: np.ndarray  # kept pairs, sorted, u * V + v
-    pair: np.ndarray  # weight * c(u, v) / c(u), 2 x pairs
-
-    def losses(self, text: str | None) -> tuple[int, float, float]:
-        """Tokens, and the summed loss of each model in bits."""
-        tokens = _TOKEN.findall((text or "").lower())
-        total, before = np.zeros(2), _START
-        for k in range(0, len(tokens), _CHUNK):
-            ids = _numbered(tokens[k : k + _CHUNK], self.vocabulary)
-            prior = np.concatenate([[before], ids[:-1]])
-            p = self.rest[:, prior] * self.word[:, ids]
-            if len(self.keys):
-                key = prior * len(self.word[0]) + ids
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                p += np.where(self.keys[at] == key, self.pair[:, at], 0)
-            total -= np.log2(p).sum(axis=1)
-            before = int(ids[-1])
-        return len(tokens), float(total[0]), float(total[1])
-
-
-def _numbered(tokens: list[str], vocabulary: dict[str, int]) -> np.ndarray:
-    return np.fromiter(map(vocabulary.get, tokens, repeat(_UNKNOWN)), np.int64, len(tokens))
-
-
-def _word_counts(batches):
-    """Rows (target, text) become partial sums (word, n, n_target)."""
-    every, target = Counter(), Counter()
-
-    def out():
-        words = list(every)
-        got = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([every[w] for w in words], pa.int64()), pa.array([target[w] for w in words], pa.int64())], names=["word", "n", "n_target"])
-        every.clear()
-        target.clear()
-        return got
-
-    for b in batches:
-        for is_target, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            tokens = _TOKEN.findall((text or "").lower())
-            every.update(tokens)
-            if is_target:
-                target.update(tokens)
-            if len(every) > _FLUSH:
-                yield out()
-    if every:
-        yield out()
-
-
-def _pair_counts(vocabulary, size: int):
-    """Rows (target, text) become partial sums (pair, n, n_target)."""
-
-    def run(batches):
-        words, held, held_target, n = vocabulary.value, [], [], 0
-
-        def out():
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            own = np.zeros(len(keys), np.int64)
-            if held_target:
-                k, c = np.unique(np.concatenate(held_target), return_counts=True)
-                own[np.searchsorted(keys, k)] = c
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64)), pa.array(own)], names=["pair", "n", "n_target"])
-
-        for b in batches:
-            for is_target, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tokens = _TOKEN.findall((text or "").lower())
-                if not tokens:
-                    continue
-                ids = _numbered(tokens, words)
-                key = np.concatenate([[_START], ids[:-1]]) * size + ids
-                held.append(key)
-                n += len(key)
-                if is_target:
-                    held_target.append(key)
-                if n > 4_000_000:
-                    yield out()
-                    held, held_target, n = [], [], 0
-        if held:
-            yield out()
-
-    return run
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str, p: LMParams = LMParams()) -> LMPair:
-    """Both models from all of docs; the target is the rows whose label is 1."""
-    spark = docs.sparkSession
-    ids = labels.where(F.col(label) == 1).select("doc_id").where("doc_id is not null").distinct().withColumn("_target", F.lit(True))
-    rows = text_batches(docs).select("doc_id", F.make_valid_utf8("text").alias("text")).join(sized(ids), "doc_id", "left").select(F.coalesce("_target", F.lit(False)).alias("target"), "text")
-    words = staged(rows.mapInArrow(_word_counts, "word string, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "words")
-    total, total_target = (x or 0 for x in words.agg(F.sum("n"), F.sum("n_target")).first())
-    kept = sorted((r.word, r.n, r.n_target) for r in words.where(F.col("n") >= p.word_share * total).collect())
-    vocabulary = {w: k for k, (w, _, _) in enumerate(kept, _FIRST)}
-    size = len(vocabulary) + _FIRST
-    shared = spark.sparkContext.broadcast(vocabulary)
-    pairs = rows.mapInArrow(_pair_counts(shared, size), "pair long, n long, n_target long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    pairs = staged(pairs, "pairs")
-    followed = pairs.groupBy(F.expr(f"pair div {size}").alias("u")).agg(F.sum("n"), F.sum("n_target")).toArrow()
-    table = pairs.where(F.col("n") >= p.pair_share * total).orderBy("pair").toArrow()
-    keys = table.column(0).to_numpy()
-    word, rest, pair = [], [], []
-    for k, (col, whole) in enumerate((("n_target", total_target), ("n", total))):
-        c = np.zeros(size)
-        c[_FIRST:] = [r[2 - k] for r in kept]
-        c[_UNKNOWN] = whole - c.sum()
-        c[_START] = 0
-        p1 = (c + 0.5) / (whole + size / 2)
-        before = np.zeros(size)
-        before[followed.column(0).to_numpy().astype(np.int64)] = followed.column(2 - k).to_numpy()
-        n = table.column(col).to_numpy().astype(float)
-        u = keys // size
-        share = p.weight * n / np.maximum(before[u], 1)
-        word.append(p1)
-        pair.append(share)
-        rest.append(1 - np.bincount(u, share, size))
-    return LMPair(vocabulary, np.stack(word), np.stack(rest), keys, np.stack(pair))
-
-
-def score(docs: DataFrame, model: LMPair, keep, p: LMParams = LMParams()) -> DataFrame:
-    """The columns ``keep`` of docs, then n_tokens, target_loss, background_loss (bits a token), score and selected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    head = docs.select(*keep)
-    names = head.columns
-    own = [T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score")), T.StructField("selected", T.BooleanType())]
-    out = T.StructType([*head.schema.fields, *own])
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for text in b.column(len(names)).to_pylist():
-                n, a, c = shared.value.losses(text)
-                rows.append((n, a / n, c / n, (a - c) / n, (a - c) / n < p.threshold) if n else (0, None, None, None, False))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()), strict=True))], names=out.names)
-
-    return text_batches(docs).select(*keep, F.make_valid_utf8("text").alias(free("_text", names))).mapInArrow(run, out)
-
-
 _PACKED = "chunk long, lengths binary, targets binary, ids binary, hashes binary"
 
 
@@ -214,29 +63,32 @@ def _packed(kept: pa.Schema):
             with pa.ipc.new_stream(sink, rows.schema) as w:
                 w.write_table(rows)
             hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in words), np.uint64, len(words))
-            chunk = (TaskContext.get().partitionId() << 24) + seq
+            if seq >= 1 << _SEQ:
+                raise ValueError("a partition has too many tokens; read the documents in smaller parts")
+            chunk = (TaskContext.get().partitionId() << _SEQ) + seq
             body = (np.array(lengths, np.int32), np.array(targets, np.bool_), np.concatenate([np.zeros(0, np.int32), *ids]), hashes)
             cols = [pa.array([chunk], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in body), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names=["chunk", "lengths", "targets", "ids", "hashes", "head"])
 
-        for b in batches:
-            start = 0
-            for k, (is_target, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                if words is None:
-                    words = defaultdict()
-                    words.default_factory = words.__len__
-                    words[""]  # the start of a text is number 0
-                tokens = _TOKEN.findall((text or "").lower())
-                ids.append(np.fromiter(map(words.__getitem__, tokens), np.int32, len(tokens)))
-                lengths.append(len(tokens))
-                targets.append(is_target)
-                n += len(tokens)
-                if n >= _WHOLE:
-                    heads.append(pa.RecordBatch.from_arrays(b.columns[2:], schema=kept).slice(start, k + 1 - start))
-                    yield out()
-                    words, heads, lengths, targets, ids, n, seq, start = None, [], [], [], [], 0, seq + 1, k + 1
-            if start < b.num_rows:
-                heads.append(pa.RecordBatch.from_arrays(b.columns[2:], schema=kept).slice(start))
+        for batch in batches:
+            for b in slices(batch, 1):
+                start = 0
+                for k, (is_target, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                    if words is None:
+                        words = defaultdict()
+                        words.default_factory = words.__len__
+                        words[""]  # the start of a text is number 0
+                    tokens = _TOKEN.findall((text or "").lower())
+                    ids.append(np.fromiter(map(words.__getitem__, tokens), np.int32, len(tokens)))
+                    lengths.append(len(tokens))
+                    targets.append(is_target)
+                    n += len(tokens)
+                    if n >= _WHOLE:
+                        heads.append(pa.RecordBatch.from_arrays(b.columns[2:], schema=kept).slice(start, k + 1 - start))
+                        yield out()
+                        words, heads, lengths, targets, ids, n, seq, start = None, [], [], [], [], 0, seq + 1, k + 1
+                if start < b.num_rows:
+                    heads.append(pa.RecordBatch.from_arrays(b.columns[2:], schema=kept).slice(start))
         if lengths:
             yield out()
         give_back()
@@ -275,28 +127,40 @@ def _sliced(cols, names):
         yield pa.RecordBatch.from_arrays([pa.array(c[k : k + _SLICE]) for c in cols], names=names)
 
 
+def _places(chunk: int, n: int) -> np.ndarray:
+    return (chunk << _AT) + np.arange(n, dtype=np.int64)
+
+
 def _words_sent(batches):
+    """A row a word of a chunk: its place, its hash and its four counts."""
     for b in batches:
         for k in range(b.num_rows):
             lengths, targets, ids, hashes = _unpacked(b, k, ("lengths", "targets", "ids", "hashes"))
-            at = np.arange(len(hashes), dtype=np.int32)
-            yield from _sliced([np.full(len(at), b.column(0)[k].as_py()), at, hashes.view(np.int64), *_chunk_words(lengths, targets, ids, hashes)], ["chunk", "at", "u", "c", "c_target", "b", "b_target"])
+            yield from _sliced([_places(b.column(0)[k].as_py(), len(hashes)), hashes.view(np.int64), *_chunk_words(lengths, targets, ids, hashes)], ["place", "key", "c", "c_target", "b", "b_target"])
+
+
+def pair_hashes(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A hash of two words' hashes, in their order."""
+    x = u * np.uint64(0x9E3779B97F4A7C15) + (v ^ (v >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def _pairs_sent(batches):
+    """A row a pair of a chunk: its place, its hash, and both counts in one long."""
     for b in batches:
         for k in range(b.num_rows):
             lengths, targets, ids, hashes = _unpacked(b, k, ("lengths", "targets", "ids", "hashes"))
             keys, of = np.unique(_keys(lengths, ids, len(hashes)), return_inverse=True)
             n, n_target = _sums(of, len(keys), np.repeat(targets, lengths))
             del of
-            h = hashes.view(np.int64)
-            yield from _sliced([np.full(len(keys), b.column(0)[k].as_py()), np.arange(len(keys), dtype=np.int32), h[keys // len(h)], h[keys % len(h)], n, n_target], ["chunk", "at", "u", "v", "c", "c_target"])
+            yield from _sliced([_places(b.column(0)[k].as_py(), len(keys)), pair_hashes(hashes[keys // len(hashes)], hashes[keys % len(hashes)]).view(np.int64), (n << 32) + n_target], ["place", "key", "counts"])
     give_back()
 
 
-def _whole_rows(kept: pa.Schema, names, totals, size: int, p: LMParams):
-    """Rows (chunk, kind, at, counts, packed chunk), of each chunk the sums first (1 words, 2 pairs), then the chunk (3)."""
+def _scored(kept: pa.Schema, names, totals, size: int, p: LMParams):
+    """Rows (chunk, kind, place, counts, packed chunk), of each chunk the sums first (1 words, 2 pairs), then the chunk (3)."""
 
     def scored(b, k, sums):
         lengths, targets, ids, hashes = _unpacked(b, k, ("lengths", "targets", "ids", "hashes"))
@@ -305,8 +169,9 @@ def _whole_rows(kept: pa.Schema, names, totals, size: int, p: LMParams):
         pair = [*_sums(of, len(key), np.repeat(targets, lengths))]
         for kind, values in ((1, word), (2, pair)):
             for part in sums[kind]:
+                at = part[0] & ((1 << _AT) - 1)
                 for j, x in enumerate(values):
-                    x[part[0]] = part[j + 1]
+                    x[at] = part[j + 1]
         u, v = key // len(hashes), key % len(hashes)
         doc, out = np.repeat(np.arange(len(lengths)), lengths), []
         for j in (1, 0):
@@ -319,7 +184,7 @@ def _whole_rows(kept: pa.Schema, names, totals, size: int, p: LMParams):
         a, c = (x / np.maximum(n, 1) for x in out)
         s = (out[0] - out[1]) / np.maximum(n, 1)
         head = pa.ipc.open_stream(b.column(len(b.columns) - 1)[k].as_buffer()).read_all().combine_chunks()
-        cols = [*(head.column(i).combine_chunks() for i in range(len(kept))), pa.array(n), *(pa.array(x, mask=none) for x in (a, c, s)), pa.array(~none & (s < p.threshold))]
+        cols = [*(head.column(i).combine_chunks() for i in range(len(kept))), pa.array(s, mask=none), pa.array(n), *(pa.array(x, mask=none) for x in (a, c)), pa.array(~none & (s < p.threshold))]
         return pa.Table.from_arrays(cols, names=names)
 
     def run(batches):
@@ -340,41 +205,41 @@ def _whole_rows(kept: pa.Schema, names, totals, size: int, p: LMParams):
     return run
 
 
-def whole_scores(docs: DataFrame, labels: DataFrame, label: str, keep, p: LMParams = LMParams()) -> DataFrame:
-    """The columns of score() under models of every word and pair of docs; the shares of p are not used."""
+MADE = ("score", "n_tokens", "target_loss", "background_loss", "selected")
+
+
+def score(docs: DataFrame, labels: DataFrame, label: str, keep, p: LMParams = LMParams()) -> DataFrame:
+    """The columns ``keep`` of docs, then score, n_tokens, target_loss, background_loss (bits a token) and selected."""
     spark = docs.sparkSession
-    head = docs.select(*keep)
-    names = head.columns
     ids = labels.where(F.col(label) == 1).select(F.col("doc_id").alias("_of")).where("_of is not null").distinct().withColumn("_target", F.lit(True))
-    rows = text_batches(docs).join(sized(ids), docs["doc_id"] == F.col("_of"), "left").select(F.coalesce("_target", F.lit(False)).alias("_target"), F.make_valid_utf8("text").alias("_text"), *keep)
-    kept = pa.schema([pa.field(f"c{k}", x.type) for k, x in enumerate(head.limit(0).toArrow().schema)])
-    chunks = staged(rows.mapInArrow(_packed(kept), f"{_PACKED}, head binary"), "chunks")
+    kept = [c for c in docs.select(*keep).columns if c.lower() not in MADE]
+    names = [f"c{k}" for k in range(len(kept))]
+    rows = docs.select(F.col("doc_id").alias("_own"), F.make_valid_utf8("text").alias("_text"), F.struct(*keep).alias("_kept"))
+    rows = rows.join(sized(ids), F.col("_own") == F.col("_of"), "left").select(F.coalesce("_target", F.lit(False)).alias("target"), "_text", *(F.col("_kept")[c].alias(n) for c, n in zip(kept, names, strict=True)))
+    plain = rows.select(*names)
+    schema = pa.schema([pa.field(n, x.type) for n, x in zip(names, plain.limit(0).toArrow().schema, strict=True)])
+    chunks = staged(rows.mapInArrow(_packed(schema), f"{_PACKED}, head binary"), "chunks")
     body = chunks.drop("head")
-    words = staged(body.mapInArrow(_words_sent, "chunk long, at int, u long, c long, c_target long, b long, b_target long"), "words")
-    of_word = words.groupBy("u").agg(F.sum("c").alias("c"), F.sum("c_target").alias("t"))
-    size, n, n_target = (x or 0 for x in of_word.agg(F.count_if(F.col("c") > 0), F.sum("c"), F.sum("t")).first())
-    pairs = body.mapInArrow(_pairs_sent, "chunk long, at int, u long, v long, c long, c_target long")
-
-    def back(rows, by, kind, counts):
-        """Of the rows whose word or pair other chunks hold too the sums over all chunks."""
-        over = Window.partitionBy(*by)
-        seen = rows.withColumns({f"s_{c}": F.sum(c).over(over) for c in counts})
-        more = seen.where(" or ".join(f"s_{c} <> {c}" for c in counts))
-        sums = [F.col(f"s_{c}").alias(c) for c in counts] + [F.lit(0).cast("long").alias(c) for c in ("b", "b_target")[len(counts) // 4 * 2 :]]
-        return more.select("chunk", F.lit(kind).alias("kind"), "at", *sums)
-
-    sums = back(words, ["u"], 1, ["c", "c_target", "b", "b_target"]).unionByName(back(pairs, ["u", "v"], 2, ["c", "c_target"]))
+    words = staged(body.mapInArrow(_words_sent, "place long, key long, c long, c_target long, b long, b_target long"), "words")
+    size, n, n_target = words.groupBy("key").agg(F.sum("c").alias("c"), F.sum("c_target").alias("t")).agg(F.count_if(F.col("c") > 0), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    pairs = body.mapInArrow(_pairs_sent, "place long, key long, counts long")
+    over, none = Window.partitionBy("key"), F.lit(0).cast("long")
+    of_words = words.withColumns({f"s{k}": F.sum(c).over(over) for k, c in enumerate(("c", "c_target", "b", "b_target"))}).where("s0 <> c or s1 <> c_target or s2 <> b or s3 <> b_target")
+    of_words = of_words.select("place", F.lit(1).alias("kind"), "s0", "s1", "s2", "s3")
+    c, c_target = F.shiftright("counts", 32), F.col("counts").bitwiseAND((1 << 32) - 1)
+    of_pairs = pairs.withColumns({"s0": F.sum(c).over(over), "s1": F.sum(c_target).over(over)}).where((F.col("s0") != c) | (F.col("s1") != c_target))
+    of_pairs = of_pairs.select("place", F.lit(2).alias("kind"), "s0", "s1", none.alias("s2"), none.alias("s3"))
+    sums = of_words.unionByName(of_pairs).select(F.shiftright("place", _AT).alias("chunk"), "kind", "place", "s0", "s1", "s2", "s3")
     both = sums.unionByName(chunks.withColumn("kind", F.lit(3)), allowMissingColumns=True)
-    own = [T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score")), T.StructField("selected", T.BooleanType())]
-    out = T.StructType([*head.schema.fields, *own])
-    for f in out.fields:
-        f.nullable = True
-    run = _whole_rows(kept, out.names, (n, n_target), size + _FIRST, p)
+    kinds = (T.DoubleType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.BooleanType())
+    out = T.StructType([*(T.StructField(f.name, f.dataType) for f in plain.schema.fields), *(T.StructField(f"_{c}", t) for c, t in zip(MADE, kinds, strict=True))])
+    run = _scored(schema, out.names, (n, n_target), size + 2, p)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     most = spark.conf.get(key)
-    spark.conf.set(key, _SLICE)  # rows of numbers; a chunk is more than the limit in bytes and comes alone
+    spark.conf.set(key, _SLICE)  # for this write only: rows of numbers; a chunk is more than the limit in bytes and comes alone
     try:
-        cols = ["chunk", "kind", "at", "c", "c_target", "b", "b_target", "lengths", "targets", "ids", "hashes", "head"]
-        return staged(both.select(*cols).repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, out), "scores")
+        cols = ["chunk", "kind", "place", "s0", "s1", "s2", "s3", "lengths", "targets", "ids", "hashes", "head"]
+        made = staged(both.select(*cols).repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, out), "scores")
     finally:
         spark.conf.set(key, most)
+    return made.toDF(*kept, *MADE)
