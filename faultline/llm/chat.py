@@ -5,11 +5,13 @@ into every control string: its first character is followed by a backslash. Undoi
 backslash-plus-character by the character, so formatting is reversible whatever a text holds.
 
 Windows. A turn's tokens are estimated as its UTF-8 bytes / ``bytes_per_token`` + ``turn_tokens`` for its markers. With prefix sums P over
-a conversation's turns, turn i belongs to window floor(P(before i) / budget): windows are turn-aligned, and each holds
-the turns that begin in its share of the tokens, so at most budget tokens and its last turn. No turn is cut, and where a
-window begins depends on sums only. Each window after the first begins with the conversation's system turn (if
-its first turn is one) and with up to two turns before it whose tokens fit ``history``; these repeats are never
-loss targets. The loss mask holds the escaped text of each assistant turn in the window that owns it, as
+a conversation's turns, its tokens are cut into shares of ``budget`` less its system turn and the history. The turns that lie within a share
+are a window. A turn across the end of a share belongs to that window if all of it still fits, which it does if it reaches no further over the
+end than the turn before the window reached over the beginning; else it is a window of its own. So no turn is cut, and where a window
+begins depends on sums only. Each window after the first begins with the conversation's system turn (if
+its first turn is one) and with as many turns before it as fit into ``history``; these repeats are never
+loss targets. So no window holds more than the budget, but for a single turn that is too long by itself (or a system turn that leaves
+less than a quarter of the budget), which ``over_budget`` marks. The loss mask holds the escaped text of each assistant turn in the window that owns it, as
 [start, length] in code points.
 
 A conversation's turns are ordered by a window function that spills, and are gathered by window, so what a row holds is
@@ -51,32 +53,38 @@ def unescape(text):
 
 
 def windows(conversations: DataFrame, p: ChatParams = ChatParams()) -> DataFrame:
-    """conv_id, window, n_repeated, formatted, loss_mask (array of struct start, length): one row a window."""
+    """conv_id, window, n_repeated, formatted, loss_mask (array of struct start, length), n_tokens and over_budget: one row a window."""
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = turns.withColumn("tokens", F.ceil(F.octet_length("text") / p.bytes_per_token) + p.turn_tokens)
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    turns = turns.select("*", F.row_number().over(order).alias("pos"), (F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")).alias("before"), F.first(F.when(F.col("role") == "system", F.col("text"))).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("system"))
-    turns = turns.withColumn("window", F.floor(F.col("before") / p.budget))
-    lead = lambda c, k: F.lead(c, k).over(order)
-    turns = turns.select("*", lead("window", 1).alias("w1"), lead("before", 1).alias("b1"), lead("window", 2).alias("w2"), lead("before", 2).alias("b2"), F.lag("window", 1).over(order).alias("w0"))
-    # a turn is history of the next window if that begins one or two turns later and what lies between fits
-    is_system = (F.col("pos") == 1) & (F.col("role") == "system")
-    fits = lambda b: (F.col(b) - F.col("before") <= p.history) & ~is_system
-    own = F.struct("window", F.lit(True).alias("own"), "role", "text", "pos")
-    past = lambda w: F.struct(F.col(w).alias("window"), F.lit(False).alias("own"), "role", "text", "pos")
-    head = F.struct("window", F.lit(False).alias("own"), F.lit("system").alias("role"), F.col("system").alias("text"), F.lit(0).alias("pos"))
-    next_one = F.when((F.col("w1") != F.col("window")) & fits("b1"), F.array(past("w1")))
-    next_two = F.when((F.col("w2") != F.col("w1")) & fits("b2"), F.array(past("w2")))
-    first = F.when((F.col("w0") != F.col("window")) & F.col("system").isNotNull(), F.array(head))
-    none = F.expr("cast(array() as array<struct<window:bigint,own:boolean,role:string,text:string,pos:int>>)")
-    rows = turns.select("conv_id", F.explode(F.concat(F.array(own), F.coalesce(next_one, none), F.coalesce(next_two, none), F.coalesce(first, none))).alias("t")).select("conv_id", "t.*")
-    rows = rows.select("conv_id", "window", "own", "pos", "role", F.concat(F.lit("<|turn:"), escape("role"), F.lit("|>\n")).alias("head"), escape("text").alias("body"))
-    rows = rows.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("pos", "own", "role", "head", "body"))).alias("turns"))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    turns = turns.select("*", F.row_number().over(order).alias("pos"), (F.sum("tokens").over(so_far) - F.col("tokens")).alias("before"), F.first(F.when(F.col("role") == "system", F.struct("text", "tokens"))).over(so_far).alias("system"))
+    share = F.greatest(F.lit(max(1, p.budget // 4)), p.budget - p.history - F.coalesce(F.col("system.tokens"), F.lit(0)))
+    turns = turns.withColumns({"size": share, "share": F.floor(F.col("before") / share)})
+    over = F.col("before") + F.col("tokens") - (F.col("share") + 1) * F.col("size")  # beyond the end of its share, if positive
+    # what the turn before the share's first one takes of it: the share's first turn begins that far in
+    taken = F.min("before").over(Window.partitionBy("conv_id", "share")) - F.col("share") * F.col("size")
+    alone = (over > 0) & (over > taken)
+    turns = turns.withColumn("window", 2 * F.col("share") + F.when(alone, 1).otherwise(0))
+    begins = F.coalesce(F.lag("window", 1).over(order) != F.col("window"), F.lit(False))
+    turns = turns.withColumn("begins", begins)
+    # a turn is history of each later window whose beginning is no further from the turn's own beginning than history allows
+    ahead = Window.partitionBy("conv_id").orderBy("before").rangeBetween(1, p.history)
+    later = F.collect_list(F.when(F.col("begins"), F.col("window"))).over(ahead)
+    turns = turns.withColumn("later", F.when((F.col("pos") == 1) & (F.col("role") == "system"), F.array().cast("array<bigint>")).otherwise(later))
+    own = F.struct("window", F.lit(True).alias("own"), "role", "text", "pos", "tokens")
+    past = F.transform("later", lambda w: F.struct(w.alias("window"), F.lit(False).alias("own"), F.col("role").alias("role"), F.col("text").alias("text"), F.col("pos").alias("pos"), F.col("tokens").alias("tokens")))
+    head = F.struct("window", F.lit(False).alias("own"), F.lit("system").alias("role"), F.col("system.text").alias("text"), F.lit(0).alias("pos"), F.col("system.tokens").alias("tokens"))
+    first = F.when(F.col("begins") & F.col("system").isNotNull(), F.array(head))
+    none = F.expr("cast(array() as array<struct<window:bigint,own:boolean,role:string,text:string,pos:int,tokens:bigint>>)")
+    rows = turns.select("conv_id", F.explode(F.concat(F.array(own), past, F.coalesce(first, none))).alias("t")).select("conv_id", "t.*")
+    rows = rows.select("conv_id", "window", "own", "pos", "tokens", "role", F.concat(F.lit("<|turn:"), escape("role"), F.lit("|>\n")).alias("head"), escape("text").alias("body"))
+    rows = rows.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("pos", "own", "role", "head", "body"))).alias("turns"), F.sum("tokens").alias("n_tokens"))
     mask = F.expr("""aggregate(turns, struct(0 as at, cast(array() as array<struct<start:int,length:int>>) as mask), (a, t) -> struct(
         a.at + length(t.head) + length(t.body) + 8 as at,
         case when t.own and t.role = 'assistant' then concat(a.mask, array(struct(a.at + length(t.head) as start, length(t.body) as length))) else a.mask end as mask), a -> a.mask)""")
     text = F.concat_ws("", F.transform("turns", lambda t: F.concat(t.head, t.body, F.lit("<|end|>\n"))))
-    return rows.select("conv_id", "window", F.size(F.filter("turns", lambda t: ~t.own)).alias("n_repeated"), text.alias("formatted"), mask.alias("loss_mask"))
+    return rows.select("conv_id", "window", F.size(F.filter("turns", lambda t: ~t.own)).alias("n_repeated"), text.alias("formatted"), mask.alias("loss_mask"), "n_tokens", (F.col("n_tokens") > p.budget).alias("over_budget"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -71,17 +71,19 @@ o AS (
   SELECT *, row_number() OVER w AS pos, CAST(ceil(strlen(text) / {p.bytes_per_token}.0) AS BIGINT) + {p.turn_tokens} AS tokens,
     length({_escaped('role')}) + 10 + length({_escaped('text')}) + 8 AS chars
   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-b AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) - tokens AS before FROM o),
-w AS (SELECT *, CAST(floor(before / {p.budget}) AS BIGINT) AS win FROM b),
-l AS (
-  SELECT *, lead(win, 1) OVER c AS w1, lead(before, 1) OVER c AS b1, lead(win, 2) OVER c AS w2, lead(before, 2) OVER c AS b2, lag(win, 1) OVER c AS w0,
-    first_value(CASE WHEN role = 'system' THEN chars END) OVER c AS system_chars
-  FROM w WINDOW c AS (PARTITION BY conv_id ORDER BY pos)),
+b AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) - tokens AS before,
+    first_value(CASE WHEN role = 'system' THEN chars END) OVER (PARTITION BY conv_id ORDER BY pos) AS system_chars,
+    first_value(CASE WHEN role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) AS system_tokens
+  FROM o),
+s AS (SELECT *, greatest({max(1, p.budget // 4)}, {p.budget - p.history} - system_tokens) AS size FROM b),
+h AS (SELECT *, CAST(floor(before / size) AS BIGINT) AS share FROM s),
+e AS (SELECT *, before + tokens - (share + 1) * size AS over, min(before) OVER (PARTITION BY conv_id, share) - share * size AS taken FROM h),
+w AS (SELECT *, 2 * share + CASE WHEN over > 0 AND over > taken THEN 1 ELSE 0 END AS win FROM e),
+g AS (SELECT *, coalesce(lag(win) OVER (PARTITION BY conv_id ORDER BY pos) <> win, false) AS begins FROM w),
+l AS (SELECT *, count(*) FILTER (WHERE begins) OVER (PARTITION BY conv_id ORDER BY before RANGE BETWEEN 1 FOLLOWING AND {p.history} FOLLOWING) AS later FROM g),
 n AS (
-  SELECT *, chars
-    + CASE WHEN w1 <> win AND b1 - before <= {p.history} AND NOT (pos = 1 AND role = 'system') THEN chars ELSE 0 END
-    + CASE WHEN w2 <> w1 AND b2 - before <= {p.history} AND NOT (pos = 1 AND role = 'system') THEN chars ELSE 0 END
-    + CASE WHEN w0 <> win AND system_chars IS NOT NULL THEN system_chars ELSE 0 END AS written FROM l)
+  SELECT *, chars * (1 + CASE WHEN pos = 1 AND role = 'system' THEN 0 ELSE later END) + CASE WHEN begins THEN coalesce(system_chars, 0) ELSE 0 END AS written FROM l)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(written) AS BIGINT) AS formatted_chars
