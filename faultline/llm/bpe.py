@@ -13,7 +13,7 @@ Texts are split as the tokenizer file says: special tokens first, then its patte
 pass over whole texts without a shuffle; ids are decoded to bytes, and bytes that are no UTF-8 become U+FFFD.
 
 Defined results: a null text is encoded as an empty one: no tokens. A text that is no valid UTF-8 is made valid first,
-each bad sequence becoming U+FFFD. Repeated rows give repeated results.
+each bad sequence becoming U+FFFD. Repeated rows give repeated results. Kept columns named like a result are left out.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free, give_back, text_batches
+from .shared import free, give_back, slices
 
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -92,7 +92,7 @@ class Merges:
                 up = back[up]
             back[to] = step.get(up << 8 | byte, 0) if at else 0
             ends[to] = ((token[to], depth[to]), *ends[back[to]]) if token[to] >= 0 else ends[back[to]]
-        self.step, self.back, self.ends = step, back, ends
+        self.step, self.back, self.ends, self.size = step, back, ends, len(step)
 
     def apart(self, a: int, b: int) -> bool:
         """Does BPE leave token a followed by token b as they are?
@@ -123,7 +123,7 @@ class Merges:
         """Ids, as little-endian unsigned 32-bit integers, of distinct non-empty words."""
         out: dict[bytes, bytes] = {}
         step, back, ends, apart = self.step, self.back, self.ends, self._apart
-        if len(step) > 400_000:
+        if len(step) > self.size + 400_000:
             self._index()
             step, back, ends = self.step, self.back, self.ends
         if len(apart) > 400_000:
@@ -147,7 +147,7 @@ class Merges:
                 for t, k in ends[at]:
                     if k == end:
                         break
-                    pair = last[end - k] << 20 | t
+                    pair = last[end - k] << 32 | t
                     ok = apart.get(pair)
                     if ok is None:
                         ok = apart[pair] = self.apart(last[end - k], t)
@@ -250,13 +250,15 @@ def encode(docs: DataFrame, path: str, keep, with_ids: bool = False, text: str =
     """
     spec = docs.sparkSession.sparkContext.broadcast(load_spec(path))
     head = docs.select(*keep)
-    names = head.columns
+    kept = [c for c in head.columns if c.lower() not in ("n_tokens", "ids_sha256", "decoded_sha256", "ids")]
+    plain = free("_text", head.columns)
+    docs = docs.select(*keep, F.make_valid_utf8(text).alias(plain)).select(*kept, plain)
+    head, names = docs.drop(plain), kept
 
     def run(batches):
         codec = _codec(spec.value)
         for b in batches:
-            for k in range(0, b.num_rows, 1_000):
-                own = b.slice(k, 1_000)
+            for own in slices(b, len(names)):
                 n, a, d, every = [], [], [], []
                 for ids in codec.encode_batch(own.column(len(names)).to_pylist()):
                     n.append(len(ids) // 4)
@@ -270,7 +272,7 @@ def encode(docs: DataFrame, path: str, keep, with_ids: bool = False, text: str =
 
     own = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     out = T.StructType([*head.schema.fields, *own] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
-    return text_batches(docs).select(*keep, F.make_valid_utf8(text).alias(free("_text", names))).mapInArrow(run, out)
+    return docs.mapInArrow(run, out)
 
 
 def decode(rows: DataFrame, path: str, keep, ids: str = "ids") -> DataFrame:

@@ -53,7 +53,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.whole_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "quality", ["doc_id"])
+    return lm_score.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "quality", ["doc_id"])
 
 
 def op9_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:

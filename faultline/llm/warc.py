@@ -3,11 +3,14 @@
 Method. Every page becomes one record, a gzip member of its own, in archive files of at most about ``roll_bytes``. The index
 is written with it: archive, offset, length, URL and digest of each record. Reading begins with the index: the
 records wanted are picked there, sorted by archive and offset, neighbouring ranges (gaps up to ``gap``) are coalesced
-into reads of at most ``read_bytes``, and each record is cut out of its read, inflated and checked against its digest.
+into reads of at most ``read_bytes``, and each record is cut out of its read, inflated and checked against its digest. The rows picked are
+dealt by range of archive and offset and sorted, so whatever their order was, a task reads on in few files; it holds at
+most ``read_bytes`` of payloads (one record at least).
 
 Of records with equal payloads (same SHA-1 and length) of at least ``dedup_bytes`` bytes, the one with the smallest
-page id is a response and holds the payload; the others are revisits that name it. The table of payloads that occur more
-than once is broadcast up to a checked number of rows and joined by a shuffle beyond it.
+page id is a response and holds the payload; the others are revisits that name it, by its URL (WARC-Refers-To-Target-URI and -Date), which other
+readers follow, and by its page id. Each archive begins with a warcinfo record, which no index row names. The table of payloads that occur more
+than once is broadcast up to a checked size and joined by a shuffle beyond it.
 
 A writer that is retried leaves a file that no index names; nothing reads it. Archives go where ``folder`` says, through
 Arrow's file systems (file, hdfs, s3, gs), so all executors must reach it; archives and index are plain files.
@@ -23,37 +26,32 @@ import base64
 import hashlib
 import uuid
 import zlib
+from datetime import UTC, datetime
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_folder, sized, staged
+from .shared import new_folder, sized, staged, store
 
 _INDEX = "page_id long, url string, archive string, offset long, length long, payload_digest string, payload_bytes long, record_type string, refers_to long"
 
 
-def _store(folder: str) -> tuple[arrow_fs.FileSystem, str]:
-    store, path = arrow_fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
-    return store, path
-
-
 def _header_url(url: str | None, page_id: int | None) -> str:
     if url is None:
         return f"urn:page:{'' if page_id is None else page_id}"
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
 
-def _record(page_id, url, kind, refers_to, digest, size, payload: bytes) -> bytes:
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {_header_url(url, page_id)}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}", "Content-Type: text/html"]
-    if page_id is not None:
-        head.append(f"X-Page-ID: {page_id}")
-    if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] + [f"X-Refers-To-Page: {refers_to}"] * (refers_to is not None)
-    body = payload if kind == "response" else b""
-    return "\r\n".join([*head, f"Content-Length: {len(body)}", "", ""]).encode("utf-8", "surrogateescape") + body + b"\r\n\r\n"
+def _record(kind: str, headers: list[tuple[str, object]], body: bytes) -> bytes:
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", *(f"{k}: {v}" for k, v in headers if v is not None), f"Content-Length: {len(body)}"]
+    return "\r\n".join([*head, "", ""]).encode("utf-8", "surrogateescape") + body + b"\r\n\r\n"
+
+
+def _member(record: bytes, level: int) -> bytes:
+    deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return deflate.compress(record) + deflate.flush()
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -69,27 +67,32 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:size]
 
 
-def _writer(folder: str, roll_bytes: int, level: int):
+def _writer(folder: str, roll_bytes: int, level: int, date: str):
     def run(batches):
-        store, top = _store(folder)
+        files, top = store(folder)
         out, name, at = None, "", 0
         try:
             for b in batches:
-                ids, urls, html, first = (b.column(k) for k in range(4))
+                ids, urls, html, first, first_url = (b.column(k) for k in range(5))
                 rows = []
                 for i in range(b.num_rows):
                     page_id, url, payload, least = ids[i].as_py(), urls[i].as_py(), html[i].as_py() or b"", first[i].as_py()
-                    kind = "revisit" if least is not None and page_id != least else "response"
+                    again = least is not None and page_id != least
                     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                    deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
-                    member = deflate.compress(_record(page_id, url, kind, least, digest, len(payload), payload)) + deflate.flush()
+                    headers = [("WARC-Date", date), ("WARC-Target-URI", _header_url(url, page_id)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", len(payload)), ("Content-Type", "text/html"), ("X-Page-ID", page_id)]
+                    if again:
+                        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", _header_url(first_url[i].as_py(), least)), ("WARC-Refers-To-Date", date), ("X-Refers-To-Page", least)]
+                    member = _member(_record("revisit" if again else "response", headers, b"" if again else payload), level)
                     if out is None or at + len(member) > roll_bytes and at:
                         if out is not None:
                             out.close()
-                        name, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                        out = store.open_output_stream(f"{top}/{name}", compression=None)
+                        name = f"{uuid.uuid4().hex}.warc.gz"
+                        out = files.open_output_stream(f"{top}/{name}", compression=None)
+                        info = _member(_record("warcinfo", [("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"), level)
+                        out.write(info)
+                        at = len(info)
                     out.write(member)
-                    rows.append((page_id, url, name, at, len(member), digest, len(payload), kind, least if kind == "revisit" else None))
+                    rows.append((page_id, url, name, at, len(member), digest, len(payload), "revisit" if again else "response", least if again else None))
                     at += len(member)
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
@@ -101,68 +104,74 @@ def _writer(folder: str, roll_bytes: int, level: int):
     return run
 
 
-def write(pages: DataFrame, folder: str, dedup_bytes: int = 0, roll_bytes: int = 32 << 20, level: int = 4) -> DataFrame:
-    """Writes the archives of pages (page_id, url, html) below folder/archives and returns the index, written below folder/index."""
+def write(pages: DataFrame, folder: str, dedup_bytes: int = 0, roll_bytes: int = 32 << 20, level: int = 4, date: str | None = None) -> DataFrame:
+    """Writes the archives of pages (page_id, url, html) below folder/archives and returns the index, written below folder/index.
+
+    date: when the pages were fetched, as 2000-01-31T00:00:00Z; by default now.
+    """
     spark = pages.sparkSession
-    store, top = _store(folder)
-    store.create_dir(f"{top}/archives", recursive=True)
+    files, top = store(folder)
+    files.create_dir(f"{top}/archives", recursive=True)
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    digests = pages.select("page_id", F.sha1(html).alias("_sha1"), F.octet_length(html).alias("_size"))
-    again = digests.where(F.col("_size") >= dedup_bytes).groupBy("_sha1", "_size").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    again = sized(staged(again, "repeated-payloads"), 200_000)
+    digests = pages.select("page_id", "url", F.sha1(html).alias("_sha1"), F.octet_length(html).alias("_size"))
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    again = digests.where(F.col("_size") >= dedup_bytes).groupBy("_sha1", "_size").agg(F.min(named).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    again = sized(staged(again.select("_sha1", "_size", F.col("_first.page_id").alias("_first"), F.col("_first.url").alias("_first_url")), "repeated-payloads"), 200_000)
     rows = pages.select("page_id", "url", html.alias("_html"), F.sha1(html).alias("_sha1"), F.octet_length(html).alias("_size"))
-    rows = rows.join(again, ["_sha1", "_size"], "left").select("page_id", "url", "_html", "_first")
-    rows.mapInArrow(_writer(f"{folder}/archives", roll_bytes, level), _INDEX).write.parquet(f"{folder}/index")
-    return spark.read.parquet(f"{folder}/index")
+    rows = rows.join(again, ["_sha1", "_size"], "left").select("page_id", "url", "_html", "_first", "_first_url")
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    rows.mapInArrow(_writer(f"{folder}/archives", roll_bytes, level, date), _INDEX).write.parquet(f"{folder}/index")
+    return spark.read.schema(_INDEX).parquet(f"{folder}/index")
 
 
 def _reader(folder: str, gap: int, read_bytes: int):
+    """Rows (archive, offset, length, payload bytes), sorted, become records."""
+
+    def read(source, archive: str, rows: list[tuple[int, int]]):
+        """The records of one read: neighbouring rows (offset, length) of an archive."""
+        lo, out = rows[0][0], []
+        block = memoryview(source.read_at(max(o + n for o, n in rows) - lo, lo))
+        for offset, length in rows:
+            headers, payload = parse_record(zlib.decompress(block[offset - lo : offset - lo + length], 31))
+            digest, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
+            if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+                raise ValueError(f"{archive} at {offset}: the payload does not have its digest")
+            number = lambda h: int(headers[h]) if h in headers else None  # noqa: E731, B023
+            out.append((number("x-page-id"), number("x-payload-length") if kind == "revisit" else len(payload), digest, kind, number("x-refers-to-page"), headers["warc-target-uri"], payload))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "payload"])
+
     def run(batches):
-        store, top = _store(folder)
+        files, top = store(folder)
+        opened, source, rows, size = None, None, [], 0
         for b in batches:
-            archive = np.array(b.column(0).to_pylist(), object)
-            offset, length = (b.column(k).to_numpy() for k in (1, 2))
-            order = np.lexsort((offset, archive.astype(str)))
-            out, k, opened, source = [], 0, None, None
-            while k < len(order):
-                name, lo = archive[order[k]], offset[order[k]]
-                hi, last = lo + length[order[k]], k + 1
-                while last < len(order) and archive[order[last]] == name and offset[order[last]] - hi <= gap and offset[order[last]] + length[order[last]] - lo <= read_bytes:
-                    hi = max(hi, offset[order[last]] + length[order[last]])
-                    last += 1
-                if opened != name:
+            for archive, offset, length, payload in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if rows and (archive != opened or offset - sum(rows[-1]) > gap or size + max(length, payload) > read_bytes):
+                    yield read(source, opened, rows)
+                    rows, size = [], 0
+                if archive != opened:
                     if source is not None:
                         source.close()
-                    opened, source = name, store.open_input_file(f"{top}/{name}")
-                block = memoryview(source.read_at(int(hi - lo), int(lo)))
-                for i in order[k:last]:
-                    at = int(offset[i] - lo)
-                    headers, payload = parse_record(zlib.decompress(block[at : at + int(length[i])], 31))
-                    digest, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
-                    if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                        raise ValueError(f"{name} at {offset[i]}: the payload does not have its digest")
-                    number = lambda h: int(headers[h]) if h in headers else None  # noqa: E731, B023
-                    out.append((number("x-page-id"), number("x-payload-length") if kind == "revisit" else len(payload), digest, kind, number("x-refers-to-page"), headers["warc-target-uri"], payload))
-                k = last
-            if source is not None:
-                source.close()
-            cols = list(zip(*out, strict=True)) if out else [[]] * 7
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "payload"])
-
-    def small(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                yield from run([b.slice(k, 1024)])
+                    opened, source = archive, files.open_input_file(f"{top}/{archive}")
+                rows.append((offset, length))
+                size += max(length, payload)
+        if rows:
+            yield read(source, opened, rows)
+        if source is not None:
+            source.close()
 
-    return small
+    return run
 
 
 def read(index: DataFrame, folder: str, gap: int = 64 << 10, read_bytes: int = 8 << 20) -> DataFrame:
     """The records that index (or rows picked from it) names: page_id, payload_bytes, payload_digest, record_type,
     refers_to, target_uri and payload (empty for revisits; their length is that of the full payload)."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, payload binary"
-    return index.select("archive", "offset", "length").mapInArrow(_reader(f"{folder}/archives", gap, read_bytes), schema)
+    held = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0)
+    picked = index.select("archive", "offset", "length", held.alias("held"))
+    parts = max(1, (picked.agg(F.sum("length")).first()[0] or 0) // (4 * read_bytes))
+    ordered = picked.repartitionByRange(int(max(parts, index.sparkSession.sparkContext.defaultParallelism)), "archive", "offset").sortWithinPartitions("archive", "offset")
+    return ordered.mapInArrow(_reader(f"{folder}/archives", gap, read_bytes), schema)
 
 
 def round_trip(pages: DataFrame, dedup_bytes: int = 0) -> DataFrame:
