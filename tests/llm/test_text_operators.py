@@ -51,22 +51,41 @@ def test_vocabulary_must_need_several_soft_terms():
 # --- toxicity
 
 
-def test_pairs_of_terms_are_learned():
-    """Label 1 only if both terms are there: no sum of weights can do it at this margin alone."""
+def _texts_of_pairs(label, n):
+    """Texts of 20 words, in half of them "insult" and in half "group"; label says what follows from the two."""
     rng = random.Random(3)
-    p = toxicity.FMParams(epochs=150, min_z=1.0)
-    texts, y = [], []
-    for _ in range(1500):
+    stock = [f"w{chr(97 + k // 676)}{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}" for k in range(3000)]
+    out = []
+    for _ in range(n):
         a, b = rng.random() < 0.5, rng.random() < 0.5
-        texts.append(" ".join(["insult"] * a + ["group"] * b + [rng.choice("klmnop") * 3]))
-        y.append(float(a and b))
-    rows = [np.unique([toxicity.slot(t, p.bits) for t in toxicity.terms(s)]) for s in texts]
-    m = toxicity.fit(rows, np.array(y), p)
+        out.append((" ".join([rng.choice(stock) for _ in range(20)] + ["insult"] * a + ["group"] * b), float(label(a, b))))
+    return out
+
+
+@pytest.mark.parametrize("label", [lambda a, b: a and b, lambda a, b: a == b])
+def test_pairs_of_terms_are_learned(label):
+    """With production parameters, also where the label depends on the pair alone and neither term tells anything."""
+    p, texts = toxicity.FMParams(), _texts_of_pairs(label, 8000)
+    rows = [np.unique([toxicity.slot(t, p.bits) for t in toxicity.terms(s)]) for s, _ in texts]
+    y = np.array([v for _, v in texts])
+    m = toxicity.fit(rows[:6000], y[:6000], p)
+    at = {int(s): i for i, s in enumerate(m.slots)}
+    known = [np.array([at[s] for s in r if s in at], int) for r in rows[6000:]]
+    assert ((m.scores(known) >= 0.5) == y[6000:]).mean() > 0.98
+
+
+def test_scores_are_the_sum_over_pairs(spark):
+    """f(x) by its double sum over pairs of slots, for every text, against the operator's column."""
+    texts = [t for t, _ in _texts_of_pairs(lambda a, b: a and b, 400)] + ["", None, "insult group " * 50_000]
+    p = toxicity.FMParams()
+    rows = [np.unique([toxicity.slot(t, p.bits) for t in toxicity.terms(s)]) for s in texts[:400]]
+    m = toxicity.fit(rows, np.array([float("insult" in t and "group" in t) for t in texts[:400]]), p)
     at = {int(s): i for i, s in enumerate(m.slots)}
-    known = [np.array([at[s] for s in r if s in at], int) for r in rows]
-    assert (np.abs(m.scores(known) - y) < 0.3).mean() > 0.98
-    pair = (m.v[at[toxicity.slot("insult", p.bits)]] * m.v[at[toxicity.slot("group", p.bits)]]).sum()
-    assert pair > 1
+    got = {r.doc_id: r.score for r in toxicity.score(docs(spark, texts), m, ["doc_id"]).collect()}
+    for k, t in enumerate(texts):
+        own = sorted({at[s] for w in toxicity.terms(t) if (s := toxicity.slot(w, p.bits)) in at})
+        f = m.w0 + sum(m.w[i] for i in own) + sum(float(m.v[i] @ m.v[j]) for i in own for j in own if i < j)
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-f)), abs=1e-9)
 
 
 def test_toxicity_on_odd_rows(spark):
@@ -103,6 +122,60 @@ def test_languages_on_odd_rows(spark):
     assert {r.lang_pred for r in language_id.identify(d, none, ["doc_id"]).collect()} == {"und"}
 
 
+def test_languages_by_plain_tf_idf():
+    """Counts, TF-IDF, cosine and rejection worked out plainly, for texts longer than a part of them that is counted at a time."""
+    rng = random.Random(9)
+    stock = {"en": "the cat and dog is with house water of this".split(), "de": "der hund und die katze ist mit haus wasser dies".split()}
+    train = {k: [" ".join(rng.choice(v) for _ in range(40)) for _ in range(12)] for k, v in stock.items()}
+    p = language_id.LangParams(dims=1 << 10)
+    count = lambda t: language_id.gram_counts(language_id.letters(t), p.dims)
+    m = language_id.fit({k: [language_id.sparse(count(t)) for t in v] for k, v in train.items()}, p)
+    texts = ["The cat, the dog!", "katze mit hund", "zzz qqq xxx", "the house " * 30, "ÄÖ haus", "x", train["en"][0]]
+
+    def plain_counts(t):
+        own = " " + language_id.letters(t) + " "
+        out = [0] * p.dims
+        mul = lambda x, y: x * y & 0xFFFFFFFF
+        for k in range(len(own)):
+            h = mul(ord(own[k]), 0x9E3779B1)
+            out[h >> 22] += 1
+            if k + 1 < len(own):
+                h = mul(h ^ mul(ord(own[k + 1]), 0x85EBCA6B), 0xC2B2AE35)
+                out[h >> 22] += 1
+            if k + 2 < len(own):
+                out[mul(h ^ mul(ord(own[k + 2]), 0x27D4EB2F), 0x165667B1) >> 22] += 1
+        return out
+
+    n, seen = 24, [0] * p.dims
+    for v in train.values():
+        for t in v:
+            seen = [a + (b > 0) for a, b in zip(seen, plain_counts(t))]
+    lang, score, bad = language_id.predict(texts, m)
+    for k, t in enumerate(texts):
+        c = plain_counts(t)
+        x = [(1 + math.log(v)) * (math.log((1 + n) / (1 + s)) + 1) if v else 0.0 for v, s in zip(c, seen)]
+        norm = math.sqrt(sum(v * v for v in x))
+        cosine = [sum(a * float(b) for a, b in zip(x, row)) / norm for row in m.matrix]
+        best = max(range(len(cosine)), key=lambda j: cosine[j])
+        assert lang[k] == m.langs[m.owner[best]] and score[k] == pytest.approx(max(0, cosine[best]), abs=1e-5)
+        limit = np.interp(math.log2(max(1, sum(c) / 3)), range(language_id._POWERS), m.limits[m.owner[best]])
+        assert bad[k] == (1 - cosine[best] > limit)
+    assert bad[2] and not bad[6]
+
+
+@pytest.mark.parametrize("part", [3, 4, 7, 64])
+def test_grams_across_the_parts_of_a_long_text(monkeypatch, part):
+    whole = language_id.gram_counts(language_id.letters("Hier, ist ein Text!  mit Wörtern"), 1 << 13)
+    monkeypatch.setattr(language_id, "_CHUNK", part)
+    assert (language_id.gram_counts(language_id.letters("Hier, ist ein Text!  mit Wörtern"), 1 << 13) == whole).all()
+
+
+def test_equal_cosines_go_to_the_first_language():
+    c = language_id.sparse(language_id.gram_counts("same text", 1 << 13))
+    m = language_id.fit({"b": [c], "a": [c]}, language_id.LangParams())
+    assert language_id.predict(["same text"], m)[0] == ["a"]
+
+
 def test_languages_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op3_language_id(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null"), "doc_id").toPandas()
@@ -114,19 +187,8 @@ def test_languages_on_held_out_rows(spark):
 
 def _plain_scores(texts, targets, p):
     tok = [lm_score._TOKEN.findall((t or "").lower()) for t in texts]
-    total = sum(map(len, tok))
-    count = {}
-    for t in tok:
-        for w in t:
-            count[w] = count.get(w, 0) + 1
-    kept = {w for w, n in count.items() if n >= p.word_share * total}
-    seq = [["<s>", *(w if w in kept else "<u>" for w in t)] for t in tok]
-    pairs = {}
-    for s in seq:
-        for uv in zip(s, s[1:]):
-            pairs[uv] = pairs.get(uv, 0) + 1
-    size, out = len(kept) + 2, []
-    keep = {uv for uv, n in pairs.items() if n >= p.pair_share * total}
+    seq = [["<s>", *t] for t in tok]
+    size, out = len({w for t in tok for w in t}) + 2, []
     models = []
     for own in ([s for s, k in zip(seq, targets) if k], seq):
         c, b, u = {}, {}, {}
@@ -135,70 +197,43 @@ def _plain_scores(texts, targets, p):
                 c[y] = c.get(y, 0) + 1
                 u[x] = u.get(x, 0) + 1
                 b[x, y] = b.get((x, y), 0) + 1
-        whole = sum(c.values())
-        models.append((c, b, u, whole))
+        models.append((c, b, u, sum(c.values())))
     for s in seq:
         losses = []
         for c, b, u, whole in models:
             total_loss = 0.0
             for x, y in zip(s, s[1:]):
                 p1 = (c.get(y, 0) + 0.5) / (whole + size / 2)
-                k = sum(n for (a, z), n in b.items() if a == x and (a, z) in keep) / u[x] if x in u else 0
-                pair = b.get((x, y), 0) / u[x] if x in u and (x, y) in keep else 0
-                total_loss -= math.log2(p.weight * pair + (1 - p.weight * k) * p1)
+                total_loss -= math.log2(p.weight * b.get((x, y), 0) / u[x] + (1 - p.weight) * p1 if x in u else p1)
             losses.append(total_loss)
         n = len(s) - 1
         out.append((n, losses[0] / n, losses[1] / n) if n else (0, None, None))
     return out
 
 
-def test_lm_scores_equal_a_plain_version(spark):
-    rng = random.Random(5)
-    texts = [" ".join(rng.choice(["the", "a", "cat", "dog", "runs", "x!", "Rare%d" % rng.randint(0, 40)]) for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, "", "the the the"]
-    p = lm_score.LMParams(word_share=0.01, pair_share=0.004)
-    d = docs(spark, texts)
-    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 63, 2)] + [(0, 0), (None, 1)], "doc_id long, quality int")
-    m = lm_score.train(d, labels, "quality", p)
-    got = {r.doc_id: r for r in lm_score.score(d, m, ["doc_id"], p).collect()}
-    for i, (n, a, b) in enumerate(_plain_scores(texts, [i % 6 == 0 for i in range(63)], p)):
-        assert got[i].n_tokens == n
-        assert (got[i].target_loss is None) == (a is None)
-        if n:
-            assert got[i].target_loss == pytest.approx(a) and got[i].background_loss == pytest.approx(b) and got[i].score == pytest.approx(a - b)
-    assert m.word.sum(axis=1) == pytest.approx([1, 1], abs=0.02)
-
-
-def test_lm_without_rows_or_targets(spark):
-    d = docs(spark, ["a b", None])
-    none = spark.createDataFrame([], "doc_id long, quality int")
-    m = lm_score.train(d, none, "quality")
-    assert sorted(r.n_tokens for r in lm_score.score(d, m, ["doc_id"]).collect()) == [0, 2]
-    m = lm_score.train(d.limit(0), none, "quality")
-    assert lm_score.score(d.limit(0), m, ["doc_id"]).count() == 0
-
-
 @pytest.mark.parametrize("chunk", [1, 90, 1 << 22])
-def test_lm_scores_use_rare_words_and_pairs(spark, tmp_path, monkeypatch, chunk):
+def test_lm_scores_equal_a_plain_version(spark, tmp_path, monkeypatch, chunk):
     monkeypatch.setattr(lm_score, "_WHOLE", chunk)
     rng = random.Random(6)
     texts = ["the a " * 70_000] + [" ".join(rng.choice(["the", "cat", "x!", "Rare%d" % rng.randint(0, 40)]) for _ in range(rng.randint(0, 30))) for _ in range(40)] + [None, "", "once"]
+    texts += texts[1:3]
     docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
-    labels = [(i, int(i % 3 == 0)) for i in range(0, 44, 2)] + [(0, 0), (None, 1)]
+    labels = [(i, int(i % 3 == 0)) for i in range(0, 46, 2)] + [(0, 0), (None, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r.doc_id: r for r in queries.op8_lm_score(spark, str(tmp_path)).collect()}
     assert len(got) == len(texts)
-    for i, (n, a, b) in enumerate(_plain_scores(texts, [i % 6 == 0 for i in range(44)], lm_score.LMParams(word_share=0, pair_share=0))):
+    for i, (n, a, b) in enumerate(_plain_scores(texts, [i % 6 == 0 for i in range(46)], lm_score.LMParams())):
         assert got[i].n_tokens == n and (got[i].score is None) == (a is None)
         if n:
             assert got[i].target_loss == pytest.approx(a) and got[i].background_loss == pytest.approx(b) and got[i].score == pytest.approx(a - b)
         assert got[i].selected == (n > 0 and got[i].score < 0)
 
 
-def test_whole_lm_without_rows_or_targets(spark):
+def test_lm_without_rows_or_targets(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     d = docs(spark, ["a b", None])
-    assert sorted(r.n_tokens for r in lm_score.whole_scores(d, none, "quality", ["doc_id"]).collect()) == [0, 2]
-    assert lm_score.whole_scores(d.limit(0), none, "quality", ["doc_id"]).count() == 0
+    assert sorted(r.n_tokens for r in lm_score.score(d, none, "quality", ["doc_id"]).collect()) == [0, 2]
+    assert lm_score.score(d.limit(0), none, "quality", ["doc_id"]).count() == 0
 
 
 # --- BPE
