@@ -5,15 +5,24 @@ five segments. If the differences b_0..b_4 of the segments sum to 4 or less, the
 b_i + .. + b_(i+l-1) <= 4l/5, so the chain's budgets are 0, 1, 2, 3, 4. Chains of three are indexed: segment i is
 equal, and with the next two cut in halves, either both halves of segment i+1 are equal or one half of each is.
 That makes five masks a start, 25 in all, of 26 bits or so each; two fingerprints that link agree under one of them at
-least. Within a bucket the budget of four segments (3) prunes pairs before the full Hamming check.
+least. Within a bucket the budgets of two, three and four segments prune pairs, in that order, before the full Hamming check.
 
 Equal fingerprints are collapsed before anything else, so copies cost nothing. A bucket sends out a spanning forest of
 its links, never its pairs. Buckets of more than ``BUCKET`` fingerprints are cut into blocks, and each pair of blocks
 becomes a group of its own, so no task has to hold or compare a whole hot bucket.
 
+Similarity. ``keep_similar_first`` asks for texts whose five-word shingles are alike by ``LEAST`` = 0.8 instead. One bit a hyperplane
+is too weak for that: a pair at 0.8 differs in about 10 of 64 bits and in more than 16 at times, where no chain of equal bits
+is left to look up. So its fingerprint is a ring of ``RING`` segments that are least hashes of the shingles, each equal with
+probability 0.8 in a pair at 0.8. A chain of ``CHAIN`` equal segments (their budget of differences is zero) makes a candidate; chains
+begin at every fourth segment, and a pair at 0.8 has one with probability 1 - (1 - 0.8**4)**20 = 0.99997. The budget of the whole
+ring, ``RING_MOST`` = 32 differing segments, 4.5 standard deviations above the 16 expected, prunes pairs before the shingle sets
+themselves are compared, which decides. Chains are looked up in two rounds: what the first ``EARLY`` of them connects already is not compared again.
+
 Defined results: a null text, an empty one and one of white space have no words, fingerprint zero, and link like
-any other. Rows without an id have a fingerprint and a component, but never name a component unless no row of it has
-an id. Repeated rows are kept, each with its component.
+any other; by similarity, texts without words are copies of each other. Rows without an id have a fingerprint and a component, but
+never name a component unless no row of it has an id. Repeated rows are kept, each with its component; the operators that
+keep one row of a component keep one of them. Sets of shingles are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,9 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import connected_components, free, give_back, roots_of, sized, staged, text_batches
+from .shared import connected_components, free, give_back, roots_of, sized, slices, staged, with_sums
 
 MOST = 4
+LEAST, SHINGLE = 0.8, 5
+RING, CHAIN, RING_MOST = 80, 4, 32
+EARLY = 5
 BUCKET = 8_192
 _SEGMENTS = 5
 _CHUNK = 1 << 16
@@ -40,20 +52,21 @@ def _span(lo: int, hi: int) -> int:
     return ((1 << (hi - lo)) - 1) << lo
 
 
-def _ring() -> tuple[list[int], list[int]]:
-    """(masks, for each mask that of its start's four segments)."""
+def _ring() -> tuple[list[int], list[tuple[int, int, int]]]:
+    """(masks, for each mask those of its start's chains of two, three and four segments)."""
     edge = [round(64 * k / _SEGMENTS) for k in range(_SEGMENTS + 1)]
     whole = [_span(edge[k], edge[k + 1]) for k in range(_SEGMENTS)]
     half = [(_span(edge[k], (edge[k] + edge[k + 1]) // 2), _span((edge[k] + edge[k + 1]) // 2, edge[k + 1])) for k in range(_SEGMENTS)]
-    masks, four = [], []
+    masks, chains = [], []
     for i in range(_SEGMENTS):
+        after = [whole[(i + k) % _SEGMENTS] for k in range(4)]
         (a, b), (c, d) = half[(i + 1) % _SEGMENTS], half[(i + 2) % _SEGMENTS]
         masks += [whole[i] | x for x in (a | b, a | c, a | d, b | c, b | d)]
-        four += [whole[i] | whole[(i + 1) % _SEGMENTS] | whole[(i + 2) % _SEGMENTS] | whole[(i + 3) % _SEGMENTS]] * 5
-    return masks, four
+        chains += [tuple(sum(after[:k]) for k in (2, 3, 4))] * 5
+    return masks, chains
 
 
-MASKS, FOUR = _ring()
+MASKS, CHAINS = _ring()
 
 
 def _signed(x: int) -> int:
@@ -81,24 +94,35 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, keep, shingle: int = 4) -> DataFrame:
-    """The columns ``keep`` of docs, then fp (the fingerprint as a signed long)."""
+    """The columns ``keep`` of docs, then the fingerprint as a signed long, in a column fp (or _fp, .. if that is taken)."""
     head = docs.select(*keep)
     names = head.columns
+    own = free("fp", names)
 
     def run(batches):
-        for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(len(names))], np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(fps.view(np.int64))], names=[*names, "fp"])
+        for batch in batches:
+            for b in slices(batch, len(names)):
+                fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(len(names))], np.uint64)
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(fps.view(np.int64))], names=[*names, own])
         give_back()
 
-    out = T.StructType([*head.schema.fields, T.StructField("fp", T.LongType())])
-    return text_batches(docs).select(*keep, F.col("text").cast("binary").alias(free("_text", names))).mapInArrow(run, out)
+    out = T.StructType([*head.schema.fields, T.StructField(own, T.LongType())])
+    return docs.select(*keep, F.col("text").cast("binary").alias(free("_text", names))).mapInArrow(run, out)
+
+
+def within(x: np.ndarray, chains: np.ndarray) -> np.ndarray:
+    """Are the differences x within the budgets of the chains of two, three and four segments, and of the whole ring?"""
+    near = np.bitwise_count(x & chains[..., 0]) < 2
+    for k, most in ((1, 2), (2, 3)):
+        near[near] = np.bitwise_count(x[near] & (chains[near, k] if chains.ndim > 1 else chains[k])) <= most
+    near[near] = np.bitwise_count(x[near]) <= MOST
+    return near
 
 
-def _forest(group: np.ndarray, fp: np.ndarray, four: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _forest(group: np.ndarray, fp: np.ndarray, chains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (fp, fp) that span the components inside each run of equal groups; runs are contiguous.
 
-    four: for each row the mask of its chain of four segments.
+    chains: for each row the masks of its start's chains.
     """
     n = len(fp)
     start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -112,9 +136,7 @@ def _forest(group: np.ndarray, fp: np.ndarray, four: np.ndarray) -> tuple[np.nda
         a, b = live, live + shift
         apart = root[a] != root[b]
         a, b = a[apart], b[apart]
-        x = fp[a] ^ fp[b]
-        near = np.bitwise_count(x & four[a]) < MOST
-        near[near] = np.bitwise_count(x[near]) <= MOST
+        near = within(fp[a] ^ fp[b], chains[a])
         if near.any():
             root = _merged(root, a[near], b[near])
     own = np.flatnonzero(root != np.arange(n))
@@ -134,7 +156,7 @@ def _merged(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _links_of_buckets(batches):
     """Rows (mask, bucket, block_a, block_b, fp) sorted by all but fp; links of each bucket's forest."""
-    four = np.array(FOUR, np.uint64)
+    chains = np.array(CHAINS, np.uint64)
     held: list[pa.RecordBatch] = []
 
     def out(rows: pa.Table):
@@ -142,7 +164,7 @@ def _links_of_buckets(batches):
         change = np.zeros(len(cols[0]), bool)
         for c in cols[:4]:
             change[1:] |= c[1:] != c[:-1]
-        u, v = _forest(np.cumsum(change), cols[4].view(np.uint64), four[cols[0]])
+        u, v = _forest(np.cumsum(change), cols[4].view(np.uint64), chains[cols[0]])
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     size = 0
@@ -187,21 +209,28 @@ def components(marked: DataFrame, doc_id: str = "doc_id", links: DataFrame | Non
 
     marked: rows with doc_id and fp. links: forests of links between fps, by default those within MOST bits. Two components can share a component_id only if rows of both have that id.
     """
-    of_fp = marked.groupBy("fp").agg(F.min(doc_id).alias("_least"))
-    of_fp = staged(of_fp, "fingerprints")
+    of_fp = staged(marked.groupBy("fp").agg(F.min(doc_id).alias("_least"), F.count("*").alias("n")), "fingerprints")
+    total, fps = (x or 0 for x in of_fp.agg(F.sum("n"), F.count("*")).first())
     comps = connected_components(fingerprint_links(of_fp.select("fp")) if links is None else links, contracted=True)
-    placed = of_fp.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_least", F.coalesce("component", "fp").alias("_c"))
+    placed = of_fp.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_least", "n", F.coalesce("component", "fp").alias("component"))
     placed = staged(placed, "placed")
-    names = placed.groupBy("_c").agg(F.min("_least").alias("component_id"))
-    changed = placed.join(names, "_c").select("fp", F.col("_c").alias("component"), "component_id")
-    return marked.join(changed, "fp")
+    names = placed.groupBy("component").agg(F.min("_least").alias("component_id"), F.count("*").alias("n"))
+    changed = with_sums(placed.drop("_least").withColumnRenamed("n", "_n"), names, ["component"], fps)
+    return with_sums(marked, staged(changed.select("fp", "component", "component_id", F.col("_n").alias("n")), "named"), ["fp"], total)
 
 
 def near_duplicates(docs: DataFrame, keep=("doc_id",), shingle: int = 4) -> DataFrame:
-    """The columns ``keep`` (with doc_id) of docs, then fingerprint (16 hex digits) and component_id."""
-    marked = staged(fingerprints(docs, keep, shingle), "marked")
-    out = components(marked)
-    return out.select(*marked.columns[:-1], F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    """The columns ``keep`` (with doc_id) of docs, then fingerprint (16 hex digits) and component_id.
+
+    Kept columns named like those two are left out.
+    """
+    made = fingerprints(docs, keep, shingle)
+    head = made.columns[:-1]
+    mine = [f"c{k}" for k in range(len(head))]
+    at = next(k for k, c in enumerate(head) if c.lower() == "doc_id")
+    out = components(staged(made.toDF(*mine, "fp"), "marked"), mine[at])
+    kept = [F.col(m).alias(c) for m, c in zip(mine, head, strict=True) if c.lower() not in ("fingerprint", "component_id")]
+    return out.select(*kept, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -210,24 +239,198 @@ def keep_first(docs: DataFrame, shingle: int = 4) -> DataFrame:
     Whole columns do not go through the search. The rows to drop, by id and text hash, are taken out by one join;
     rows that repeat both are collapsed apart from the others.
     """
-    return firsts(docs, components(staged(fingerprints(docs, ["doc_id", F.xxhash64("text").alias("_text")], shingle), "marked")))
-
-
-def firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with the first row of each component; found: doc_id, _text (the text's hash) and component of every row."""
-    by = F.xxhash64("text")
-    placed = staged(found.select("doc_id", "_text", "component"), "placed-rows")
-    rows = placed.select(F.col("component").alias("g"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_text").alias("key"))
-    sizes = rows.groupBy("g", "key").count()
-    firsts = sizes.groupBy("g").agg(F.min("key").alias("first"))
-    judged = staged(sizes.join(firsts, "g").select("key.doc_id", F.col("key._text").alias("_text"), (F.col("key") == F.col("first")).alias("stays"), "count"), "judged")
+    found = components(staged(fingerprints(docs.select("doc_id", "text"), ["doc_id", F.xxhash64("text").alias("_hash")], shingle), "marked"))
+    return _firsts(docs, found)
+
+
+def _firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with the first row of each component; found: doc_id, _hash (the text's) and component of every row."""
+    rows = staged(found.select("doc_id", "_hash", "component"), "placed-rows")
+    sizes = staged(rows.groupBy("component", "doc_id", "_hash").count(), "sizes")
+    # the smallest id with the smallest hash, rows without an id last; numbers only, so they are summed up in place
+    by_id = sizes.groupBy("component").agg(F.min("doc_id").alias("_first"), F.count("*").alias("n"))
+    total = sizes.count()
+    judged = with_sums(sizes, by_id, ["component"], total).where(F.col("doc_id").eqNullSafe(F.col("_first"))).select("component", "doc_id", "_hash")
+    chosen = judged.groupBy("component", "doc_id").agg(F.min("_hash").alias("_hash")).select("component", F.col("doc_id").alias("_first"), F.col("_hash").alias("_first_hash"))
+    chosen = chosen.join(sizes.groupBy("component").agg(F.count("*").alias("n")), "component")
+    judged = staged(with_sums(sizes, chosen, ["component"], total).select("doc_id", "_hash", (F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_hash") == F.col("_first_hash"))).alias("stays"), "count"), "judged")
     a, b = free("_id", docs.columns), free("_hash", docs.columns)
     same = lambda side: docs["doc_id"].eqNullSafe(side[a]) & (F.xxhash64(docs["text"]) == side[b])
-    named = lambda cond: sized(judged.where(cond).select(F.col("doc_id").alias(a), F.col("_text").alias(b)))
+    named = lambda cond: sized(judged.where(cond).select(F.col("doc_id").alias(a), F.col("_hash").alias(b)))
     gone = named("not stays or count > 1")
     kept = docs.join(gone, same(gone), "left_anti")
     if not judged.where("stays and count > 1").limit(1).count():
         return kept
+    # rows that repeat id and text: the first by a hash of all that can be hashed, so that a second run keeps the same one
     again = named("stays and count > 1")
-    keyed = docs.join(again, same(again), "left_semi").withColumn(b, by)
-    return kept.unionByName(keyed.dropDuplicates(["doc_id", b]).drop(b))
+    whole = F.struct(*(docs[c] for c in docs.columns))
+    keyed = docs.join(again, same(again), "left_semi").select(whole.alias("row"), F.xxhash64(*(docs[f.name] for f in docs.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType))).alias("by"))
+    one = keyed.groupBy(F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("hash")).agg(F.min_by("row", "by").alias("row"))
+    return kept.unionByName(one.select("row.*"))
+
+
+# --- similarity of shingle sets
+
+_rng = np.random.default_rng(7)
+_XOR, _ODD = (_rng.integers(0, 1 << 63, RING, np.uint64, endpoint=True) * np.uint64(2) + np.uint64(1) for _ in range(2))
+_SETS = 1_024
+
+
+def shingles(text: bytes | None) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; of a shorter text all its words are one."""
+    words = _WORD.findall((text or b"").lower())
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, at = b" ".join(words), np.cumsum([0, *map(len, words)])
+    at += np.arange(len(at))
+    first, last = at[: max(1, len(words) - SHINGLE + 1)].tolist(), (at[min(SHINGLE, len(words)) :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[s:e], 42) for s, e in zip(first, last, strict=True)), np.uint64, len(first)))
+
+
+def ring_of(own: np.ndarray) -> np.ndarray:
+    """The ring of a set that is not empty: its least hash under each of RING orders."""
+    least = np.full(RING, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(own), 1_024):
+        np.minimum(least, ((own[k : k + 1_024, None] ^ _XOR) * _ODD).min(axis=0), out=least)
+    return least
+
+
+def _ringed(batches):
+    """Rows (doc_id, text hash, text) become (doc_id, text hash, fp of the set, chains, segments of a byte each)."""
+    for batch in batches:
+        for b in slices(batch, 2):
+            fps, chains, low = np.zeros(b.num_rows, np.uint64), [], []
+            for k, text in enumerate(b.column(2)):
+                own = shingles(text.as_py())
+                if not len(own):
+                    chains.append([])
+                    low.append(b"")
+                    continue
+                ring = ring_of(own)
+                fps[k] = xxhash.xxh64_intdigest(own.tobytes())
+                chains.append(np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(ring.reshape(-1, CHAIN))], np.uint64).view(np.int64))
+                low.append((ring >> np.uint64(56)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(chains, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=["doc_id", "_hash", "fp", "chains", "low"])
+    give_back()
+
+
+def _sets(batches):
+    """Rows (fp, c, low, text) become (fp, c, low, own: the shingles)."""
+    for batch in batches:
+        for b in slices(batch, 3):
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([shingles(t.as_py()).tobytes() for t in b.column(3)], pa.binary())], names=["fp", "c", "low", "own"])
+    give_back()
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the similarity of two sorted sets is LEAST or more."""
+    if min(len(a), len(b)) < LEAST * max(len(a), len(b)):
+        return False
+    x = np.concatenate([a, b])
+    x.sort(kind="stable")
+    both = int((x[1:] == x[:-1]).sum())
+    return both >= LEAST * (len(a) + len(b) - both)
+
+
+def _apart_within(c: np.ndarray, low: np.ndarray, a: int) -> np.ndarray:
+    """The rows after row a that are not connected to it and within the ring's budget."""
+    rest = a + 1 + np.flatnonzero(c[a + 1 :] != c[a])
+    return rest[(low[rest] != low[a]).sum(axis=1) <= RING_MOST]
+
+
+def _groups(batches, columns: int):
+    """The rows of each run of equal (key, a, b), column by column."""
+    now, held = None, []
+    for batch in batches:
+        cols = [batch.column(k).to_pylist() for k in range(columns)]
+        for row in zip(*cols, strict=True):
+            if row[:3] != now:
+                if len(held) > 1:
+                    yield now, list(zip(*held, strict=True))
+                now, held = row[:3], []
+            held.append(row[3:])
+    if len(held) > 1:
+        yield now, list(zip(*held, strict=True))
+
+
+def _segments(low) -> np.ndarray:
+    return np.frombuffer(b"".join(low), np.uint8).reshape(len(low), RING)
+
+
+def _pruned(batches):
+    """Rows (key, a, b, fp, c, low), sorted by the first three; those that have a partner within the ring's budget."""
+    for group, (fps, c, low) in _groups(batches, 6):
+        c, low, met = np.unique(np.array(c), return_inverse=True)[1], _segments(low), np.zeros(len(fps), bool)
+        if c.any():
+            for a in range(len(fps) - 1):
+                near = _apart_within(c, low, a)
+                met[near] = True
+                met[a] |= len(near) > 0
+        own = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(own), k) for x, k in zip(group, (pa.int64(), pa.int32(), pa.int32()), strict=True)), pa.array([fps[k] for k in own], pa.int64())], names=["key", "a", "b", "fp"])
+
+
+def _similar_links(batches):
+    """Rows (key, a, b, fp, c, low, own), sorted by the first three; links that span what the sets connect, each pair once met."""
+    for _, (fps, c, low, own) in _groups(batches, 7):
+        root, low, sets, out = np.unique(np.array(c), return_inverse=True)[1], _segments(low), [np.frombuffer(x, np.uint64) for x in own], []
+        for a in range(len(fps) - 1):
+            for b in _apart_within(root, low, a):
+                if root[b] != root[a] and similar(sets[a], sets[b]):
+                    out.append((fps[a], fps[b]))
+                    root[root == root[b]] = root[a]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+    give_back()
+
+
+def _similar_round(docs: DataFrame, base: DataFrame, chains: int, whole: bool, bucket: int) -> DataFrame:
+    """(u, v), staged: links of texts that share one of the first ``chains`` chains. base: fp, rid, chains, low and c, what fp is connected to.
+
+    Buckets of more than ``bucket`` are dealt in blocks. Not whole: a block meets itself and a few members of all the bucket,
+    enough to connect a group of near copies. Whole: if few are left outside of the bucket's largest component, they meet every block; else
+    every two blocks meet. So no pair that is not connected before is left out.
+    """
+    entries = base.select(F.explode(F.slice("chains", 1, chains)).alias("key"), "fp", "c")
+    count = entries.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.min("fp").alias("least"), F.min("c").alias("c"), F.max("c").alias("d")).where("n > 1 and c <> d")
+    once = staged(count.groupBy("n", "x", "least").agg(F.min("key").alias("key")).select("key", "n"), "buckets")  # buckets of the same members are one
+    sizes = once.select("key", "n", F.ceil(F.col("n") / bucket).cast("int").alias("blocks"))
+    members = with_sums(entries, sizes.withColumn("size", F.col("n")), ["key"], once.agg(F.sum("n")).first()[0] or 0)
+    members = staged(members, "members")
+    own = F.expr("cast(pmod(xxhash64(fp), blocks) as int)")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    alone = F.array(F.struct(own.alias("a"), own.alias("b")))
+    all_blocks = F.transform(every, lambda k: F.struct(k.alias("a"), k.alias("b")))
+    if whole:
+        largest = members.where("blocks > 1").groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("c", "k").alias("major"), (F.sum("k") - F.max("k")).alias("others"))
+        members = members.join(sized(staged(largest, "largest")), "key", "left")
+        pairs = F.transform(every, lambda k: F.struct(F.least(own, k).alias("a"), F.greatest(own, k).alias("b")))
+        place = F.when(F.col("blocks") == 1, alone).when(F.col("others") > bucket, pairs).when(F.col("c") == F.col("major"), alone).otherwise(all_blocks)
+    else:
+        place = F.when((F.col("blocks") > 1) & (F.pmod(F.xxhash64("fp", "key"), F.col("size")) < 8), all_blocks).otherwise(alone)
+    low = base.select("fp", "low")
+    key = ["key", "a", "b"]
+    dealt = members.select("key", "fp", "c", F.explode(place).alias("p")).select("key", "p.a", "p.b", "fp", "c")
+    met = dealt.join(low, "fp").select(*key, "fp", "c", "low").repartition(*key).sortWithinPartitions(*key).mapInArrow(_pruned, "key long, a int, b int, fp long")
+    met = staged(met, "met")
+    wanted = base.join(met.select("fp").distinct(), "fp", "left_semi").select("rid", "fp", "low", "c")
+    text = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("rid"), F.col("text").cast("binary").alias("text"))
+    sets = staged(text.join(sized(staged(wanted, "wanted")), "rid").select("fp", "c", "low", "text").dropDuplicates(["fp"]).mapInArrow(_sets, "fp long, c long, low binary, own binary"), "sets")
+    return staged(met.join(sets, "fp").select(*key, "fp", "c", "low", "own").repartition(*key).sortWithinPartitions(*key).mapInArrow(_similar_links, "u long, v long"), "links")
+
+
+def similar_links(docs: DataFrame, ringed: DataFrame, bucket: int = _SETS) -> DataFrame:
+    """(u, v): links between the fps of sets that connect all similar ones that share a chain."""
+    rid = F.xxhash64("doc_id", "_hash").alias("rid")
+    base = staged(ringed.where("size(chains) > 0").select("fp", "chains", "low", rid).groupBy("fp", "chains", "low").agg(F.min("rid").alias("rid")), "rings")
+    first = _similar_round(docs, base.withColumn("c", F.col("fp")), EARLY, False, bucket)
+    comps = staged(connected_components(first, contracted=True), "early")
+    later = base.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp")).drop("component")
+    return first.unionByName(_similar_round(docs, staged(later, "rings"), RING // CHAIN, True, bucket))
+
+
+def keep_similar_first(docs: DataFrame, bucket: int = _SETS) -> DataFrame:
+    """docs with one row of each component of texts alike by LEAST, chosen as keep_first does."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_hash"), F.col("text").cast("binary").alias("text"))
+    ringed = staged(rows.mapInArrow(_ringed, "doc_id long, _hash long, fp long, chains array<long>, low binary"), "ringed")
+    return _firsts(docs, components(ringed.select("doc_id", "_hash", "fp"), links=similar_links(docs, ringed, bucket)))
