@@ -9,10 +9,11 @@ Every word and every pair of all documents counts and is used. With c the counts
 which sums to one over the vocabulary; for a u that was never seen, P(v | u) = P(v). Both models know the scored documents
 themselves: a document of the target is among what its target model was counted from.
 
-Documents are numbered once, in chunks of about ``_WHOLE`` tokens that are one row each. A chunk sends the counts of its distinct
-words and pairs through a shuffle by word and by pair, as three numbers each, and gets back the sums of those that other chunks hold
-too. So a very common word is one row a chunk, and nothing is broadcast but the targets' ids. Words and pairs go by 64-bit hashes; two
-of one hash would be counted as one.
+Documents are numbered once, in chunks of about ``_WHOLE`` tokens that are one row each. A chunk sends its distinct words, and then its
+distinct pairs, with their counts through a shuffle, in ranges of their hashes: a row is what a chunk has in a range, packed and in order, so
+a pair is about nine bytes. Where the rows of a range meet they are summed, and each chunk gets back the sums of what other chunks hold
+too. The number of ranges grows with the tokens, so a range is about ``_RANGE`` of them whatever the input; a very common word is one number
+a chunk, and nothing is broadcast but the targets' ids. Words and pairs go by 64-bit hashes; two of one hash would be counted as one.
 
 Defined results: null and empty texts, and texts without a token, have 0 tokens, null losses and score, and are not
 selected. A document is a target if any of its label rows says so; rows without an id never are. Without any target
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,9 +38,9 @@ from .shared import free, give_back, sized, slices, staged
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _WHOLE = 1 << 22
+_RANGE = 1 << 21
 _SLICE = 1 << 16
-#: A place is a chunk (partition and number in it) and a position in it, in one long.
-_AT, _SEQ = 30, 12
+_SEQ = 12
 
 
 @dataclass(frozen=True)
@@ -122,23 +123,6 @@ def _chunk_words(lengths, targets, ids, hashes):
     return [*_sums(ids, len(hashes), own), *_sums(prior, len(hashes), own)]
 
 
-def _sliced(cols, names):
-    for k in range(0, len(cols[0]), _SLICE):
-        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + _SLICE]) for c in cols], names=names)
-
-
-def _places(chunk: int, n: int) -> np.ndarray:
-    return (chunk << _AT) + np.arange(n, dtype=np.int64)
-
-
-def _words_sent(batches):
-    """A row a word of a chunk: its place, its hash and its four counts."""
-    for b in batches:
-        for k in range(b.num_rows):
-            lengths, targets, ids, hashes = _unpacked(b, k, ("lengths", "targets", "ids", "hashes"))
-            yield from _sliced([_places(b.column(0)[k].as_py(), len(hashes)), hashes.view(np.int64), *_chunk_words(lengths, targets, ids, hashes)], ["place", "key", "c", "c_target", "b", "b_target"])
-
-
 def pair_hashes(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """A hash of two words' hashes, in their order."""
     x = u * np.uint64(0x9E3779B97F4A7C15) + (v ^ (v >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -147,31 +131,96 @@ def pair_hashes(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _pairs_sent(batches):
-    """A row a pair of a chunk: its place, its hash, and both counts in one long."""
-    for b in batches:
-        for k in range(b.num_rows):
-            lengths, targets, ids, hashes = _unpacked(b, k, ("lengths", "targets", "ids", "hashes"))
-            keys, of = np.unique(_keys(lengths, ids, len(hashes)), return_inverse=True)
-            n, n_target = _sums(of, len(keys), np.repeat(targets, lengths))
-            del of
-            yield from _sliced([_places(b.column(0)[k].as_py(), len(keys)), pair_hashes(hashes[keys // len(hashes)], hashes[keys % len(hashes)]).view(np.int64), (n << 32) + n_target], ["place", "key", "counts"])
-    give_back()
+def _of_words(lengths, targets, ids, hashes):
+    """(hashes, counts) of a chunk's words."""
+    return hashes, _chunk_words(lengths, targets, ids, hashes)
+
+
+def _of_pairs(lengths, targets, ids, hashes):
+    """(hashes, counts) of a chunk's pairs, in the order of their numbers."""
+    keys, of = np.unique(_keys(lengths, ids, len(hashes)), return_inverse=True)
+    return pair_hashes(hashes[keys // len(hashes)], hashes[keys % len(hashes)]), [*_sums(of, len(keys), np.repeat(targets, lengths))]
+
+
+_SENT = "range long, chunk long, start long, keys binary, counts binary"
+
+
+def _sent(counted, bits: int):
+    """Chunks become rows of what they hold in each range of hashes: hashes in order, and their counts."""
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                keys, counts = counted(*_unpacked(b, k, ("lengths", "targets", "ids", "hashes")))
+                order = np.argsort(keys, kind="stable")
+                keys, counts = keys[order], np.stack(counts)[:, order].astype(np.uint32)
+                edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+                starts = np.unique([0, *edges])
+                for lo, hi in zip(starts, [*starts[1:], len(keys)], strict=True):
+                    if hi > lo:
+                        at = int(keys[lo]) >> (64 - bits) if bits else 0
+                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), b.column(0).slice(k, 1), pa.array([lo], pa.int64()), pa.array([keys[lo:hi].tobytes()], pa.binary()), pa.array([counts[:, lo:hi].tobytes()], pa.binary())], names=["range", "chunk", "start", "keys", "counts"])
+        give_back()
+
+    return run
+
+
+_BACK = "chunk long, kind int, place binary, sums binary, distinct long, total long, total_target long"
+
+
+def _summed(kind: int, width: int):
+    """Rows of _sent, by range; for each of them the places and sums of what other chunks hold too. The first row of a range tells
+    how many different ones it has and what their first two counts sum to."""
+
+    def out(held):
+        keys = np.concatenate([np.frombuffer(x[2], np.uint64) for x in held])
+        counts = np.concatenate([np.frombuffer(x[3], np.uint32).reshape(width, -1) for x in held], axis=1)
+        order = np.argsort(keys, kind="stable")
+        new = np.r_[True, keys[order][1:] != keys[order][:-1]]
+        of = np.empty(len(keys), np.int64)
+        of[order] = np.cumsum(new) - 1
+        sums = np.stack([np.bincount(of, c).astype(np.int64) for c in counts])
+        at, told = 0, (int((sums[0] > 0).sum()), int(sums[0].sum()), int(sums[1].sum()))
+        for chunk, start, raw, _ in held:
+            n = len(raw) // 8
+            own, whole = counts[:, at : at + n], sums[:, of[at : at + n]]
+            more = np.flatnonzero((own != whole).any(axis=0))
+            at += n
+            if len(more) or any(told):
+                cols = [[chunk], [kind], [(start + more).astype(np.int64).tobytes()], [whole[:, more].tobytes()], *([x] for x in told)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in _BACK.split(", ")])
+            told = (0, 0, 0)
+
+    def run(batches):
+        now, held = None, []
+        for b in batches:
+            for row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                if row[0] != now:
+                    if held:
+                        yield from out(held)
+                    now, held = row[0], []
+                held.append(row[1:])
+        if held:
+            yield from out(held)
+        give_back()
+
+    return run
 
 
 def _scored(kept: pa.Schema, names, totals, size: int, p: LMParams):
-    """Rows (chunk, kind, place, counts, packed chunk), of each chunk the sums first (1 words, 2 pairs), then the chunk (3)."""
+    """Rows (chunk, kind, place, sums, packed chunk), of each chunk the sums first (1 words, 2 pairs), then the chunk (3)."""
 
     def scored(b, k, sums):
         lengths, targets, ids, hashes = _unpacked(b, k, ("lengths", "targets", "ids", "hashes"))
         key, of = np.unique(_keys(lengths, ids, len(hashes)), return_inverse=True)
         word = _chunk_words(lengths, targets, ids, hashes)
         pair = [*_sums(of, len(key), np.repeat(targets, lengths))]
-        for kind, values in ((1, word), (2, pair)):
-            for part in sums[kind]:
-                at = part[0] & ((1 << _AT) - 1)
-                for j, x in enumerate(values):
-                    x[at] = part[j + 1]
+        for kind, values, names_of in ((1, word, hashes), (2, pair, pair_hashes(hashes[key // len(hashes)], hashes[key % len(hashes)]))):
+            order = np.argsort(names_of, kind="stable")
+            for place, whole in sums[kind]:
+                at = order[np.frombuffer(place, np.int64)]
+                for x, y in zip(values, np.frombuffer(whole, np.int64).reshape(len(values), -1), strict=True):
+                    x[at] = y
         u, v = key // len(hashes), key % len(hashes)
         doc, out = np.repeat(np.arange(len(lengths)), lengths), []
         for j in (1, 0):
@@ -190,15 +239,13 @@ def _scored(kept: pa.Schema, names, totals, size: int, p: LMParams):
     def run(batches):
         chunk, sums = None, {1: [], 2: []}
         for b in batches:
-            ids, kinds = (b.column(k).to_numpy() for k in (0, 1))
-            cut = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (kinds[1:] != kinds[:-1])])
-            for lo, hi in zip(cut, [*cut[1:], len(ids)], strict=True):
-                if ids[lo] != chunk:
-                    chunk, sums = ids[lo], {1: [], 2: []}
-                if kinds[lo] < 3:
-                    sums[kinds[lo]].append([b.column(k).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for k in range(2, 7)])
+            for k, (own, kind) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if own != chunk:
+                    chunk, sums = own, {1: [], 2: []}
+                if kind < 3:
+                    sums[kind].append((b.column(2)[k].as_py(), b.column(3)[k].as_py()))
                     continue
-                yield from scored(b, int(lo), sums).to_batches(max_chunksize=_SLICE)
+                yield from scored(b, k, sums).to_batches(max_chunksize=_SLICE)
                 sums = {1: [], 2: []}
         give_back()
 
@@ -220,26 +267,19 @@ def score(docs: DataFrame, labels: DataFrame, label: str, keep, p: LMParams = LM
     schema = pa.schema([pa.field(n, x.type) for n, x in zip(names, plain.limit(0).toArrow().schema, strict=True)])
     chunks = staged(rows.mapInArrow(_packed(schema), f"{_PACKED}, head binary"), "chunks")
     body = chunks.drop("head")
-    words = staged(body.mapInArrow(_words_sent, "place long, key long, c long, c_target long, b long, b_target long"), "words")
-    size, n, n_target = words.groupBy("key").agg(F.sum("c").alias("c"), F.sum("c_target").alias("t")).agg(F.count_if(F.col("c") > 0), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
-    pairs = body.mapInArrow(_pairs_sent, "place long, key long, counts long")
-    over, none = Window.partitionBy("key"), F.lit(0).cast("long")
-    of_words = words.withColumns({f"s{k}": F.sum(c).over(over) for k, c in enumerate(("c", "c_target", "b", "b_target"))}).where("s0 <> c or s1 <> c_target or s2 <> b or s3 <> b_target")
-    of_words = of_words.select("place", F.lit(1).alias("kind"), "s0", "s1", "s2", "s3")
-    c, c_target = F.shiftright("counts", 32), F.col("counts").bitwiseAND((1 << 32) - 1)
-    of_pairs = pairs.withColumns({"s0": F.sum(c).over(over), "s1": F.sum(c_target).over(over)}).where((F.col("s0") != c) | (F.col("s1") != c_target))
-    of_pairs = of_pairs.select("place", F.lit(2).alias("kind"), "s0", "s1", none.alias("s2"), none.alias("s3"))
-    sums = of_words.unionByName(of_pairs).select(F.shiftright("place", _AT).alias("chunk"), "kind", "place", "s0", "s1", "s2", "s3")
-    both = sums.unionByName(chunks.withColumn("kind", F.lit(3)), allowMissingColumns=True)
+    tokens = chunks.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    bits = max(3, (tokens // 4 // _RANGE).bit_length())
+
+    def back(counted, kind: int, width: int) -> DataFrame:
+        sent = body.mapInArrow(_sent(counted, bits), _SENT)
+        return sent.repartition(min(1 << bits, 20_000), "range").sortWithinPartitions("range").mapInArrow(_summed(kind, width), _BACK)
+
+    of_words = staged(back(_of_words, 1, 4), "words")
+    size, n, n_target = of_words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("distinct", "total", "total_target"))).first()
+    both = of_words.unionByName(back(_of_pairs, 2, 2)).select("chunk", "kind", "place", "sums").unionByName(chunks.withColumn("kind", F.lit(3)), allowMissingColumns=True)
     kinds = (T.DoubleType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.BooleanType())
     out = T.StructType([*(T.StructField(f.name, f.dataType) for f in plain.schema.fields), *(T.StructField(f"_{c}", t) for c, t in zip(MADE, kinds, strict=True))])
     run = _scored(schema, out.names, (n, n_target), size + 2, p)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    most = spark.conf.get(key)
-    spark.conf.set(key, _SLICE)  # for this write only: rows of numbers; a chunk is more than the limit in bytes and comes alone
-    try:
-        cols = ["chunk", "kind", "place", "s0", "s1", "s2", "s3", "lengths", "targets", "ids", "hashes", "head"]
-        made = staged(both.select(*cols).repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, out), "scores")
-    finally:
-        spark.conf.set(key, most)
+    cols = ["chunk", "kind", "place", "sums", "lengths", "targets", "ids", "hashes", "head"]
+    made = both.select(*cols).repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, out)
     return made.toDF(*kept, *MADE)
