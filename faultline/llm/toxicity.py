@@ -43,7 +43,7 @@ class FMParams:
     min_z: float = 5.0
     min_texts: int = 5
     pair_z: float = 7.0
-    pair_share: float = 0.01
+    pair_share: float = 0.02
     batch: int = 256
     seed: int = 7
 
@@ -93,33 +93,27 @@ def telling_pairs(rows: list[np.ndarray], y: np.ndarray, both: np.ndarray, hit:
     n = len(y)
     prior = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
     often = np.flatnonzero(both >= max(p.pair_share * n, 1))
-    place = np.full(len(both), -1, np.int64)
+    place = np.full(len(both), -1, np.int32)
     place[often] = np.arange(len(often))
     own = np.log((hit[often] + 0.5) / (both[often] - hit[often] + 0.5)) - prior
-    texts = np.repeat(np.arange(n), [len(r) for r in rows])
-    at = place[np.concatenate(rows).astype(np.int64)]
-    texts, at = texts[at >= 0], at[at >= 0]
-    step, told = 256, np.zeros(len(often), bool)
-
-    def block(k: int) -> np.ndarray:
-        out = np.zeros((n, min(step, len(often) - k)), np.float32)
-        mine = (at >= k) & (at < k + step)
-        out[texts[mine], at[mine] - k] = 1
-        return out
-
-    for i in range(0, len(often), step):
-        a = block(i)
-        marked = a * y[:, None].astype(np.float32)
-        for j in range(i, len(often), step):
-            b = a if i == j else block(j)
-            met, toxic_met = a.T @ b, marked.T @ b
-            sure = 1 / (1 + np.exp(-(prior + own[i : i + step, None] + own[None, j : j + step])))
-            told_here = np.abs(_surprise(toxic_met, met * sure, met * sure * (1 - sure))) >= p.pair_z
-            if i == j:
-                np.fill_diagonal(told_here, False)
-            told[i : i + step] |= told_here.any(axis=1)
-            told[j : j + step] |= told_here.any(axis=0)
-    return often[told]
+    telling, bits = np.zeros(len(often), bool), []
+    # a bitmap of texts for each slot: of all texts, and of those with the label
+    for own_texts in (np.arange(n), np.flatnonzero(y > 0)):
+        words = np.zeros((len(often), -(-max(1, len(own_texts)) // 64)), np.uint64)
+        for k, text in enumerate(own_texts):
+            mine = place[rows[text]]
+            mine = mine[mine >= 0]
+            words[mine, k >> 6] |= np.uint64(1) << np.uint64(k & 63)
+        bits.append(words)
+    whole, toxic = bits
+    for i in range(len(often) - 1):
+        met = np.bitwise_count(whole[i + 1 :] & whole[i]).sum(axis=1, dtype=np.int64)
+        toxic_met = np.bitwise_count(toxic[i + 1 :] & toxic[i]).sum(axis=1, dtype=np.int64)
+        sure = 1 / (1 + np.exp(-(prior + own[i] + own[i + 1 :])))
+        told = np.abs(_surprise(toxic_met, met * sure, met * sure * (1 - sure))) >= p.pair_z
+        telling[i + 1 :] |= told
+        telling[i] |= told.any()
+    return often[telling]
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, p: FMParams) -> FMModel:
