@@ -5,7 +5,7 @@ of characters are counted into ``dims`` hashed slots. A vector is (1 + log count
 language's training vectors are clustered by spherical k-means into ``centroids`` centroids; a text goes to the
 language of the centroid with the greatest cosine. A text whose cosine distance to that centroid is beyond
 the language's rejection distance for its length is rejected. That distance is learned as a curve: ``slack`` times the ``quantile``
-of the distances of the training texts and of their beginnings (8, 16, 32, .. letters), by powers of two of the number of letters, with
+of the distances of the training texts and of their beginnings (8, 16, 32, .. 512 letters), by powers of two of the number of letters, with
 straight lines between, and never less than ``near``. The fewer letters, the farther a text may be.
 
 Training reads a sample bounded by ``sample_rows`` ids per language (expected size, picked by a hash of the id; of rows that repeat an id one) and the
@@ -149,7 +149,7 @@ def _sparse(dims: int):
                 langs, whole, out = [], [], []
                 for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     own = letters(text)
-                    for k in (len(own), *(1 << e for e in range(3, _POWERS) if 1 << e < len(own))) if own else ():
+                    for k in (len(own), *(1 << e for e in range(3, 10) if 1 << e < len(own))) if own else ():
                         if (c := gram_counts(own[:k].strip(), dims)) is not None:
                             langs.append(lang)
                             whole.append(k == len(own))
