@@ -9,8 +9,8 @@ Every word and every pair of all documents counts and is used. With c the counts
 which sums to one over the vocabulary; for a u that was never seen, P(v | u) = P(v). Both models know the scored documents
 themselves: a document of the target is among what its target model was counted from.
 
-Documents are numbered once, in chunks of about ``_WHOLE`` tokens that are one row each. A chunk sends its distinct words, and then its
-distinct pairs, with their counts through a shuffle, in ranges of their hashes: a row is what a chunk has in a range, packed and in order, so
+Documents are numbered once, in chunks of about ``_WHOLE`` tokens that are one file of the workspace each and never shuffled; tasks get them by name. A
+chunk sends its distinct words, and then its distinct pairs, with their counts through a shuffle, in ranges of their hashes: a row is what a chunk has in a range, packed and in order, so
 a pair is about nine bytes. Where the rows of a range meet they are summed, and each chunk gets back the sums of what other chunks hold
 too. The number of ranges grows with the tokens, so a range is about ``_RANGE`` of them whatever the input; a very common word is one number
 a chunk, and nothing is broadcast but the targets' ids. Words and pairs go by 64-bit hashes; two of one hash would be counted as one.
@@ -23,6 +23,7 @@ the target model is uniform. Repeated rows count as often as they stand there. K
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -34,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free, give_back, sized, slices, staged
+from .shared import give_back, new_folder, sized, slices, staged, store
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_WHOLE = 1 << 22
+_WHOLE = 1 << 21
 _RANGE = 1 << 21
 _SLICE = 1 << 16
 _SEQ = 12
@@ -49,27 +50,32 @@ class LMParams:
     threshold: float = 0.0
 
 
-_PACKED = "chunk long, lengths binary, targets binary, ids binary, hashes binary"
+_CHUNKS = "chunk long, name string, tokens long"
+_PARTS = ("lengths", "targets", "ids", "hashes", "head")
 
 
-def _packed(kept: pa.Schema):
-    """Rows (target, text, kept columns) become chunks, a row each: the kept columns as Arrow bytes, token numbers and the words' hashes."""
+def _packed(kept: pa.Schema, folder: str):
+    """Rows (target, text, kept columns) become chunks, a file each: token numbers, the words' hashes and the kept columns. A row a file comes out."""
 
     def run(batches):
+        files, top = store(folder)
         words, heads, lengths, targets, ids, n, seq = None, [], [], [], [], 0, 0
 
         def out():
+            if seq >= 1 << _SEQ:
+                raise ValueError("a partition has too many tokens; read the documents in smaller parts")
             rows = pa.Table.from_batches(heads, kept).combine_chunks()
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema) as w:
                 w.write_table(rows)
             hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in words), np.uint64, len(words))
-            if seq >= 1 << _SEQ:
-                raise ValueError("a partition has too many tokens; read the documents in smaller parts")
-            chunk = (TaskContext.get().partitionId() << _SEQ) + seq
             body = (np.array(lengths, np.int32), np.array(targets, np.bool_), np.concatenate([np.zeros(0, np.int32), *ids]), hashes)
-            cols = [pa.array([chunk], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in body), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, names=["chunk", "lengths", "targets", "ids", "hashes", "head"])
+            packed = pa.RecordBatch.from_arrays([*(pa.array([x.tobytes()], pa.binary()) for x in body), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=list(_PARTS))
+            name = uuid.uuid4().hex
+            with files.open_output_stream(f"{top}/{name}", compression=None) as f, pa.ipc.new_stream(f, packed.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(packed)
+            chunk = (TaskContext.get().partitionId() << _SEQ) + seq
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([name]), pa.array([len(body[2])], pa.int64())], names=["chunk", "name", "tokens"])
 
         for batch in batches:
             for b in slices(batch, 1):
@@ -97,6 +103,26 @@ def _packed(kept: pa.Schema):
     return run
 
 
+def _unpacked(source, name: str):
+    """(lengths, targets, ids, hashes) and the kept columns of a chunk."""
+    files, top = source
+    with files.open_input_stream(f"{top}/{name}", compression=None) as f:
+        row = pa.ipc.open_stream(f).read_all().combine_chunks()
+    part = lambda k, kind: np.frombuffer(row.column(k).chunk(0)[0].as_buffer(), kind)
+    return [part(0, np.int32), part(1, np.bool_), part(2, np.int32), part(3, np.uint64)], row.column(4).chunk(0)[0].as_buffer()
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers that are not negative, each in as many bytes as the largest takes, which the first byte tells."""
+    most = int(x.max()) if x.size else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _keys(lengths: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
     """For each token of a chunk the number of its pair."""
     prior = np.zeros(len(ids), np.int64)
@@ -106,11 +132,6 @@ def _keys(lengths: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
     return prior * size + ids
 
 
-def _unpacked(b, k: int, names) -> list[np.ndarray]:
-    kinds = {"lengths": np.int32, "targets": np.bool_, "ids": np.int32, "hashes": np.uint64}
-    return [np.frombuffer(b.column(c)[k].as_buffer(), kinds[c]) for c in names]
-
-
 def _sums(which: np.ndarray, size: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How often each number below size occurs, in all tokens and in the target's."""
     return np.bincount(which, minlength=size), np.bincount(which[own], minlength=size)
@@ -145,21 +166,22 @@ def _of_pairs(lengths, targets, ids, hashes):
 _SENT = "range long, chunk long, start long, keys binary, counts binary"
 
 
-def _sent(counted, bits: int):
+def _sent(counted, bits: int, folder: str):
     """Chunks become rows of what they hold in each range of hashes: hashes in order, and their counts."""
 
     def run(batches):
+        source = store(folder)
         for b in batches:
-            for k in range(b.num_rows):
-                keys, counts = counted(*_unpacked(b, k, ("lengths", "targets", "ids", "hashes")))
+            for chunk, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                keys, counts = counted(*_unpacked(source, name)[0])
                 order = np.argsort(keys, kind="stable")
-                keys, counts = keys[order], np.stack(counts)[:, order].astype(np.uint32)
-                edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+                keys, counts = keys[order], np.stack(counts)[:, order]
+                edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
                 starts = np.unique([0, *edges])
                 for lo, hi in zip(starts, [*starts[1:], len(keys)], strict=True):
                     if hi > lo:
-                        at = int(keys[lo]) >> (64 - bits) if bits else 0
-                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), b.column(0).slice(k, 1), pa.array([lo], pa.int64()), pa.array([keys[lo:hi].tobytes()], pa.binary()), pa.array([counts[:, lo:hi].tobytes()], pa.binary())], names=["range", "chunk", "start", "keys", "counts"])
+                        cols = [[int(keys[lo]) >> (64 - bits)], [chunk], [lo], [keys[lo:hi].tobytes()], [_narrow(counts[:, lo:hi])]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["range", "chunk", "start", "keys", "counts"])
         give_back()
 
     return run
@@ -174,7 +196,7 @@ def _summed(kind: int, width: int):
 
     def out(held):
         keys = np.concatenate([np.frombuffer(x[2], np.uint64) for x in held])
-        counts = np.concatenate([np.frombuffer(x[3], np.uint32).reshape(width, -1) for x in held], axis=1)
+        counts = np.concatenate([_wide(x[3]).reshape(width, -1) for x in held], axis=1)
         order = np.argsort(keys, kind="stable")
         new = np.r_[True, keys[order][1:] != keys[order][:-1]]
         of = np.empty(len(keys), np.int64)
@@ -187,7 +209,7 @@ def _summed(kind: int, width: int):
             more = np.flatnonzero((own != whole).any(axis=0))
             at += n
             if len(more) or any(told):
-                cols = [[chunk], [kind], [(start + more).astype(np.int64).tobytes()], [whole[:, more].tobytes()], *([x] for x in told)]
+                cols = [[chunk], [kind], [_narrow(start + more)], [_narrow(whole[:, more])], *([x] for x in told)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in _BACK.split(", ")])
             told = (0, 0, 0)
 
@@ -207,19 +229,19 @@ def _summed(kind: int, width: int):
     return run
 
 
-def _scored(kept: pa.Schema, names, totals, size: int, p: LMParams):
-    """Rows (chunk, kind, place, sums, packed chunk), of each chunk the sums first (1 words, 2 pairs), then the chunk (3)."""
+def _scored(kept: pa.Schema, names, totals, size: int, p: LMParams, folder: str):
+    """Rows (chunk, kind, place, sums, name), of each chunk the sums first (1 words, 2 pairs), then the chunk's file (3)."""
 
-    def scored(b, k, sums):
-        lengths, targets, ids, hashes = _unpacked(b, k, ("lengths", "targets", "ids", "hashes"))
+    def scored(source, name, sums):
+        (lengths, targets, ids, hashes), head = _unpacked(source, name)
         key, of = np.unique(_keys(lengths, ids, len(hashes)), return_inverse=True)
         word = _chunk_words(lengths, targets, ids, hashes)
         pair = [*_sums(of, len(key), np.repeat(targets, lengths))]
         for kind, values, names_of in ((1, word, hashes), (2, pair, pair_hashes(hashes[key // len(hashes)], hashes[key % len(hashes)]))):
             order = np.argsort(names_of, kind="stable")
             for place, whole in sums[kind]:
-                at = order[np.frombuffer(place, np.int64)]
-                for x, y in zip(values, np.frombuffer(whole, np.int64).reshape(len(values), -1), strict=True):
+                at = order[_wide(place)]
+                for x, y in zip(values, _wide(whole).reshape(len(values), -1), strict=True):
                     x[at] = y
         u, v = key // len(hashes), key % len(hashes)
         doc, out = np.repeat(np.arange(len(lengths)), lengths), []
@@ -232,20 +254,21 @@ def _scored(kept: pa.Schema, names, totals, size: int, p: LMParams):
         none = n == 0
         a, c = (x / np.maximum(n, 1) for x in out)
         s = (out[0] - out[1]) / np.maximum(n, 1)
-        head = pa.ipc.open_stream(b.column(len(b.columns) - 1)[k].as_buffer()).read_all().combine_chunks()
+        head = pa.ipc.open_stream(head).read_all().combine_chunks()
         cols = [*(head.column(i).combine_chunks() for i in range(len(kept))), pa.array(s, mask=none), pa.array(n), *(pa.array(x, mask=none) for x in (a, c)), pa.array(~none & (s < p.threshold))]
         return pa.Table.from_arrays(cols, names=names)
 
     def run(batches):
+        source = store(folder)
         chunk, sums = None, {1: [], 2: []}
         for b in batches:
-            for k, (own, kind) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            for own, kind, place, whole, name in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 if own != chunk:
                     chunk, sums = own, {1: [], 2: []}
                 if kind < 3:
-                    sums[kind].append((b.column(2)[k].as_py(), b.column(3)[k].as_py()))
+                    sums[kind].append((place, whole))
                     continue
-                yield from scored(b, k, sums).to_batches(max_chunksize=_SLICE)
+                yield from scored(source, name, sums).to_batches(max_chunksize=_SLICE)
                 sums = {1: [], 2: []}
         give_back()
 
@@ -265,21 +288,23 @@ def score(docs: DataFrame, labels: DataFrame, label: str, keep, p: LMParams = LM
     rows = rows.join(sized(ids), F.col("_own") == F.col("_of"), "left").select(F.coalesce("_target", F.lit(False)).alias("target"), "_text", *(F.col("_kept")[c].alias(n) for c, n in zip(kept, names, strict=True)))
     plain = rows.select(*names)
     schema = pa.schema([pa.field(n, x.type) for n, x in zip(names, plain.limit(0).toArrow().schema, strict=True)])
-    chunks = staged(rows.mapInArrow(_packed(schema), f"{_PACKED}, head binary"), "chunks")
-    body = chunks.drop("head")
-    tokens = chunks.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    bits = max(3, (tokens // 4 // _RANGE).bit_length())
+    folder = new_folder(spark, "chunks")
+    files, top = store(folder)
+    files.create_dir(top, recursive=True)
+    chunks = staged(rows.mapInArrow(_packed(schema, folder), _CHUNKS), "chunk-index")
+    n_chunks, tokens = chunks.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    bits = max(3, (tokens // _RANGE).bit_length())
+    body = chunks.select("chunk", "name").repartition(max(1, min(n_chunks, 20_000)))
 
     def back(counted, kind: int, width: int) -> DataFrame:
-        sent = body.mapInArrow(_sent(counted, bits), _SENT)
+        sent = body.mapInArrow(_sent(counted, bits, folder), _SENT)
         return sent.repartition(min(1 << bits, 20_000), "range").sortWithinPartitions("range").mapInArrow(_summed(kind, width), _BACK)
 
     of_words = staged(back(_of_words, 1, 4), "words")
     size, n, n_target = of_words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("distinct", "total", "total_target"))).first()
-    both = of_words.unionByName(back(_of_pairs, 2, 2)).select("chunk", "kind", "place", "sums").unionByName(chunks.withColumn("kind", F.lit(3)), allowMissingColumns=True)
+    both = of_words.unionByName(back(_of_pairs, 2, 2)).select("chunk", "kind", "place", "sums").unionByName(chunks.select("chunk", F.lit(3).alias("kind"), "name"), allowMissingColumns=True)
     kinds = (T.DoubleType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.BooleanType())
     out = T.StructType([*(T.StructField(f.name, f.dataType) for f in plain.schema.fields), *(T.StructField(f"_{c}", t) for c, t in zip(MADE, kinds, strict=True))])
-    run = _scored(schema, out.names, (n, n_target), size + 2, p)
-    cols = ["chunk", "kind", "place", "sums", "lengths", "targets", "ids", "hashes", "head"]
-    made = both.select(*cols).repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, out)
+    run = _scored(schema, out.names, (n, n_target), size + 2, p, folder)
+    made = both.select("chunk", "kind", "place", "sums", "name").repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, out)
     return made.toDF(*kept, *MADE)
