@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed value: the 97.5 % point of the normal distribution.
-Z = 1.959963984540054
+#: Fixed value: half the width of a 95 % interval, in standard deviations.
+Z = 1.96
 
 
 def ratio(n, d) -> Column:
@@ -15,11 +15,10 @@ def ratio(n, d) -> Column:
 
 
 def wilson(n, total) -> tuple[Column, Column]:
-    """Ends of the 95 % Wilson interval of n out of total; (0, 0) of none."""
+    """Ends of the 95 % Wilson interval of n out of total, as they come, rounding may lead past 0 and 1; (0, 0) of none."""
     p, n2 = n / total, Z * Z / total
     mid, half = (p + n2 / 2) / (1 + n2), Z / (1 + n2) * F.sqrt(p * (1 - p) / total + n2 / (4 * total))
-    clip = lambda x: F.when(total == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
-    return clip(mid - half), clip(mid + half)
+    return F.when(total == 0, 0.0).otherwise(mid - half), F.when(total == 0, 0.0).otherwise(mid + half)
 
 
 def odds_ratio(a, b, c, d) -> tuple[Column, Column, Column]:
@@ -29,12 +28,6 @@ def odds_ratio(a, b, c, d) -> tuple[Column, Column, Column]:
     return F.exp(log), F.exp(log - half), F.exp(log + half)
 
 
-def average_rank(value: str) -> Column:
-    """Rank of a column over all rows, ties sharing their mean rank."""
-    order = Window.orderBy(value)
-    return F.rank().over(order) + (F.count("*").over(Window.partitionBy(value)) - 1) / 2
-
-
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: rho, NaN where a side is constant or there are fewer than two pairs.
 

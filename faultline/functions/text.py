@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import html
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ascii_fold(c) -> Column:
@@ -18,12 +21,14 @@ def squeezed(c) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+@F.arrow_udf(T.StringType())
+def _unescaped(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
+
+
 def fix_title(c) -> Column:
-    """A commit subject without tags, with the five XML entities decoded and white space squeezed."""
-    out = F.regexp_replace(c, "<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return squeezed(out)
+    """A commit subject without tags, with HTML entities decoded and white space squeezed. Entities need their table, so this is Arrow."""
+    return squeezed(_unescaped(F.regexp_replace(c, "<[^>]*>", "")))
 
 
 def plain_function(c) -> Column:
@@ -110,6 +115,13 @@ def link_key(link) -> Column:
     return F.when((F.size(own) == 1) & is_key(key), key)
 
 
+def absolute_url(link, base: str) -> Column:
+    """link on the site of base (scheme://host): a path becomes a whole URL; null for other sites, other schemes and white space."""
+    own = origin(link)
+    whole = F.when(link.rlike(r"^/(?!/)[^\s]*$"), F.concat(F.lit(base.rstrip("/")), link)).when(link.rlike(r"^[^/?#:\s][^?#:\s]*(?:[?#]\S*)?$"), F.concat(F.lit(base.rstrip("/") + "/"), link))
+    return F.coalesce(whole, F.when((own == origin(F.lit(base))) & ~link.rlike(r"\s"), link))
+
+
 def origin(url) -> Column:
     """scheme://host[:port], lower-cased; null for anything but http and https, and with user names in it."""
     got = r"^([hH][tT][tT][pP][sS]?)://([^/?#@\s]+)"

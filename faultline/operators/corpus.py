@@ -38,30 +38,76 @@ def classified(bugs: DataFrame) -> DataFrame:
     return rows.withColumn("access_mode", classify.access_mode(F.col("title"), F.col("family")))
 
 
+def lines_of(text):
+    """A text's lines, without the empty one after a last line end."""
+    lines = F.split(text, r"\r\n|[\n\r\u000B\u000C\u001C\u001D\u001E\u0085\u2028\u2029]")
+    return F.when(F.try_element_at(lines, F.lit(-1)) == "", F.slice(lines, 1, F.greatest(F.lit(0), F.size(lines) - 1))).otherwise(lines)
+
+
 def report_lines(reports: DataFrame) -> DataFrame:
-    """bug_id, line_no (from 1), line: a report's lines, without the empty one after a last line end."""
-    lines = F.split("report", r"\r\n|[\n\r\u000B\u000C\u001C\u001D\u001E\u0085  ]")
-    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.greatest(F.lit(0), F.size(lines) - 1))).otherwise(lines)
-    return reports.select("bug_id", F.posexplode(lines).alias("at", "line")).select("bug_id", (F.col("at") + 1).alias("line_no"), "line")
+    """bug_id, line_no (from 1), line: a report's lines."""
+    return reports.select("bug_id", F.posexplode(lines_of(F.col("report"))).alias("at", "line")).select("bug_id", (F.col("at") + 1).alias("line_no"), "line")
+
+
+def heads_with(line, guards, pattern: str):
+    """Does pattern occur in line? guards: lower-case texts one of which is in every line that it occurs in; they are far cheaper to look for."""
+    low = F.lower(line)
+    there = F.contains(low, F.lit(guards[0]))
+    for g in guards[1:]:
+        there = there | F.contains(low, F.lit(g))
+    return there & line.rlike(pattern)
+
+
+#: Headings after which a report tells of other moments or tasks than the failing access.
+HISTORY = (
+    ("allocation", ("allocated",), r"(?i)Allocated by task|Page(?: last)? allocated via order"),
+    ("free", ("free",), r"(?i)Freed by task|Page last free stack trace"),
+    ("origin", ("uninit was", "origin:", "local variable"), r"(?i)Uninit was (?:created|stored)\b|Origin:|Local variable"),
+    ("memory", ("the buggy address", "memory state", "page_owner"), r"(?i)The buggy address (?:belongs|is located)|Memory state around|page_owner tracks the page"),
+    ("other", ("backtrace of", "unwind stack"), r"(?i)(?:stack backtrace|backtrace) of (?:CPU|task)|unwind stack type:"),
+)
+
+
+def split_report(report):
+    """struct main, free, allocation: what stands before the first heading, and below the first heading of each kind up to the next of any."""
+    lines = lines_of(report)
+    kind = lambda x: F.coalesce(*(F.when(heads_with(x, guards, p), F.lit(name)) for name, guards, p in HISTORY))
+    heads = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), kind(x).alias("kind"))), lambda h: h["kind"].isNotNull())
+
+    def below(name: str):
+        own = F.get(F.filter(F.transform(heads, lambda h, i: F.struct(h["at"], h["kind"], i.alias("i"))), lambda h: h["kind"] == name), F.lit(0))
+        end = F.coalesce(F.get(heads, own["i"] + 1)["at"], F.size(lines))
+        return F.when(own.isNull(), "").otherwise(F.array_join(F.slice(lines, own["at"] + 2, end - own["at"] - 1), "\n"))
+
+    first = F.coalesce(F.get(heads, F.lit(0))["at"], F.size(lines))
+    return F.struct(F.array_join(F.slice(lines, 1, first), "\n").alias("main"), below("free").alias("free"), below("allocation").alias("allocation"))
+
+
+def evidence_lines(evidence, report):
+    """Where the lines of evidence stand in a report, each after the one before: an array of struct report_line (from 1), text. Blank lines
+    and lines that are not there are left out; white space at the ends does not count."""
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    rows = F.transform(lines_of(report), lambda x, i: F.struct((i + 1).alias("report_line"), x.alias("text")))
+    wanted = F.filter(F.transform(lines_of(evidence), bare), lambda x: x != "")
+    none = F.expr("cast(array() as array<struct<report_line:int,text:string>>)")
+
+    def step(found, line):
+        after = F.coalesce(F.try_element_at(found, F.lit(-1))["report_line"], F.lit(0))
+        next_one = F.slice(F.filter(rows, lambda r: (r["report_line"] > after) & (bare(r["text"]) == line)), 1, 1)
+        return F.concat(found, next_one)
+
+    return F.aggregate(wanted, none, step)
 
 
 def classified_with_reports(bugs: DataFrame, reports: DataFrame) -> DataFrame:
     """bugs plus family and access_mode from the report's failing part first, then the title."""
-    main = F.split(F.coalesce("report", F.lit("")), HISTORY)[0]
-    lines = F.split(main, "\n")
+    lines = lines_of(split_report(F.coalesce("report", F.lit("")))["main"])
     heads = F.transform(F.filter(lines, lambda x: x.rlike(classify.DIAGNOSTIC)), F.trim)
     out = bugs.join(reports.select("bug_id", "report"), "bug_id", "left").withColumn("_lines", lines)
     out = out.withColumn("family", classify.family(F.col("title"), heads))
     return out.withColumn("access_mode", classify.access_mode(F.col("title"), F.col("family"), F.col("_lines"))).drop("_lines", "report")
 
 
-#: Fixed value: headings after which a report tells of other moments than the failing one.
-HISTORY = (
-    r"(?im)^.*(Allocated by task|Page( last)? allocated via order|Freed by task|Page last free stack trace|Uninit was (created|stored)\b|Origin:|Local variable|"
-    r"The buggy address (belongs|is located)|Memory state around|page_owner tracks the page|(stack backtrace|backtrace) of (CPU|task)|unwind stack type:)"
-)
-
-
 def is_markup(text):
     """Does the text start as HTML, behind a byte order mark or white space?"""
     return F.coalesce(F.lower(F.substring(text, 1, 4096)).rlike(r"^[﻿\s]*<(!doctype|html|head|body|\?xml|!--)"), F.lit(False))
