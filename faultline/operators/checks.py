@@ -61,3 +61,43 @@ def identity_coverage(refs: DataFrame, patches: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("kind")).alias("sources"), F.count_distinct("hash").alias("hashes"), F.coalesce(F.bool_or("ok"), F.lit(False)).alias("any_patch"),
         F.bool_and(F.coalesce("ok", F.lit(False))).alias("all_patched"),
     )
+
+
+def _counted(bad: DataFrame, name: str) -> DataFrame:
+    return bad.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(name).alias("check"), "n")
+
+
+def associations(snapshots: DataFrame, members: DataFrame, reports: DataFrame, report_versions: DataFrame, patches: DataFrame, patch_versions: DataFrame, located: DataFrame) -> DataFrame:
+    """check, n of the seven associations of a snapshot that are broken.
+
+    snapshots (snapshot_id, is_current), members (snapshot_id, bug_id, version_id), reports (snapshot_id, bug_id, report_version, crash_version),
+    report_versions (report_version, bug_id, is_valid), patches (snapshot_id, hash, patch_version), patch_versions (patch_version, hash,
+    is_valid), located (kind 'report' or 'patch', version: what locations were read from).
+    """
+    r = reports.join(report_versions.select("report_version", F.col("bug_id").alias("_owner"), F.col("is_valid").alias("_valid")), "report_version")
+    member = members.select("snapshot_id", "bug_id", "version_id")
+    p = patches.join(patch_versions.select("patch_version", F.col("hash").alias("_hash"), F.col("is_valid").alias("_valid")), "patch_version")
+    current = snapshots.where("is_current").select("snapshot_id")
+    read = lambda kind, name: located.where(F.col("kind") == kind).select(F.col("version").alias(name)).distinct()
+    active = members.join(current, "snapshot_id", "left_semi").join(report_versions.where("is_valid").select("bug_id").distinct(), "bug_id", "left_semi")
+    found = (
+        (r.join(member, ["snapshot_id", "bug_id"]).where("_owner <> bug_id or crash_version <> version_id"), "snapshot report ownership mismatch"),
+        (p.where("_hash <> hash"), "snapshot patch ownership mismatch"),
+        (r.where("not _valid"), "snapshot uses invalid report version"), (p.where("not _valid"), "snapshot uses invalid patch version"),
+        (active.join(reports.select("snapshot_id", "bug_id"), ["snapshot_id", "bug_id"], "left_anti"), "active report has no snapshot association"),
+        (reports.join(current, "snapshot_id", "left_semi").join(read("report", "report_version"), "report_version", "left_anti"), "active report has no current location extraction"),
+        (patches.join(current, "snapshot_id", "left_semi").join(read("patch", "patch_version"), "patch_version", "left_anti"), "active patch has no current location extraction"),
+    )
+    return reduce(DataFrame.unionByName, (_counted(*f) for f in found))
+
+
+def missing(members: DataFrame, classified: DataFrame, version: int, patches: DataFrame, covered: DataFrame) -> DataFrame:
+    """check, n: members whose classification is missing or of another version, valid patches whose coverage is missing."""
+    fresh = classified.where(F.col("classifier_version") == version).select("bug_id")
+    return _counted(members.join(fresh, "bug_id", "left_anti"), "missing or stale bug characteristics").unionByName(_counted(patches.where("is_valid").join(covered.select("hash"), "hash", "left_anti"), "missing patch coverage"))
+
+
+def orphans(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """kind, key, issue: files (kind, key) that nothing refers to, and wanted ones that are not there."""
+    f, w = files.select("kind", "key").distinct(), wanted.select("kind", "key").distinct()
+    return f.join(w, ["kind", "key"], "left_anti").withColumn("issue", F.lit("orphan")).unionByName(w.join(f, ["kind", "key"], "left_anti").withColumn("issue", F.lit("missing")))

@@ -89,20 +89,39 @@ def select(c: corpus.Corpus, criteria: Criteria) -> DataFrame:
     return rows
 
 
+def current(bugs: DataFrame, members: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The bugs that are members (bug_id, snapshot_id) of the snapshot (snapshot_id, is_current) that is current."""
+    now = F.broadcast(snapshots.where("is_current").select("snapshot_id").limit(1))  # at most one row
+    return bugs.join(members.join(now, "snapshot_id", "left_semi").select("bug_id"), "bug_id", "left_semi")
+
+
 def page(rows: DataFrame, limit: int | None = 20, offset: int = 0) -> DataFrame:
     """Rows in listing order from offset on; no limit returns all."""
     rows = rows.orderBy("position").offset(offset) if offset else rows.orderBy("position")
     return rows if limit is None else rows.limit(limit)
 
 
+#: Rows of a page up to which it is looked at once and its ids are given to the scans as literals.
+PAGE_ROWS = 1_000
+
+
 def enriched(chosen: DataFrame, c: corpus.Corpus) -> DataFrame:
-    """A page plus tags, sites, fix hashes and report flag; only chosen bugs reach the child relations' joins."""
-    own = chosen.select("bug_id")
-    few = F.broadcast(own) if chosen.limit(10_001).count() <= 10_000 else own
-    tags = c.tags.join(few, "bug_id", "left_semi").groupBy("bug_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
-    hashes = c.refs.where("hash is not null").join(few, "bug_id", "left_semi").groupBy("bug_id").agg(F.array_sort(F.collect_set("hash")).alias("hashes"))
-    sites = c.sites.join(few, "bug_id", "left_semi").groupBy("bug_id").agg(F.array_sort(F.collect_set(F.struct("path", "line", "function"))).alias("sites"))
-    valid = c.reports.where(corpus.valid_report(F.col("report"))).join(few, "bug_id", "left_semi").select("bug_id", F.lit(True).alias("has_report"))
+    """A page plus tags, sites, fix hashes and report flag.
+
+    A page of up to PAGE_ROWS rows is worked out once and held as a local relation; its ids are pushed into the scans of the
+    child relations. A larger one is joined.
+    """
+    got = chosen.limit(PAGE_ROWS + 1).toArrow()
+    if got.num_rows <= PAGE_ROWS:
+        chosen = chosen.sparkSession.createDataFrame(got.to_pylist(), chosen.schema)
+        ids = got.column("bug_id").to_pylist()
+        of = lambda df: df.where(F.col("bug_id").isin(*ids))
+    else:
+        of = lambda df: df.join(chosen.select("bug_id"), "bug_id", "left_semi")
+    tags = of(c.tags).groupBy("bug_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    hashes = of(c.refs).where("hash is not null").groupBy("bug_id").agg(F.array_sort(F.collect_set("hash")).alias("hashes"))
+    sites = of(c.sites).groupBy("bug_id").agg(F.array_sort(F.collect_set(F.struct("path", "line", "function"))).alias("sites"))
+    valid = of(c.reports).where(corpus.valid_report(F.col("report"))).select("bug_id", F.lit(True).alias("has_report"))
     out = chosen
     for side in (tags, hashes, sites, valid):
         out = out.join(side, "bug_id", "left")

@@ -5,24 +5,80 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fix_title
+
+
+def _said(c: str):
+    return F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))
+
+
+def _sources(pairs):
+    """The kinds of an array of struct(position, kind), each once, in the order of their first position."""
+    return F.array_distinct(F.transform(F.sort_array(pairs), lambda p: p["kind"]))
+
+
+def _first_positions(kind, position):
+    """Per kind its first position, as an aggregation: bounded by the kinds there are, not by the references."""
+    return F.array_compact(F.array(*(F.when(F.min(F.when(kind == k, position)).isNotNull(), F.struct(F.min(F.when(kind == k, position)).alias("position"), F.lit(k).alias("kind"))) for k in KINDS)))
+
+
+#: Where references come from.
+KINDS = ("listing", "detail")
+
 
 def merge(refs: DataFrame) -> DataFrame:
-    """bug_id, hash, title, repo, sources, references: the fixes that references of both kinds speak of.
+    """bug_id, position, hash, title, repo, sources, references: the fixes that references of both kinds speak of, each at its first position.
 
-    References with one hash are one fix, whose title and repo are the first that are not empty in the order of kind, title and
-    repo. A reference by title alone belongs to the fix of its title and repo if there is exactly one, else it is a
-    fix of its own without a hash: an ambiguous title never borrows a hash. Both phases aggregate before they join.
+    References with one hash are one fix, whose title and repo are the first that are not empty, by position. A reference by title
+    alone belongs to the fix of its title and repo if there is exactly one, else it is a fix of its own without a hash, with all others of the
+    same title and repo: an ambiguous title never borrows a hash. One without a title is alone. sources: kinds in the order first seen; those of
+    references by title alone come after. Both phases aggregate before they join.
     """
-    order = F.struct("kind", "title", "repo")
-    named = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))
-    first = lambda c: F.coalesce(F.min(F.when(named(c).isNotNull(), F.struct(order, named(c).alias("v"))))["v"], F.lit(""))
-    hashed = refs.where("hash is not null").groupBy("bug_id", "hash").agg(first("title").alias("title"), first("repo").alias("repo"), F.collect_set("kind").alias("sources"), F.count("*").alias("references"))
-    bare = refs.where("hash is null").groupBy("bug_id", "title", "repo").agg(F.collect_set("kind").alias("sources"), F.count("*").alias("references"))
-    only = hashed.where("title <> ''").groupBy("bug_id", "title", "repo").agg(F.count("*").alias("n"), F.min("hash").alias("of")).where("n = 1").drop("n")
-    bare = bare.join(only, ["bug_id", "title", "repo"], "left").select("bug_id", F.col("of").alias("hash"), "title", "repo", "sources", "references")
-    whole = hashed.unionByName(bare)
-    known = whole.where("hash is not null").groupBy("bug_id", "hash").agg(F.min("title").alias("title"), F.min("repo").alias("repo"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), F.sum("references").alias("references"))
-    return known.unionByName(whole.where("hash is null").withColumn("sources", F.array_sort("sources")))
+    first = lambda c: F.coalesce(F.min(F.when(_said(c).isNotNull(), F.struct("position", _said(c).alias("v"))))["v"], F.lit(""))
+    own = (F.min("position").alias("position"), _first_positions(F.col("kind"), F.col("position")).alias("seen"), F.count("*").alias("references"))
+    hashed = refs.where("hash is not null").groupBy("bug_id", "hash").agg(first("title").alias("title"), first("repo").alias("repo"), *own)
+    bare = refs.where("hash is null").withColumn("_alone", F.when(F.coalesce("title", F.lit("")) == "", F.col("position")))
+    bare = bare.groupBy("bug_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("repo", F.lit("")).alias("repo"), "_alone").agg(*own).drop("_alone")
+    only = hashed.where("title <> ''").groupBy("bug_id", "title", "repo").agg(F.count("*").alias("n"), F.min("hash").alias("hash")).where("n = 1").drop("n")
+    bare = bare.join(only, ["bug_id", "title", "repo"], "left")
+    borrowed = bare.where("hash is not null").groupBy("bug_id", "hash").agg(F.min("position").alias("_p"), F.first("seen").alias("_seen"), F.sum("references").alias("_n"))
+    known = hashed.join(borrowed, ["bug_id", "hash"], "left")
+    sources = F.array_distinct(F.concat(_sources(F.col("seen")), F.coalesce(_sources(F.col("_seen")), F.array().cast("array<string>"))))
+    known = known.select("bug_id", F.least("position", "_p").alias("position"), "hash", "title", "repo", sources.alias("sources"), (F.col("references") + F.coalesce("_n", F.lit(0))).alias("references"))
+    return known.unionByName(bare.where("hash is null").select("bug_id", "position", "hash", "title", "repo", _sources(F.col("seen")).alias("sources"), "references"))
+
+
+def ordered_union(refs: DataFrame) -> DataFrame:
+    """refs with each (bug_id, lower-cased hash, title, repo) once, where it stands first: listings before details, each by position."""
+    side = F.when(F.col("kind") == KINDS[0], 0).otherwise(1)
+    rest = [c for c in refs.columns if c not in ("bug_id", "hash", "title", "repo")]
+    row = F.min(F.struct(side.alias("_side"), "position", *(F.col(c) for c in rest if c != "position"))).alias("_row")
+    return refs.withColumn("hash", F.lower("hash")).groupBy("bug_id", "hash", "title", "repo").agg(row).select("bug_id", "hash", "title", "repo", *(F.col(f"_row.{c}").alias(c) for c in rest))
+
+
+def research_fixes(refs: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """bug_id, hash, title, repo, position: each commit of a bug once, details before listings; what one reference leaves empty the next fills.
+
+    A reference without a hash takes that of its resolution (bug_id, title, repo, hash); what has none still is left out.
+    """
+    r = resolutions.where("hash is not null").groupBy("bug_id", "title", "repo").agg(F.max("hash").alias("_resolved"))
+    rows = refs.join(r, ["bug_id", "title", "repo"], "left").withColumn("hash", F.lower(F.coalesce("hash", "_resolved"))).where("hash is not null")
+    order = F.struct(F.when(F.col("kind") == KINDS[1], 0).otherwise(1).alias("side"), "position")
+    first = lambda c: F.coalesce(F.min(F.when(_said(c).isNotNull(), F.struct(order.alias("o"), _said(c).alias("v"))))["v"], F.lit(""))
+    return rows.groupBy("bug_id", "hash").agg(first("title").alias("title"), first("repo").alias("repo"), F.min(order)["position"].alias("position"))
+
+
+def patch_jobs(refs: DataFrame) -> DataFrame:
+    """hash, repo, bugs of each commit to fetch: the first repo that is not empty, by bug and position."""
+    first = F.min(F.when(_said("repo").isNotNull(), F.struct("bug_id", "position", "repo")))["repo"]
+    return refs.where("hash is not null").groupBy("hash").agg(F.coalesce(first, F.lit("")).alias("repo"), F.count_distinct("bug_id").alias("bugs"))
+
+
+def applicable_resolutions(resolutions: DataFrame, runs: DataFrame, refs: DataFrame) -> DataFrame:
+    """The accepted resolutions (identity columns bug_id, title, repo; hash, run) of completed runs that a reference by title alone asks for."""
+    done = runs.where("status = 'completed'").select("run")
+    wanted = refs.where("hash is null").select("bug_id", "title", "repo").distinct()
+    return resolutions.where("hash is not null").join(done, "run", "left_semi").join(wanted, ["bug_id", "title", "repo"], "left_semi")
 
 
 def unresolved(refs: DataFrame) -> DataFrame:
@@ -68,3 +124,11 @@ def latest_resolution(tries: DataFrame) -> DataFrame:
     """Of tries (identity, run, id, hash) the latest with a hash, by run, then id: one aggregation, no window."""
     best = F.max(F.struct("run", "id", "hash")).alias("b")
     return tries.where("hash is not null").groupBy("identity").agg(best).select("identity", "b.run", "b.id", "b.hash")
+
+
+def resolve_titles(wanted: DataFrame, log: DataFrame) -> DataFrame:
+    """identity, title, status, hash of wanted (identity, title): the hash of a commit log's (subject, hash) only subject that is the same."""
+    subjects = log.select(fix_title(F.col("subject")).alias("title"), "hash").groupBy("title").agg(F.count_distinct("hash").alias("n"), F.min("hash").alias("hash"))
+    out = wanted.withColumn("title", fix_title(F.col("title"))).join(subjects, "title", "left")
+    only = F.coalesce(F.col("n") == 1, F.lit(False))
+    return out.select("identity", "title", F.when(only, "resolved").otherwise("unresolved").alias("status"), F.when(only, F.col("hash")).alias("hash"))

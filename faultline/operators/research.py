@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import corpus, fixes
@@ -14,24 +14,33 @@ EVIDENCE = ("same-fix-commit", "same-crash-function", "same-fix-file", "same-cra
 RELATIONS = ("unknown", "different-file", "same-file", "same-function")
 
 
+def _evidence(c: corpus.Corpus, bug_id: int | None = None) -> DataFrame:
+    """evidence() before it is made distinct; of one bug, if that is given: its rows are picked before any join."""
+    own = lambda df: df if bug_id is None else df.where(F.col("bug_id") == bug_id)
+    commits = own(c.refs).where("hash is not null").select("bug_id", F.lit(EVIDENCE[0]).alias("kind"), F.col("hash").alias("value"))
+    sites = own(c.sites).select("bug_id", F.explode_outer(F.array_compact(F.array(*(F.when(F.col(v).isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(v).alias("value"))) for k, v in ((EVIDENCE[1], "function"), (EVIDENCE[3], "path")))))).alias("e"))
+    sites = sites.where("e is not null").select("bug_id", "e.*")
+    # files are made distinct by patch before they meet the bugs that refer to it
+    by_hash = c.ranges.select("hash", F.explode_outer(F.array_compact(F.array("old_path", "new_path"))).alias("value")).where("value is not null").distinct()
+    refs = own(c.refs).where("hash is not null").select("bug_id", "hash").distinct()
+    files = refs.join(by_hash.join(c.patches.where("is_valid").select("hash"), "hash", "left_semi"), "hash").select("bug_id", F.lit(EVIDENCE[2]).alias("kind"), "value")
+    return reduce(DataFrame.unionByName, (commits, sites, files))
+
+
 def evidence(c: corpus.Corpus) -> DataFrame:
     """bug_id, kind, value: what can tie a bug to another, each once."""
-    commits = c.refs.where("hash is not null").select("bug_id", F.lit(EVIDENCE[0]).alias("kind"), F.col("hash").alias("value"))
-    functions = c.sites.where("function is not null").select("bug_id", F.lit(EVIDENCE[1]).alias("kind"), F.col("function").alias("value"))
-    ranges = fixes.fix_ranges(c.refs, c.patches, c.ranges).select("bug_id", F.explode(F.array_compact(F.array("old_path", "new_path"))).alias("value"))
-    files = ranges.select("bug_id", F.lit(EVIDENCE[2]).alias("kind"), "value")
-    crash = c.sites.where("path is not null").select("bug_id", F.lit(EVIDENCE[3]).alias("kind"), F.col("path").alias("value"))
-    return reduce(DataFrame.unionByName, (commits, functions, files, crash)).distinct()
+    return _evidence(c).distinct()
 
 
 def related(c: corpus.Corpus, bug_id: int, limit: int = 10) -> DataFrame:
     """The bugs that share evidence with one bug, best first: bug_id, kinds, shared values.
 
-    The target's values are few and are broadcast to the evidence of all; nothing is compared pair by pair.
+    The target's values are few (those of one bug) and are broadcast to the evidence of all, which is made distinct only where it
+    meets them; nothing is compared pair by pair.
     """
-    every = evidence(c)
-    own = F.broadcast(every.where(F.col("bug_id") == bug_id).select("kind", "value"))
-    met = every.where(F.col("bug_id") != bug_id).join(own, ["kind", "value"])
+    every = _evidence(c)
+    own = F.broadcast(_evidence(c, bug_id).select("kind", "value").distinct())
+    met = every.where(F.col("bug_id") != bug_id).join(own, ["kind", "value"]).distinct()
     per = met.groupBy("bug_id").agg(F.collect_set("kind").alias("k"), F.array_sort(F.collect_set(F.concat_ws("=", "kind", "value"))).alias("shared"))
     flags = [F.array_contains("k", kind).cast("int").desc() for kind in EVIDENCE]
     kinds = F.filter(F.array(*map(F.lit, EVIDENCE)), lambda x: F.array_contains("k", x))
@@ -64,18 +73,28 @@ def totals(c: corpus.Corpus) -> DataFrame:
 
 
 def distributions(c: corpus.Corpus) -> DataFrame:
-    """dimension, value, bugs: a bug counts once for each value; all dimensions in one aggregation."""
+    """dimension, value, bugs: a bug counts once for each value; all dimensions in one aggregation.
+
+    A fix file goes by its new path, or its old one if it is deleted. What ranges say is made distinct by patch before it meets the bugs.
+    """
     rows = corpus.classified(c.bugs)
-    flat = rows.select("bug_id", F.explode(F.array(*(F.struct(F.lit(n).alias("dimension"), F.col(n).alias("value")) for n in ("bug_type", "family", "access_mode")))).alias("d")).select("bug_id", "d.*")
-    ranges = fixes.fix_ranges(c.refs, c.patches, c.ranges)
-    more = [
-        c.tags.select("bug_id", F.lit("subsystem").alias("dimension"), F.lower("tag").alias("value")),
-        c.sites.where("function is not null").select("bug_id", F.lit("crash_function").alias("dimension"), F.col("function").alias("value")),
-        ranges.where("function is not null").select("bug_id", F.lit("fix_function").alias("dimension"), F.col("function").alias("value")),
-        ranges.select("bug_id", F.lit("fix_file").alias("dimension"), F.explode(F.array_compact(F.array("old_path", "new_path"))).alias("value")),
-        relationships(c).select("bug_id", F.lit("relationship").alias("dimension"), F.col("relationship").alias("value")),
-    ]
-    return reduce(DataFrame.unionByName, more, flat).distinct().groupBy("dimension", "value").agg(F.count("*").alias("bugs"))
+    pair = lambda name, c: F.when(c.isNotNull(), F.struct(F.lit(name).alias("dimension"), c.alias("value")))
+    several = lambda df, key, *pairs: df.select(key, F.explode_outer(F.array_compact(F.array(*pairs))).alias("d")).where("d is not null").select(key, "d.*")
+    flat = several(rows, "bug_id", *(pair(n, F.col(n)) for n in ("bug_type", "family", "access_mode")))
+    sites = several(c.sites, "bug_id", pair("crash_function", F.col("function")))
+    by_hash = several(c.ranges, "hash", pair("fix_function", F.col("function")), pair("fix_file", F.coalesce("new_path", "old_path"))).distinct()
+    refs = c.refs.where("hash is not null").select("bug_id", "hash").distinct()
+    fixed = refs.join(by_hash.join(c.patches.where("is_valid").select("hash"), "hash", "left_semi"), "hash").select("bug_id", "dimension", "value").distinct()
+    tags = c.tags.select("bug_id", F.lit("subsystem").alias("dimension"), F.lower("tag").alias("value")).distinct()
+    closest = relationships(c).select("bug_id", F.lit("relationship").alias("dimension"), F.col("relationship").alias("value"))
+    return reduce(DataFrame.unionByName, (flat, sites, tags, fixed, closest)).groupBy("dimension", "value").agg(F.count("*").alias("bugs"))
+
+
+def ranked(rows: DataFrame, top: int | None = None) -> DataFrame:
+    """distributions() in the order they are shown: per dimension the most bugs first, then by value; the first ``top`` of each if given."""
+    place = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("bugs"), "value"))
+    out = rows.withColumn("place", place)
+    return out if top is None else out.where(F.col("place") <= top)
 
 
 def numeric_summary(rows: DataFrame, column: str) -> DataFrame:
@@ -100,7 +119,8 @@ def relationships(c: corpus.Corpus) -> DataFrame:
 
     A different file is only said if the patches' size is known and every pair differs; otherwise what is not close is unknown.
     """
-    ranges = fixes.fix_ranges(c.refs, c.patches, c.ranges).select("bug_id", "old_path", "new_path", F.col("function").alias("fix_function")).distinct()
+    by_hash = c.ranges.select("hash", "old_path", "new_path", F.col("function").alias("fix_function")).distinct().join(c.patches.where("is_valid").select("hash"), "hash", "left_semi")
+    ranges = c.refs.where("hash is not null").select("bug_id", "hash").distinct().join(by_hash, "hash").drop("hash")
     pairs = c.sites.join(ranges, "bug_id")
     rank = pair_relation(F.col("path"), F.col("function"), F.col("old_path"), F.col("new_path"), F.col("fix_function"))
     per = pairs.groupBy("bug_id").agg(F.max(rank).alias("best"), F.min(rank).alias("worst"))
@@ -111,8 +131,10 @@ def relationships(c: corpus.Corpus) -> DataFrame:
 
 
 def availability(c: corpus.Corpus) -> DataFrame:
-    """One row: bugs with a valid report, an available patch, each reproducer status."""
+    """One row: bugs with a valid report or without, with an available patch or without, without a tag, and of each reproducer status."""
     m = fixes.patch_metrics(c.bugs, c.refs, c.patches, c.ranges).select("bug_id", "has_patch")
     valid = c.reports.where(corpus.valid_report(F.col("report"))).select("bug_id", F.lit(1).alias("r"))
-    rows = c.bugs.select("bug_id", "repro_status").join(m, "bug_id").join(valid, "bug_id", "left")
-    return rows.agg(F.count("r").alias("with_report"), F.count_if("has_patch").alias("with_patch"), *(F.count_if(F.col("repro_status") == s).alias(f"repro_{s}") for s in ("available", "not_provided", "unknown")))
+    tagged = c.tags.select("bug_id", F.lit(1).alias("t")).distinct()
+    rows = c.bugs.select("bug_id", "repro_status").join(m, "bug_id").join(valid, "bug_id", "left").join(tagged, "bug_id", "left")
+    repro = (F.count_if(F.col("repro_status") == s).alias(f"repro_{s}") for s in ("available", "not_provided", "unknown"))
+    return rows.agg(F.count("r").alias("with_report"), F.count_if(F.col("r").isNull()).alias("without_report"), F.count_if("has_patch").alias("with_patch"), F.count_if(~F.col("has_patch")).alias("without_patch"), F.count_if(F.col("t").isNull()).alias("untagged"), *repro)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, stats
+from . import corpus, stacks
 
 
 def cohort(bugs: DataFrame) -> DataFrame:
@@ -117,19 +118,75 @@ def stack_distance(frames: DataFrame, sites: DataFrame, fix_functions: DataFrame
     return out.select("bug_id", value.alias("distance"))
 
 
+#: What says that a report's accesses happen in asynchronous work, and what begins a system call's function.
+ASYNCHRONOUS = ("workqueue", "process_one_work", "rcu_core", "call_rcu", "timer", "tasklet", "softirq", "irq/")
+SYSCALL = r"(?:__do_sys_|__se_sys_|\bdo_sys_|\bsys_)"
+
+
 def temporal_bucket(study_class, report):
-    """When memory was broken, relative to where it shows: one of five buckets."""
-    low = F.lower(study_class)
-    main, later = F.split(report, r"(?i)\n[^\n]*(?:Allocated|Freed) by task")[0], F.regexp_extract(report, r"(?is)Freed by task\s+\d+[^\n]*\n(.*)", 1)
-    now, then = F.regexp_extract(main, r"\bPID:\s*(\d+)", 1), F.regexp_extract(report, r"(?i)Freed by task\s+(\d+)", 1)
-    later_work = F.lower(F.concat(main, later)).rlike("workqueue|process_one_work|rcu_core|call_rcu|timer|tasklet|softirq|irq/")
-    calls = lambda text: F.regexp_extract_all(text, F.lit(r"\b((?:\w*__do_sys_|\w*__se_sys_|do_sys_|sys_)[\w.]*)\+0x"), F.lit(1))
-    freed = (
-        F.when(((now != "") & (then != "") & (now != then)) | later_work, "unbounded").when(later == "", "not determined")
-        .when(F.arrays_overlap(calls(main), calls(later)), "within the same syscall").when((now != "") & (now == then), "across syscalls within one session").otherwise("unbounded")
+    """struct bucket, confidence, reason: when memory was broken, relative to where it shows; one of five buckets.
+
+    Only the failing part of the report and the section on who freed the memory count.
+    """
+    low, parts = F.lower(study_class), corpus.split_report(report)
+    main, freed = parts["main"], parts["free"]
+    now, then = F.regexp_extract(main, r"\bPID:\s*(\d+)", 1), F.regexp_extract(report, r"Freed by task\s+(\d+)", 1)
+    known = (now != "") & (then != "")
+    work = F.lower(F.concat(main, freed))
+    later_work = F.lit(False)
+    for marker in ASYNCHRONOUS:
+        later_work = later_work | F.contains(work, F.lit(marker))
+    calls = lambda text: F.filter(F.transform(stacks.stack(corpus.lines_of(text)), lambda f: f["function"]), lambda f: f.rlike(SYSCALL))
+    told = lambda bucket, confidence, reason: F.struct(F.lit(bucket).alias("bucket"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
+    of_free = (
+        F.when((known & (now != then)) | later_work, told("unbounded", "high", "Free/access occur in different tasks or asynchronous contexts"))
+        .when(freed == "", told("not determined", "low", "UAF report has no usable free-stack anchor"))
+        .when(F.arrays_overlap(calls(main), calls(freed)), told("within the same syscall", "medium", "Free and manifestation stacks share a syscall frame"))
+        .when(known, told("across syscalls within one session", "medium", "Free/access share a task but not a syscall frame"))
+        .otherwise(told("unbounded", "medium", "A distinct free stack precedes the later invalid access"))
     )
+    has = lambda *needles: low.rlike("|".join(needles))
     return (
-        F.when(F.contains(low, F.lit("use-after-free")) | F.contains(low, F.lit("double free")), freed)
-        .when(low.rlike("out-of-bounds|null dereference|arithmetic/type ub|uninitialized"), "within the same syscall").when(F.contains(low, F.lit("data race")), "unbounded")
-        .when(low.rlike("deadlock|hang|lockup"), "not applicable").otherwise("not determined")
+        F.when(has("use-after-free", "double free"), of_free)
+        .when(has("out-of-bounds", "null dereference", "arithmetic/type ub", "uninitialized"), told("within the same syscall", "medium", "Detector fires at the invalid operation/consumption site"))
+        .when(has("data race"), told("unbounded", "medium", "Conflicting accesses may occur in independently scheduled contexts"))
+        .when(has("deadlock", "hang", "lockup"), told("not applicable", "medium", "No corruption-to-manifestation interval is defined for this liveness/locking failure"))
+        .otherwise(told("not determined", "low", "Report lacks an allocation/free/origin anchor suitable for Δt"))
     )
+
+
+def quality(site_path, site_confidence, grade, hunks, fixes, detector, functions):
+    """struct flags, review: what a study row should be looked at for, flags joined by '; '."""
+    flags = F.array_compact(F.array(
+        F.when((site_confidence == "low") | (F.coalesce(site_path, F.lit("")) == ""), "CS needs manual review"), F.when(grade.isNull(), "distance unresolved"),
+        F.when(grade.isin(4, 5), "D4/D5 uses path-based MAINTAINERS proxy"), F.when(hunks > 1, "multi-hunk maximum applied"), F.when(fixes > 1, "multiple fix commits"),
+        F.when(F.contains(detector, F.lit("KCSAN")), "dual conflicting access sites"), F.when(F.coalesce(F.size(functions), F.lit(0)) == 0, "FS function unresolved"),
+    ))
+    looked = F.exists(flags, lambda x: x.rlike("CS needs|distance unresolved|FS function unresolved"))
+    return F.struct(F.array_join(flags, "; ").alias("flags"), F.when(looked, "Manual review recommended").otherwise("Automated classification").alias("review"))
+
+
+def annotation(grade, stack, bucket):
+    """D?/S=?/Δt=? of a study row."""
+    return F.concat(F.coalesce(F.concat(F.lit("D"), grade), F.lit("Unresolved")), F.lit("/S="), F.coalesce(stack, F.lit("unknown")), F.lit("/Δt="), bucket)
+
+
+def far_shares(rows: DataFrame, by: str) -> DataFrame:
+    """by, bugs, resolved, far, local, far_share, low, high, off_stack, known_stack, off_share, unbounded, days: one table for any grouping.
+
+    rows: by, highest (grade), stack (S; null: unknown, 'inf': off the stack), bucket and days. Shares are of what is known.
+    """
+    known = F.col("stack").isNotNull()
+    out = rows.groupBy(by).agg(
+        F.count("*").alias("bugs"), F.count("highest").alias("resolved"), F.count_if(F.col("highest") >= 3).alias("far"), F.count_if(F.col("highest") <= 1).alias("local"),
+        F.count_if(F.col("stack") == "0").alias("on_site"), F.count_if(known & ~F.col("stack").isin("0", "inf")).alias("on_stack"), F.count_if(F.col("stack") == "inf").alias("off_stack"), F.count_if(known).alias("known_stack"),
+        F.count_if(F.col("bucket") == "unbounded").alias("unbounded"), F.median("days").alias("days"),
+    )
+    low, high = stats.wilson(F.col("far"), F.col("resolved"))
+    return out.select("*", stats.ratio(F.col("far"), F.col("resolved")).alias("far_share"), low.alias("low"), high.alias("high"), stats.ratio(F.col("off_stack"), F.col("known_stack")).alias("off_share"))
+
+
+def farthest(hunks: DataFrame, order: str) -> DataFrame:
+    """bug_id, lowest, highest, and the hunk (its order) that is the first with the highest grade."""
+    per = hunks.where("grade is not null").groupBy("bug_id").agg(F.min("grade").alias("lowest"), F.max(F.struct(F.col("grade"), (-F.col(order)).alias("o"))).alias("top"))
+    return per.select("bug_id", "lowest", F.col("top.grade").alias("highest"), (-F.col("top.o")).alias("farthest"))

@@ -1,14 +1,12 @@
 """The engine's relations, derived from the driver's star schema by deterministic expressions.
 
 A defect is an order; its tags come from the customer, its fix references from line items, patches from suppliers, changed
-ranges from the parts a supplier delivers, and its report is a text put together from the order's numbers.
+ranges from parts (part p belongs to the patch of supplier p modulo the number of suppliers), and its report is a text put together from the order's numbers. Whole tables are read.
 Scans read only the columns used; nothing is cached or collected.
 """
 
 from __future__ import annotations
 
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,28 +30,6 @@ def _function(n, modulus: int = 97):
     return F.concat(F.lit("fn_"), n % modulus)
 
 
-#: Set while a query is planned over whole relations.
-_whole: ContextVar[bool] = ContextVar("whole", default=False)
-
-
-def sampled(df: DataFrame, condition: str) -> DataFrame:
-    """The rows of df that a query's SQL is limited to; all of them for a query from whole()."""
-    return df if _whole.get() else df.where(condition)
-
-
-def whole(query):
-    """query without the samples that its SQL is limited to."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        token = _whole.set(True)
-        try:
-            return query(spark, sf_dir)
-        finally:
-            _whole.reset(token)
-
-    return run
-
-
 class DriverTables:
     """Relations over the tables in sf_dir."""
 
@@ -63,6 +39,11 @@ class DriverTables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def spread(self, df: DataFrame, name: str) -> DataFrame:
+        """df, a view of the table name, dealt to all cores if the table comes in fewer parts: for what is made of each row by much work."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if self.raw(name).rdd.getNumPartitions() < cores else df
+
     def bugs(self) -> DataFrame:
         """bug_id, position, title, function, custkey, opened, priority, status, weight: listing order is position."""
         o = self.raw("orders")
@@ -81,10 +62,10 @@ class DriverTables:
         return self.bugs().select("bug_id", "custkey").join(c, "custkey").select("bug_id", "tag")
 
     def fix_refs(self) -> DataFrame:
-        """bug_id, kind, hash (null for a title-only fix), title, repo: repeated references stay."""
-        l = self.raw("lineitem").join(self.raw("part"), F.col("l_partkey") == F.col("p_partkey"))
+        """bug_id, kind, position (struct), hash (null for a title-only fix), title, repo: repeated references stay."""
+        l = self.raw("lineitem").join(self.raw("part").select("p_partkey", "p_name", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
         return l.select(
-            F.col("l_orderkey").alias("bug_id"), F.when(F.col("l_linenumber") % 2 == 0, "listing").otherwise("detail").alias("kind"),
+            F.col("l_orderkey").alias("bug_id"), F.when(F.col("l_linenumber") % 2 == 0, "listing").otherwise("detail").alias("kind"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("position"),
             F.when(F.col("l_returnflag") != "R", F.sha2(F.col("l_suppkey").cast("string"), 256)).alias("hash"), F.col("p_name").alias("title"), F.col("p_brand").alias("repo"),
         )
 
@@ -94,31 +75,38 @@ class DriverTables:
         return self.raw("supplier").select(F.sha2(s.cast("string"), 256).alias("hash"), s.alias("suppkey"), (s % 5 != 0).alias("is_valid"), (s % 7 != 0).alias("is_complete"))
 
     def ranges(self) -> DataFrame:
-        """hash, old_path, new_path, old_start, old_count, new_count, function, kind; sampled: about 1% of the parts a supplier delivers."""
-        own = sampled(self.raw("lineitem"), "l_partkey % 100 = l_suppkey % 100")
-        pairs = own.select("l_suppkey", "l_partkey").distinct().join(self.raw("part").select("p_partkey", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-        path = F.concat(_pick(FOLDERS, F.col("p_size")), F.lit("/f"), F.col("p_partkey") % 40, F.lit(".c"))
+        """hash, old_path, new_path, old_start, old_count, new_count, function, kind: a changed range for each part."""
+        suppliers = self.raw("supplier").agg(F.count("*").alias("n"))  # one row
         p = F.col("p_partkey")
-        return pairs.select(
-            F.sha2(F.col("l_suppkey").cast("string"), 256).alias("hash"), F.when(p % 13 != 0, path).alias("old_path"), F.when(p % 17 != 0, path).alias("new_path"),
+        parts = self.raw("part").select("p_partkey", "p_size").join(F.broadcast(suppliers))
+        folder, name = _pick(FOLDERS, F.col("p_size")), F.concat(F.lit("/f"), p % 40, F.lit(".c"))
+        path = F.concat(folder, name)
+        moved = F.when(p % 19 == 0, F.concat(folder, F.lit("/moved"), name)).otherwise(path)
+        return parts.select(
+            F.sha2((p % F.col("n")).cast("string"), 256).alias("hash"), F.when(p % 13 != 0, path).alias("old_path"), F.when(p % 17 != 0, moved).alias("new_path"),
             (p % 500 + 1).alias("old_start"), (F.col("p_size") % 9).cast("long").alias("old_count"), (p % 11).alias("new_count"), _function(p).alias("function"),
-            F.when(p % 50 == 0, "binary").when(p % 51 == 0, "unparsed").otherwise("text").alias("kind"),
+            F.when(p % 350 == 0, "binary").when(p % 351 == 0, "unparsed").otherwise("text").alias("kind"),
         )
 
-    def sites(self) -> DataFrame:
-        """bug_id, path, line, function: where a defect shows; one in eleven is unresolved."""
+    def _located(self) -> DataFrame:
+        """bugs with path and line of where they show; one in eleven is unresolved."""
         k = F.col("bug_id")
         path = F.concat(_pick(FOLDERS, F.col("custkey")), F.lit("/f"), k % 40, F.lit(".c"))
-        return self.bugs().select("bug_id", F.when(k % 11 != 0, path).alias("path"), F.when(k % 11 != 0, k % 500 + 1).alias("line"), "function")
+        return self.bugs().withColumns({"path": F.when(k % 11 != 0, path), "line": F.when(k % 11 != 0, k % 500 + 1)})
+
+    def sites(self) -> DataFrame:
+        """bug_id, path, line, function: where a defect shows."""
+        return self._located().select("bug_id", "path", "line", "function")
 
     def reports(self) -> DataFrame:
         """bug_id, title, report: a crash report; one in nine defects has none, one in ten reports is markup."""
-        b = self.bugs().join(self.sites().select("bug_id", "path", "line"), "bug_id")
+        b = self.spread(self._located().select("bug_id", "title", "path", "line", "function"), "orders")
         k, at = F.col("bug_id"), F.concat(F.coalesce("path", F.lit("fs/none.c")), F.lit(":"), F.coalesce("line", F.lit(1)))
         lines = (
             F.col("title"), F.concat(F.when(k % 2 == 0, "Read").otherwise("Write"), F.lit(" of size 8 at addr ffff88 by task exe/"), k % 50), F.lit(""), F.lit("CPU: 0 PID: 7 Comm: exe"), F.lit("Call Trace:"), F.lit(" <TASK>"),
             F.lit(" dump_stack_lvl+0x1/0x2 lib/dump_stack.c:106"), F.concat(F.lit(" "), F.col("function"), F.lit(".constprop.0+0x10/0x20 "), at), F.concat(F.lit(" "), _function(k, 89), F.lit("+0x3/0x4 fs/open.c:"), k % 90 + 1),
             F.lit(" do_syscall_64+0x5/0x6"), F.lit("Allocated by task 7:"), F.lit(" kmem_alloc+0x1/0x9 mm/slab.c:33"), F.concat(F.lit("Freed by task "), k % 3 + 6, F.lit(":")), F.lit(" kfree+0x1/0x9 mm/slab.c:44"),
+            F.when(k % 4 == 0, "The buggy address belongs to the object"), F.when(k % 4 == 0, " timer_fn+0x1/0x9 kernel/time/timer.c:5"),
         )
         text = F.concat_ws("\n", *lines)
         return b.where(k % 9 != 0).select("bug_id", "title", F.when(k % 10 == 0, F.concat(F.lit("<html>"), text, F.lit("</html>"))).otherwise(text).alias("report"))

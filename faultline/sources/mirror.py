@@ -39,12 +39,16 @@ def listing(payload: DataFrame) -> DataFrame:
     entry says so in error.
     """
     array = F.coalesce(F.get_json_object("value", "$.Bugs"), F.get_json_object("value", "$.bugs"))
-    rows = payload.select(F.posexplode(F.from_json(array, _LISTING)).alias("position", "b")).select("position", "b.title", "b.link", F.coalesce("b.fix-commits", F.array().cast(f"array<{_FIX}>")).alias("fixes"))
+    parsed = F.from_json(array, _LISTING)
+    # a payload without such an array is one row that says so, not an empty listing
+    torn = F.array(F.lit(None).cast(_LISTING.removeprefix("array<")[:-1]))
+    rows = payload.select(F.posexplode(F.when(parsed.isNull(), torn).otherwise(parsed)).alias("position", "b"), parsed.isNull().alias("torn"))
+    rows = rows.select("position", "torn", F.col("b").isNull().alias("no_object"), "b.title", "b.link", F.coalesce("b.fix-commits", F.array().cast(f"array<{_FIX}>")).alias("fixes"))
     rows = rows.withColumn("key", link_key(F.col("link")))
     repeated = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("_n"))
     rows = rows.join(repeated, "key", "left")
     bad = F.exists("fixes", lambda f: f.isNull() | (F.coalesce(f.hash, F.lit("")) != "") & ~F.coalesce(f.hash, F.lit("")).rlike(FULL_HASH))
-    error = F.when(F.col("key").isNull(), "no single bug key in the link").when(F.col("_n") > 1, "repeated key").when(bad, "malformed fix entry").when(F.coalesce("title", F.lit("")) == "", "no title")
+    error = F.when(F.col("torn"), "no array of bugs").when(F.col("no_object"), "not an object").when(F.col("key").isNull(), "no single bug key in the link").when(F.col("_n") > 1, "repeated key").when(bad, "malformed fix entry").when(F.coalesce("title", F.lit("")) == "", "no title")
     first = F.get(F.filter(F.transform("fixes", lambda f: F.lower(f.hash)), lambda h: F.coalesce(h, F.lit("")) != ""), F.lit(0))
     return rows.select("position", "key", "title", "link", "fixes", F.coalesce(first, F.lit("")).alias("first_hash"), error.alias("error"))
 
@@ -73,6 +77,61 @@ def patch_urls(fixes):
     return F.array_distinct(F.filter(F.transform(fixes, lambda f: F.when(origin(f.link).isNotNull(), f.link)), lambda x: x.isNotNull()))
 
 
+def merged_payload(listing_row, detail):
+    """struct title, link, source: a bug's title is that of its details, else of the listing, else nothing."""
+    said = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    return F.struct(F.coalesce(said(detail["title"]), said(listing_row["title"])).alias("title"), listing_row["link"].alias("link"), F.when(detail.isNotNull(), "detail").otherwise("listing").alias("source"))
+
+
+def shown_title(listing_title, detail_title, key):
+    """The listing's title, else the details', else the key."""
+    return F.coalesce(F.nullif(listing_title, F.lit("")), F.nullif(detail_title, F.lit("")), key)
+
+
+def report_title(crash_title, version_title):
+    return F.coalesce(F.nullif(crash_title, F.lit("")), version_title)
+
+
+def chosen_crash(crashes, ordinal=None, report_url=None):
+    """The crash to fetch evidence of, with its ordinal: the one asked for, else the one whose report is shown, else the first with a report, else
+    the first; null if there is none or the one asked for is not there."""
+    placed = F.transform(crashes, lambda c, i: F.struct(i.alias("ordinal"), c.alias("crash")))
+    link = lambda p: F.coalesce(p["crash"]["crash-report-link"], F.lit(""))
+    first = lambda test: F.get(F.filter(placed, test), F.lit(0))
+    chosen = F.coalesce(*([first(lambda p: link(p) == report_url)] if report_url is not None else []), first(lambda p: link(p) != ""), F.get(placed, F.lit(0)))
+    return chosen if ordinal is None else F.when(ordinal.isNotNull(), first(lambda p: p["ordinal"] == ordinal)).otherwise(chosen)
+
+
+#: What evidence of each kind has to hold to be taken.
+EVIDENCE_CONTENT = {
+    "c-repro": r"\b(?:int|void)\s+main\s*\(",
+    "syz-repro": r"(?m)^\s*(?:r\d+\s*=\s*)?[A-Za-z_]\w*(?:\$\w+)?\s*\(",
+    "config": r"(?m)^(?:CONFIG_[A-Za-z0-9_]+=|# CONFIG_[A-Za-z0-9_]+ is not set\r?$)",
+}
+
+
+def valid_evidence(kind, text):
+    """Is a payload neither blank nor markup and, where its kind has a rule, what it says?"""
+    wrong = F.lit(False)
+    for name, pattern in EVIDENCE_CONTENT.items():
+        wrong = wrong | ((kind == name) & ~text.rlike(pattern))
+    return F.coalesce(valid_report(text) & ~wrong, F.lit(False))
+
+
+def catalog(rows: DataFrame, generated_at: str, before: str | None = None) -> str:
+    """The catalog's JSON text for listing() rows: position, key, title, link, fixes. The time of an earlier catalog stays if nothing else differs.
+
+    The catalog is one file by its format; its rows are collected in listing order.
+    """
+    good = rows.where("error is null").select("position", F.struct("key", "title", "link", "fixes", "first_hash").alias("bug")).orderBy("position")
+    bugs = [json.loads(r[0]) for r in good.select(F.to_json("bug")).collect()]
+    if before is not None:
+        old = json.loads(before)
+        if old.get("bugs") == bugs and old.get("generated_at"):
+            generated_at = old["generated_at"]
+    return json.dumps({"generated_at": generated_at, "bugs": bugs}, indent=2, sort_keys=True) + "\n"
+
+
 def fix_refs(rows: DataFrame, kind: str) -> DataFrame:
     """key, kind, ordinal, hash, title, repo of rows (key, fixes)."""
     out = rows.select("key", F.posexplode("fixes").alias("ordinal", "f"))
@@ -80,34 +139,57 @@ def fix_refs(rows: DataFrame, kind: str) -> DataFrame:
     return out.select("key", F.lit(kind).alias("kind"), "ordinal", valid.alias("hash"), fix_title(F.coalesce("f.title", F.lit(""))).alias("title"), F.coalesce("f.repo", F.lit("")).alias("repo"))
 
 
-class _Tags(HTMLParser):
-    """Labels of table rows that name exactly one bug."""
+def _link(href: str) -> tuple[set[str], set[str]]:
+    """(bug keys, subsystem labels) that a link names; nothing for one that is no URL."""
+    try:
+        url = urlsplit(href)
+        query = parse_qs(url.query)
+    except ValueError:
+        return set(), set()
+    keys = {f"{name}-{values[0]}" for name, values in query.items() if name in ("extid", "id") and len(values) == 1 and url.path.endswith("/bug")}
+    labels = {label.partition(":")[2].strip() for label in query.get("label", ()) if label.startswith("subsystems:")}
+    return keys, labels - {""}
+
+
+class _Rows(HTMLParser):
+    """What the links of each innermost table row name; links outside of rows are collected apart."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.depth, self.keys, self.tags, self.rows = 0, set(), set(), []
+        self.open: list[tuple[set[str], set[str]]] = []
+        self.rows: list[tuple[set[str], set[str]]] = []
+        self.keys: set[str] = set()
 
     def handle_starttag(self, tag, attrs):
         if tag == "tr":
-            self.depth, self.keys, self.tags = self.depth + 1, set(), set()
-        href = dict(attrs).get("href") if tag == "a" and self.depth else None
-        if href:
-            query = parse_qs(urlsplit(href).query)
-            self.keys |= {f"{k}-{query[k][0]}" for k in ("extid", "id") if len(query.get(k, ())) == 1 and urlsplit(href).path.endswith("/bug")}
-            self.tags |= {v.split(":", 1)[1] for v in query.get("label", ()) if v.startswith("subsystems:")}
+            self.open.append((set(), set()))
+        elif tag == "a" and (href := dict(attrs).get("href")):
+            keys, labels = _link(href)
+            self.keys |= keys
+            if self.open:
+                self.open[-1][0].update(keys)
+                self.open[-1][1].update(labels)
 
     def handle_endtag(self, tag):
-        if tag == "tr" and self.depth:
-            if len(self.keys) == 1:
-                self.rows += [(next(iter(self.keys)), t) for t in sorted(self.tags)]
-            self.depth -= 1
+        if tag == "tr" and self.open:
+            self.rows.append(self.open.pop())
 
 
-def tags_of(html: str) -> list[tuple[str, str]]:
-    parser = _Tags()
+def _parsed(html: str) -> _Rows:
+    parser = _Rows()
     parser.feed(html or "")
     parser.close()
-    return list(dict.fromkeys(parser.rows))
+    return parser
+
+
+def tags_of(html: str) -> list[tuple[str, str]]:
+    """(key, label) of the table rows that name exactly one bug."""
+    return list(dict.fromkeys((next(iter(keys)), label) for keys, labels in _parsed(html).rows if len(keys) == 1 for label in sorted(labels)))
+
+
+def keys_of(html: str) -> list[str]:
+    """The bug keys that any link names."""
+    return sorted(_parsed(html).keys)
 
 
 def subsystem_tags(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -121,6 +203,16 @@ def subsystem_tags(pages: DataFrame, text: str = "text") -> DataFrame:
     return pages.select(text).mapInArrow(run, "key string, tag string").distinct()
 
 
+def html_keys(pages: DataFrame, text: str = "text") -> DataFrame:
+    """key: the bugs that listing pages link to."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([k for t in b.column(0).to_pylist() for k in keys_of(t)], pa.string())], names=["key"])
+
+    return pages.select(text).mapInArrow(run, "key string").distinct()
+
+
 def listing_membership(json_rows: DataFrame, html_keys: DataFrame) -> DataFrame:
     """key, side of keys that only one of the two listings has."""
     j, h = json_rows.select("key").distinct(), html_keys.select("key").distinct()
@@ -149,6 +241,14 @@ def load_state(text: str) -> dict[str, list[str]]:
     return {**dict.fromkeys(kinds[2], []), **out}
 
 
+def save_state(pending_work: dict[str, list[str]]) -> str:
+    """The text of a retry file, version 2; load_state() reads it back."""
+    unknown = set(pending_work) - {"pending_details", "pending_reports", "pending_patches"}
+    if unknown:
+        raise ValueError(f"unknown work: {', '.join(sorted(unknown))}")
+    return json.dumps({"version": 2, **{k: sorted(set(pending_work.get(k, ()))) for k in ("pending_details", "pending_reports", "pending_patches")}}, indent=2, sort_keys=True) + "\n"
+
+
 def pending(state: DataFrame, live_keys: DataFrame, live_hashes: DataFrame) -> DataFrame:
     """Rows of state (kind, value) that the current listing still refers to."""
     keys = state.where("kind <> 'patch'").join(live_keys.select(F.col("key").alias("value")), "value", "left_semi")
