@@ -3,12 +3,6 @@
 from __future__ import annotations
 
 from .plans import core, detail, study
-from .sources.driver import whole
-from .sources.driver_sql import RELATIONS
 
 QUERIES: dict = {**core.QUERIES, **study.QUERIES, **detail.QUERIES}
 ORACLES: dict[str, str] = {**core.ORACLES, **study.ORACLES, **detail.ORACLES}
-
-#: Queries whose SQL is limited to samples: all that read ranges, and these. Each has a twin, name_whole, over all rows and without SQL.
-SAMPLED = [name for name, sql in ORACLES.items() if sql and "ranges" in sql.replace(RELATIONS, "")] + ["integrity_type_mismatch", "bug_detail", "link_keys"]
-QUERIES |= {f"{name}_whole": whole(QUERIES[name]) for name in SAMPLED}

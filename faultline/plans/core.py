@@ -9,7 +9,8 @@ from ..functions import text
 from ..functions.classify import FAMILIES, MARKERS, SANITIZERS
 from ..operators import corpus, filters, fixes, research
 from ..operators.filters import Criteria
-from ..sources.driver import DriverTables, sampled
+from ..sources.driver import DriverTables
+from ..sources import mirror
 from ..sources.driver_sql import with_relations
 
 
@@ -154,17 +155,19 @@ def filter_page_enriched(spark, d):
     return rows.select("bug_id", "title", "bug_type", "tags", F.coalesce(F.size("hashes"), F.lit(0)).cast("long").alias("n_hashes"), "has_report")
 
 
-@query(with_relations("SELECT bug_id, position, title, priority FROM bugs"))
+@query(with_relations("SELECT bug_id, position, title, priority FROM bugs WHERE status = 'O'"))
 def current_bug_rows(spark, d):
+    """Each order status is a snapshot, of which one is current."""
     t = DriverTables(spark, d)
-    snapshot = spark.range(1).select(F.lit(1).alias("snapshot_id"))  # the active one
-    return t.bugs().withColumn("snapshot_id", F.lit(1)).join(F.broadcast(snapshot), "snapshot_id").select("bug_id", "position", "title", "priority")
+    snapshots = t.raw("orders").select(F.col("o_orderstatus").alias("snapshot_id")).distinct().withColumn("is_current", F.col("snapshot_id") == "O")
+    members = t.bugs().select("bug_id", F.col("status").alias("snapshot_id"))
+    return filters.current(t.bugs(), members, snapshots).select("bug_id", "position", "title", "priority")
 
 
 # --- fixes
 
 
-@query(with_relations("SELECT bug_id, repo, hash, old_path, new_path, old_start, old_count, new_count, function, kind FROM (SELECT DISTINCT bug_id, hash, repo FROM fix_refs) JOIN patches USING (hash) JOIN ranges USING (hash) WHERE is_valid"))
+@query(with_relations("SELECT bug_id, repo, hash, old_path, new_path, old_start, old_count, new_count, function, kind FROM one JOIN ranges USING (hash)", "one AS MATERIALIZED (SELECT bug_id, f.hash, repo, count(*) AS n FROM fix_refs f JOIN patches p ON p.hash = f.hash WHERE is_valid GROUP BY ALL)"))
 def current_fix_locations(spark, d):
     t = DriverTables(spark, d)
     return fixes.fix_ranges(t.fix_refs(), t.patches(), t.ranges()).select("bug_id", "repo", "hash", "old_path", "new_path", "old_start", "old_count", "new_count", "function", "kind")
@@ -177,18 +180,57 @@ def effective_fixes_left(spark, d):
     return t.fix_refs().join(valid, F.col("hash") == F.col("_h"), "left").select("bug_id", "hash", "title", "repo", F.col("_h").isNotNull().alias("patch_available"))
 
 
-_FIRST = "arg_min({0}, kind || chr(1) || title || chr(1) || repo) FILTER (WHERE {0} <> '')"
+_FIRST = "coalesce(arg_min({0}, position) FILTER (WHERE {0} <> ''), '')"
+_SEEN = "list({'p': position, 'k': kind} ORDER BY position)"
 
 
 @query(with_relations("""
-  SELECT bug_id, hash, min(title) AS title, min(repo) AS repo, list_sort(list_distinct(flatten(list(sources)))) AS sources, CAST(sum(n) AS BIGINT) AS "references" FROM (
-    SELECT * FROM hashed UNION ALL SELECT bug_id, only_one.hash, title, repo, sources, n FROM bare JOIN only_one USING (bug_id, title, repo)) GROUP BY bug_id, hash
-  UNION ALL SELECT bug_id, NULL, title, repo, list_sort(sources), n FROM bare WHERE (bug_id, title, repo) NOT IN (SELECT (bug_id, title, repo) FROM only_one)""", f"""
-hashed AS (SELECT bug_id, hash, coalesce({_FIRST.format('title')}, '') AS title, coalesce({_FIRST.format('repo')}, '') AS repo, list_distinct(list(kind)) AS sources, count(*) AS n FROM fix_refs WHERE hash IS NOT NULL GROUP BY bug_id, hash),
-bare AS (SELECT bug_id, title, repo, list_distinct(list(kind)) AS sources, count(*) AS n FROM fix_refs WHERE hash IS NULL GROUP BY bug_id, title, repo),
+  SELECT bug_id, position.l_linenumber AS line_number, hash, title, repo, array_to_string(list_transform(list_filter(list_zip(kinds, generate_series(1, len(kinds))), lambda x: list_position(kinds, x[1]) = x[2]), lambda x: x[1]), ',') AS sources, n AS "references" FROM (
+    SELECT h.bug_id, least(h.position, b.position) AS position, h.hash, h.title, h.repo, list_concat(list_transform(h.seen, lambda x: x.k), coalesce(list_transform(b.seen, lambda x: x.k), [])) AS kinds, h.n + coalesce(b.n, 0) AS n
+    FROM hashed h LEFT JOIN (SELECT bug_id, only_one.hash, min(position) AS position, flatten(list(seen ORDER BY position)) AS seen, CAST(sum(n) AS BIGINT) AS n FROM bare JOIN only_one USING (bug_id, title, repo) GROUP BY ALL) b USING (bug_id, hash)
+    UNION ALL SELECT bug_id, position, NULL, title, repo, list_transform(seen, lambda x: x.k), n FROM bare WHERE (bug_id, title, repo) NOT IN (SELECT (bug_id, title, repo) FROM only_one))""", f"""
+hashed AS (SELECT bug_id, hash, {_FIRST.format('title')} AS title, {_FIRST.format('repo')} AS repo, min(position) AS position, {_SEEN} AS seen, count(*) AS n FROM fix_refs WHERE hash IS NOT NULL GROUP BY bug_id, hash),
+bare AS (SELECT bug_id, title, repo, min(position) AS position, {_SEEN} AS seen, count(*) AS n FROM fix_refs WHERE hash IS NULL GROUP BY bug_id, title, repo),
 only_one AS (SELECT bug_id, title, repo, min(hash) AS hash FROM hashed GROUP BY bug_id, title, repo HAVING count(*) = 1)"""))
 def merge_fixes(spark, d):
-    return fixes.merge(DriverTables(spark, d).fix_refs())
+    out = fixes.merge(DriverTables(spark, d).fix_refs())
+    return out.select("bug_id", F.col("position.l_linenumber").alias("line_number"), "hash", "title", "repo", F.array_join("sources", ",").alias("sources"), "references")
+
+
+_SIDE = "CASE kind WHEN 'listing' THEN 0 ELSE 1 END"
+
+
+@query(with_relations(f"SELECT bug_id, hash, title, repo, arg_min(kind, ({_SIDE}, position)) AS kind, min(position).l_linenumber AS line_number FROM (SELECT *, min({_SIDE}) OVER (PARTITION BY bug_id, hash, title, repo) AS side FROM fix_refs) WHERE {_SIDE} = side GROUP BY 1, 2, 3, 4"))
+def ordered_union(spark, d):
+    return fixes.ordered_union(DriverTables(spark, d).fix_refs()).select("bug_id", "hash", "title", "repo", "kind", F.col("position.l_linenumber").alias("line_number"))
+
+
+_RESOLVED = "resolved AS (SELECT bug_id, title, repo, max('h' || (bug_id % 7)) AS resolved FROM fix_refs WHERE hash IS NULL AND bug_id % 2 = 0 GROUP BY ALL)"
+
+
+def _resolutions(refs: DataFrame) -> DataFrame:
+    """A resolution for each title-only reference of the even bugs."""
+    return refs.where("hash is null and bug_id % 2 = 0").select("bug_id", "title", "repo", F.concat(F.lit("h"), F.col("bug_id") % 7).alias("hash"), (F.col("bug_id") % 5).alias("run")).distinct()
+
+
+@query(with_relations(f"""SELECT bug_id, h AS hash, arg_min(title, ({_SIDE} = 0, position)) AS title, arg_min(repo, ({_SIDE} = 0, position)) AS repo FROM (
+  SELECT *, coalesce(hash, resolved) AS h FROM fix_refs LEFT JOIN resolved USING (bug_id, title, repo)) WHERE h IS NOT NULL GROUP BY 1, 2""", _RESOLVED))
+def research_fixes(spark, d):
+    refs = DriverTables(spark, d).fix_refs()
+    return fixes.research_fixes(refs, _resolutions(refs)).select("bug_id", "hash", "title", "repo")
+
+
+@query(with_relations("SELECT hash, arg_min(repo, (bug_id, position)) AS repo, count(DISTINCT bug_id) AS bugs FROM fix_refs WHERE hash IS NOT NULL GROUP BY hash"))
+def patch_jobs(spark, d):
+    return fixes.patch_jobs(DriverTables(spark, d).fix_refs())
+
+
+@query(with_relations("SELECT bug_id, title, repo, resolved AS hash, CAST(bug_id % 5 AS BIGINT) AS run FROM resolved WHERE bug_id % 5 < 3", _RESOLVED))
+def accepted_resolutions(spark, d):
+    """Runs 0 to 2 are completed."""
+    refs = DriverTables(spark, d).fix_refs()
+    runs = spark.range(5).select(F.col("id").alias("run"), F.when(F.col("id") < 3, "completed").otherwise("failed").alias("status"))
+    return fixes.applicable_resolutions(_resolutions(refs), runs, refs).select("bug_id", "title", "repo", "hash", "run")
 
 
 @query(with_relations("SELECT bug_id, hashes, available, has_patch, fix_file_count, patch_line_count FROM metrics", METRICS))
@@ -227,16 +269,25 @@ relationships AS (
   FROM metrics LEFT JOIN closest USING (bug_id))"""
 
 
-@query(with_relations("""
+_DISTRIBUTIONS = """
   SELECT dimension, value, count(*) AS bugs FROM (
     SELECT bug_id, 'bug_type' AS dimension, bug_type AS value FROM classified UNION SELECT bug_id, 'family', family FROM classified UNION SELECT bug_id, 'access_mode', access_mode FROM classified
     UNION SELECT bug_id, 'subsystem', lower(tag) FROM subsystems UNION SELECT bug_id, 'crash_function', function FROM sites WHERE function IS NOT NULL
-    UNION SELECT bug_id, 'fix_function', fix_function FROM fixed WHERE fix_function IS NOT NULL UNION SELECT bug_id, 'fix_file', old_path FROM fixed WHERE old_path IS NOT NULL
-    UNION SELECT bug_id, 'fix_file', new_path FROM fixed WHERE new_path IS NOT NULL UNION SELECT bug_id, 'relationship', relationship FROM relationships) GROUP BY 1, 2""", f"{CLASSIFIED}, {METRICS}, {_FIXES}, {_RELATION}"))
+    UNION SELECT bug_id, 'fix_function', fix_function FROM fixed WHERE fix_function IS NOT NULL UNION SELECT bug_id, 'fix_file', coalesce(new_path, old_path) FROM fixed WHERE coalesce(new_path, old_path) IS NOT NULL
+    UNION SELECT bug_id, 'relationship', relationship FROM relationships) GROUP BY 1, 2"""
+_DISTRIBUTED = f"{CLASSIFIED}, {METRICS}, {_FIXES}, {_RELATION}"
+
+
+@query(with_relations(_DISTRIBUTIONS, _DISTRIBUTED))
 def stats_distributions(spark, d):
     return research.distributions(load(spark, d))
 
 
+@query(with_relations(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY bugs DESC, value) AS place FROM ({_DISTRIBUTIONS})) WHERE place <= 5", _DISTRIBUTED))
+def stats_top_values(spark, d):
+    return research.ranked(research.distributions(load(spark, d)), 5)
+
+
 @query(with_relations("SELECT relationship, count(*) AS bugs FROM relationships GROUP BY 1", f"{METRICS}, {_FIXES}, {_RELATION}"))
 def stats_relationship(spark, d):
     return research.relationships(load(spark, d)).groupBy("relationship").agg(F.count("*").alias("bugs"))
@@ -248,7 +299,9 @@ def stats_fix_size(spark, d):
     return research.numeric_summary(fixes.patch_metrics(t.bugs(), t.fix_refs(), t.patches(), t.ranges()), "patch_line_count")
 
 
-@query(_core_sql(f"""SELECT count(*) FILTER (WHERE bug_id IN (SELECT bug_id FROM reports WHERE NOT {_VALID_REPORT})) AS with_report, count(*) FILTER (WHERE bug_id IN (SELECT bug_id FROM metrics WHERE has_patch)) AS with_patch,
+@query(_core_sql(f"""SELECT count(*) FILTER (WHERE bug_id IN (SELECT bug_id FROM reports WHERE NOT {_VALID_REPORT})) AS with_report, count(*) FILTER (WHERE bug_id NOT IN (SELECT bug_id FROM reports WHERE NOT {_VALID_REPORT})) AS without_report,
+  count(*) FILTER (WHERE bug_id IN (SELECT bug_id FROM metrics WHERE has_patch)) AS with_patch, count(*) FILTER (WHERE bug_id IN (SELECT bug_id FROM metrics WHERE NOT has_patch)) AS without_patch,
+  count(*) FILTER (WHERE bug_id NOT IN (SELECT bug_id FROM subsystems)) AS untagged,
   count(*) FILTER (WHERE repro_status = 'available') AS repro_available, count(*) FILTER (WHERE repro_status = 'not_provided') AS repro_not_provided, count(*) FILTER (WHERE repro_status = 'unknown') AS repro_unknown FROM classified""", True))
 def stats_availability(spark, d):
     return research.availability(load(spark, d))
@@ -324,13 +377,42 @@ def html_hrefs(spark, d):
     return p.select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).groupBy("href").agg(F.count("*").alias("n"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'extid-x' || page_id WHEN page_id % 3 = 1 THEN NULL END AS key, lower(regexp_extract(url, '^(https?://[^/?#@\\s]+)', 1)) AS origin FROM pages WHERE page_id % 3 < 2")
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'extid-x' || page_id WHEN page_id % 3 = 1 THEN NULL WHEN page_id % 2 = 0 THEN 'id-k' || page_id END AS key, lower(regexp_extract(url, '^(https?://[^/?#@\\s]+)', 1)) AS origin FROM pages")
 def link_keys(spark, d):
-    p = sampled(DriverTables(spark, d).raw("pages"), "page_id % 3 < 2")
-    link = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/bug?a=b&extid=x"), "page_id", F.lit("#t"))).otherwise(F.concat(F.lit("/bug?id=1&id="), "page_id"))
+    p, k = DriverTables(spark, d).raw("pages"), F.col("page_id")
+    other = F.when(k % 2 == 0, F.concat(F.lit("https://h.example/bug?id=k"), k)).otherwise(F.lit("/bug"))
+    link = F.when(k % 3 == 0, F.concat(F.lit("/bug?a=b&extid=x"), k, F.lit("#t"))).when(k % 3 == 1, F.concat(F.lit("/bug?id=1&id="), k)).otherwise(other)
     return p.select("page_id", text.link_key(link).alias("key"), text.origin(F.col("url")).alias("origin"))
 
 
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://b.example/x/' || page_id WHEN 1 THEN 'https://b.example/bug?id=' || page_id WHEN 2 THEN 'HTTPS://b.example/own' END AS url FROM pages")
+def absolute_urls(spark, d):
+    k = F.col("page_id")
+    link = F.when(k % 5 == 0, F.concat(F.lit("/x/"), k)).when(k % 5 == 1, F.concat(F.lit("bug?id="), k)).when(k % 5 == 2, "HTTPS://b.example/own").when(k % 5 == 3, "https://other.example/x").otherwise("javascript:alert(1)")
+    return DriverTables(spark, d).raw("pages").select("page_id", text.absolute_url(link, "https://b.example").alias("url"))
+
+
+@query("SELECT 'extid-p' || page_id AS key, 'net' AS tag FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 'extid-p' || page_id, 's' || (page_id % 6) FROM pages WHERE page_id % 2 = 0")
+def html_labels(spark, d):
+    """A listing of a row a page; rows of odd pages name two bugs, so their labels count for none."""
+    k = F.col("page_id")
+    more = F.when(k % 2 == 1, F.concat(F.lit("<a href='/bug?id=q"), k, F.lit("'>b</a>"))).otherwise("<a href='http://[x'>torn</a>")
+    row = F.concat(F.lit("<table><tr><td><a href='/bug?extid=p"), k, F.lit("'>t</a>"), more, F.lit("<a href='?label=subsystems%3Anet'>n</a><a href='?label=subsystems: '>n</a><a href='?label=subsystems:s"), k % 6, F.lit("'>s</a></td></tr></table>"))
+    return mirror.subsystem_tags(DriverTables(spark, d).raw("pages").select(row.alias("text")))
+
+
+_EVIDENCE_OF = ("syz-repro", "config", "c-repro", "other")
+
+
+@query("""SELECT doc_id, kind, text IS NOT NULL AND regexp_matches(text, '\\S') AND NOT regexp_matches(lower(substr(text, 1, 4096)), '^\\s*<(!doctype|html|head|body|\\?xml|!--)')
+  AND CASE kind WHEN 'syz-repro' THEN regexp_matches(text, '(?m)^\\s*(?:r\\d+\\s*=\\s*)?[A-Za-z_]\\w*(?:\\$\\w+)?\\s*\\(') WHEN 'config' THEN regexp_matches(text, '(?m)^(?:CONFIG_[A-Za-z0-9_]+=|# CONFIG_[A-Za-z0-9_]+ is not set\\r?$)') WHEN 'c-repro' THEN regexp_matches(text, '\\b(?:int|void)\\s+main\\s*\\(') ELSE true END AS valid
+  FROM (SELECT doc_id, ['syz-repro', 'config', 'c-repro', 'other'][doc_id % 4 + 1] AS kind, CASE WHEN doc_id % 3 = 0 THEN 'r0 = open(a)' || chr(10) || 'CONFIG_X=y' || chr(10) || 'int main (void)' ELSE substr(text, 1, 200) END AS text FROM documents)""")
+def evidence_validity(spark, d):
+    k = F.col("doc_id")
+    rows = DriverTables(spark, d).raw("documents").select("doc_id", F.get(F.array(*map(F.lit, _EVIDENCE_OF)), (k % 4).cast("int")).alias("kind"), F.when(k % 3 == 0, "r0 = open(a)\nCONFIG_X=y\nint main (void)").otherwise(F.substring("text", 1, 200)).alias("text"))
+    return rows.select("doc_id", "kind", mirror.valid_evidence(F.col("kind"), F.col("text")).alias("valid"))
+
+
 @query("SELECT CASE WHEN k IS NULL THEN 'unknown' WHEN k > 50 THEN 'available' ELSE 'not_provided' END AS status, count(*) AS n FROM (SELECT TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1")
 def json_props_tristate(spark, d):
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, stats, text
 from ..functions.classify import CLASS_RULES, PATCH_BOOSTS, PATCH_RULES, SUBSYSTEMS
 from ..operators import checks, corpus, diffs, fixes, ingest, stacks, study
-from ..sources.driver import DriverTables, sampled
+from ..sources.driver import DriverTables
 from ..sources.driver_sql import with_relations
 from .core import CLASSIFIED, METRICS, load
 
@@ -113,17 +113,17 @@ def study_count_maps(spark, d):
     return study.count_maps(rows(spark, d), ("family", "bug_type", "highest", "access_mode"), (("family", "highest"), ("family", "bug_type")))
 
 
-_WILSON = "greatest(0.0, least(1.0, (hits / n + z * z / n / 2 {0} z * sqrt(hits / n * (1 - hits / n) / n + z * z / n / (4 * n))) / (1 + z * z / n)))"
+_WILSON = "(hits / n + 1.96 * 1.96 / n / 2 {0} 1.96 * sqrt(hits / n * (1 - hits / n) / n + 1.96 * 1.96 / n / (4 * n))) / (1 + 1.96 * 1.96 / n)"
 
 
-@query(_study_sql(f"SELECT family, n, hits, round(hits / n, 9) AS share, round({_WILSON.format('-')}, 9) AS low, round({_WILSON.format('+')}, 9) AS high FROM (SELECT family, count(*) AS n, count(*) FILTER (WHERE highest >= 3) AS hits, {stats.Z} AS z FROM study GROUP BY family)", _ROWS))
+@query(_study_sql(f"SELECT family, n, hits, round(hits / n, 9) AS share, round({_WILSON.format('-')}, 9) AS low, round({_WILSON.format('+')}, 9) AS high FROM (SELECT family, count(*) AS n, count(*) FILTER (WHERE highest >= 3) AS hits FROM study GROUP BY family)", _ROWS))
 def wilson_ci(spark, d):
     out = study.shares(rows(spark, d), "family", F.col("highest") >= 3)
     return out.select("family", "n", "hits", *(F.round(c, 9).alias(c) for c in ("share", "low", "high")))
 
 
-@query(_study_sql(f"""SELECT a, b, c, d, round(exp(l), 6) AS odds_ratio, round(exp(l - h), 6) AS low, round(exp(l + h), 6) AS high FROM (
-  SELECT *, ln((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))) AS l, {stats.Z} * sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (c + 0.5) + 1 / (d + 0.5)) AS h FROM (
+@query(_study_sql("""SELECT a, b, c, d, round(exp(l), 6) AS odds_ratio, round(exp(l - h), 6) AS low, round(exp(l + h), 6) AS high FROM (
+  SELECT *, ln((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))) AS l, 1.96 * sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (c + 0.5) + 1 / (d + 0.5)) AS h FROM (
     SELECT count(*) FILTER (WHERE e AND v) AS a, count(*) FILTER (WHERE e AND NOT v) AS b, count(*) FILTER (WHERE NOT e AND v) AS c, count(*) FILTER (WHERE NOT e AND NOT v) AS d
     FROM (SELECT family = 'use-after-free' AS e, coalesce(highest, 0) >= 5 AS v FROM study)))""", _ROWS))
 def odds_ratio_ci(spark, d):
@@ -229,37 +229,46 @@ def classify_study_bug(spark, d):
     return _studied(spark, d).drop("report")
 
 
-@query(with_relations("""SELECT CASE WHEN regexp_matches(lower(class), 'use-after-free|double free') THEN CASE WHEN report = '' THEN 'not determined' WHEN bug_id % 3 + 6 <> 7 THEN 'unbounded' ELSE 'across syscalls within one session' END
+_BUCKETS = """
+buckets AS (
+  SELECT bug_id, CASE WHEN regexp_matches(lower(class), 'use-after-free|double free') THEN CASE WHEN report = '' THEN 'not determined' WHEN bug_id % 3 + 6 <> 7 THEN 'unbounded' ELSE 'across syscalls within one session' END
     WHEN regexp_matches(lower(class), 'out-of-bounds|null dereference|arithmetic/type ub|uninitialized') THEN 'within the same syscall' WHEN contains(lower(class), 'data race') THEN 'unbounded'
-    WHEN regexp_matches(lower(class), 'deadlock|hang|lockup') THEN 'not applicable' ELSE 'not determined' END AS bucket, count(*) AS bugs FROM studied JOIN texts USING (bug_id) GROUP BY 1""", _STUDY_CLASS))
+    WHEN regexp_matches(lower(class), 'deadlock|hang|lockup') THEN 'not applicable' ELSE 'not determined' END AS bucket FROM studied JOIN texts USING (bug_id))"""
+
+
+@query(with_relations("SELECT bucket, CASE WHEN bucket = 'not determined' THEN 'low' WHEN bucket = 'unbounded' AND regexp_matches(lower(class), 'use-after-free|double free') THEN 'high' ELSE 'medium' END AS confidence, count(*) AS bugs FROM buckets JOIN studied USING (bug_id) GROUP BY 1, 2", _STUDY_CLASS + "," + _BUCKETS))
 def temporal_bucket(spark, d):
-    return _studied(spark, d).groupBy(study.temporal_bucket(F.col("class"), F.col("report")).alias("bucket")).agg(F.count("*").alias("bugs"))
+    got = _studied(spark, d).select(study.temporal_bucket(F.col("class"), F.col("report")).alias("t"))
+    return got.groupBy("t.bucket", "t.confidence").agg(F.count("*").alias("bugs"))
+
+
+_WORDS = ("use kref here", "fix race", "free it", "check size", "set flag", "cast", "plain", "goto err", "api")
+_ADDED = "CASE {k} % 6 WHEN 0 THEN 'if (x)' WHEN 1 THEN 'kfree(x);' WHEN 2 THEN 'mutex_lock(&a);' WHEN 3 THEN 'kref_get(&r);' WHEN 4 THEN 'down_write(&x);' ELSE 'a = b;' END"
 
 
-def _patch_score(name: str, needles) -> str:
-    score = " + ".join(f"CASE WHEN contains(lower(title), '{n}') THEN 4 ELSE 0 END + CASE WHEN contains(lower(added), '{n}') THEN 1 ELSE 0 END" for n in needles)
-    if name == "Validation/guard":
-        score += " + CASE WHEN regexp_matches(lower(added), '(?m)^\\s*if\\s*\\(') THEN 3 ELSE 0 END"
-    if name in PATCH_BOOSTS:
-        score += f" + CASE WHEN {_needle_sql('lower(added)', PATCH_BOOSTS[name][1])} THEN {PATCH_BOOSTS[name][0]} ELSE 0 END"
-    return score
+def _patch_class_sql(table: str, key: str) -> str:
+    """Common table expressions that end in patched (key, class, score, confidence)."""
+    options = []
+    for i, (name, needles) in enumerate(PATCH_RULES):
+        said = " + ".join(f"CASE WHEN contains(title, '{n}') THEN 4 ELSE 0 END + CASE WHEN contains(added, '{n}') THEN 1 ELSE 0 END" for n in needles)
+        place, weight, boosted = next(((j, w, f"{_needle_sql('added', calls)}" if calls else "regexp_matches(added, '(?m)^\\s*if\\s*\\(')") for j, (n, w, calls) in enumerate(PATCH_BOOSTS) if n == name), (0, 0, "false"))
+        options.append(f"{{'score': {said} + CASE WHEN {boosted} THEN {weight} ELSE 0 END, 'guard': {int(name == 'Validation/guard')}, 'rank': CASE WHEN {said} > 0 THEN {-i} ELSE {-len(PATCH_RULES) - place} END, 'class': '{name}'}}")
+    return f"""
+subject AS (SELECT {key}, [{', '.join(f"'{w}'" for w in _WORDS)}][{key} % {len(_WORDS)} + 1] AS title, lower({_ADDED.format(k=key)}) AS added FROM {table}),
+scored AS (SELECT {key}, unnest([{', '.join(options)}]) AS s FROM subject),
+patched AS (
+  SELECT {key}, CASE WHEN s.score = 0 THEN 'Logic/control-flow correction' ELSE s.class END AS class, CASE WHEN s.score = 0 THEN 1 ELSE s.score END AS score
+  FROM scored QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY s.score DESC, s.guard DESC, s.rank DESC) = 1)"""
 
 
-_WORDS = ("use kref here", "fix race", "free it", "check size", "set flag", "cast", "plain", "goto err")
-_ADDED = "CASE p_partkey % 5 WHEN 0 THEN 'if (x)' WHEN 1 THEN 'kfree(x);' WHEN 2 THEN 'mutex_lock(&a);' WHEN 3 THEN 'kref_get(&r);' ELSE 'a = b;' END"
-_PATCH_CLASS = f"""
-subject AS (SELECT p_partkey, [{', '.join(f"'{w}'" for w in _WORDS)}][p_partkey % {len(_WORDS)} + 1] AS title, {_ADDED} AS added FROM part),
-scored AS (SELECT p_partkey, unnest([{', '.join(f"{{'score': {_patch_score(n, k)}, 'guard': {int(n == 'Validation/guard')}, 'rank': {-i}, 'class': '{n}'}}" for i, (n, k) in enumerate(PATCH_RULES))}]) AS s FROM subject),
-best AS (SELECT p_partkey, s FROM scored QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY s.score DESC, s.guard DESC, s.rank DESC) = 1)"""
+def _patch_class(key: str):
+    k = F.col(key)
+    return classify.patch_class(F.get(F.array(*map(F.lit, _WORDS)), (k % len(_WORDS)).cast("int")), F.expr(_ADDED.format(k=key)), F.lit(""))
 
 
-@query(with_relations("""SELECT class, confidence, count(*) AS n FROM (
-  SELECT CASE WHEN s.score = 0 THEN 'Logic/control-flow correction' ELSE s.class END AS class, CASE WHEN s.score >= 5 THEN 'high' WHEN s.score >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM best) GROUP BY 1, 2""", _PATCH_CLASS))
+@query(with_relations("SELECT class, CASE WHEN score >= 5 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS confidence, count(*) AS n FROM patched GROUP BY 1, 2", _patch_class_sql("part", "p_partkey")))
 def classify_patch_score(spark, d):
-    k = F.col("p_partkey")
-    title = F.get(F.array(*map(F.lit, _WORDS)), (k % len(_WORDS)).cast("int"))
-    got = classify.patch_class(title, F.expr(_ADDED), F.lit(""))
-    return DriverTables(spark, d).raw("part").select(got.alias("c")).groupBy("c.class", "c.confidence").agg(F.count("*").alias("n"))
+    return DriverTables(spark, d).raw("part").select(_patch_class("p_partkey").alias("c")).groupBy("c.class", "c.confidence").agg(F.count("*").alias("n"))
 
 
 # --- cohort
@@ -373,9 +382,9 @@ def listing_errors(spark, d):
 # --- checks
 
 
-@query(with_relations("SELECT bug_id, CASE WHEN bug_id % 2 = 0 THEN 'warning' ELSE 'kasan' END AS stored, bug_type AS expected FROM classified WHERE bug_id % 5 = 0 AND bug_type <> CASE WHEN bug_id % 2 = 0 THEN 'warning' ELSE 'kasan' END", CLASSIFIED))
+@query(with_relations("SELECT bug_id, CASE WHEN bug_id % 2 = 0 THEN 'warning' ELSE 'kasan' END AS stored, bug_type AS expected FROM classified WHERE bug_type <> CASE WHEN bug_id % 2 = 0 THEN 'warning' ELSE 'kasan' END", CLASSIFIED))
 def integrity_type_mismatch(spark, d):
-    b = sampled(DriverTables(spark, d).bugs(), "bug_id % 5 = 0")
+    b = DriverTables(spark, d).bugs()
     return checks.wrong_types(b.select("bug_id", "title", F.when(F.col("bug_id") % 2 == 0, "warning").otherwise("kasan").alias("bug_type")))
 
 
@@ -392,6 +401,45 @@ def integrity_membership(spark, d):
     return checks.membership(t.raw("customer").select(F.col("c_custkey").alias("snapshot_id"), (F.col("c_custkey") % 12).alias("record_count")), t.raw("orders").select(F.col("o_custkey").alias("snapshot_id")))
 
 
+@query(with_relations("""SELECT 'snapshot report ownership mismatch' AS "check", count(*) AS n FROM reports WHERE bug_id % 31 = 0 OR bug_id % 37 = 0 HAVING count(*) > 0
+  UNION ALL SELECT 'snapshot patch ownership mismatch', count(*) FROM patches WHERE suppkey % 6 = 1 HAVING count(*) > 0
+  UNION ALL SELECT 'snapshot uses invalid report version', count(*) FROM reports WHERE bug_id % 41 = 0 HAVING count(*) > 0
+  UNION ALL SELECT 'snapshot uses invalid patch version', count(*) FROM patches WHERE NOT is_valid HAVING count(*) > 0
+  UNION ALL SELECT 'active report has no snapshot association', count(*) FROM bugs WHERE bug_id % 41 <> 0 AND bug_id % 31 <> 0 AND bug_id NOT IN (SELECT bug_id FROM reports) HAVING count(*) > 0
+  UNION ALL SELECT 'active report has no current location extraction', count(*) FROM reports WHERE bug_id % 10 = 0 HAVING count(*) > 0
+  UNION ALL SELECT 'active patch has no current location extraction', count(*) FROM patches WHERE suppkey % 4 = 0 HAVING count(*) > 0"""))
+def integrity_associations(spark, d):
+    """One snapshot, with some reports and patches of other owners, versions that are invalid and artifacts nothing was read from."""
+    t, k, s = DriverTables(spark, d), F.col("bug_id"), F.col("suppkey")
+    snapshots = spark.range(1).select(F.lit(1).alias("snapshot_id"), F.lit(True).alias("is_current"))
+    members = t.bugs().select(F.lit(1).alias("snapshot_id"), "bug_id", k.alias("version_id"))
+    reports = t.reports().select(F.lit(1).alias("snapshot_id"), "bug_id", k.alias("report_version"), F.when(k % 37 == 0, -1).otherwise(k).alias("crash_version"))
+    versions = t.bugs().select(k.alias("report_version"), F.when(k % 31 == 0, -1).otherwise(k).alias("bug_id"), (k % 41 != 0).alias("is_valid"))
+    patches = t.patches().select(F.lit(1).alias("snapshot_id"), "hash", s.alias("patch_version"))
+    patch_versions = t.patches().select(s.alias("patch_version"), F.when(s % 6 == 1, "other").otherwise(F.col("hash")).alias("hash"), "is_valid")
+    located = t.reports().where("bug_id % 10 <> 0").select(F.lit("report").alias("kind"), k.alias("version")).unionByName(t.patches().where("suppkey % 4 <> 0").select(F.lit("patch").alias("kind"), s.alias("version")))
+    return checks.associations(snapshots, members, reports, versions, patches, patch_versions, located)
+
+
+@query(with_relations("SELECT 'missing or stale bug characteristics' AS \"check\", count(*) AS n FROM bugs WHERE bug_id % 13 = 0 OR bug_id % 17 = 0 HAVING count(*) > 0 UNION ALL SELECT 'missing patch coverage', count(*) FROM patches WHERE is_valid AND suppkey % 3 = 0 HAVING count(*) > 0"))
+def integrity_missing(spark, d):
+    t, k = DriverTables(spark, d), F.col("bug_id")
+    classified = t.bugs().where(k % 13 != 0).select("bug_id", F.when(k % 17 == 0, 0).otherwise(1).alias("classifier_version"))
+    return checks.missing(t.bugs(), classified, 1, t.patches(), t.patches().where("suppkey % 3 <> 0"))
+
+
+@query(with_relations("""SELECT 'report' AS kind, 'id-' || bug_id AS key, 'missing' AS issue FROM bugs WHERE bug_id NOT IN (SELECT bug_id FROM reports)
+  UNION ALL SELECT 'patch', hash, 'orphan' FROM patches WHERE hash NOT IN (SELECT hash FROM fix_refs WHERE hash IS NOT NULL AND bug_id % 200 = 0)
+  UNION ALL SELECT 'page', 'id-' || page_id, 'orphan' FROM pages WHERE page_id NOT IN (SELECT bug_id FROM bugs)"""))
+def audit_orphans(spark, d):
+    t = DriverTables(spark, d)
+    named = lambda kind, df, c: df.select(F.lit(kind).alias("kind"), c.alias("key"))
+    own = F.concat(F.lit("id-"), "bug_id")
+    files = named("report", t.reports(), own).unionByName(named("patch", t.patches(), F.col("hash"))).unionByName(named("page", t.raw("pages").join(t.bugs().select(F.col("bug_id").alias("page_id")), "page_id", "left_anti"), F.concat(F.lit("id-"), "page_id")))
+    wanted = named("report", t.bugs(), own).unionByName(named("patch", t.fix_refs().where("hash is not null and bug_id % 200 = 0"), F.col("hash")))
+    return checks.orphans(files, wanted)
+
+
 @query("""SELECT CAST(key AS VARCHAR) AS key, list_sort(list(side)) AS present FROM (SELECT doc_id AS key, 'documents' AS side FROM documents UNION SELECT doc_id, 'labels' FROM labels UNION SELECT item_id, 'benchmark' FROM benchmark) GROUP BY 1 HAVING count(*) < 3""")
 def audit_bijection(spark, d):
     t = DriverTables(spark, d)
@@ -448,54 +496,121 @@ def stack_frames(spark, d):
     return stacks.frames(t.reports().where("not startswith(report, '<html>')")).select("bug_id", "section", "report_line", "function", "path", "line")
 
 
-@query(None)
+_NAMELESS = "(17, 20, 22, 23, 24, 26, 27)"  # titles that name no function
+
+
+@query(with_relations(f"""
+  SELECT bug_id, 'primary' AS role, function, CASE WHEN race AND function = g THEN NULL ELSE spot END AS path, CASE WHEN race AND function = g THEN NULL ELSE spot_line END AS line, CAST(NULL AS BIGINT) AS "column",
+    CASE WHEN race AND function = g THEN 'function only; access unresolved' WHEN race THEN 'KCSAN distinct title function matched to stack' WHEN kind IN {_NAMELESS} THEN 'first non-runtime manifestation frame'
+      WHEN kind IN (0, 1, 2, 4) THEN 'sanitizer title function matched to symbolized stack' ELSE 'ordinary title function matched to symbolized stack' END AS strategy,
+    CASE WHEN race AND function = g THEN 'low' WHEN race THEN 'medium' WHEN kind IN {_NAMELESS} THEN 'low' WHEN kind IN (0, 1, 2, 4) THEN 'high' ELSE 'medium' END AS confidence,
+    CASE WHEN race AND function = g THEN title ELSE function || '.constprop.0+0x10/0x20 ' || spot || ':' || spot_line END AS evidence FROM seen
+  UNION ALL SELECT bug_id, 'conflicting-access', g, CASE WHEN function = g THEN NULL ELSE 'fs/open.c' END, CASE WHEN function = g THEN NULL ELSE bug_id % 90 + 1 END, NULL,
+    CASE WHEN function = g THEN 'function only; access unresolved' ELSE 'KCSAN distinct title function matched to stack' END, CASE WHEN function = g THEN 'low' ELSE 'medium' END,
+    CASE WHEN function = g THEN title ELSE g || '+0x3/0x4 fs/open.c:' || (bug_id % 90 + 1) END FROM seen WHERE race""", """
+seen AS (
+  SELECT bug_id, title, function, 'fn_' || (bug_id % 89) AS g, bug_id % 30 AS kind, bug_id % 30 = 3 AS race, coalesce(path, 'fs/none.c') AS spot, coalesce(line, 1) AS spot_line FROM reports JOIN sites USING (bug_id))"""))
 def crash_sites(spark, d):
     return stacks.crash_sites(DriverTables(spark, d).reports())
 
 
-@query(with_relations("""SELECT bug_id, CASE WHEN cf IN (SELECT fix_function FROM fx WHERE fx.bug_id = b.bug_id) THEN '0' WHEN NOT EXISTS (SELECT 1 FROM fx WHERE fx.bug_id = b.bug_id) THEN NULL
-    WHEN NOT EXISTS (SELECT 1 FROM idx WHERE idx.bug_id = b.bug_id) THEN NULL
-    ELSE coalesce((SELECT CAST(min(abs(i.k - coalesce((SELECT min(k) FROM idx j WHERE j.bug_id = b.bug_id AND (j.function = cf OR (j.path = cp AND abs(j.line - cl) <= 1))), 0))) AS VARCHAR) FROM idx i JOIN fx ON fx.bug_id = i.bug_id AND fx.fix_function = i.function WHERE i.bug_id = b.bug_id), 'inf') END AS distance
-  FROM (SELECT bug_id, path AS cp, line AS cl, function AS cf FROM sites WHERE bug_id % 4 = 1) b""", _FRAMES + """,
-idx AS (SELECT *, row_number() OVER (PARTITION BY bug_id ORDER BY report_line) - 1 AS k FROM frames WHERE section = 'manifestation' AND bug_id % 4 = 1),
-fx AS (SELECT DISTINCT bug_id, ranges.function AS fix_function FROM fix_refs JOIN ranges USING (hash) WHERE bug_id % 4 = 1)"""))
+@query(with_relations("SELECT bug_id, 10 AS main_lines, ' kfree+0x1/0x9 mm/slab.c:44' || CASE WHEN bug_id % 10 = 0 AND bug_id % 4 <> 0 THEN '</html>' ELSE '' END AS free, ' kmem_alloc+0x1/0x9 mm/slab.c:33' AS allocation FROM reports"))
+def report_sections(spark, d):
+    parts = DriverTables(spark, d).reports().select("bug_id", corpus.split_report(F.col("report")).alias("s"))
+    return parts.select("bug_id", F.size(corpus.lines_of(F.col("s.main"))).alias("main_lines"), "s.free", "s.allocation")
+
+
+@query(with_relations("SELECT bug_id, CASE WHEN bug_id % 10 = 0 THEN [5, 6] ELSE [1, 5, 6] END AS found FROM reports"))
+def evidence_lines(spark, d):
+    """Where the title and two lines of the stack stand; the first line of markup is no title."""
+    said = F.concat(F.col("title"), F.lit("\n\n Call Trace:\n<TASK> "))
+    return DriverTables(spark, d).reports().select("bug_id", F.transform(corpus.evidence_lines(said, F.col("report")), lambda x: x["report_line"]).alias("found"))
+
+
+_DIST = _FRAMES + """,
+idx AS (SELECT *, row_number() OVER (PARTITION BY bug_id ORDER BY report_line) - 1 AS k FROM frames WHERE section = 'manifestation'),
+fx AS (SELECT DISTINCT bug_id, ranges.function AS function FROM (SELECT DISTINCT bug_id, hash FROM fix_refs WHERE hash IS NOT NULL) JOIN ranges USING (hash)),
+anchors AS (SELECT i.bug_id, coalesce(min(k) FILTER (WHERE i.function = s.function OR (i.path = s.path AND abs(i.line - s.line) <= 1)), min(k)) AS a FROM idx i JOIN sites s ON s.bug_id = i.bug_id GROUP BY i.bug_id),
+near AS (SELECT i.bug_id, min(abs(k - a)) AS d FROM idx i JOIN fx ON fx.bug_id = i.bug_id AND fx.function = i.function JOIN anchors ON anchors.bug_id = i.bug_id GROUP BY i.bug_id),
+dist AS (
+  SELECT s.bug_id, CASE WHEN same.bug_id IS NOT NULL THEN '0' WHEN known.bug_id IS NULL OR a IS NULL THEN NULL WHEN d IS NULL THEN 'inf' ELSE CAST(d AS VARCHAR) END AS distance
+  FROM sites s LEFT JOIN fx same ON same.bug_id = s.bug_id AND same.function = s.function LEFT JOIN (SELECT DISTINCT bug_id FROM fx) known ON known.bug_id = s.bug_id
+    LEFT JOIN anchors ON anchors.bug_id = s.bug_id LEFT JOIN near ON near.bug_id = s.bug_id)"""
+
+
+@query(with_relations("SELECT bug_id, distance FROM dist", _DIST))
 def stack_distance(spark, d):
     t = DriverTables(spark, d)
-    f = stacks.frames(sampled(t.reports().where("not startswith(report, '<html>')"), "bug_id % 4 = 1")).where("section = 'manifestation'")
+    f = stacks.frames(t.reports().where("not startswith(report, '<html>')")).where("section = 'manifestation'")
     f = f.withColumn("idx", F.row_number().over(Window.partitionBy("bug_id").orderBy("report_line", "ordinal")) - 1)
-    functions = sampled(t.fix_refs().where("hash is not null"), "bug_id % 4 = 1").select("bug_id", "hash").distinct().join(t.ranges().select("hash", "function"), "hash").select("bug_id", "function").distinct()
-    return study.stack_distance(f, sampled(t.sites(), "bug_id % 4 = 1"), functions)
+    by_hash = t.ranges().select("hash", "function").distinct()
+    functions = t.fix_refs().where("hash is not null").select("bug_id", "hash").distinct().join(by_hash, "hash").select("bug_id", "function").distinct()
+    return study.stack_distance(f, t.sites(), functions)
 
 
 def _patch_texts(spark, d) -> DataFrame:
-    """A patch for each part; those of one in seven parts end before their hunk does."""
-    k = F.col("p_partkey")
-    path = F.concat(F.lit("fs/f"), k % 30, F.lit(".c"))
-    lines = [F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path), F.concat(F.lit("--- a/"), path), F.concat(F.lit("+++ b/"), path), F.concat(F.lit("@@ -"), k, F.lit(",3 +"), k, F.lit(",4 @@ int fn_"), k % 97, F.lit("(int a)")), F.lit(" one"), F.lit("-two"), F.lit("+deux"), F.lit("+trois"), F.when(k % 7 != 0, " four")]
-    return DriverTables(spark, d).raw("part").select(k.alias("hash"), F.concat_ws("\n", *lines).alias("patch"))
+    """A patch for each part, of eight kinds: an edit, a hunk cut short, a rename, a new file, a binary one, two files, two hunks, a deleted file."""
+    t, k = DriverTables(spark, d), F.col("p_partkey")
+    path, fn = F.concat(F.lit("fs/f"), k % 30, F.lit(".c")), F.concat(F.lit("fn_"), k % 97, F.lit("(int a)"))
+    line = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    head = [line("diff --git a/", path, " b/", path)]
+    names = [line("--- a/", path), line("+++ b/", path)]
+    edit = [*head, *names, line("@@ -", k, ",3 +", k, ",4 @@ int ", fn), " one", "-two", "+deux", "+trois"]
+    kinds = (
+        [*edit, " four"], edit, [line("diff --git a/", path, " b/new/", path), "similarity index 100%", line("rename from ", path), line("rename to new/", path)],
+        [*head, "new file mode 100644", "--- /dev/null", names[1], "@@ -0,0 +1,2 @@", "+a", "+b"], [*head, line("Binary files a/", path, " and b/", path, " differ")],
+        [*edit, " four", "diff --git a/m.sh b/m.sh", "old mode 100644", "new mode 100755"],
+        [*head, *names, line("@@ -", k, ",2 +", k, ",2 @@ int ", fn), " one", "-two", "+deux", line("@@ -", k + 50, " +", k + 50, ",2 @@"), line(" int gn_", k % 97, "(void) {"), "+  y;"],
+        [*head, "deleted file mode 100644", names[0], "+++ /dev/null", "@@ -1,2 +0,0 @@", "-a", "-b"],
+    )
+    text = F.coalesce(*(F.when(k % 8 == i, F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in lines))) for i, lines in enumerate(kinds)))
+    return t.spread(t.raw("part").select(k.alias("hash"), text.alias("patch")), "part")
 
 
-_PATCHED = "'fs/f' || (p_partkey % 30) || '.c'"
+_PATCHED = """
+part_of AS (SELECT p_partkey AS k, p_partkey % 8 AS v, 'fs/f' || (p_partkey % 30) || '.c' AS f, 'fn_' || (p_partkey % 97) AS fn FROM part),
+edits AS (
+  SELECT k, f AS old_path, f AS new_path, k + 1 AS old_start, 1 AS old_count, k + 1 AS new_start, 2 AS new_count, fn AS function, 'inferred from hunk heading' AS basis, 'text' AS kind FROM part_of WHERE v IN (0, 5)
+  UNION ALL SELECT k, f, f, NULL, 0, NULL, 0, NULL, 'unknown', 'unparsed' FROM part_of WHERE v = 1
+  UNION ALL SELECT k, f, 'new/' || f, NULL, 0, NULL, 0, NULL, 'unknown', 'rename' FROM part_of WHERE v = 2
+  UNION ALL SELECT k, NULL, f, 0, 0, 1, 2, NULL, 'unknown', 'text' FROM part_of WHERE v = 3
+  UNION ALL SELECT k, f, f, NULL, 0, NULL, 0, NULL, 'unknown', 'binary' FROM part_of WHERE v = 4
+  UNION ALL SELECT k, 'm.sh', 'm.sh', NULL, 0, NULL, 0, NULL, 'unknown', 'file-only' FROM part_of WHERE v = 5
+  UNION ALL SELECT k, f, f, k + 1, 1, k + 1, 1, fn, 'inferred from hunk heading', 'text' FROM part_of WHERE v = 6
+  UNION ALL SELECT k, f, f, k + 50, 0, k + 51, 1, 'gn_' || (k % 97), 'inferred from definition context', 'text' FROM part_of WHERE v = 6
+  UNION ALL SELECT k, f, NULL, 1, 2, 0, 0, NULL, 'unknown', 'text' FROM part_of WHERE v = 7)"""
 
 
-@query(f"SELECT p_partkey AS hash, {_PATCHED} AS old_path, {_PATCHED} AS new_path, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey + 1 END AS old_start, CAST(CASE WHEN p_partkey % 7 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS old_count, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey + 1 END AS new_start, CAST(CASE WHEN p_partkey % 7 <> 0 THEN 2 ELSE 0 END AS BIGINT) AS new_count, CASE WHEN p_partkey % 7 <> 0 THEN 'fn_' || (p_partkey % 97) END AS function, CASE WHEN p_partkey % 7 <> 0 THEN 'text' ELSE 'unparsed' END AS kind FROM part")
+@query(f"WITH {_PATCHED} SELECT k AS hash, old_path, new_path, CAST(old_start AS BIGINT) AS old_start, CAST(old_count AS BIGINT) AS old_count, CAST(new_start AS BIGINT) AS new_start, CAST(new_count AS BIGINT) AS new_count, function, basis, kind FROM edits")
 def fix_ranges(spark, d):
-    return diffs.changed_ranges(_patch_texts(spark, d)).select("hash", "old_path", "new_path", "old_start", "old_count", "new_start", "new_count", "function", "kind")
+    return diffs.changed_ranges(_patch_texts(spark, d)).select("hash", "old_path", "new_path", "old_start", "old_count", "new_start", "new_count", "function", "basis", "kind")
 
 
-@query("SELECT p_partkey AS hash, p_partkey % 7 <> 0 AS is_complete FROM part")
+@query("SELECT p_partkey AS hash, p_partkey % 8 NOT IN (1, 4) AS is_complete FROM part")
 def patch_complete(spark, d):
     return diffs.completeness(_patch_texts(spark, d))
 
 
-@query("SELECT p_partkey AS hash, 1 AS files, CASE WHEN p_partkey % 7 <> 0 THEN 2 END AS insertions, CASE WHEN p_partkey % 7 <> 0 THEN 1 END AS deletions FROM part")
+@query("SELECT p_partkey AS hash, CASE WHEN p_partkey % 8 = 5 THEN 2 ELSE 1 END AS files, [2, NULL, 0, 2, NULL, 2, 2, 0][p_partkey % 8 + 1] AS insertions, [1, NULL, 0, 0, NULL, 1, 1, 2][p_partkey % 8 + 1] AS deletions FROM part")
 def patch_files_diffstat(spark, d):
     return diffs.diffstat(diffs.patch_files(_patch_texts(spark, d)))
 
 
-@query("SELECT p_partkey AS hash, ['fn_' || (p_partkey % 97)] AS functions, [p_partkey + 1, p_partkey + 2, p_partkey + 2] AS touched, 2 AS additions, 1 AS deletions FROM part")
+@query(f"""WITH {_PATCHED} SELECT k AS hash, 1 AS file_no, CASE WHEN v = 1 THEN 'unparsed' ELSE 'text' END AS kind, n AS hunk_no,
+    CASE v WHEN 3 THEN '@@ -0,0 +1,2 @@' WHEN 7 THEN '@@ -1,2 +0,0 @@' WHEN 6 THEN CASE n WHEN 1 THEN '@@ -' || k || ',2 +' || k || ',2 @@ int ' || fn || '(int a)' ELSE '@@ -' || (k + 50) || ' +' || (k + 50) || ',2 @@' END ELSE '@@ -' || k || ',3 +' || k || ',4 @@ int ' || fn || '(int a)' END AS header,
+    CASE v WHEN 3 THEN 3 WHEN 7 THEN 3 WHEN 6 THEN CASE n WHEN 1 THEN 4 ELSE 3 END WHEN 1 THEN 5 ELSE 6 END AS lines, CASE WHEN v = 1 THEN NULL ELSE 1 END AS changes,
+    CAST(CASE v WHEN 1 THEN NULL WHEN 3 THEN 0 WHEN 7 THEN 2 WHEN 6 THEN 2 - n ELSE 1 END AS BIGINT) AS removed, CAST(CASE v WHEN 1 THEN NULL WHEN 7 THEN 0 WHEN 6 THEN 1 ELSE 2 END AS BIGINT) AS added
+  FROM part_of, (SELECT unnest([1, 2]) AS n) WHERE v NOT IN (2, 4) AND (n = 1 OR v = 6)""")
+def patch_hunks(spark, d):
+    rows = diffs.patch_files(_patch_texts(spark, d)).select("hash", "file_no", "kind", F.explode_outer("documents").alias("h")).where("h is not null")
+    return rows.select("hash", "file_no", "kind", "h.hunk_no", "h.header", F.size(corpus.lines_of(F.col("h.text"))).alias("lines"), "h.changes", "h.removed", "h.added")
+
+
+@query(f"""WITH {_PATCHED} SELECT k AS hash, 1 AS hunk_no, CASE WHEN v IN (3, 7) THEN [] ELSE [fn] END AS functions, CASE v WHEN 3 THEN [0, 0] WHEN 7 THEN [1, 2] WHEN 6 THEN [k + 1, k + 2] ELSE [k + 1, k + 2, k + 2] END AS touched,
+    CASE v WHEN 3 THEN [0, 0] WHEN 7 THEN [] WHEN 6 THEN [k + 2] ELSE [k + 2, k + 2] END AS anchors, CASE v WHEN 7 THEN 0 WHEN 6 THEN 1 ELSE 2 END AS additions, CASE v WHEN 3 THEN 0 WHEN 7 THEN 2 ELSE 1 END AS deletions FROM part_of WHERE v NOT IN (2, 4)
+  UNION ALL SELECT k, 2, ['gn_' || (k % 97)], [k + 51], [k + 51], 1, 0 FROM part_of WHERE v = 6""")
 def study_hunks(spark, d):
-    return diffs.hunks(_patch_texts(spark, d)).select("hash", "functions", "touched", "additions", "deletions")
+    return diffs.hunks(_patch_texts(spark, d)).select("hash", "hunk_no", "functions", "touched", "anchors", "additions", "deletions")
 
 
 @query(with_relations("SELECT bug_id, function, report_line, CASE WHEN exact THEN 'same file and function name' ELSE 'function name only; path unavailable' END AS method FROM (SELECT f.bug_id, f.function, f.report_line, bool_or(coalesce(f.path = r.old_path, false) OR coalesce(f.path = r.new_path, false)) AS exact, bool_or(f.path IS NULL OR (r.old_path IS NULL AND r.new_path IS NULL)) AS loose FROM frames f JOIN (SELECT DISTINCT bug_id, ranges.function, old_path, new_path FROM fix_refs JOIN patches USING (hash) JOIN ranges USING (hash) WHERE is_valid) r ON r.bug_id = f.bug_id AND r.function = f.function WHERE f.section = 'manifestation' GROUP BY ALL) WHERE exact OR loose", _FRAMES))
@@ -508,3 +623,130 @@ def explain_frame_matches(spark, d):
 @query(with_relations("SELECT bug_id, title, list_filter([CASE WHEN contains(title, ' / ') THEN regexp_extract(title, 'data-race in (\\w+)', 1) ELSE nullif(regexp_extract(title, ' in (fn_\\d+)', 1), '') END, CASE WHEN contains(title, ' / ') THEN regexp_extract(title, ' / (\\w+)', 1) END], lambda x: x IS NOT NULL) AS functions FROM bugs"))
 def title_functions(spark, d):
     return DriverTables(spark, d).bugs().select("bug_id", "title", text.title_functions(F.col("title")).alias("functions"))
+
+
+# --- the study's rows and tables
+
+
+_FULL = f"""{_STUDY_CLASS}, {_BUCKETS}, {_DIST}, {_patch_class_sql("bugs", "bug_id")},
+waits AS (SELECT bug_id, date_diff('second', opened, l_shipdate) / 86400.0 AS days FROM bugs JOIN (SELECT l_orderkey, max(l_shipdate) AS l_shipdate FROM lineitem GROUP BY 1) ON l_orderkey = bug_id),
+full_rows AS MATERIALIZED (
+  SELECT b.bug_id, lowest, highest, hunks, family, s.class, detector, bucket, distance AS stack, days, p.class AS patch
+  FROM by_bug b JOIN studied s ON s.bug_id = b.bug_id JOIN buckets u ON u.bug_id = b.bug_id JOIN dist ON dist.bug_id = b.bug_id JOIN patched p ON p.bug_id = b.bug_id LEFT JOIN waits ON waits.bug_id = b.bug_id)"""
+
+
+def full_rows(spark, d) -> DataFrame:
+    """A row for each bug with a graded pair: grades, class, detector, S, Δt bucket, days to fix and class of its patch."""
+    studied = _studied(spark, d)
+    studied = studied.select("bug_id", "family", "class", "detector", study.temporal_bucket(F.col("class"), F.col("report"))["bucket"].alias("bucket"))
+    shipped = DriverTables(spark, d).raw("lineitem").groupBy(F.col("l_orderkey").alias("bug_id")).agg(F.max("l_shipdate").alias("shipped"))
+    out = study.per_bug(pairs(spark, d)).join(studied, "bug_id").join(stack_distance(spark, d).withColumnRenamed("distance", "stack"), "bug_id")
+    out = out.join(DriverTables(spark, d).bugs().select("bug_id", "opened"), "bug_id").join(shipped, "bug_id", "left")
+    days = (F.unix_micros(F.col("shipped").cast("timestamp")) - F.unix_micros(F.col("opened").cast("timestamp"))) / 86_400e6
+    return out.select("bug_id", "lowest", "highest", "hunks", "family", "class", "detector", "bucket", "stack", days.alias("days"), _patch_class("bug_id")["class"].alias("patch"))
+
+
+def _full_sql(body: str) -> str:
+    return with_relations(body, f"{_PAIRS}, {_FULL}")
+
+
+_FAR = """count(*) AS bugs, count(highest) AS resolved, count(*) FILTER (WHERE highest >= 3) AS far, count(*) FILTER (WHERE highest <= 1) AS local, count(*) FILTER (WHERE stack = '0') AS on_site,
+  count(*) FILTER (WHERE stack NOT IN ('0', 'inf')) AS on_stack, count(*) FILTER (WHERE stack = 'inf') AS off_stack, count(stack) AS known_stack, count(*) FILTER (WHERE bucket = 'unbounded') AS unbounded, round(median(days), 6) AS days"""
+_SHARES = """round(CASE WHEN resolved = 0 THEN 0 ELSE far / resolved END, 9) AS far_share, round(CASE WHEN known_stack = 0 THEN 0 ELSE off_stack / known_stack END, 9) AS off_share,
+  round(CASE WHEN resolved = 0 THEN 0 ELSE (far / resolved + 3.8416 / resolved / 2 - 1.96 * sqrt(far / resolved * (1 - far / resolved) / resolved + 3.8416 / resolved / (4 * resolved))) / (1 + 3.8416 / resolved) END, 9) AS low,
+  round(CASE WHEN resolved = 0 THEN 0 ELSE (far / resolved + 3.8416 / resolved / 2 + 1.96 * sqrt(far / resolved * (1 - far / resolved) / resolved + 3.8416 / resolved / (4 * resolved))) / (1 + 3.8416 / resolved) END, 9) AS high"""
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({**{c: F.round(c, 9) for c in ("far_share", "off_share", "low", "high")}, "days": F.round("days", 6)})
+
+
+_DIMENSIONS = ("family", "class", "patch", "detector")
+
+
+@query(_full_sql(f"SELECT *, {_SHARES} FROM (SELECT dimension || ': ' || value AS name, {_FAR} FROM (SELECT *, unnest(['family', 'class', 'patch', 'detector']) AS dimension, unnest([family, class, patch, detector]) AS value FROM full_rows) GROUP BY 1)"))
+def study_far_tables(spark, d):
+    """The tables by failure family, class, patch class and detector, in one pass."""
+    name = F.explode(F.array(*(F.concat(F.lit(f"{c}: "), c) for c in _DIMENSIONS)))
+    return _rounded(study.far_shares(full_rows(spark, d).withColumn("name", name), "name"))
+
+
+@query(_full_sql(f"SELECT *, {_SHARES} FROM (SELECT highest AS grade, {_FAR} FROM full_rows GROUP BY 1)"))
+def grade_stack_table(spark, d):
+    return _rounded(study.far_shares(full_rows(spark, d).withColumn("grade", F.col("highest")), "grade"))
+
+
+@query(_full_sql("SELECT bucket, count(*) AS bugs, round(count(*) / sum(count(*)) OVER (), 9) AS share, count(*) FILTER (WHERE contains(class, 'Use-after-free')) AS uaf, round(count(*) FILTER (WHERE contains(class, 'Use-after-free')) / nullif(sum(count(*) FILTER (WHERE contains(class, 'Use-after-free'))) OVER (), 0), 9) AS uaf_share FROM full_rows GROUP BY bucket"))
+def temporal_uaf_table(spark, d):
+    per = full_rows(spark, d).groupBy("bucket").agg(F.count("*").alias("bugs"), F.count_if(F.contains("class", F.lit("Use-after-free"))).alias("uaf"))
+    whole = F.broadcast(per.agg(F.sum("bugs").alias("_bugs"), F.sum("uaf").alias("_uaf")))  # one row
+    return per.join(whole).select("bucket", "bugs", F.round(F.col("bugs") / F.col("_bugs"), 9).alias("share"), "uaf", F.round(F.col("uaf") / F.nullif(F.col("_uaf"), F.lit(0)), 9).alias("uaf_share"))
+
+
+@query(_full_sql(f"""SELECT *, {_SHARES} FROM (SELECT name, {_FAR} FROM (
+  SELECT *, unnest(list_filter(['all', CASE WHEN contains(class, 'Use-after-free') THEN 'use after free' END, CASE WHEN contains(class, 'Out-of-bounds') THEN 'out of bounds' END, CASE WHEN family = 'Concurrency' THEN 'concurrency' END,
+    CASE WHEN bucket = 'unbounded' THEN 'delayed' END, CASE WHEN hunks = 1 THEN 'single hunk' END], lambda x: x IS NOT NULL)) AS name FROM full_rows) GROUP BY name)"""))
+def framework_groups(spark, d):
+    """Groups that overlap: a bug counts in each it belongs to."""
+    groups = F.array_compact(F.array(
+        F.lit("all"), F.when(F.contains("class", F.lit("Use-after-free")), "use after free"), F.when(F.contains("class", F.lit("Out-of-bounds")), "out of bounds"), F.when(F.col("family") == "Concurrency", "concurrency"),
+        F.when(F.col("bucket") == "unbounded", "delayed"), F.when(F.col("hunks") == 1, "single hunk"),
+    ))
+    return _rounded(study.far_shares(full_rows(spark, d).withColumn("name", F.explode(groups)), "name"))
+
+
+@query(_full_sql("SELECT family, patch, count(*) AS bugs, min(bug_id) AS first_bug FROM full_rows GROUP BY 1, 2 ORDER BY bugs DESC, first_bug LIMIT 20"))
+def family_patch_top20(spark, d):
+    """Ties in the order in which their first bug is listed."""
+    return full_rows(spark, d).groupBy("family", "patch").agg(F.count("*").alias("bugs"), F.min("bug_id").alias("first_bug")).orderBy(F.desc("bugs"), "first_bug").limit(20)
+
+
+@query(_full_sql("SELECT lowest, highest, count(*) AS bugs, min(bug_id) AS first_bug FROM full_rows WHERE lowest < highest GROUP BY 1, 2 ORDER BY bugs DESC, first_bug LIMIT 12"))
+def shifts_top12(spark, d):
+    return full_rows(spark, d).where("lowest < highest").groupBy("lowest", "highest").agg(F.count("*").alias("bugs"), F.min("bug_id").alias("first_bug")).orderBy(F.desc("bugs"), "first_bug").limit(12)
+
+
+_SUMMARY = ("detector", "family", "class", "patch", "highest", "stack", "bucket")
+
+
+@query(_full_sql("""SELECT dimension, value, other, count(*) AS n FROM (
+  SELECT unnest(['detector', 'family', 'class', 'patch', 'highest', 'stack', 'bucket', 'family x highest', 'family x patch']) AS dimension,
+    unnest([detector, family, class, patch, CAST(highest AS VARCHAR), stack, bucket, family, family]) AS value, unnest([NULL, NULL, NULL, NULL, NULL, NULL, NULL, CAST(highest AS VARCHAR), patch]) AS other FROM full_rows) GROUP BY ALL"""))
+def study_summary(spark, d):
+    return study.count_maps(full_rows(spark, d), _SUMMARY, (("family", "highest"), ("family", "patch")))
+
+
+@query(_full_sql("""SELECT flags, CASE WHEN regexp_matches(flags, 'CS needs|distance unresolved|FS function unresolved') THEN 'Manual review recommended' ELSE 'Automated classification' END AS review, count(*) AS bugs FROM (
+  SELECT concat_ws('; ', CASE WHEN path IS NULL THEN 'CS needs manual review' END, CASE WHEN highest IS NULL THEN 'distance unresolved' END, CASE WHEN highest IN (4, 5) THEN 'D4/D5 uses path-based MAINTAINERS proxy' END,
+    CASE WHEN hunks > 1 THEN 'multi-hunk maximum applied' END, CASE WHEN n > 1 THEN 'multiple fix commits' END, CASE WHEN detector = 'KCSAN' THEN 'dual conflicting access sites' END, CASE WHEN functions = 0 THEN 'FS function unresolved' END) AS flags
+  FROM full_rows r JOIN sites USING (bug_id) JOIN (SELECT bug_id, count(DISTINCT hash) AS n, count(fix_function) AS functions FROM fixed GROUP BY bug_id) x USING (bug_id)) GROUP BY 1, 2"""))
+def quality_flags(spark, d):
+    p = pairs(spark, d)
+    more = p.groupBy("bug_id").agg(F.count_distinct("hash").alias("n"), F.collect_set("fix_function").alias("functions"), F.first("crash_path").alias("path"))
+    rows = full_rows(spark, d).join(more, "bug_id")
+    got = study.quality(F.col("path"), F.lit("medium"), F.col("highest"), F.col("hunks"), F.col("n"), F.col("detector"), F.col("functions"))
+    return rows.select(got.alias("q")).groupBy("q.flags", "q.review").agg(F.count("*").alias("bugs"))
+
+
+@query(_full_sql("SELECT coalesce('D' || highest, 'Unresolved') || '/S=' || coalesce(stack, 'unknown') || '/Δt=' || bucket AS annotation, count(*) AS bugs FROM full_rows GROUP BY 1"))
+def annotations(spark, d):
+    rows = full_rows(spark, d).select(study.annotation(F.col("highest"), F.col("stack"), F.col("bucket")).alias("annotation"))
+    return rows.groupBy("annotation").agg(F.count("*").alias("bugs"))
+
+
+@query(_full_sql("SELECT bug_id, detector, bucket FROM full_rows QUALIFY row_number() OVER (PARTITION BY detector ORDER BY highest DESC NULLS LAST, hunks DESC, bug_id) <= 3"))
+def examples_top3(spark, d):
+    return study.first_of_each(full_rows(spark, d), "detector", [F.desc_nulls_last("highest"), F.desc("hunks"), F.col("bug_id")], 3).select("bug_id", "detector", "bucket")
+
+
+@query(_study_sql("SELECT bug_id, min(grade) AS lowest, max(grade) AS highest, arg_min(old_start, (-grade, old_start)) AS farthest FROM graded WHERE grade IS NOT NULL GROUP BY bug_id"))
+def farthest_hunk(spark, d):
+    return study.farthest(pairs(spark, d), "old_start")
+
+
+@query(with_relations("SELECT b.bug_id, coalesce(n, 0) AS frames, CASE WHEN r.bug_id IS NULL THEN 0 ELSE 1 END AS crashes FROM bugs b LEFT JOIN (SELECT bug_id, count(*) AS n FROM frames GROUP BY 1) f ON f.bug_id = b.bug_id LEFT JOIN reports r ON r.bug_id = b.bug_id", _FRAMES))
+def crash_frame_counts(spark, d):
+    t = DriverTables(spark, d)
+    counted = stacks.frames(t.reports().where("not startswith(report, '<html>')")).groupBy("bug_id").agg(F.count("*").alias("frames"))
+    out = t.bugs().select("bug_id").join(counted, "bug_id", "left").join(t.reports().select("bug_id", F.lit(1).alias("crashes")), "bug_id", "left")
+    return out.select("bug_id", F.coalesce("frames", F.lit(0)).alias("frames"), F.coalesce("crashes", F.lit(0)).alias("crashes"))

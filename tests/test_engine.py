@@ -14,36 +14,60 @@ from faultline.streaming import arrivals
 
 
 def _merged(rows):
-    """The merge as its rules read, one bug at a time."""
+    """The merge as its rules read, one bug and one reference after the other: those with a hash first, each by position."""
     out = []
     for bug in {r[0] for r in rows}:
-        own = sorted(((k, t, p, h) for k, h, t, p in [(r[1], r[2], r[3], r[4]) for r in rows if r[0] == bug]), key=lambda x: (x[0], x[1], x[2]))
-        known: dict = {}
-        for kind, title, repo, h in own:
-            if h:
-                f = known.setdefault(h, {"title": "", "repo": "", "sources": set(), "n": 0})
-                f["title"], f["repo"] = f["title"] or title, f["repo"] or repo
-                f["sources"].add(kind)
-                f["n"] += 1
-        bare: dict = {}
-        for kind, title, repo, h in own:
-            if not h:
-                match = [k for k, f in known.items() if title and (f["title"], f["repo"]) == (title, repo)]
-                f = known[match[0]] if len(match) == 1 else bare.setdefault((title, repo), {"title": title, "repo": repo, "sources": set(), "n": 0})
-                f["sources"].add(kind)
-                f["n"] += 1
-        out += [(bug, h, f["title"], f["repo"], tuple(sorted(f["sources"])), f["n"]) for h, f in known.items()] + [(bug, None, f["title"], f["repo"], tuple(sorted(f["sources"])), f["n"]) for f in bare.values()]
+        known: list[dict] = []
+        for _, position, kind, h, title, repo in sorted((r for r in rows if r[0] == bug), key=lambda r: (r[3] is None, r[1])):
+            same = [f for f in known if h and f["hash"] == h]
+            alike = [f for f in known if not h and title and (f["title"], f["repo"]) == (title, repo)]
+            bare = [f for f in alike if not f["hash"]]
+            match = same[:1] or bare[:1] or (alike if len(alike) == 1 else [])
+            if not match:
+                known.append({"hash": h, "title": title, "repo": repo, "sources": [kind], "n": 1, "position": position})
+                continue
+            f = match[0]
+            f["title"], f["repo"], f["n"], f["position"] = f["title"] or title, f["repo"] or repo, f["n"] + 1, min(f["position"], position)
+            if kind not in f["sources"]:
+                f["sources"].append(kind)
+        out += [(bug, f["position"], f["hash"], f["title"], f["repo"], tuple(f["sources"]), f["n"]) for f in known]
     return sorted(out, key=str)
 
 
-def test_merge_of_fixes(spark):
-    rng = random.Random(4)
-    rows = [(rng.randrange(12), rng.choice(["listing", "detail"]), rng.choice([None, None, "h1", "h2", "h3"]), rng.choice(["", "t1", "t2"]), rng.choice(["", "r"])) for _ in range(160)]
-    df = spark.createDataFrame(rows, "bug_id long, kind string, hash string, title string, repo string")
-    got = sorted(((r.bug_id, r.hash, r.title, r.repo, tuple(r.sources), r.references) for r in fixes.merge(df).collect()), key=str)
+def _refs(seed, n=160):
+    rng = random.Random(seed)
+    return [(rng.randrange(12), k, rng.choice(["listing", "detail"]), rng.choice([None, None, "h1", "h2", "h3"]), rng.choice(["", "t1", "t2"]), rng.choice(["", "r"])) for k in rng.sample(range(1000), n)]
+
+
+REFS = "bug_id long, position long, kind string, hash string, title string, repo string"
+
+
+@pytest.mark.parametrize("seed", [4, 5, 6])
+def test_merge_of_fixes(spark, seed):
+    rows = _refs(seed)
+    got = sorted(((r.bug_id, r.position, r.hash, r.title, r.repo, tuple(r.sources), r.references) for r in fixes.merge(spark.createDataFrame(rows, REFS)).collect()), key=str)
     assert got == _merged(rows)
 
 
+def test_unions_of_fixes_keep_the_first(spark):
+    rows = _refs(7)
+    df = spark.createDataFrame([(b, p, k, h and h.upper(), t, r) for b, p, k, h, t, r in rows], REFS)
+    want: dict = {}
+    for b, p, k, h, t, r in sorted(rows, key=lambda x: (x[2] != "listing", x[1])):
+        want.setdefault((b, h, t, r), (p, k))
+    assert {(r.bug_id, r.hash, r.title, r.repo): (r.position, r.kind) for r in fixes.ordered_union(df).collect()} == want
+    found: dict = {}
+    for b, p, k, h, t, r in sorted(rows, key=lambda x: (x[2] != "detail", x[1])):
+        h = h or ("h1" if (b, t, r) == (3, "t1", "r") else None)
+        if h:
+            old = found.setdefault((b, h), ["", ""])
+            old[:] = [old[0] or t, old[1] or r]
+    resolved = spark.createDataFrame([(3, "t1", "r", "H1"), (4, "t1", "r", None)], "bug_id long, title string, repo string, hash string")
+    assert {(r.bug_id, r.hash): [r.title, r.repo] for r in fixes.research_fixes(df, resolved).collect()} == found
+    jobs = {r.hash: (r.repo, r.bugs) for r in fixes.patch_jobs(spark.createDataFrame([(2, 1, "listing", "h", "t", "late"), (1, 5, "listing", "h", "t", "first"), (1, 2, "detail", "h", "t", "")], REFS)).collect()}
+    assert jobs == {"h": ("first", 2)}
+
+
 def test_sizes_are_unknown_unless_all_is_known(spark):
     bugs = spark.createDataFrame([(k,) for k in range(1, 8)], "bug_id long")
     refs = spark.createDataFrame([(1, "d", "a", "t", "r"), (1, "l", "a", "t", "q"), (2, "d", "a", "t", "r"), (2, "d", "b", "t", "r"), (3, "d", "c", "t", "r"), (4, "d", "a", "t", "r"), (4, "d", None, "u", "r"), (5, "d", "a", "t", "r"), (5, "l", None, "t", "r"), (6, "d", None, "t", "r")], "bug_id long, kind string, hash string, title string, repo string")
@@ -109,6 +133,16 @@ def test_mirror(spark, tmp_path):
     c = got["details"].where("error is null").select(mirror.reproducers(F.col("detail.crashes")).alias("r"), mirror.first_report(F.col("detail.crashes")).alias("l")).first()
     assert (c.r.status, c.r.urls, c.l) == ("available", ["/u"], "/r")
     assert got["patches"].where("is_valid").count() == 1
+    member = mirror.listing_membership(got["listing"].where("key is not null"), mirror.html_keys(spark.createDataFrame([(HTML,)], "text string"))).collect()
+    assert {(r.key, r.side) for r in member} == {("extid-zz", "html"), ("id-k3", "html")}
+    for text, why in (('{"Bugs": 3}', "no array of bugs"), ("[", "no array of bugs"), ('{"bugs": [null]}', "not an object")):
+        assert [r.error for r in mirror.listing(spark.createDataFrame([(text,)], "value string")).collect()] == [why], text
+    catalog = mirror.catalog(got["listing"], "now")
+    assert json.loads(catalog)["generated_at"] == "now" and [b["key"] for b in json.loads(catalog)["bugs"]] == ["extid-k1"]
+    assert mirror.catalog(got["listing"], "later", catalog) == catalog and "later" in mirror.catalog(got["listing"].limit(0), "later", catalog)
+    saved = mirror.save_state({"pending_reports": ["b", "a", "a"]})
+    assert mirror.load_state(saved) == {"pending_details": [], "pending_reports": ["a", "b"], "pending_patches": []}
+    assert mirror.tags_of("<tr><a href='http://[x'>a</a><a href='/bug?id=k'>b</a><a href='?label=subsystems: '>c</a><a href='?label=subsystems: fs '>d</a></tr>") == [("id-k", "fs")]
     with pytest.raises(ValueError):
         mirror.load_state('{"version": 3}')
     assert mirror.load_state('{"version": 1, "pending_details": ["b", "a"]}') == {"pending_details": ["a", "b"], "pending_reports": [], "pending_patches": []}

@@ -68,10 +68,35 @@ SITES = [
 ]
 
 
-@pytest.mark.parametrize("title,report,want", SITES)
-def test_precedence_of_crash_sites(title, report, want):
-    got = stacks.site(title, report)
-    assert (got[0], got[1], got[2], got[4], got[5]) == want
+def test_precedence_of_crash_sites(spark):
+    rows = spark.createDataFrame([(k, t, r) for k, (t, r, _) in enumerate(SITES)], "bug_id long, title string, report string")
+    got = {r.bug_id: (r.function or "", r.path or "", r.line, r.strategy, r.confidence) for r in stacks.crash_sites(rows).collect()}
+    assert got == {k: want for k, (_, _, want) in enumerate(SITES)}
+
+
+def test_columns_and_evidence_of_crash_sites(spark):
+    rows = [(1, "UBSAN: x in f", "UBSAN: x in ./fs/x.c:7:2\n" + "y" * 600), (2, "odd", " g+0x1/0x2 fs/g.c:12:3 " + "z" * 600), (3, "WARNING in f", "a\n" * 121 + "WARNING: fs/late.c:3\n f+0x1/0x2 fs/x.c:9")]
+    got = {r.bug_id: (r.path, r.line, r.column, len(r.evidence)) for r in stacks.crash_sites(spark.createDataFrame(rows, "bug_id long, title string, report string")).collect()}
+    assert got == {1: ("fs/x.c", 7, 2, len("UBSAN: x in ./fs/x.c:7:2")), 2: ("fs/g.c", 12, 3, 500), 3: ("fs/x.c", 9, None, len("f+0x1/0x2 fs/x.c:9"))}
+
+
+def test_sections_of_reports(spark):
+    report = "BUG: x\nPID: 7\n a+0x1/0x2\nFreed by task 7:\n kfree+0x1/0x2\n __do_sys_b+0x1/0x2\n\nAllocated by task 3:\n kmalloc+0x1\nThe buggy address belongs to\n timer+0x1\nFreed by task 9:\n late+0x1\n"
+    one = lambda c, t=report: spark.createDataFrame([(t,)], "r string").select(c).first()[0]
+    parts = one(corpus.split_report(F.col("r")))
+    assert (parts.main, parts.free, parts.allocation) == ("BUG: x\nPID: 7\n a+0x1/0x2", " kfree+0x1/0x2\n __do_sys_b+0x1/0x2\n", " kmalloc+0x1")
+    assert tuple(one(corpus.split_report(F.col("r")), "plain")) == ("plain", "", "")
+    bucket = lambda kind, t=report: one(study.temporal_bucket(F.lit(kind), F.col("r")), t)
+    assert (bucket("Use-after-free (read)").bucket, bucket("Use-after-free (read)").confidence) == ("across syscalls within one session", "medium")
+    assert bucket("Use-after-free", report.replace("PID: 7", "PID: 8")).bucket == "unbounded" and bucket("Use-after-free", report.replace(" a+0x1", " __do_sys_b+0x1")).bucket == "within the same syscall"
+    assert bucket("Use-after-free", report.replace(" kfree", " rcu_core")).confidence == "high" and bucket("Invalid/double free", "BUG: x").bucket == "not determined"
+    assert [bucket(k).bucket for k in ("NULL dereference", "Data race", "Deadlock/lock ordering", "Kernel warning")] == ["within the same syscall", "unbounded", "not applicable", "not determined"]
+
+
+def test_evidence_lines_are_found_in_order(spark):
+    rows = spark.createDataFrame([("b\n\n a \nnone\nb", "a\n b\na\nx\nb "), (None, "a"), ("a", None), ("", "")], "e string, r string")
+    got = [None if r[0] is None else [(x.report_line, x.text) for x in r[0]] for r in rows.select(corpus.evidence_lines(F.col("e"), F.col("r"))).collect()]
+    assert got[0] == [(2, " b"), (3, "a"), (5, "b ")] and all(not x for x in got[1:])
 
 
 def test_data_races_have_two_sites(spark):
@@ -91,6 +116,14 @@ PATCHES = {
     "mode": ("diff --git a/m.sh b/m.sh\nold mode 100644\nnew mode 100755\n", [("m.sh", "m.sh", None, 0, None, 0, None, "file-only")], True),
     "binary": ("diff --git a/p.bin b/p.bin\nBinary files a/p.bin and b/p.bin differ\n", [("p.bin", "p.bin", None, 0, None, 0, None, "binary")], False),
     "context": ("diff --git a/c.c b/c.c\n--- a/c.c\n+++ b/c.c\n@@ -1,3 +1,3 @@\n static int bar(void) {\n-x\n+y\n }\n", [("c.c", "c.c", 2, 1, 2, 1, "bar", "text")], True),
+    "quoted": ('diff --git "a/d\\303\\251.c" "b/d\\303\\251.c"\n--- "a/d.c"\n+++ "b/d.c"\n@@ -1 +1 @@\n-x\n+y\n\\ No newline at end of file\n', [("d.c", "d.c", 1, 1, 1, 1, None, "text")], True),
+    "plain": ("--- a/x.c\t2020\n+++ b/x.c\n@@ -1 +1 @@ int f(void)\n-x\n+y\n--- a/z.c\n+++ b/z.c\n@@ -2,0 +3 @@\n+y\n", [("x.c", "x.c", 1, 1, 1, 1, "f", "text"), ("z.c", "z.c", 2, 0, 3, 1, None, "text")], True),
+    "removed header": ("diff --git a/x.c b/x.c\n--- a/x.c\n+++ b/x.c\n@@ -1,2 +1 @@\n--- a/no.c\n y\n", [("x.c", "x.c", 1, 1, 0, 0, None, "text")], True),
+    "over": ("diff --git a/x.c b/x.c\n--- a/x.c\n+++ b/x.c\n@@ -1 +1,2 @@\n-x\n-z\n+y\n+y\n", [("x.c", "x.c", None, 0, None, 0, None, "unparsed")], False),
+    "two": (TEXT + "@@ -30,2 +31,2 @@ while (x)\n int bar(int y) {\n-x\n+z\n", [("fs/x.c", "fs/x.c", 11, 1, 11, 1, "foo", "text"), ("fs/x.c", "fs/x.c", 12, 0, 13, 1, "foo", "text"), ("fs/x.c", "fs/x.c", 31, 1, 32, 1, None, "text")], True),
+    "header only": ("diff --git a/x.c b/x.c\n--- a/x.c\n+++ b/x.c\n", [("x.c", "x.c", None, 0, None, 0, None, "file-only")], False),
+    "torn": (TEXT + "@@ garbage\n", [("fs/x.c", "fs/x.c", 11, 1, 11, 1, "foo", "text"), ("fs/x.c", "fs/x.c", 12, 0, 13, 1, "foo", "text")], False),
+    "signed": (TEXT + "-- \n2.1\n", [("fs/x.c", "fs/x.c", 11, 1, 11, 1, "foo", "text"), ("fs/x.c", "fs/x.c", 12, 0, 13, 1, "foo", "text")], True),
     "nothing": ("no diff", [(None, None, None, 0, None, 0, None, "unparsed")], False),
     "empty": (None, [(None, None, None, 0, None, 0, None, "unparsed")], False),
 }
@@ -105,8 +138,13 @@ def test_patches(spark):
     assert {r.hash: r.is_complete for r in diffs.completeness(df).collect()} == {k: c for k, (_, _, c) in PATCHES.items()}
     stat = {r.hash: (r.files, r.insertions, r.deletions) for r in diffs.diffstat(diffs.patch_files(df)).collect()}
     assert stat["text"] == (1, 2, 1) and stat["binary"] == (1, None, None) and stat["rename"] == (1, 0, 0)
+    assert stat["plain"] == (2, 2, 1) and stat["over"] == (1, None, None) and stat["removed header"] == (1, 0, 1)
     hunk = diffs.hunks(df.where("hash = 'text'")).first()
-    assert (hunk.functions, hunk.touched, hunk.additions, hunk.deletions, hunk.is_source) == (["foo"], [11, 12, 13], 2, 1, True)
+    assert (hunk.functions, hunk.touched, hunk.anchors, hunk.additions, hunk.deletions, hunk.is_source) == (["foo"], [11, 12, 13], [12, 13], 2, 1, True)
+    told = diffs.patch_files(df.where("hash = 'two'")).first()
+    assert told.text == PATCHES["two"][0] and "".join(h.text for h in told.documents) == told.text[told.text.index("@@") :]
+    assert [(h.hunk_no, h.changes, h.removed, h.added) for h in told.documents] == [(1, 2, 1, 2), (2, 1, 1, 1)]
+    assert [r.documents[0].removed for r in diffs.patch_files(df.where("hash = 'short'")).collect()] == [None]
 
 
 def test_globs_ranges_links_and_moments(spark):
@@ -116,7 +154,9 @@ def test_globs_ranges_links_and_moments(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert [one(text.line_range(F.lit(a), F.lit(b))) for a, b in ((None, 0), (0, 0), (4, 0), (4, 1), (4, 3))] == ["lines unknown", "before line 1", "after line 4", "line 4", "lines 4-6"]
     assert [one(text.link_key(F.lit(x))) for x in ("/bug?extid=ab1", "/bug?id=a&id=b", "/bug", "https://h/bug?id=%2e%2e")] == ["extid-ab1", None, None, "id-.."]
-    assert one(text.fix_title(F.lit(" a <b>x</b> &amp;  c\t"))) == "a x & c"
+    assert one(text.fix_title(F.lit(" a <b>x</b> &amp;  c\t"))) == "a x & c" and one(text.fix_title(F.lit("&lt;i&gt;&nbsp;&eacute;&#x41;"))) == "<i> éA"
+    links = ("/a?b", "a?id=1", "//h/x", "http://h.example/x", "HTTPS://H.example/x", "https://h.example:1/x", "mailto:x", "https://h.example/a b")
+    assert [one(text.absolute_url(F.lit(x), "https://h.example")) for x in links] == ["https://h.example/a?b", "https://h.example/a?id=1", None, None, "HTTPS://H.example/x", None, None, None]
     assert [str(one(text.moment(F.lit(x)))) for x in ("2020/02/03 04:05", "2020-02-03T04:05:00Z", "soon")] == ["2020-02-03 04:05:00", "2020-02-03 04:05:00", "None"]
     assert one(text.plain_function(F.lit("foo.isra.0.cold"))) == "foo.isra.0" and one(text.plain_path(F.lit("././a/b.c"))) == "a/b.c"
 
@@ -132,10 +172,15 @@ def test_components(spark):
 
 
 def test_patch_classes(spark):
-    rows = [("fix race", "", "", "Synchronization/ordering", "medium"), ("tidy", "", "", "Logic/control-flow correction", "low"), ("x", "if (a)\n  return;", "", "Validation/guard", "medium"), ("kref leak", "kref_get(&a);", "", "Refcount/accounting correction", "high")]
+    rows = [("fix race", "", "", "Synchronization/ordering", "medium"), ("tidy", "", "", "Logic/control-flow correction", "low"), ("x", "if (a)\n  return;", "", "Validation/guard", "medium"), ("kref leak", "kref_get(&a);", "", "Refcount/accounting correction", "high"), ("api", "down_write(&x);", "", "API/protocol contract", "medium"), ("tidy", "down_write(&x);", "", "Synchronization/ordering", "medium"), ("tidy", "", "race", "Synchronization/ordering", "low")]
     for title, added, removed, name, confidence in rows:
         got = spark.range(1).select(classify.patch_class(F.lit(title), F.lit(added), F.lit(removed)).alias("c")).first().c
         assert (got["class"], got["confidence"]) == (name, confidence), title
+        assert got.action == classify.PATCH_ACTIONS[name]
+    got = spark.range(1).select(classify.patch_class(F.lit("Check it"), F.lit("if (check)"), F.lit("")).alias("c")).first().c
+    assert got.evidence == "title:check, added:check, added conditional"
+    lines = F.array(F.lit("x"), F.lit(" BUG: y "), F.lit("INFO: z"))
+    assert spark.range(1).select(classify.class_evidence(F.lit("t"), lines)).first()[0] == "t | BUG: y"
 
 
 def test_intervals(spark):
