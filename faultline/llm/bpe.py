@@ -34,7 +34,7 @@ from .shared import free, give_back, slices
 
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT = 125_000
+KEPT = 80_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -126,7 +126,7 @@ class Merges:
         if len(step) > self.size + 400_000:
             self._index()
             step, back, ends = self.step, self.back, self.ends
-        if len(apart) > 400_000:
+        if len(apart) > 200_000:
             apart.clear()
         before, last, state, size = b"", [-1], [0], [0]  # by depth: the last token, its length, the automaton's state
         for w in sorted(words):
@@ -193,7 +193,7 @@ class Codec:
         for t in texts:
             group.append(t or "")
             chars += len(group[-1])
-            if chars > 2_000_000:
+            if chars > 500_000:
                 yield from self._encode(group)
                 group, chars = [], 0
         yield from self._encode(group)
@@ -258,7 +258,7 @@ def encode(docs: DataFrame, path: str, keep, with_ids: bool = False, text: str =
     def run(batches):
         codec = _codec(spec.value)
         for b in batches:
-            for own in slices(b, len(names)):
+            for own in slices(b, len(names), 500, 1 << 20):
                 n, a, d, every = [], [], [], []
                 for ids in codec.encode_batch(own.column(len(names)).to_pylist()):
                     n.append(len(ids) // 4)

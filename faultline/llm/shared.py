@@ -63,11 +63,21 @@ def _remove_all() -> None:
 atexit.register(_remove_all)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the workspace and reads it back: lineage ends there, and lost executors lose nothing."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+def staged(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Writes df to the workspace and reads it back: lineage ends there, and lost executors lose nothing.
+
+    batch: most rows of the Arrow batches that are made on the way, for rows that hold texts or sets; the session's own limit
+    is set again after the write.
+    """
+    spark, path, key = df.sparkSession, new_folder(df.sparkSession, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    most = spark.conf.get(key)
+    try:
+        if batch is not None and int(most) not in range(1, batch + 1):
+            spark.conf.set(key, batch)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, most)
+    out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
 

@@ -43,6 +43,8 @@ LEAST, SHINGLE = 0.8, 5
 RING, CHAIN, RING_MOST = 80, 4, 32
 EARLY = 5
 BUCKET = 8_192
+#: Rows of a batch that holds texts or sets of shingles.
+TEXTS = 500
 _SEGMENTS = 5
 _CHUNK = 1 << 16
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -228,7 +230,7 @@ def near_duplicates(docs: DataFrame, keep=("doc_id",), shingle: int = 4) -> Data
     head = made.columns[:-1]
     mine = [f"c{k}" for k in range(len(head))]
     at = next(k for k, c in enumerate(head) if c.lower() == "doc_id")
-    out = components(staged(made.toDF(*mine, "fp"), "marked"), mine[at])
+    out = components(staged(made.toDF(*mine, "fp"), "marked", TEXTS), mine[at])
     kept = [F.col(m).alias(c) for m, c in zip(mine, head, strict=True) if c.lower() not in ("fingerprint", "component_id")]
     return out.select(*kept, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -239,7 +241,7 @@ def keep_first(docs: DataFrame, shingle: int = 4) -> DataFrame:
     Whole columns do not go through the search. The rows to drop, by id and text hash, are taken out by one join;
     rows that repeat both are collapsed apart from the others.
     """
-    found = components(staged(fingerprints(docs.select("doc_id", "text"), ["doc_id", F.xxhash64("text").alias("_hash")], shingle), "marked"))
+    found = components(staged(fingerprints(docs.select("doc_id", "text"), ["doc_id", F.xxhash64("text").alias("_hash")], shingle), "marked", TEXTS))
     return _firsts(docs, found)
 
 
@@ -415,8 +417,8 @@ def _similar_round(docs: DataFrame, base: DataFrame, chains: int, whole: bool, b
     met = staged(met, "met")
     wanted = base.join(met.select("fp").distinct(), "fp", "left_semi").select("rid", "fp", "low", "c")
     text = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("rid"), F.col("text").cast("binary").alias("text"))
-    sets = staged(text.join(sized(staged(wanted, "wanted")), "rid").select("fp", "c", "low", "text").dropDuplicates(["fp"]).mapInArrow(_sets, "fp long, c long, low binary, own binary"), "sets")
-    return staged(met.join(sets, "fp").select(*key, "fp", "c", "low", "own").repartition(*key).sortWithinPartitions(*key).mapInArrow(_similar_links, "u long, v long"), "links")
+    sets = staged(text.join(sized(staged(wanted, "wanted")), "rid").select("fp", "c", "low", "text").dropDuplicates(["fp"]).mapInArrow(_sets, "fp long, c long, low binary, own binary"), "sets", TEXTS)
+    return staged(met.join(sets, "fp").select(*key, "fp", "c", "low", "own").repartition(*key).sortWithinPartitions(*key).mapInArrow(_similar_links, "u long, v long"), "links", TEXTS)
 
 
 def similar_links(docs: DataFrame, ringed: DataFrame, bucket: int = _SETS) -> DataFrame:
@@ -432,5 +434,5 @@ def similar_links(docs: DataFrame, ringed: DataFrame, bucket: int = _SETS) -> Da
 def keep_similar_first(docs: DataFrame, bucket: int = _SETS) -> DataFrame:
     """docs with one row of each component of texts alike by LEAST, chosen as keep_first does."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_hash"), F.col("text").cast("binary").alias("text"))
-    ringed = staged(rows.mapInArrow(_ringed, "doc_id long, _hash long, fp long, chains array<long>, low binary"), "ringed")
+    ringed = staged(rows.mapInArrow(_ringed, "doc_id long, _hash long, fp long, chains array<long>, low binary"), "ringed", TEXTS)
     return _firsts(docs, components(ringed.select("doc_id", "_hash", "fp"), links=similar_links(docs, ringed, bucket)))
