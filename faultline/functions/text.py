@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def let(value, body) -> Column:
+    """body(value), with value worked out once: Catalyst would copy it to each place that body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ascii_fold(c) -> Column:
     """A-Z to a-z and nothing else, as SQLite's NOCASE compares."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify
+from ..functions.text import let
 
 
 @dataclass(frozen=True)
@@ -40,8 +41,8 @@ def classified(bugs: DataFrame) -> DataFrame:
 
 def lines_of(text):
     """A text's lines, without the empty one after a last line end."""
-    lines = F.split(text, r"\r\n|[\n\r\u000B\u000C\u001C\u001D\u001E\u0085\u2028\u2029]")
-    return F.when(F.try_element_at(lines, F.lit(-1)) == "", F.slice(lines, 1, F.greatest(F.lit(0), F.size(lines) - 1))).otherwise(lines)
+    split = F.split(text, r"\r\n|[\n\r\u000B\u000C\u001C\u001D\u001E\u0085\u2028\u2029]")
+    return let(split, lambda lines: F.when(F.try_element_at(lines, F.lit(-1)) == "", F.slice(lines, 1, F.greatest(F.lit(0), F.size(lines) - 1))).otherwise(lines))
 
 
 def report_lines(reports: DataFrame) -> DataFrame:
@@ -70,17 +71,19 @@ HISTORY = (
 
 def split_report(report):
     """struct main, free, allocation: what stands before the first heading, and below the first heading of each kind up to the next of any."""
-    lines = lines_of(report)
     kind = lambda x: F.coalesce(*(F.when(heads_with(x, guards, p), F.lit(name)) for name, guards, p in HISTORY))
-    heads = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), kind(x).alias("kind"))), lambda h: h["kind"].isNotNull())
+    found = lambda lines: F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), kind(x).alias("kind"))), lambda h: h["kind"].isNotNull())
 
-    def below(name: str):
-        own = F.get(F.filter(F.transform(heads, lambda h, i: F.struct(h["at"], h["kind"], i.alias("i"))), lambda h: h["kind"] == name), F.lit(0))
-        end = F.coalesce(F.get(heads, own["i"] + 1)["at"], F.size(lines))
-        return F.when(own.isNull(), "").otherwise(F.array_join(F.slice(lines, own["at"] + 2, end - own["at"] - 1), "\n"))
+    def parts(lines, heads):
+        def below(name: str):
+            placed = F.transform(heads, lambda h, i: F.struct(h["at"].alias("at"), h["kind"].alias("kind"), F.coalesce(F.get(heads, i + 1)["at"], F.size(lines)).alias("end")))
+            own = F.get(F.filter(placed, lambda h: h["kind"] == name), F.lit(0))
+            return F.coalesce(F.array_join(F.slice(lines, own["at"] + 2, own["end"] - own["at"] - 1), "\n"), F.lit(""))
 
-    first = F.coalesce(F.get(heads, F.lit(0))["at"], F.size(lines))
-    return F.struct(F.array_join(F.slice(lines, 1, first), "\n").alias("main"), below("free").alias("free"), below("allocation").alias("allocation"))
+        first = F.coalesce(F.get(heads, F.lit(0))["at"], F.size(lines))
+        return F.struct(F.array_join(F.slice(lines, 1, first), "\n").alias("main"), below("free").alias("free"), below("allocation").alias("allocation"))
+
+    return let(lines_of(report), lambda lines: let(found(lines), lambda heads: parts(lines, heads)))
 
 
 def evidence_lines(evidence, report):

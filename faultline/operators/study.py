@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, stats
+from ..functions.text import let
 from . import corpus, stacks
 
 
@@ -128,26 +129,24 @@ def temporal_bucket(study_class, report):
 
     Only the failing part of the report and the section on who freed the memory count.
     """
-    low, parts = F.lower(study_class), corpus.split_report(report)
-    main, freed = parts["main"], parts["free"]
-    now, then = F.regexp_extract(main, r"\bPID:\s*(\d+)", 1), F.regexp_extract(report, r"Freed by task\s+(\d+)", 1)
-    known = (now != "") & (then != "")
-    work = F.lower(F.concat(main, freed))
-    later_work = F.lit(False)
-    for marker in ASYNCHRONOUS:
-        later_work = later_work | F.contains(work, F.lit(marker))
+    low = F.lower(study_class)
     calls = lambda text: F.filter(F.transform(stacks.stack(corpus.lines_of(text)), lambda f: f["function"]), lambda f: f.rlike(SYSCALL))
     told = lambda bucket, confidence, reason: F.struct(F.lit(bucket).alias("bucket"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
-    of_free = (
-        F.when((known & (now != then)) | later_work, told("unbounded", "high", "Free/access occur in different tasks or asynchronous contexts"))
-        .when(freed == "", told("not determined", "low", "UAF report has no usable free-stack anchor"))
-        .when(F.arrays_overlap(calls(main), calls(freed)), told("within the same syscall", "medium", "Free and manifestation stacks share a syscall frame"))
-        .when(known, told("across syscalls within one session", "medium", "Free/access share a task but not a syscall frame"))
-        .otherwise(told("unbounded", "medium", "A distinct free stack precedes the later invalid access"))
-    )
+
+    def of_free(parts, now, then):
+        main, freed, known, work = parts["main"], parts["free"], (now != "") & (then != ""), F.lower(F.concat(parts["main"], parts["free"]))
+        return (
+            F.when((known & (now != then)) | work.rlike("|".join(ASYNCHRONOUS)), told("unbounded", "high", "Free/access occur in different tasks or asynchronous contexts"))
+            .when(freed == "", told("not determined", "low", "UAF report has no usable free-stack anchor"))
+            .when(F.arrays_overlap(calls(main), calls(freed)), told("within the same syscall", "medium", "Free and manifestation stacks share a syscall frame"))
+            .when(known, told("across syscalls within one session", "medium", "Free/access share a task but not a syscall frame"))
+            .otherwise(told("unbounded", "medium", "A distinct free stack precedes the later invalid access"))
+        )
+
+    freed = let(corpus.split_report(report), lambda parts: of_free(parts, F.regexp_extract(parts["main"], r"\bPID:\s*(\d+)", 1), F.regexp_extract(report, r"Freed by task\s+(\d+)", 1)))
     has = lambda *needles: low.rlike("|".join(needles))
     return (
-        F.when(has("use-after-free", "double free"), of_free)
+        F.when(has("use-after-free", "double free"), freed)
         .when(has("out-of-bounds", "null dereference", "arithmetic/type ub", "uninitialized"), told("within the same syscall", "medium", "Detector fires at the invalid operation/consumption site"))
         .when(has("data race"), told("unbounded", "medium", "Conflicting accesses may occur in independently scheduled contexts"))
         .when(has("deadlock", "hang", "lockup"), told("not applicable", "medium", "No corruption-to-manifestation interval is defined for this liveness/locking failure"))
