@@ -27,17 +27,23 @@ def attempts(events: DataFrame, late: str = "10 minutes", window: str = "1 hour"
 
 
 def merge_into(store_root: str):
-    """A foreachBatch function that adds a batch of (key, content) payloads to a blob folder, new ones only."""
+    """A foreachBatch function that adds a batch of (key, content) payloads to a blob folder, new ones only.
+
+    Blobs lie in folders by the first two digits of their digest, and only the folders of the batch's digests are read.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        path = f"{store_root}/blobs"
+        spark, path = batch.sparkSession, f"{store_root}/blobs"
+        prefix = lambda digest: F.concat(F.lit("x"), F.substring(digest, 1, 2))
+        digests = batch.where("content is not null").select(prefix(F.sha2(F.col("content").cast("binary"), 256)))
+        met = [r[0] for r in digests.distinct().collect()]  # 256 at most
         try:
-            known = spark.read.parquet(path).select("sha256")
+            known = spark.read.parquet(path).where(F.col("prefix").isin(*met)).select("sha256")
         except Exception as e:  # the first batch finds no folder
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             known = spark.createDataFrame([], "sha256 string")
-        ingest.new_blobs(known, batch).write.mode("append").parquet(path)
+        new = ingest.new_blobs(known, batch).withColumn("prefix", prefix(F.col("sha256")))
+        new.write.mode("append").partitionBy("prefix").parquet(path)
 
     return merge
