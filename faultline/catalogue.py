@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import core, detail, study
+from .plans import cases, core, detail, study
 
-QUERIES: dict = {**core.QUERIES, **study.QUERIES, **detail.QUERIES}
-ORACLES: dict[str, str] = {**core.ORACLES, **study.ORACLES, **detail.ORACLES}
+QUERIES: dict = {**core.QUERIES, **study.QUERIES, **detail.QUERIES, **cases.QUERIES}
+ORACLES: dict[str, str] = {**core.ORACLES, **study.ORACLES, **detail.ORACLES, **cases.ORACLES}

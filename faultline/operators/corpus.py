@@ -116,6 +116,16 @@ def is_markup(text):
     return F.coalesce(F.lower(F.substring(text, 1, 4096)).rlike(r"^[﻿\s]*<(!doctype|html|head|body|\?xml|!--)"), F.lit(False))
 
 
+#: The elements that an error page may begin with.
+LEADING = r"(?:<!doctype\s+html\b|<(?:html|head|body|title|meta|link|script|style|div|span|main|section|article|header|footer|nav|form|table|pre|p|a|ul|ol|li|iframe|h[1-6])\b)"
+
+
+def is_audit_markup(text):
+    """Is the text a page, by its first element? A byte order mark, one XML declaration and comments before it are passed over; 16 KiB count."""
+    start = F.regexp_replace(F.coalesce(text, F.lit("")), "^[\\s\ufeff]+", "")
+    return F.lower(F.substring(start, 1, 16_384)).rlike(r"^(?s:<\?xml\b.*?\?>\s*)?(?s:<!--.*?-->\s*)*" + LEADING)
+
+
 def valid_report(text):
     return F.coalesce((F.trim(text) != "") & ~is_markup(text), F.lit(False))
 

@@ -47,6 +47,38 @@ def apply_resolutions(refs: DataFrame, resolutions: DataFrame) -> DataFrame:
     return refs.join(r, ["bug_id", "title", "repo"], "left").withColumn("resolved_hash", F.when(F.col("hash").isNull(), F.col("resolved"))).drop("resolved")
 
 
+def upsert_versions(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """key, sha256, is_valid, first_run, last_run: versions of an artifact's content; a version once valid stays so."""
+    valid = F.max(F.coalesce("is_valid", F.lit(False))).alias("is_valid")
+    return old.unionByName(new).groupBy(key, "sha256").agg(valid, F.min("first_run").alias("first_run"), F.max("last_run").alias("last_run"))
+
+
+def children_once(known: DataFrame, children: DataFrame, version: str) -> DataFrame:
+    """known, plus the children of versions that have none yet: a version never changes, so its children are written once."""
+    return known.unionByName(children.join(known.select(version).distinct(), version, "left_anti"))
+
+
+def reparse(derived: DataFrame, sources: DataFrame, version: str, parser_version: int, parse) -> DataFrame:
+    """derived (version, parser_version, ..) with the rows of older parsers replaced: parse makes rows, without parser_version, of sources
+    that have none of this parser. Rows of sources that are gone are left out."""
+    fresh = derived.where(F.col("parser_version") == parser_version).join(sources.select(version), version, "left_semi")
+    stale = sources.join(fresh.select(version).distinct(), version, "left_anti")
+    return fresh.unionByName(parse(stale).withColumn("parser_version", F.lit(parser_version)))
+
+
+def disowned(reports: DataFrame, report_versions: DataFrame, members: DataFrame, crashes: DataFrame, patches: DataFrame, patch_versions: DataFrame) -> DataFrame:
+    """kind, key, error of rows that a snapshot must not take in: reports of another bug or of a crash of another version, patches of another commit.
+
+    reports (snapshot_id, bug_id, report_version, crash_id), report_versions (report_version, bug_id), members (snapshot_id, bug_id,
+    version_id), crashes (crash_id, version_id), patches (hash, patch_version), patch_versions (patch_version, hash).
+    """
+    own = report_versions.select("report_version", "bug_id").join(members, "bug_id").join(crashes, "version_id").select("snapshot_id", "bug_id", "report_version", "crash_id")
+    bad = reports.join(own, ["snapshot_id", "bug_id", "report_version", "crash_id"], "left_anti")
+    torn = patches.join(patch_versions, ["patch_version", "hash"], "left_anti")
+    told = lambda df, kind, key, error: df.select(F.lit(kind).alias("kind"), key.cast("string").alias("key"), F.lit(error).alias("error"))
+    return told(bad, "report", F.col("bug_id"), "snapshot report belongs to a different bug or crash version").unionByName(told(torn, "patch", F.col("hash"), "snapshot patch belongs to a different commit"))
+
+
 def delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """key, change ('new', 'removed', 'changed') of two (key, content) listings; unchanged keys are left out."""
     b, a = before.select("key", F.col("content").alias("b"), F.lit(1).alias("in_b")), after.select("key", F.col("content").alias("a"), F.lit(1).alias("in_a"))
@@ -98,8 +130,11 @@ class Store:
             fs.delete(temporary, False)
             raise RuntimeError(f"another writer has published manifest {number}")
 
-    def ingest(self, relations: dict[str, DataFrame], errors: DataFrame | None = None, checked: int = 0, fingerprint_of: DataFrame | None = None) -> str:
-        """'unchanged', 'failed', 'partial' or 'completed'. Only a completed run becomes active; a partial one is stored."""
+    def ingest(self, relations: dict[str, DataFrame], errors: DataFrame | None = None, checked: int = 0, fingerprint_of: DataFrame | None = None, pending: DataFrame | None = None) -> str:
+        """'unchanged', 'failed', 'partial' or 'completed'. Only a completed run becomes active; a partial one is stored.
+
+        A run is partial if it has errors, or if work that the listing still refers to is pending.
+        """
         now = self.manifest()
         mark = None if fingerprint_of is None else fingerprint(fingerprint_of).first()[0]
         number = now["run"] + 1
@@ -113,8 +148,10 @@ class Store:
         folders = {name: f"{self.root}/run={number:08d}-{uuid.uuid4().hex[:8]}/{name}" for name in relations}
         for name, df in relations.items():
             df.write.parquet(folders[name])
-        if errors is not None and not errors.isEmpty():
+        failed = errors is not None and not errors.isEmpty()
+        if failed:
             errors.write.parquet(f"{self.root}/errors/run={number:08d}-{uuid.uuid4().hex[:8]}")
+        if failed or pending is not None and not pending.isEmpty():
             self._publish({**now, "run": number, "last_checked": seen, "status": "partial"}, number)
             return "partial"
         self._publish({"run": number, "active": number, "last_checked": seen, "fingerprint": mark, "relations": folders, "status": "completed"}, number)

@@ -47,6 +47,15 @@ def related(c: corpus.Corpus, bug_id: int, limit: int = 10) -> DataFrame:
     return per.orderBy(*flags, "bug_id").limit(limit).select("bug_id", kinds.alias("kinds"), "shared")
 
 
+#: What a case shows.
+CASE = ("bug_id", "title", "bug_type", "family", "access_mode", "tags", "repro_status", "fix_file_count", "patch_line_count", "sites", "fixes", "has_report")
+
+
+def cases(documents: DataFrame) -> DataFrame:
+    """The columns of detail documents that related and compared cases show."""
+    return documents.select(*CASE)
+
+
 def compare(c: corpus.Corpus, a: int, b: int) -> DataFrame:
     """field, left, right, same: the five fields in which two bugs can differ."""
     tags = c.tags.where(F.col("bug_id").isin(a, b)).groupBy("bug_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("subsystems"))

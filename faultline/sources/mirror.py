@@ -255,6 +255,16 @@ def pending(state: DataFrame, live_keys: DataFrame, live_hashes: DataFrame) -> D
     return keys.unionByName(state.where("kind = 'patch'").join(live_hashes.select(F.col("hash").alias("value")), "value", "left_semi"))
 
 
+def status(bugs: DataFrame, reports: DataFrame, refs: DataFrame, patches: DataFrame) -> DataFrame:
+    """One row of counters of what is there and what is missing. bugs (bug_id, has_detail), reports (bug_id, is_valid), refs (bug_id, hash), patches (hash, is_valid)."""
+    hashed = refs.where("hash is not null").select("bug_id", "hash")
+    rows = bugs.join(reports.where("is_valid").select("bug_id", F.lit(1).alias("_r")), "bug_id", "left").join(hashed.select("bug_id", F.lit(1).alias("_h")).distinct(), "bug_id", "left")
+    per = rows.agg(F.count("*").alias("catalog_bugs"), F.count_if("has_detail").alias("bug_json"), F.count("_r").alias("crash_reports"), F.count_if(F.col("_r").isNull()).alias("missing_reports"), F.count("_h").alias("bugs_with_fix_hash"), F.count_if(F.col("_h").isNull()).alias("bugs_without_fix_hash"))
+    jobs = hashed.select("hash").distinct().join(patches.where("is_valid").select("hash", F.lit(1).alias("_p")), "hash", "left")
+    of_jobs = jobs.agg(F.count("*").alias("unique_fix_hashes"), F.count("_p").alias("patches_on_disk"), F.count_if(F.col("_p").isNull()).alias("missing_patches"))
+    return per.crossJoin(of_jobs)  # one row each
+
+
 def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Relations of a mirror: listing, details, refs, tags, reports, patches; errors holds what was refused."""
     rows = listing(spark.read.text(f"{root}/raw/upstream_fixed.json", wholetext=True))
