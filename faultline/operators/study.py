@@ -189,3 +189,19 @@ def farthest(hunks: DataFrame, order: str) -> DataFrame:
     """bug_id, lowest, highest, and the hunk (its order) that is the first with the highest grade."""
     per = hunks.where("grade is not null").groupBy("bug_id").agg(F.min("grade").alias("lowest"), F.max(F.struct(F.col("grade"), (-F.col(order)).alias("o"))).alias("top"))
     return per.select("bug_id", "lowest", F.col("top.grade").alias("highest"), (-F.col("top.o")).alias("farthest"))
+
+
+def study_rows(rows: DataFrame) -> DataFrame:
+    """The study's rows as they are published: rows (facts of a bug, its crash site as cs_*, its fixes as fix_*, its patch's class as a struct patch,
+    temporal as a struct, stack, highest, lowest, hunks) plus places and labels, quality flags and the annotation."""
+    named = F.when(F.col("cs_path").isNotNull(), F.concat_ws(":", "cs_path", "cs_line"))
+    label = F.when(F.col("highest").isNull(), "Unresolved").otherwise(F.concat(F.lit("D"), F.col("highest"), F.lit(" "), F.get(F.array(*map(F.lit, classify.GRADES)), F.col("highest"))))
+    q = quality(F.col("cs_path"), F.col("cs_confidence"), F.col("highest"), F.col("hunks"), F.size("fix_hashes"), F.col("detector"), F.col("fix_functions"))
+    rows = rows.withColumns({"_q": q, "cs_subsystem": classify.subsystem(F.col("cs_path"))})
+    rows = rows.withColumns({"cs_component": classify.component(F.col("cs_path"), F.col("cs_subsystem")), "cs_location": named, "distance_label": label, "fix_commit_count": F.size("fix_hashes").cast("long")})
+    rows = rows.withColumns({f"{c}": F.array_join(F.col(c), "; ") for c in ("fix_hashes", "fix_paths", "fix_functions")})
+    more = {"patch_type": "patch.class", "patch_action": "patch.action", "patch_class_confidence": "patch.confidence", "patch_class_evidence": "patch.evidence", "temporal_distance": "temporal.bucket", "temporal_confidence": "temporal.confidence", "temporal_reason": "temporal.reason", "review_status": "_q.review", "qc_flags": "_q.flags"}
+    rows = rows.withColumns({k: F.col(v) for k, v in more.items()})
+    note = annotation(F.col("highest"), F.col("stack"), F.col("temporal_distance"))
+    rows = rows.withColumns({"full_annotation": note, "distance_rule": F.lit("maximum across all source hunks/available fix commits"), "data_flow_hops_T": F.lit("not analyzed (taint analysis required)")})
+    return rows.drop("patch", "temporal", "_q").withColumnsRenamed({"highest": "distance", "lowest": "distance_min", "stack": "stack_distance", "family": "bug_family", "class": "bug_type", "access": "access_mode", "hunks": "fix_hunk_count"})

@@ -750,3 +750,27 @@ def crash_frame_counts(spark, d):
     counted = stacks.frames(t.reports().where("not startswith(report, '<html>')")).groupBy("bug_id").agg(F.count("*").alias("frames"))
     out = t.bugs().select("bug_id").join(counted, "bug_id", "left").join(t.reports().select("bug_id", F.lit(1).alias("crashes")), "bug_id", "left")
     return out.select("bug_id", F.coalesce("frames", F.lit(0)).alias("frames"), F.coalesce("crashes", F.lit(0)).alias("crashes"))
+
+
+@query(with_relations(f"""
+  SELECT r.bug_id, title, b.status, strftime(opened, '%Y-%m-%d') AS first_crash, round(days, 6) AS days_first_to_fix, r.detector, r.family AS bug_family, r.class AS bug_type, access AS access_mode, s.function AS cs_function, s.path AS cs_path, s.line AS cs_line,
+    s.path || ':' || s.line AS cs_location, crash_subsystem AS cs_subsystem, crash_component AS cs_component, 'medium' AS cs_confidence, n AS fix_commit_count, hashes AS fix_hashes, paths AS fix_paths, functions AS fix_functions, hunks AS fix_hunk_count, patch AS patch_type,
+    CASE WHEN score >= 5 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS patch_class_confidence, highest AS distance, lowest AS distance_min, stack AS stack_distance, bucket AS temporal_distance,
+    CASE WHEN highest IS NULL THEN 'Unresolved' ELSE 'D' || highest || ' ' || ['same or adjacent line', 'same function', 'same file', 'same component', 'same subsystem', 'different subsystem'][highest + 1] END AS distance_label,
+    coalesce('D' || highest, 'Unresolved') || '/S=' || coalesce(stack, 'unknown') || '/Δt=' || bucket AS full_annotation,
+    CASE WHEN s.path IS NULL OR highest IS NULL OR functions = '' THEN 'Manual review recommended' ELSE 'Automated classification' END AS review_status
+  FROM full_rows r JOIN bugs b ON b.bug_id = r.bug_id JOIN studied u ON u.bug_id = r.bug_id JOIN sites s ON s.bug_id = r.bug_id JOIN patched p ON p.bug_id = r.bug_id
+    JOIN (SELECT bug_id, any_value(crash_subsystem) AS crash_subsystem, any_value(crash_component) AS crash_component, count(DISTINCT hash) AS n, string_agg(DISTINCT hash, '; ' ORDER BY hash) AS hashes,
+        coalesce(string_agg(DISTINCT nullif(fix_path, ''), '; ' ORDER BY nullif(fix_path, '')), '') AS paths, coalesce(string_agg(DISTINCT fix_function, '; ' ORDER BY fix_function), '') AS functions FROM placed GROUP BY bug_id) x ON x.bug_id = r.bug_id""", f"{_PAIRS}, {_FULL}"))
+def study_rows(spark, d):
+    p = pairs(spark, d)
+    unique = lambda c: F.array_sort(F.collect_set(c))
+    fixed = p.groupBy("bug_id").agg(unique("hash").alias("fix_hashes"), unique("fix_path").alias("fix_paths"), unique("fix_function").alias("fix_functions"))
+    t, own = DriverTables(spark, d), full_rows(spark, d).drop("patch", "family", "class", "detector", "bucket")
+    studied = _studied(spark, d)
+    studied = studied.select("bug_id", "detector", "access", "family", "class", study.temporal_bucket(F.col("class"), F.col("report")).alias("temporal"))
+    sites = t.sites().select("bug_id", F.col("function").alias("cs_function"), F.col("path").alias("cs_path"), F.col("line").alias("cs_line"), F.lit("medium").alias("cs_confidence"))
+    facts = t.bugs().select("bug_id", "title", "status", F.date_format("opened", "yyyy-MM-dd").alias("first_crash"), _patch_class("bug_id").alias("patch"))
+    rows = own.join(facts, "bug_id").join(studied, "bug_id").join(sites, "bug_id").join(fixed, "bug_id").withColumn("days", F.round("days", 6)).withColumnRenamed("days", "days_first_to_fix")
+    dropped = ("patch_action", "patch_class_evidence", "temporal_confidence", "temporal_reason", "qc_flags", "distance_rule", "data_flow_hops_T")  # what the SQL leaves out
+    return study.study_rows(rows).drop(*dropped)
