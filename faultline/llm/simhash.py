@@ -275,7 +275,7 @@ def _firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 _rng = np.random.default_rng(7)
 _XOR, _ODD = (_rng.integers(0, 1 << 63, RING, np.uint64, endpoint=True) * np.uint64(2) + np.uint64(1) for _ in range(2))
-_SETS = 1_024
+_SETS = 256
 
 
 def shingles(text: bytes | None) -> np.ndarray:
