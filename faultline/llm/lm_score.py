@@ -113,14 +113,28 @@ def _unpacked(source, name: str):
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    """Numbers that are not negative, each in as many bytes as the largest takes, which the first byte tells."""
-    most = int(x.max()) if x.size else 0
-    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+    """Numbers that are not negative, each in as many bytes as the largest takes, which the first byte tells; all lowest bytes first, so
+    that the others, mostly zeros, compress."""
+    x = np.ascontiguousarray(x, np.uint64).reshape(-1)
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if x.size else 1
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def _wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view(np.uint64).reshape(-1)
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Numbers in rising order, at least one, as the first of them and the steps between."""
+    x = x.astype(np.uint64)
+    return int(x[0]).to_bytes(8, "little") + _narrow(x[1:] - x[:-1])
+
+
+def _from_steps(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.r_[np.frombuffer(raw, np.uint64, 1), _wide(raw[8:])], dtype=np.uint64)
 
 
 def _keys(lengths: np.ndarray, ids: np.ndarray, size: int) -> np.ndarray:
@@ -180,7 +194,7 @@ def _sent(counted, bits: int, folder: str):
                 starts = np.unique([0, *edges])
                 for lo, hi in zip(starts, [*starts[1:], len(keys)], strict=True):
                     if hi > lo:
-                        cols = [[int(keys[lo]) >> (64 - bits)], [chunk], [lo], [keys[lo:hi].tobytes()], [_narrow(counts[:, lo:hi])]]
+                        cols = [[int(keys[lo]) >> (64 - bits)], [chunk], [lo], [_steps(keys[lo:hi])], [_narrow(counts[:, lo:hi])]]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["range", "chunk", "start", "keys", "counts"])
         give_back()
 
@@ -195,21 +209,22 @@ def _summed(kind: int, width: int):
     how many different ones it has and what their first two counts sum to."""
 
     def out(held):
-        keys = np.concatenate([np.frombuffer(x[2], np.uint64) for x in held])
-        counts = np.concatenate([_wide(x[3]).reshape(width, -1) for x in held], axis=1)
+        parts = [_from_steps(x[2]) for x in held]
+        keys = np.concatenate(parts)
+        counts = np.concatenate([_wide(x[3]).astype(np.int64).reshape(width, -1) for x in held], axis=1)
         order = np.argsort(keys, kind="stable")
         new = np.r_[True, keys[order][1:] != keys[order][:-1]]
         of = np.empty(len(keys), np.int64)
         of[order] = np.cumsum(new) - 1
         sums = np.stack([np.bincount(of, c).astype(np.int64) for c in counts])
         at, told = 0, (int((sums[0] > 0).sum()), int(sums[0].sum()), int(sums[1].sum()))
-        for chunk, start, raw, _ in held:
-            n = len(raw) // 8
+        for (chunk, start, *_), part in zip(held, parts, strict=True):
+            n = len(part)
             own, whole = counts[:, at : at + n], sums[:, of[at : at + n]]
             more = np.flatnonzero((own != whole).any(axis=0))
             at += n
             if len(more) or any(told):
-                cols = [[chunk], [kind], [_narrow(start + more)], [_narrow(whole[:, more])], *([x] for x in told)]
+                cols = [[chunk], [kind], [_steps(start + more) if len(more) else b""], [_narrow(whole[:, more])], *([x] for x in told)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in _BACK.split(", ")])
             told = (0, 0, 0)
 
@@ -240,7 +255,9 @@ def _scored(kept: pa.Schema, names, totals, size: int, p: LMParams, folder: str)
         for kind, values, names_of in ((1, word, hashes), (2, pair, pair_hashes(hashes[key // len(hashes)], hashes[key % len(hashes)]))):
             order = np.argsort(names_of, kind="stable")
             for place, whole in sums[kind]:
-                at = order[_wide(place)]
+                if not place:  # a row that only tells of its range
+                    continue
+                at = order[_from_steps(place).astype(np.int64)]
                 for x, y in zip(values, _wide(whole).reshape(len(values), -1), strict=True):
                     x[at] = y
         u, v = key // len(hashes), key % len(hashes)
