@@ -34,7 +34,7 @@ from .shared import free, give_back, slices
 
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT = 80_000
+KEPT = 125_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -193,7 +193,7 @@ class Codec:
         for t in texts:
             group.append(t or "")
             chars += len(group[-1])
-            if chars > 500_000:
+            if chars > 1_000_000:
                 yield from self._encode(group)
                 group, chars = [], 0
         yield from self._encode(group)
