@@ -39,7 +39,9 @@ from .shared import give_back, new_folder, sized, slices, staged, store
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _WHOLE = 1 << 21
-_RANGE = 1 << 21
+_RANGE = 1 << 20
+#: Rows of a batch of texts, and of packed numbers.
+_TEXTS, _PACKS = 500, 8
 _SLICE = 1 << 16
 _SEQ = 12
 
@@ -308,7 +310,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str, keep, p: LMParams = LM
     folder = new_folder(spark, "chunks")
     files, top = store(folder)
     files.create_dir(top, recursive=True)
-    chunks = staged(rows.mapInArrow(_packed(schema, folder), _CHUNKS), "chunk-index")
+    chunks = staged(rows.mapInArrow(_packed(schema, folder), _CHUNKS), "chunk-index", _TEXTS)
     n_chunks, tokens = chunks.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     bits = max(3, (tokens // _RANGE).bit_length())
     body = chunks.select("chunk", "name").repartition(max(1, min(n_chunks, 20_000)))
@@ -317,11 +319,12 @@ def score(docs: DataFrame, labels: DataFrame, label: str, keep, p: LMParams = LM
         sent = body.mapInArrow(_sent(counted, bits, folder), _SENT)
         return sent.repartition(min(1 << bits, 20_000), "range").sortWithinPartitions("range").mapInArrow(_summed(kind, width), _BACK)
 
-    of_words = staged(back(_of_words, 1, 4), "words")
+    of_words = staged(back(_of_words, 1, 4), "words", _PACKS)
     size, n, n_target = of_words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("distinct", "total", "total_target"))).first()
     both = of_words.unionByName(back(_of_pairs, 2, 2)).select("chunk", "kind", "place", "sums").unionByName(chunks.select("chunk", F.lit(3).alias("kind"), "name"), allowMissingColumns=True)
     kinds = (T.DoubleType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.BooleanType())
     out = T.StructType([*(T.StructField(f.name, f.dataType) for f in plain.schema.fields), *(T.StructField(f"_{c}", t) for c, t in zip(MADE, kinds, strict=True))])
     run = _scored(schema, out.names, (n, n_target), size + 2, p, folder)
-    made = both.select("chunk", "kind", "place", "sums", "name").repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, out)
-    return made.toDF(*kept, *MADE)
+    placed = both.select("chunk", "kind", "place", "sums", "name").repartition(max(1, min(n_chunks, 20_000)), "chunk")
+    made = placed.sortWithinPartitions("chunk", "kind").mapInArrow(run, out)
+    return staged(made, "scores", _PACKS).toDF(*kept, *MADE)
