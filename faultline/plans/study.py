@@ -514,6 +514,11 @@ def crash_sites(spark, d):
     return stacks.crash_sites(DriverTables(spark, d).reports())
 
 
+@query(with_relations("SELECT bug_id, row_number() OVER (PARTITION BY bug_id ORDER BY report_line) - 1 AS ordinal, function, path, line FROM frames WHERE section = 'manifestation'", _FRAMES.replace("WHERE NOT starts_with(report, '<html>')", "")))
+def parsed_frames(spark, d):
+    return stacks.parsed_frames(DriverTables(spark, d).reports()).select("bug_id", "ordinal", "function", "path", "line")
+
+
 @query(with_relations("SELECT bug_id, 10 AS main_lines, ' kfree+0x1/0x9 mm/slab.c:44' || CASE WHEN bug_id % 10 = 0 AND bug_id % 4 <> 0 THEN '</html>' ELSE '' END AS free, ' kmem_alloc+0x1/0x9 mm/slab.c:33' AS allocation FROM reports"))
 def report_sections(spark, d):
     parts = DriverTables(spark, d).reports().select("bug_id", corpus.split_report(F.col("report")).alias("s"))

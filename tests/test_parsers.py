@@ -99,6 +99,12 @@ def test_evidence_lines_are_found_in_order(spark):
     assert got[0] == [(2, " b"), (3, "a"), (5, "b ")] and all(not x for x in got[1:])
 
 
+def test_repeated_frames_are_left_out(spark):
+    report = " a+0x1/0x2 fs/a.c:1\n a+0x9/0x9 fs/a.c:1\n a+0x1/0x2 fs/a.c:2\n b+0x1/0x2\n b+0x2/0x3\n a+0x1/0x2 fs/a.c:2\nKASAN: x in c fs/c.c:1\n a+0x1/0x2\nd+0x1/0x2\nFreed by task 1:\n e+0x1/0x2"
+    got = stacks.parsed_frames(spark.createDataFrame([(1, report), (2, None)], "bug_id long, report string")).orderBy("ordinal").collect()
+    assert [(r.function, r.path, r.line) for r in got] == [("a", "fs/a.c", 1), ("a", "fs/a.c", 2), ("b", None, None), ("a", "fs/a.c", 2)]
+
+
 def test_data_races_have_two_sites(spark):
     report = "BUG: KCSAN: data-race in a / b\n\nwrite to 0x1 of 8 bytes by task 1 on cpu 0:\n a+0x1/0x2 fs/a.c:1\n c+0x1/0x2 fs/c.c:2\n\nread to 0x1 of 8 bytes by task 2 on cpu 1:\n b+0x1/0x2 fs/b.c:3\n"
     rows = spark.createDataFrame([(1, "KCSAN: data-race in a / b", report), (2, "KCSAN: data-race in a / a", " a+0x1/0x2 fs/a.c:1"), (3, None, None)], "bug_id long, title string, report string")
