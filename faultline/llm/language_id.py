@@ -172,7 +172,10 @@ def train(docs: DataFrame, usable, p: LangParams = LangParams()) -> LangModel:
     got = picked.mapInArrow(_sparse(p.dims), "lang string, whole boolean, grams binary").toArrow()
     for lang, whole, raw in sorted(zip(*(got.column(k).to_pylist() for k in range(3)), strict=True)):
         (counts if whole else beginnings).setdefault(lang, []).append(np.frombuffer(raw, np.int32).reshape(2, -1))
-    return fit(counts, p, beginnings)
+    model = fit(counts, p, beginnings)
+    del got, counts, beginnings
+    give_back()
+    return model
 
 
 def predict(texts: list[str | None], m: LangModel) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -123,20 +123,21 @@ def fit(rows: list[np.ndarray], y: np.ndarray, p: FMParams) -> FMModel:
         rate = pos / n if n else 0.0
         w0 = float(np.log(rate / (1 - rate))) if 0 < rate < 1 else (40.0 if rate else -40.0)
         return FMModel(p.bits, np.zeros(0, np.int64), w0, np.zeros(0), np.zeros((0, p.factors)))
-    at = np.repeat(np.arange(n), [len(r) for r in rows])
-    x = np.concatenate(rows).astype(np.int64)
     size = 1 << p.bits
-    both = np.bincount(x, minlength=size)
-    hit = np.bincount(x, weights=y[at], minlength=size)
+    both, hit = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for r, label in zip(rows, y, strict=True):  # text by text: all slots of all texts at once would be the most that is held
+        both[r] += 1
+        if label:
+            hit[r] += 1
     rate = pos / n
     share = both / n
     z = (hit - pos * share) / np.sqrt(np.maximum(pos * share * (1 - share) * (1 - rate), 1e-9))
     single = (np.abs(z) >= p.min_z) & (both >= p.min_texts)
     slots = np.union1d(np.flatnonzero(single), telling_pairs(rows, y, both, hit, p))
-    index = np.full(size, -1, np.int64)
+    index = np.full(size, -1, np.int32)
     index[slots] = np.arange(len(slots))
-    known = index[x] >= 0
-    at, x = at[known], index[x[known]]
+    known = [own[own >= 0] for own in (index[r] for r in rows)]
+    at, x = np.repeat(np.arange(n), [len(r) for r in known]), np.concatenate(known)
     starts = np.searchsorted(at, np.arange(n + 1))
 
     rng = np.random.default_rng(p.seed)
@@ -203,7 +204,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, usable, p: FMParams =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8("text").alias("text")).join(sized(marked), "doc_id").select("doc_id", "_y", "text")
     sets = rows.mapInArrow(_slot_sets(p.bits), "doc_id long, y double, slots binary").groupBy("doc_id", "y").agg(F.min("slots").alias("slots"))
     got = sets.groupBy("slots").agg(F.avg("y").alias("y")).orderBy("slots").toArrow()
-    return fit([np.frombuffer(s.as_py(), np.int32) for s in got.column(0)], (got.column(1).to_numpy() >= 0.5).astype(float), p)
+    model = fit([np.frombuffer(s.as_buffer(), np.int32) for s in got.column(0)], (got.column(1).to_numpy() >= 0.5).astype(float), p)
+    del got
+    give_back()
+    return model
 
 
 def toxic(text, model: FMModel):
