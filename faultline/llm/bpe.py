@@ -171,6 +171,7 @@ class Codec:
     """Whole texts to ids and back."""
 
     def __init__(self, spec: dict):
+        self.kept = KEPT
         self.merges = Merges(spec)
         self.pattern = regex.compile(PATTERN)
         special = sorted(self.merges.special, key=len, reverse=True)
@@ -200,7 +201,7 @@ class Codec:
 
     def _encode(self, texts: list[str]):
         split = [self.pieces(t) for t in texts]
-        if len(self.known) > KEPT:
+        if len(self.known) > self.kept:
             self.known, self.older = {}, self.known
         known = self.known
         new = set().union(*split)
@@ -243,9 +244,10 @@ def load_spec(path: str) -> bytes:
     return json.dumps({"model": {k: spec["model"][k] for k in ("vocab", "merges")}, "added_tokens": spec["added_tokens"]}).encode()
 
 
-def encode(docs: DataFrame, path: str, keep, with_ids: bool = False, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, keep, with_ids: bool = False, text: str = "text", kept_words: int = KEPT) -> DataFrame:
     """The columns ``keep`` of docs, then n_tokens, ids_sha256 and decoded_sha256; with_ids adds ids, array<int>.
 
+    kept_words: encodings that a worker keeps for later batches, twice at most; fewer take less memory and more time.
     ids_sha256 is over the ids as little-endian unsigned 32-bit integers, decoded_sha256 over the decoded text in UTF-8.
     """
     spec = docs.sparkSession.sparkContext.broadcast(load_spec(path))
@@ -257,6 +259,7 @@ def encode(docs: DataFrame, path: str, keep, with_ids: bool = False, text: str =
 
     def run(batches):
         codec = _codec(spec.value)
+        codec.kept = kept_words
         for b in batches:
             for own in slices(b, len(names), 500, 1 << 20):
                 n, a, d, every = [], [], [], []
