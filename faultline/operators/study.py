@@ -35,14 +35,15 @@ def placed(paths: DataFrame) -> DataFrame:
     return own.withColumn("component", classify.component(F.col("path"), F.col("subsystem")))
 
 
-def graded(sites: DataFrame, hunks: DataFrame) -> DataFrame:
-    """hunks next to their bug's crash site, with subsystems and grade.
+def graded(sites: DataFrame, links: DataFrame, hunks: DataFrame, key: str = "hash") -> DataFrame:
+    """The hunks of each bug's patches next to its crash site, with subsystems and grade.
 
-    sites: bug_id, crash_path, crash_line, crash_function. hunks: bug_id, fix_path, touched, functions and more. Both are
-    placed by their own paths before they meet, and a hash aggregation by path precedes each join.
+    sites: bug_id, crash_path, crash_line, crash_function. links: bug_id, key, each once. hunks: key, fix_path, touched, functions and more. Sites and
+    hunks are placed by their own paths. Links meet the sites first and the hunks last, so that what is made of each hunk of each bug goes through no
+    shuffle but that of an aggregation; the hints keep Spark from broadcasting a side whose size it has only guessed.
     """
     places = lambda df, c, name: df.join(placed(df.select(c)).select(F.col("path").alias(c), F.struct("path", "subsystem", "component").alias(name)), c, "left")
-    met = places(hunks, "fix_path", "_fix").join(places(sites, "crash_path", "_crash"), "bug_id")
+    met = links.join(places(sites, "crash_path", "_crash").hint("merge"), "bug_id").join(places(hunks, "fix_path", "_fix").hint("merge"), key)
     grade = classify.grade(F.col("_crash"), F.col("_fix"), F.col("crash_line"), F.col("crash_function"), F.col("touched"), F.col("functions"))
     return met.select("*", grade.alias("grade"), F.col("_crash.subsystem").alias("crash_subsystem"), F.col("_fix.subsystem").alias("fix_subsystem"), F.col("_fix.component").alias("fix_component")).drop("_crash", "_fix")
 
@@ -102,20 +103,38 @@ def before_and_after(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "metric", "full").withColumn("difference", F.coalesce("after", F.lit(0)) - F.coalesce("before", F.lit(0)))
 
 
-def stack_distance(frames: DataFrame, sites: DataFrame, fix_functions: DataFrame) -> DataFrame:
+#: Fixed value: so many names are broadcast at most.
+NAMES = 65_536
+
+
+def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows (function and more) plus fixable: is the function one of names (function, distinct)? Names are counted before they are broadcast."""
+    names = names.withColumn("fixable", F.lit(True))
+    few = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("function")), F.lit(0)).alias("size")).first()
+    names = F.broadcast(names) if few["n"] <= NAMES and few["size"] <= 64 * NAMES else names.hint("merge")
+    return rows.join(names, "function", "left").withColumn("fixable", F.coalesce("fixable", F.lit(False)))
+
+
+def stack_distance(frames: DataFrame, sites: DataFrame, links: DataFrame, functions: DataFrame, key: str = "hash") -> DataFrame:
     """bug_id, distance: frames between the crash and the nearest fixed function on the failing stack.
 
     0 if the crashing function is fixed; null if a side is unknown; infinity ('inf') if no fixed function is on the stack.
-    frames: bug_id, idx, function, path, line. sites: bug_id, path, line, function. fix_functions: bug_id, function.
+    frames: bug_id, idx, function, path, line. sites: bug_id, path, line, function. links: bug_id, key, each once. functions: key, function, each once.
+    A bug takes its few frames that any patch could change, nearest first, along to the functions of its patches; the functions of a bug are never listed.
     """
-    f = frames.join(sites.select("bug_id", F.col("path").alias("cp"), F.col("line").alias("cl"), F.col("function").alias("cf")), "bug_id")
+    functions = functions.where("coalesce(function, '') <> ''")
+    f = frames.join(sites.select("bug_id", F.col("path").alias("cp"), F.col("line").alias("cl"), F.col("function").alias("cf")).hint("merge"), "bug_id")
     here = (F.col("function") == F.col("cf")) | ((F.col("path") == F.col("cp")) & (F.abs(F.col("line") - F.col("cl")) <= 1))
-    anchor = f.groupBy("bug_id").agg(F.coalesce(F.min(F.when(F.coalesce(here, F.lit(False)), F.col("idx"))), F.min("idx")).alias("anchor"))
-    fixed = fix_functions.where("coalesce(function, '') <> ''").select("bug_id", "function").distinct()
-    near = frames.join(fixed, ["bug_id", "function"]).join(anchor, "bug_id").groupBy("bug_id").agg(F.min(F.abs(F.col("idx") - F.col("anchor"))).alias("d"))
-    same = sites.join(fixed, ["bug_id", "function"], "left_semi").select("bug_id", F.lit(True).alias("same")).distinct()
-    out = sites.select("bug_id").distinct().join(fixed.select("bug_id", F.lit(True).alias("known")).distinct(), "bug_id", "left").join(anchor, "bug_id", "left").join(near, "bug_id", "left").join(same, "bug_id", "left")
-    value = F.when(F.col("known").isNull(), None).when(F.col("same"), "0").when(F.col("anchor").isNull(), None).when(F.col("d").isNull(), "inf").otherwise(F.col("d").cast("string"))
+    f = _named(f.withColumn("here", F.coalesce(here, F.lit(False))).select("bug_id", "idx", "function", "here"), functions.select("function").distinct())
+    anchor = f.groupBy("bug_id").agg(F.coalesce(F.min(F.when(F.col("here"), F.col("idx"))), F.min("idx")).alias("anchor"), F.collect_list(F.when(F.col("fixable"), F.struct("idx", "function"))).alias("named"))
+    near = F.sort_array(F.transform("named", lambda x: F.struct(F.abs(x["idx"] - F.col("anchor")).alias("d"), x["function"].alias("function"))))
+    near = anchor.select("bug_id", F.col("anchor").isNotNull().alias("stacked"), near.alias("near"))
+    told = links.join(sites.select("bug_id", F.col("function").alias("crashed")).hint("merge"), "bug_id").join(near.hint("merge"), "bug_id", "left").select("bug_id", key, "crashed", "stacked", F.col("near.function").alias("named"), F.col("near.d").alias("far"))
+    place = F.array_position("named", F.col("function")).cast("int")
+    d = F.when(F.col("function") == F.col("crashed"), -1).when(place > 0, F.get("far", place - 1))
+    best = told.join(functions.hint("merge"), key).groupBy("bug_id").agg(F.lit(True).alias("known"), F.min(d).alias("d"), F.max("stacked").alias("stacked"))
+    out = sites.select("bug_id").distinct().join(best.hint("merge"), "bug_id", "left")
+    value = F.when(F.col("known").isNull(), None).when(F.col("d") == -1, "0").when(F.col("stacked").isNull(), None).when(F.col("d").isNull(), "inf").otherwise(F.col("d").cast("string"))
     return out.select("bug_id", value.alias("distance"))
 
 
