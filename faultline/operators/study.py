@@ -107,7 +107,7 @@ def before_and_after(before: DataFrame, after: DataFrame) -> DataFrame:
 NAMES = 65_536
 
 
-def _named(rows: DataFrame, names: DataFrame) -> DataFrame:
+def named(rows: DataFrame, names: DataFrame) -> DataFrame:
     """rows (function and more) plus fixable: is the function one of names (function, distinct)? Names are counted before they are broadcast."""
     names = names.withColumn("fixable", F.lit(True))
     few = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("function")), F.lit(0)).alias("size")).first()
@@ -125,7 +125,7 @@ def stack_distance(frames: DataFrame, sites: DataFrame, links: DataFrame, functi
     functions = functions.where("coalesce(function, '') <> ''")
     f = frames.join(sites.select("bug_id", F.col("path").alias("cp"), F.col("line").alias("cl"), F.col("function").alias("cf")).hint("merge"), "bug_id")
     here = (F.col("function") == F.col("cf")) | ((F.col("path") == F.col("cp")) & (F.abs(F.col("line") - F.col("cl")) <= 1))
-    f = _named(f.withColumn("here", F.coalesce(here, F.lit(False))).select("bug_id", "idx", "function", "here"), functions.select("function").distinct())
+    f = named(f.withColumn("here", F.coalesce(here, F.lit(False))).select("bug_id", "idx", "function", "here"), functions.select("function").distinct())
     anchor = f.groupBy("bug_id").agg(F.coalesce(F.min(F.when(F.col("here"), F.col("idx"))), F.min("idx")).alias("anchor"), F.collect_list(F.when(F.col("fixable"), F.struct("idx", "function"))).alias("named"))
     near = F.sort_array(F.transform("named", lambda x: F.struct(F.abs(x["idx"] - F.col("anchor")).alias("d"), x["function"].alias("function"))))
     near = anchor.select("bug_id", F.col("anchor").isNotNull().alias("stacked"), near.alias("near"))
