@@ -11,13 +11,14 @@ Equal fingerprints are collapsed before anything else, so copies cost nothing. A
 its links, never its pairs. Buckets of more than ``BUCKET`` fingerprints are cut into blocks, and each pair of blocks
 becomes a group of its own, so no task has to hold or compare a whole hot bucket.
 
-Similarity. ``keep_similar_first`` asks for texts whose five-word shingles are alike by ``LEAST`` = 0.8 instead. One bit a hyperplane
-is too weak for that: a pair at 0.8 differs in about 10 of 64 bits and in more than 16 at times, where no chain of equal bits
-is left to look up. So its fingerprint is a ring of ``RING`` segments that are least hashes of the shingles, each equal with
-probability 0.8 in a pair at 0.8. A chain of ``CHAIN`` equal segments (their budget of differences is zero) makes a candidate; chains
-begin at every fourth segment, and a pair at 0.8 has one with probability 1 - (1 - 0.8**4)**20 = 0.99997. The budget of the whole
-ring, ``RING_MOST`` = 32 differing segments, 4.5 standard deviations above the 16 expected, prunes pairs before the shingle sets
-themselves are compared, which decides. Chains are looked up in two rounds: what the first ``EARLY`` of them connects already is not compared again.
+Similarity. ``keep_similar_first`` asks for texts whose five-word shingles are alike by ``LEAST`` = 0.8 instead. Such a pair differs in
+about 0.15 of its SimHash bits at most (10 of 64, more than 16 at times), so 64 bits leave no chain of equal ones to look up. Its fingerprint is
+therefore longer: ``RING`` = 160 segments of 16 SimHash bits of the set of shingles. A chain of five segments makes a candidate if the first is equal
+and the five differ in ``CHAIN_MOST`` = 16 bits at most; chains begin at every segment. A pair at 0.8 has one with probability
+1 - (1 - 0.848**16 * 0.987)**160 = 0.99999. The budget of the whole ring, ``RING_MOST`` = 640 bits or four a segment, prunes candidates before the sets
+of shingles themselves are compared, which decides. Below four shingles only equal sets are alike by 0.8. Sets of four and five, whose ties
+make up to 0.19 of the bits differ, have ``SHORT_RINGS`` = 3 rings. Chains are looked up in two rounds: what the first ``EARLY`` starts connect already is not compared again.
+Entries of a start travel as packed arrays, each with the four segments after it, so a chance meeting of 16 bits goes no further than the task that sees it.
 
 Defined results: a null text, an empty one and one of white space have no words, fingerprint zero, and link like
 any other; by similarity, texts without words are copies of each other. Rows without an id have a fingerprint and a component, but
@@ -27,6 +28,7 @@ keep one row of a component keep one of them. Sets of shingles are known by 64-b
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -40,8 +42,9 @@ from .shared import connected_components, free, give_back, roots_of, sized, slic
 
 MOST = 4
 LEAST, SHINGLE = 0.8, 5
-RING, CHAIN, RING_MOST = 80, 4, 32
-EARLY = 5
+RING, CHAIN_MOST, RING_MOST = 160, 16, 640
+SHORT, SHORT_RINGS = 5, 3
+EARLY = 16
 BUCKET = 8_192
 #: Rows of a batch that holds texts or sets of shingles.
 TEXTS = 500
@@ -273,9 +276,13 @@ def _firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 # --- similarity of shingle sets
 
+_WORDS = RING // 4
 _rng = np.random.default_rng(7)
-_XOR, _ODD = (_rng.integers(0, 1 << 63, RING, np.uint64, endpoint=True) * np.uint64(2) + np.uint64(1) for _ in range(2))
+_XOR, _ODD = (_rng.integers(0, 1 << 63, SHORT_RINGS * _WORDS, np.uint64, endpoint=True) * np.uint64(2) + np.uint64(1) for _ in range(2))
+_MIX, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
 _SETS = 256
+#: Entries of a start that are looked up at once, rows of which a packed array is made, and the run from which on entries are compared one by one.
+_RANGE, _PACK, _RUN = 400_000, 500, 1_024
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -290,38 +297,133 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[s:e], 42) for s, e in zip(first, last, strict=True)), np.uint64, len(first)))
 
 
-def ring_of(own: np.ndarray) -> np.ndarray:
-    """The ring of a set that is not empty: its least hash under each of RING orders."""
-    least = np.full(RING, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(own), 1_024):
-        np.minimum(least, ((own[k : k + 1_024, None] ^ _XOR) * _ODD).min(axis=0), out=least)
-    return least
+def ring_of(own: np.ndarray, rings: int = 1) -> np.ndarray:
+    """The SimHash bits of a set, 64 a word and ``RING`` segments a ring: each is 1 if it is set in over half the members' hashes."""
+    ones, width = np.zeros(64 * rings * _WORDS, np.int64), rings * _WORDS
+    for k in range(0, len(own), 255):
+        h = (own[k : k + 255, None] ^ _XOR[:width]) * _ODD[:width]
+        h ^= h >> _HALF
+        h *= _MIX
+        h ^= h >> _HALF
+        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)
 
 
 def _ringed(batches):
-    """Rows (doc_id, text hash, text) become (doc_id, text hash, fp of the set, chains, segments of a byte each)."""
+    """Rows (doc_id, text hash, text) become (doc_id, text hash, fp of the set, ring); sets that are like none but their equals have no ring."""
     for batch in batches:
         for b in slices(batch, 2):
-            fps, chains, low = np.zeros(b.num_rows, np.uint64), [], []
+            fps, rings = np.zeros(b.num_rows, np.uint64), []
             for k, text in enumerate(b.column(2)):
                 own = shingles(text.as_py())
-                if not len(own):
-                    chains.append([])
-                    low.append(b"")
-                    continue
-                ring = ring_of(own)
-                fps[k] = xxhash.xxh64_intdigest(own.tobytes())
-                chains.append(np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(ring.reshape(-1, CHAIN))], np.uint64).view(np.int64))
-                low.append((ring >> np.uint64(56)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(chains, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=["doc_id", "_hash", "fp", "chains", "low"])
+                if len(own):
+                    fps[k] = xxhash.xxh64_intdigest(own.tobytes())
+                rings.append(ring_of(own, SHORT_RINGS if len(own) <= SHORT else 1).tobytes() if len(own) >= LEAST / (1 - LEAST) - 1e-9 else b"")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(rings, pa.binary())], names=["doc_id", "_hash", "fp", "ring"])
+    give_back()
+
+
+def _packed(rows: pa.Table, starts: int, parts: int):
+    """Rows (fp, c, ring) as (start, part, key, after, fp, apart): arrays of the entries of a start whose 16 bits are in one of ``parts`` ranges."""
+    fp, c = (rows.column(k).to_numpy() for k in (0, 1))
+    raw, size = rows.column(2).to_pylist(), 8 * _WORDS
+    lengths = np.array([len(x) for x in raw])
+    ends = -(-np.arange(1, parts) * (1 << 16) // parts)
+    for r in range(int(lengths.max()) // size):
+        has = np.flatnonzero(lengths > r * size)
+        ring = np.frombuffer(b"".join(raw[k][r * size : (r + 1) * size] for k in has), np.uint16).reshape(len(has), RING)
+        around, own, apart = np.concatenate([ring, ring[:, :4]], axis=1), fp[has], fp[has] ^ c[has]
+        for first in range(0, starts, 16):
+            out = []
+            for i in range(first, min(first + 16, starts)):
+                order = np.argsort(around[:, i], kind="stable")
+                key, after = around[order, i], np.ascontiguousarray(around[order, i + 1 : i + 5])
+                for part, (lo, hi) in enumerate(itertools.pairwise([0, *np.searchsorted(key, ends).tolist(), len(key)])):
+                    if hi > lo:
+                        out.append((r * RING + i, part, key[lo:hi].tobytes(), after[lo:hi].tobytes(), own[order[lo:hi]].tobytes(), apart[order[lo:hi]].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int32(), pa.int32(), *[pa.binary()] * 4))], names=["start", "part", "key", "after", "fp", "apart"])
+
+
+def _entries(starts: int, parts: int):
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= _PACK * min(parts, 64):
+                yield from _packed(pa.Table.from_batches(held), starts, parts)
+                held, n = [], 0
+        if n:
+            yield from _packed(pa.Table.from_batches(held), starts, parts)
+        give_back()
+
+    return run
+
+
+def _met_in_run(after: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which entries of one bucket have a partner that is not connected to them and within the chain's budget.
+
+    Each entry outside of the largest component has its turn; one that has met a partner by then only looks for the largest component's entries
+    that have not.
+    """
+    own = np.unique(c, return_inverse=True)[1]
+    major = np.bincount(own).argmax()
+    met, every, left = np.zeros(len(c), bool), np.arange(len(c)), np.flatnonzero(own == major)
+    for u in np.flatnonzero(own != major):
+        among = left if met[u] else every
+        hit = among[(np.bitwise_count(after[among] ^ after[u]) <= CHAIN_MOST) & (own[among] != own[u])]
+        if len(hit):
+            met[hit] = met[u] = True
+            left = left[~met[left]]
+    return met
+
+
+def _met_in_runs(key: np.ndarray, after: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The same for every run of equal keys."""
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[start, len(key)])
+    met, end_of = np.zeros(len(key), bool), np.repeat(start + sizes, sizes)
+    for lo, n in zip(start[sizes > _RUN].tolist(), sizes[sizes > _RUN].tolist(), strict=True):
+        met[lo : lo + n] = _met_in_run(after[lo : lo + n], c[lo : lo + n])
+    live, shift = np.flatnonzero(np.repeat(sizes <= _RUN, sizes)), 0
+    while len(live):
+        shift += 1
+        live = live[live + shift < end_of[live]]
+        near = live[np.bitwise_count(after[live] ^ after[live + shift]) <= CHAIN_MOST]
+        near = near[c[near] != c[near + shift]]
+        met[near] = met[near + shift] = True
+    return met
+
+
+def _chained(batches):
+    """Rows of _packed sorted by start and part become (key, fp, c): entries with a partner within the chain's budget, key by start and its 16 bits."""
+    now, held = None, []
+
+    def out():
+        key, after, fp, apart = (np.concatenate([np.frombuffer(x[k], kind) for x in held]) for k, kind in enumerate((np.uint16, np.uint64, np.int64, np.int64)))
+        order = np.argsort(key, kind="stable")
+        key, after, fp = key[order], after[order], fp[order]
+        c = fp ^ apart[order]
+        met = np.flatnonzero(_met_in_runs(key, after, c))
+        return pa.RecordBatch.from_arrays([pa.array((now[0] << 16) + key[met].astype(np.int64)), pa.array(fp[met]), pa.array(c[met])], names=["key", "fp", "c"])
+
+    for batch in batches:
+        for start, part, *arrays in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            if (start, part) != now:
+                if held:
+                    yield out()
+                now, held = (start, part), []
+            held.append(arrays)
+    if held:
+        yield out()
     give_back()
 
 
 def _sets(batches):
-    """Rows (fp, c, low, text) become (fp, c, low, own: the shingles)."""
+    """Rows (fp, c, ring, text) become (fp, c, ring, own: the shingles)."""
     for batch in batches:
         for b in slices(batch, 3):
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([shingles(t.as_py()).tobytes() for t in b.column(3)], pa.binary())], names=["fp", "c", "low", "own"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([shingles(t.as_py()).tobytes() for t in b.column(3)], pa.binary())], names=["fp", "c", "ring", "own"])
     give_back()
 
 
@@ -335,10 +437,10 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= LEAST * (len(a) + len(b) - both)
 
 
-def _apart_within(c: np.ndarray, low: np.ndarray, a: int) -> np.ndarray:
+def _apart_within(c: np.ndarray, ring: np.ndarray, a: int) -> np.ndarray:
     """The rows after row a that are not connected to it and within the ring's budget."""
     rest = a + 1 + np.flatnonzero(c[a + 1 :] != c[a])
-    return rest[(low[rest] != low[a]).sum(axis=1) <= RING_MOST]
+    return rest[np.bitwise_count(ring[rest] ^ ring[a]).sum(axis=1, dtype=np.int64) <= RING_MOST]
 
 
 def _groups(batches, columns: int):
@@ -356,17 +458,18 @@ def _groups(batches, columns: int):
         yield now, list(zip(*held, strict=True))
 
 
-def _segments(low) -> np.ndarray:
-    return np.frombuffer(b"".join(low), np.uint8).reshape(len(low), RING)
+def _rings(raw) -> np.ndarray:
+    """The first ring of each."""
+    return np.frombuffer(b"".join(x[: 8 * _WORDS] for x in raw), np.uint64).reshape(len(raw), _WORDS)
 
 
 def _pruned(batches):
-    """Rows (key, a, b, fp, c, low), sorted by the first three; those that have a partner within the ring's budget."""
-    for group, (fps, c, low) in _groups(batches, 6):
-        c, low, met = np.unique(np.array(c), return_inverse=True)[1], _segments(low), np.zeros(len(fps), bool)
+    """Rows (key, a, b, fp, c, ring), sorted by the first three; those that have a partner within the ring's budget."""
+    for group, (fps, c, ring) in _groups(batches, 6):
+        c, ring, met = np.unique(np.array(c), return_inverse=True)[1], _rings(ring), np.zeros(len(fps), bool)
         if c.any():
             for a in range(len(fps) - 1):
-                near = _apart_within(c, low, a)
+                near = _apart_within(c, ring, a)
                 met[near] = True
                 met[a] |= len(near) > 0
         own = np.flatnonzero(met)
@@ -374,11 +477,11 @@ def _pruned(batches):
 
 
 def _similar_links(batches):
-    """Rows (key, a, b, fp, c, low, own), sorted by the first three; links that span what the sets connect, each pair once met."""
-    for _, (fps, c, low, own) in _groups(batches, 7):
-        root, low, sets, out = np.unique(np.array(c), return_inverse=True)[1], _segments(low), [np.frombuffer(x, np.uint64) for x in own], []
+    """Rows (key, a, b, fp, c, ring, own), sorted by the first three; links that span what the sets connect, each pair once met."""
+    for _, (fps, c, ring, own) in _groups(batches, 7):
+        root, ring, sets, out = np.unique(np.array(c), return_inverse=True)[1], _rings(ring), [np.frombuffer(x, np.uint64) for x in own], []
         for a in range(len(fps) - 1):
-            for b in _apart_within(root, low, a):
+            for b in _apart_within(root, ring, a):
                 if root[b] != root[a] and similar(sets[a], sets[b]):
                     out.append((fps[a], fps[b]))
                     root[root == root[b]] = root[a]
@@ -386,14 +489,16 @@ def _similar_links(batches):
     give_back()
 
 
-def _similar_round(docs: DataFrame, base: DataFrame, chains: int, whole: bool, bucket: int) -> DataFrame:
-    """(u, v), staged: links of texts that share one of the first ``chains`` chains. base: fp, rid, chains, low and c, what fp is connected to.
+def _similar_round(docs: DataFrame, base: DataFrame, starts: int, whole: bool, bucket: int) -> DataFrame:
+    """(u, v), staged: links of texts that have a chain at one of the first ``starts`` starts. base: fp, rid, ring and c, what fp is connected to.
 
     Buckets of more than ``bucket`` are dealt in blocks. Not whole: a block meets itself and a few members of all the bucket,
     enough to connect a group of near copies. Whole: if few are left outside of the bucket's largest component, they meet every block; else
     every two blocks meet. So no pair that is not connected before is left out.
     """
-    entries = base.select(F.explode(F.slice("chains", 1, chains)).alias("key"), "fp", "c")
+    parts, kinds = max(1, -(-base.count() // _RANGE)), ("start int, part int, key binary, after binary, fp binary, apart binary", "key long, fp long, c long")
+    packed = base.select("fp", "c", "ring").mapInArrow(_entries(starts, parts), kinds[0]).repartition("start", "part").sortWithinPartitions("start", "part")
+    entries = staged(packed.mapInArrow(_chained, kinds[1]), "entries", TEXTS)
     count = entries.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.min("fp").alias("least"), F.min("c").alias("c"), F.max("c").alias("d")).where("n > 1 and c <> d")
     once = staged(count.groupBy("n", "x", "least").agg(F.min("key").alias("key")).select("key", "n"), "buckets")  # buckets of the same members are one
     sizes = once.select("key", "n", F.ceil(F.col("n") / bucket).cast("int").alias("blocks"))
@@ -410,29 +515,28 @@ def _similar_round(docs: DataFrame, base: DataFrame, chains: int, whole: bool, b
         place = F.when(F.col("blocks") == 1, alone).when(F.col("others") > bucket, pairs).when(F.col("c") == F.col("major"), alone).otherwise(all_blocks)
     else:
         place = F.when((F.col("blocks") > 1) & (F.pmod(F.xxhash64("fp", "key"), F.col("size")) < 8), all_blocks).otherwise(alone)
-    low = base.select("fp", "low")
     key = ["key", "a", "b"]
     dealt = members.select("key", "fp", "c", F.explode(place).alias("p")).select("key", "p.a", "p.b", "fp", "c")
-    met = dealt.join(low, "fp").select(*key, "fp", "c", "low").repartition(*key).sortWithinPartitions(*key).mapInArrow(_pruned, "key long, a int, b int, fp long")
+    met = dealt.join(base.select("fp", "ring"), "fp").select(*key, "fp", "c", "ring").repartition(*key).sortWithinPartitions(*key).mapInArrow(_pruned, "key long, a int, b int, fp long")
     met = staged(met, "met")
-    wanted = base.join(met.select("fp").distinct(), "fp", "left_semi").select("rid", "fp", "low", "c")
+    wanted = base.join(met.select("fp").distinct(), "fp", "left_semi").select("rid", "fp", "ring", "c")
     text = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("rid"), F.col("text").cast("binary").alias("text"))
-    sets = staged(text.join(sized(staged(wanted, "wanted")), "rid").select("fp", "c", "low", "text").dropDuplicates(["fp"]).mapInArrow(_sets, "fp long, c long, low binary, own binary"), "sets", TEXTS)
-    return staged(met.join(sets, "fp").select(*key, "fp", "c", "low", "own").repartition(*key).sortWithinPartitions(*key).mapInArrow(_similar_links, "u long, v long"), "links", TEXTS)
+    sets = staged(text.join(sized(staged(wanted, "wanted")), "rid").select("fp", "c", "ring", "text").dropDuplicates(["fp"]).mapInArrow(_sets, "fp long, c long, ring binary, own binary"), "sets", TEXTS)
+    return staged(met.join(sets, "fp").select(*key, "fp", "c", "ring", "own").repartition(*key).sortWithinPartitions(*key).mapInArrow(_similar_links, "u long, v long"), "links", TEXTS)
 
 
 def similar_links(docs: DataFrame, ringed: DataFrame, bucket: int = _SETS) -> DataFrame:
-    """(u, v): links between the fps of sets that connect all similar ones that share a chain."""
+    """(u, v): links between the fps of sets that connect all similar ones that have a chain within its budget."""
     rid = F.xxhash64("doc_id", "_hash").alias("rid")
-    base = staged(ringed.where("size(chains) > 0").select("fp", "chains", "low", rid).groupBy("fp", "chains", "low").agg(F.min("rid").alias("rid")), "rings")
+    base = staged(ringed.where("octet_length(ring) > 0").select("fp", "ring", rid).groupBy("fp", "ring").agg(F.min("rid").alias("rid")), "rings")
     first = _similar_round(docs, base.withColumn("c", F.col("fp")), EARLY, False, bucket)
     comps = staged(connected_components(first, contracted=True), "early")
     later = base.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp")).drop("component")
-    return first.unionByName(_similar_round(docs, staged(later, "rings"), RING // CHAIN, True, bucket))
+    return first.unionByName(_similar_round(docs, staged(later, "rings"), RING, True, bucket))
 
 
 def keep_similar_first(docs: DataFrame, bucket: int = _SETS) -> DataFrame:
     """docs with one row of each component of texts alike by LEAST, chosen as keep_first does."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_hash"), F.col("text").cast("binary").alias("text"))
-    ringed = staged(rows.mapInArrow(_ringed, "doc_id long, _hash long, fp long, chains array<long>, low binary"), "ringed", TEXTS)
+    ringed = staged(rows.mapInArrow(_ringed, "doc_id long, _hash long, fp long, ring binary"), "ringed", TEXTS)
     return _firsts(docs, components(ringed.select("doc_id", "_hash", "fp"), links=similar_links(docs, ringed, bucket)))

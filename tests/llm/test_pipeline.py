@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from faultline.llm import simhash
 
 
 def _words(rng, stock, n):
@@ -74,3 +76,36 @@ def test_near_copies_by_jaccard(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, str(tmp_path)).collect())
     assert got == sorted(set(root.values())) and len(got) < 100
+
+
+def test_ring_is_of_simhash_bits():
+    rng = np.random.default_rng(5)
+    x, y, z = (simhash.ring_of(rng.integers(0, 1 << 63, 1, np.uint64)) for _ in range(3))
+    rng = np.random.default_rng(5)
+    three = np.concatenate([rng.integers(0, 1 << 63, 1, np.uint64) for _ in range(3)])
+    assert (simhash.ring_of(three) == (x & y | y & z | x & z)).all() and (simhash.ring_of(three[:2]) == (x & y)).all()
+    assert 1_150 < np.bitwise_count(x ^ y).sum() < 1_410 and len(x) == 40
+
+
+def test_chains_meet_as_their_budget_says():
+    rng = np.random.default_rng(6)
+    for run in (5, 1_024):
+        for kinds in (3, 1_000):
+            key, c = np.sort(rng.integers(0, 3, 90)).astype(np.uint16), rng.integers(0, kinds, 90)
+            after = np.array([3, 7, 0xFFFF, 0x1FFFF, 0xFFFFFFFFFF, 1 << 63], np.uint64)[rng.integers(0, 6, 90)]
+            near = (np.bitwise_count(after[:, None] ^ after) <= simhash.CHAIN_MOST) & (c[:, None] != c) & (key[:, None] == key)
+            simhash._RUN, before = run, simhash._RUN
+            try:
+                assert (simhash._met_in_runs(key, after, c) == near.any(axis=1)).all()
+            finally:
+                simhash._RUN = before
+
+
+def test_short_texts_alike_by_exactly_the_least(spark):
+    rows = []
+    for i in range(40):
+        words = [f"w{i}x{k}" for k in range(9)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:8]))]  # five shingles and four of them
+        rows += [(1_000 + 2 * i, f"s{i} a b c d e f"), (1_001 + 2 * i, f"s{i} a b c d e")]  # three and two
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_similar_first(docs).collect()) == [*range(0, 80, 2), *range(1_000, 1_080)]
