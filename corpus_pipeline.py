@@ -17,7 +17,11 @@ from faultline.llm import bpe, decontaminate, language_id, shared, simhash, toxi
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 1,000 rows from here on: this is an application, and its session's stages all hold whole texts."""
+    """Arrow batches of at most 1,000 rows from here on: this is an application, and its session's stages all hold whole texts.
+
+    What earlier stages left in the driver goes back to the system.
+    """
+    shared.give_back_driver(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) not in range(1, 1_001):
         spark.conf.set(key, 1_000)
@@ -26,14 +30,18 @@ def _small_batches(spark: SparkSession) -> None:
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops null and empty texts, texts without a letter and texts too far from every centroid; long texts are judged whole."""
     _small_batches(spark)
-    return language_id.keep_known(docs, language_id.train(docs, F.lit(True)))
+    model = language_id.train(docs, F.lit(True))
+    shared.give_back_driver(spark)
+    return language_id.keep_known(docs, model)
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the factorization machine predicts to be toxic; null and empty texts have no terms and stay unless most labels are 1."""
     _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.keep_civil(docs, toxicity.train(docs, labels, "toxic", F.lit(True)))
+    model = toxicity.train(docs, labels, "toxic", F.lit(True))
+    shared.give_back_driver(spark)
+    return toxicity.keep_civil(docs, model)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +55,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def keep_unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of the benchmark, wherever in the text; null and empty texts hold none."""
+    shared.give_back_driver(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import connected_components, free, give_back, roots_of, sized, slices, staged, with_sums
+from .shared import connected_components, free, give_back, give_back_driver, roots_of, sized, slices, staged, with_sums
 
 MOST = 4
 LEAST, SHINGLE = 0.8, 5
@@ -499,6 +499,7 @@ def _similar_round(docs: DataFrame, base: DataFrame, starts: int, whole: bool, b
     parts, kinds = max(1, -(-base.count() // _RANGE)), ("start int, part int, key binary, after binary, fp binary, apart binary", "key long, fp long, c long")
     packed = base.select("fp", "c", "ring").mapInArrow(_entries(starts, parts), kinds[0]).repartition("start", "part").sortWithinPartitions("start", "part")
     entries = staged(packed.mapInArrow(_chained, kinds[1]), "entries", TEXTS)
+    give_back_driver(docs.sparkSession)
     count = entries.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.min("fp").alias("least"), F.min("c").alias("c"), F.max("c").alias("d")).where("n > 1 and c <> d")
     once = staged(count.groupBy("n", "x", "least").agg(F.min("key").alias("key")).select("key", "n"), "buckets")  # buckets of the same members are one
     sizes = once.select("key", "n", F.ceil(F.col("n") / bucket).cast("int").alias("blocks"))
@@ -519,6 +520,7 @@ def _similar_round(docs: DataFrame, base: DataFrame, starts: int, whole: bool, b
     dealt = members.select("key", "fp", "c", F.explode(place).alias("p")).select("key", "p.a", "p.b", "fp", "c")
     met = dealt.join(base.select("fp", "ring"), "fp").select(*key, "fp", "c", "ring").repartition(*key).sortWithinPartitions(*key).mapInArrow(_pruned, "key long, a int, b int, fp long")
     met = staged(met, "met")
+    give_back_driver(docs.sparkSession)
     wanted = base.join(met.select("fp").distinct(), "fp", "left_semi").select("rid", "fp", "ring", "c")
     text = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("rid"), F.col("text").cast("binary").alias("text"))
     sets = staged(text.join(sized(staged(wanted, "wanted")), "rid").select("fp", "c", "ring", "text").dropDuplicates(["fp"]).mapInArrow(_sets, "fp long, c long, ring binary, own binary"), "sets", TEXTS)
@@ -531,6 +533,7 @@ def similar_links(docs: DataFrame, ringed: DataFrame, bucket: int = _SETS) -> Da
     base = staged(ringed.where("octet_length(ring) > 0").select("fp", "ring", rid).groupBy("fp", "ring").agg(F.min("rid").alias("rid")), "rings")
     first = _similar_round(docs, base.withColumn("c", F.col("fp")), EARLY, False, bucket)
     comps = staged(connected_components(first, contracted=True), "early")
+    give_back_driver(docs.sparkSession)
     later = base.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp")).drop("component")
     return first.unionByName(_similar_round(docs, staged(later, "rings"), RING, True, bucket))
 
@@ -539,4 +542,6 @@ def keep_similar_first(docs: DataFrame, bucket: int = _SETS) -> DataFrame:
     """docs with one row of each component of texts alike by LEAST, chosen as keep_first does."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_hash"), F.col("text").cast("binary").alias("text"))
     ringed = staged(rows.mapInArrow(_ringed, "doc_id long, _hash long, fp long, ring binary"), "ringed", TEXTS)
-    return _firsts(docs, components(ringed.select("doc_id", "_hash", "fp"), links=similar_links(docs, ringed, bucket)))
+    found = components(ringed.select("doc_id", "_hash", "fp"), links=similar_links(docs, ringed, bucket))
+    give_back_driver(docs.sparkSession)
+    return _firsts(docs, found)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from faultline.llm import simhash
+from faultline.llm import shared, simhash
 
 
 def _words(rng, stock, n):
@@ -109,3 +109,8 @@ def test_short_texts_alike_by_exactly_the_least(spark):
         rows += [(1_000 + 2 * i, f"s{i} a b c d e f"), (1_001 + 2 * i, f"s{i} a b c d e")]  # three and two
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_similar_first(docs).collect()) == [*range(0, 80, 2), *range(1_000, 1_080)]
+
+
+def test_the_driver_gives_back_what_its_jvm_allocated(spark):
+    shared.give_back_driver(spark)
+    assert shared._trim  # the JVM's own command was reached, not only the collection
