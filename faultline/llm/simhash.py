@@ -17,7 +17,10 @@ therefore longer: ``RING`` = 160 segments of 16 SimHash bits of the set of shing
 and the five differ in ``CHAIN_MOST`` = 16 bits at most; chains begin at every segment. A pair at 0.8 has one with probability
 1 - (1 - 0.848**16 * 0.987)**160 = 0.99999. The budget of the whole ring, ``RING_MOST`` = 640 bits or four a segment, prunes candidates before the sets
 of shingles themselves are compared, which decides. Below four shingles only equal sets are alike by 0.8. Sets of four and five, whose ties
-make up to 0.19 of the bits differ, have ``SHORT_RINGS`` = 3 rings. Chains are looked up in two rounds: what the first ``EARLY`` starts connect already is not compared again.
+make up to 0.19 of the bits differ, have ``SHORT_RINGS`` = 3 rings. Chains are looked up in two rounds. The first ``EARLY`` starts also give families: texts that met and whose rings
+differ in ``FAMILY_MOST`` = 700 bits at most (alike by about 0.49) are of one. All members of a family are compared with each other once, in large blocks. In the second round,
+over all starts, members of a family are not entries for each other any more: a large group of texts that are too far from each other to connect
+would meet at nearly every start, and each time again in every two blocks.
 Entries of a start travel as packed arrays, each with the four segments after it, so a chance meeting of 16 bits goes no further than the task that sees it.
 
 Defined results: a null text, an empty one and one of white space have no words, fingerprint zero, and link like
@@ -42,7 +45,7 @@ from .shared import connected_components, free, give_back, give_back_driver, roo
 
 MOST = 4
 LEAST, SHINGLE = 0.8, 5
-RING, CHAIN_MOST, RING_MOST = 160, 16, 640
+RING, CHAIN_MOST, RING_MOST, FAMILY_MOST = 160, 16, 640, 700
 SHORT, SHORT_RINGS = 5, 3
 EARLY = 16
 BUCKET = 8_192
@@ -281,6 +284,8 @@ _rng = np.random.default_rng(7)
 _XOR, _ODD = (_rng.integers(0, 1 << 63, SHORT_RINGS * _WORDS, np.uint64, endpoint=True) * np.uint64(2) + np.uint64(1) for _ in range(2))
 _MIX, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
 _SETS = 256
+#: Members of a family's block, and the bytes of their sets, about.
+_FAMILY, _FAMILY_BYTES = 2_048, 16 << 20
 #: Entries of a start that are looked up at once, rows of which a packed array is made, and the run from which on entries are compared one by one.
 _RANGE, _PACK, _RUN = 400_000, 500, 1_024
 
@@ -310,16 +315,17 @@ def ring_of(own: np.ndarray, rings: int = 1) -> np.ndarray:
 
 
 def _ringed(batches):
-    """Rows (doc_id, text hash, text) become (doc_id, text hash, fp of the set, ring); sets that are like none but their equals have no ring."""
+    """Rows (doc_id, text hash, text) become (doc_id, text hash, fp of the set, ring, size of the set); sets that are like none but their equals have no ring."""
     for batch in batches:
         for b in slices(batch, 2):
-            fps, rings = np.zeros(b.num_rows, np.uint64), []
+            fps, rings, sizes = np.zeros(b.num_rows, np.uint64), [], []
             for k, text in enumerate(b.column(2)):
                 own = shingles(text.as_py())
                 if len(own):
                     fps[k] = xxhash.xxh64_intdigest(own.tobytes())
+                sizes.append(len(own))
                 rings.append(ring_of(own, SHORT_RINGS if len(own) <= SHORT else 1).tobytes() if len(own) >= LEAST / (1 - LEAST) - 1e-9 else b"")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(rings, pa.binary())], names=["doc_id", "_hash", "fp", "ring"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(rings, pa.binary()), pa.array(sizes, pa.int32())], names=["doc_id", "_hash", "fp", "ring", "size"])
     give_back()
 
 
@@ -396,7 +402,7 @@ def _met_in_runs(key: np.ndarray, after: np.ndarray, c: np.ndarray) -> np.ndarra
 
 
 def _chained(batches):
-    """Rows of _packed sorted by start and part become (key, fp, c): entries with a partner within the chain's budget, key by start and its 16 bits."""
+    """Rows of _packed sorted by start and part become (key, fp, f): entries with a partner within the chain's budget, key by start and its 16 bits."""
     now, held = None, []
 
     def out():
@@ -405,7 +411,7 @@ def _chained(batches):
         key, after, fp = key[order], after[order], fp[order]
         c = fp ^ apart[order]
         met = np.flatnonzero(_met_in_runs(key, after, c))
-        return pa.RecordBatch.from_arrays([pa.array((now[0] << 16) + key[met].astype(np.int64)), pa.array(fp[met]), pa.array(c[met])], names=["key", "fp", "c"])
+        return pa.RecordBatch.from_arrays([pa.array((now[0] << 16) + key[met].astype(np.int64)), pa.array(fp[met]), pa.array(c[met])], names=["key", "fp", "f"])
 
     for batch in batches:
         for start, part, *arrays in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
@@ -420,10 +426,10 @@ def _chained(batches):
 
 
 def _sets(batches):
-    """Rows (fp, c, ring, text) become (fp, c, ring, own: the shingles)."""
+    """Rows (fp, c, f, ring, text) become (fp, c, f, ring, own: the shingles)."""
     for batch in batches:
-        for b in slices(batch, 3):
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([shingles(t.as_py()).tobytes() for t in b.column(3)], pa.binary())], names=["fp", "c", "ring", "own"])
+        for b in slices(batch, 4):
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([shingles(t.as_py()).tobytes() for t in b.column(4)], pa.binary())], names=["fp", "c", "f", "ring", "own"])
     give_back()
 
 
@@ -437,10 +443,32 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both >= LEAST * (len(a) + len(b) - both)
 
 
-def _apart_within(c: np.ndarray, ring: np.ndarray, a: int) -> np.ndarray:
-    """The rows after row a that are not connected to it and within the ring's budget."""
-    rest = a + 1 + np.flatnonzero(c[a + 1 :] != c[a])
-    return rest[np.bitwise_count(ring[rest] ^ ring[a]).sum(axis=1, dtype=np.int64) <= RING_MOST]
+def _similar_to(sets: list[np.ndarray]):
+    """A function of row a and some rows after it: which of these sets are similar to a's, as similar() says."""
+    ends = np.cumsum([len(x) for x in sets])
+    names = []
+
+    def of(a: int, rows: np.ndarray) -> np.ndarray:
+        if len(rows) < 16 or 8 * len(rows) < len(sets) - a:
+            return np.array([similar(sets[a], sets[b]) for b in rows], bool)
+        if not names:  # the shingles by number
+            names.append(np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32))
+            names.append(np.zeros(names[0].max(initial=0) + 1, bool))
+        own, lo = names[0][ends[a] - len(sets[a]) : ends[a]], int(rows[0])
+        names[1][own] = True
+        sums = np.r_[0, np.cumsum(names[1][names[0][ends[lo] - len(sets[lo]) : ends[rows[-1]]]])]
+        names[1][own] = False
+        to, sizes = ends[rows] - (ends[lo] - len(sets[lo])), np.array([len(sets[b]) for b in rows])
+        both = sums[to] - sums[to - sizes]
+        return both >= LEAST * (len(sets[a]) + sizes - both)
+
+    return of
+
+
+def _apart_within(labels: list[np.ndarray], ring: np.ndarray, a: int, most: int = RING_MOST) -> np.ndarray:
+    """The rows after row a that share none of the labels with it and are within ``most`` bits of the ring."""
+    rest = a + 1 + np.flatnonzero(np.logical_and.reduce([x[a + 1 :] != x[a] for x in labels]))
+    return rest[np.bitwise_count(ring[rest] ^ ring[a]).sum(axis=1, dtype=np.int64) <= most]
 
 
 def _groups(batches, columns: int):
@@ -463,85 +491,131 @@ def _rings(raw) -> np.ndarray:
     return np.frombuffer(b"".join(x[: 8 * _WORDS] for x in raw), np.uint64).reshape(len(raw), _WORDS)
 
 
-def _pruned(batches):
-    """Rows (key, a, b, fp, c, ring), sorted by the first three; those that have a partner within the ring's budget."""
-    for group, (fps, c, ring) in _groups(batches, 6):
-        c, ring, met = np.unique(np.array(c), return_inverse=True)[1], _rings(ring), np.zeros(len(fps), bool)
-        if c.any():
-            for a in range(len(fps) - 1):
-                near = _apart_within(c, ring, a)
-                met[near] = True
-                met[a] |= len(near) > 0
-        own = np.flatnonzero(met)
-        yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(own), k) for x, k in zip(group, (pa.int64(), pa.int32(), pa.int32()), strict=True)), pa.array([fps[k] for k in own], pa.int64())], names=["key", "a", "b", "fp"])
+def _pruned(most: int):
+    """Rows (key, a, b, fp, f, ring), sorted by the first three; those that have a partner within ``most`` bits, and in ``near`` the fp that names all in the group that partners connect."""
+
+    def run(batches):
+        for group, (fps, f, ring) in _groups(batches, 6):
+            f, ring, pairs = np.unique(np.array(f), return_inverse=True)[1], _rings(ring), []
+            if f.any():
+                for a in range(len(fps) - 1):
+                    if len(near := _apart_within([f], ring, a, most)):
+                        pairs.append((np.full(len(near), a), near))
+            if not pairs:
+                continue
+            u, v = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            root, own = roots_of(len(fps), u, v), np.unique(np.concatenate([u, v]))
+            names = (pa.array([x] * len(own), kind) for x, kind in zip(group, (pa.int64(), pa.int32(), pa.int32()), strict=True))
+            yield pa.RecordBatch.from_arrays([*names, *(pa.array([fps[k] for k in rows], pa.int64()) for rows in (own, root[own]))], names=["key", "a", "b", "fp", "near"])
+        give_back()
+
+    return run
 
 
 def _similar_links(batches):
-    """Rows (key, a, b, fp, c, ring, own), sorted by the first three; links that span what the sets connect, each pair once met."""
-    for _, (fps, c, ring, own) in _groups(batches, 7):
-        root, ring, sets, out = np.unique(np.array(c), return_inverse=True)[1], _rings(ring), [np.frombuffer(x, np.uint64) for x in own], []
+    """Rows (key, a, b, fp, c, f, ring, own), sorted by the first three; links that span what the sets connect. Rows with the same f are not compared, those with the same c are connected already."""
+    for _, (fps, c, f, ring, own) in _groups(batches, 8):
+        root, done = (np.unique(np.array(x), return_inverse=True)[1] for x in (c, f))
+        ring, sets, out = _rings(ring), [np.frombuffer(x, np.uint64) for x in own], []
+        alike = _similar_to(sets)
         for a in range(len(fps) - 1):
-            for b in _apart_within(root, ring, a):
-                if root[b] != root[a] and similar(sets[a], sets[b]):
+            near = _apart_within([done, root], ring, a)
+            if not len(near):
+                continue
+            for b in near[alike(a, near)]:
+                if root[b] != root[a]:
                     out.append((fps[a], fps[b]))
                     root[root == root[b]] = root[a]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
     give_back()
 
 
-def _similar_round(docs: DataFrame, base: DataFrame, starts: int, whole: bool, bucket: int) -> DataFrame:
-    """(u, v), staged: links of texts that have a chain at one of the first ``starts`` starts. base: fp, rid, ring and c, what fp is connected to.
+_KEY = ["key", "a", "b"]
+
+
+def _pairs(own, blocks):
+    """The groups of a member of block ``own``: its block with every block."""
+    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(own, k).alias("a"), F.greatest(own, k).alias("b")))
+
+
+def _compared(docs: DataFrame, base: DataFrame, dealt: DataFrame, done: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v): links that span what the sets connect in the groups of dealt; (fp, near): what rings within ``most`` bits connect there. Both staged.
+
+    dealt: key, a, b, fp, f, ring; two with the same f are not compared. done: the column of base that f is.
+    """
+    met = staged(dealt.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(_pruned(most), "key long, a int, b int, fp long, near long"), "met")
+    give_back_driver(docs.sparkSession)
+    wanted = base.join(met.select("fp").distinct(), "fp", "left_semi").select("rid", "fp", "ring", "c", F.col(done).alias("f"))
+    text = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("rid"), F.col("text").cast("binary").alias("text"))
+    sets = text.join(sized(staged(wanted, "wanted")), "rid").select("fp", "c", "f", "ring", "text").dropDuplicates(["fp"]).mapInArrow(_sets, "fp long, c long, f long, ring binary, own binary")
+    sets = staged(sets, "sets", TEXTS)
+    links = met.drop("near").join(sets, "fp").select(*_KEY, "fp", "c", "f", "ring", "own").repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(_similar_links, "u long, v long")
+    return staged(links, "links", TEXTS), met.select("fp", "near")
+
+
+def _of_chains(docs: DataFrame, base: DataFrame, starts: int, whole: bool, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """What _compared gives, of texts that have a chain at one of the first ``starts`` starts. base: fp, rid, ring, c: what fp is connected to, and f: its family.
 
     Buckets of more than ``bucket`` are dealt in blocks. Not whole: a block meets itself and a few members of all the bucket,
-    enough to connect a group of near copies. Whole: if few are left outside of the bucket's largest component, they meet every block; else
-    every two blocks meet. So no pair that is not connected before is left out.
+    enough to connect a group of near copies. Whole: if few are left outside of the bucket's largest family, they meet every block; else
+    every two blocks meet. So no pair that is not of one family is left out.
     """
-    parts, kinds = max(1, -(-base.count() // _RANGE)), ("start int, part int, key binary, after binary, fp binary, apart binary", "key long, fp long, c long")
-    packed = base.select("fp", "c", "ring").mapInArrow(_entries(starts, parts), kinds[0]).repartition("start", "part").sortWithinPartitions("start", "part")
+    parts, kinds = max(1, -(-base.count() // _RANGE)), ("start int, part int, key binary, after binary, fp binary, apart binary", "key long, fp long, f long")
+    packed = base.select("fp", "f", "ring").mapInArrow(_entries(starts, parts), kinds[0]).repartition("start", "part").sortWithinPartitions("start", "part")
     entries = staged(packed.mapInArrow(_chained, kinds[1]), "entries", TEXTS)
     give_back_driver(docs.sparkSession)
-    count = entries.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.min("fp").alias("least"), F.min("c").alias("c"), F.max("c").alias("d")).where("n > 1 and c <> d")
+    count = entries.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.min("fp").alias("least"), F.min("f").alias("c"), F.max("f").alias("d")).where("n > 1 and c <> d")
     once = staged(count.groupBy("n", "x", "least").agg(F.min("key").alias("key")).select("key", "n"), "buckets")  # buckets of the same members are one
     sizes = once.select("key", "n", F.ceil(F.col("n") / bucket).cast("int").alias("blocks"))
     members = with_sums(entries, sizes.withColumn("size", F.col("n")), ["key"], once.agg(F.sum("n")).first()[0] or 0)
     members = staged(members, "members")
     own = F.expr("cast(pmod(xxhash64(fp), blocks) as int)")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
     alone = F.array(F.struct(own.alias("a"), own.alias("b")))
-    all_blocks = F.transform(every, lambda k: F.struct(k.alias("a"), k.alias("b")))
+    all_blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("a"), k.alias("b")))
     if whole:
-        largest = members.where("blocks > 1").groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("c", "k").alias("major"), (F.sum("k") - F.max("k")).alias("others"))
+        largest = members.where("blocks > 1").groupBy("key", "f").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("f", "k").alias("major"), (F.sum("k") - F.max("k")).alias("others"))
         members = members.join(sized(staged(largest, "largest")), "key", "left")
-        pairs = F.transform(every, lambda k: F.struct(F.least(own, k).alias("a"), F.greatest(own, k).alias("b")))
-        place = F.when(F.col("blocks") == 1, alone).when(F.col("others") > bucket, pairs).when(F.col("c") == F.col("major"), alone).otherwise(all_blocks)
+        place = F.when(F.col("blocks") == 1, alone).when(F.col("others") > bucket, _pairs(own, F.col("blocks"))).when(F.col("f") == F.col("major"), alone).otherwise(all_blocks)
     else:
         place = F.when((F.col("blocks") > 1) & (F.pmod(F.xxhash64("fp", "key"), F.col("size")) < 8), all_blocks).otherwise(alone)
-    key = ["key", "a", "b"]
-    dealt = members.select("key", "fp", "c", F.explode(place).alias("p")).select("key", "p.a", "p.b", "fp", "c")
-    met = dealt.join(base.select("fp", "ring"), "fp").select(*key, "fp", "c", "ring").repartition(*key).sortWithinPartitions(*key).mapInArrow(_pruned, "key long, a int, b int, fp long")
-    met = staged(met, "met")
-    give_back_driver(docs.sparkSession)
-    wanted = base.join(met.select("fp").distinct(), "fp", "left_semi").select("rid", "fp", "ring", "c")
-    text = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("rid"), F.col("text").cast("binary").alias("text"))
-    sets = staged(text.join(sized(staged(wanted, "wanted")), "rid").select("fp", "c", "ring", "text").dropDuplicates(["fp"]).mapInArrow(_sets, "fp long, c long, ring binary, own binary"), "sets", TEXTS)
-    return staged(met.join(sets, "fp").select(*key, "fp", "c", "ring", "own").repartition(*key).sortWithinPartitions(*key).mapInArrow(_similar_links, "u long, v long"), "links", TEXTS)
+    dealt = members.select("key", "fp", "f", F.explode(place).alias("p")).select("key", "p.a", "p.b", "fp", "f")
+    return _compared(docs, base, dealt.join(base.select("fp", "ring"), "fp").select(*_KEY, "fp", "f", "ring"), "f", RING_MOST if whole else FAMILY_MOST)
 
 
-def similar_links(docs: DataFrame, ringed: DataFrame, bucket: int = _SETS) -> DataFrame:
-    """(u, v): links between the fps of sets that connect all similar ones that have a chain within its budget."""
+def _of_families(docs: DataFrame, base: DataFrame, block: int) -> DataFrame:
+    """(u, v), staged: links that span what the sets connect in each family. base: as for _of_chains, with the sizes of the sets."""
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / _FAMILY_BYTES)).cast("int")
+    sizes = base.groupBy("f").agg(F.count("*").alias("n"), F.sum(8 * F.col("size").cast("long")).alias("bytes"), F.min("c").alias("c"), F.max("c").alias("d")).where("n > 1 and c <> d")
+    sizes = staged(sizes.select("f", "n", blocks.alias("blocks")), "families")
+    members = with_sums(base.select("f", "fp", "c", "ring"), sizes, ["f"], sizes.agg(F.sum("n")).first()[0] or 0)
+    own = F.expr("cast(pmod(xxhash64(fp), blocks) as int)")
+    dealt = members.select(F.col("f").alias("key"), F.explode(_pairs(own, F.col("blocks"))).alias("p"), "fp", "c", "ring").select("key", "p.a", "p.b", "fp", F.col("c").alias("f"), "ring")
+    return _compared(docs, base, dealt, "c", RING_MOST)[0]
+
+
+def _placed(base: DataFrame, name: str, links: DataFrame) -> DataFrame:
+    """base with the component that links put each fp in, in a column of that name."""
+    comps = staged(connected_components(links, contracted=True), "early").toDF("fp", "component")
+    return base.join(comps, "fp", "left").withColumn(name, F.coalesce("component", "fp")).drop("component")
+
+
+def similar_links(docs: DataFrame, ringed: DataFrame, bucket: int = _SETS, family: int = _FAMILY) -> DataFrame:
+    """(u, v): links between the fps of sets that connect all similar ones that have a chain within its budget or are of one family."""
     rid = F.xxhash64("doc_id", "_hash").alias("rid")
-    base = staged(ringed.where("octet_length(ring) > 0").select("fp", "ring", rid).groupBy("fp", "ring").agg(F.min("rid").alias("rid")), "rings")
-    first = _similar_round(docs, base.withColumn("c", F.col("fp")), EARLY, False, bucket)
-    comps = staged(connected_components(first, contracted=True), "early")
+    base = staged(ringed.where("octet_length(ring) > 0").select("fp", "ring", "size", rid).groupBy("fp", "ring", "size").agg(F.min("rid").alias("rid")), "rings")
+    early, near = _of_chains(docs, base.withColumns({"c": F.col("fp"), "f": F.col("fp")}), EARLY, False, bucket)
+    later = staged(_placed(_placed(base, "c", early), "f", near), "rings")
+    give_back_driver(docs.sparkSession)
+    links = early.unionByName(_of_families(docs, later, family))
+    later = staged(_placed(later.drop("c"), "c", links), "rings")
     give_back_driver(docs.sparkSession)
-    later = base.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp")).drop("component")
-    return first.unionByName(_similar_round(docs, staged(later, "rings"), RING, True, bucket))
+    return links.unionByName(_of_chains(docs, later, RING, True, bucket)[0])
 
 
-def keep_similar_first(docs: DataFrame, bucket: int = _SETS) -> DataFrame:
+def keep_similar_first(docs: DataFrame, bucket: int = _SETS, family: int = _FAMILY) -> DataFrame:
     """docs with one row of each component of texts alike by LEAST, chosen as keep_first does."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_hash"), F.col("text").cast("binary").alias("text"))
-    ringed = staged(rows.mapInArrow(_ringed, "doc_id long, _hash long, fp long, ring binary"), "ringed", TEXTS)
-    found = components(ringed.select("doc_id", "_hash", "fp"), links=similar_links(docs, ringed, bucket))
+    ringed = staged(rows.mapInArrow(_ringed, "doc_id long, _hash long, fp long, ring binary, size int"), "ringed", TEXTS)
+    found = components(ringed.select("doc_id", "_hash", "fp"), links=similar_links(docs, ringed, bucket, family))
     give_back_driver(docs.sparkSession)
     return _firsts(docs, found)

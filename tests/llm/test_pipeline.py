@@ -101,6 +101,41 @@ def test_chains_meet_as_their_budget_says():
                 simhash._RUN = before
 
 
+def test_a_large_family_is_compared_once(spark, monkeypatch):
+    rng = random.Random(8)
+    base, rows = [f"b{k}" for k in range(120)], []
+    for i in range(240):  # most pairs are alike by 0.5 to 0.8 and do not connect; every sixth is near to the one before
+        words = rows[-1][1].split() if i % 6 == 5 else base[:]
+        for k in rng.sample(range(120), 1 if i % 6 == 5 else 4 + i % 3):
+            words[k] = f"w{i}x{k}"
+        rows.append((i, " ".join(words)))
+    rows += [(1_000 + i, " ".join(f"r{rng.randrange(5_000)}" for _ in range(100))) for i in range(60)]
+    sets = [set(simhash.shingles(t.encode()).tolist()) for _, t in rows]
+    root = np.arange(len(rows))
+    for a in range(len(rows)):
+        for b in range(a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[root == max(root[a], root[b])] = min(root[a], root[b])
+    met, staged = [], simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df, name, *more: (out := staged(df, name, *more), name in ("entries", "members", "met") and met.append(out.count()))[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in simhash.keep_similar_first(docs).collect())
+    assert got == sorted({rows[k][0] for k in root}) and 60 < len(got) < 290
+    assert sum(met) < 40 * len(rows)  # each start listed nearly all of the family before
+    monkeypatch.setattr(simhash, "staged", staged)
+    assert got == sorted(r.doc_id for r in simhash.keep_similar_first(docs, bucket=16, family=50).collect())
+
+
+def test_similar_sets_one_against_many():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(np.r_[rng.choice(60, 40, replace=False), rng.integers(100, 130, k % 5)]).astype(np.uint64) for k in range(50)] + [np.arange(4, dtype=np.uint64), np.arange(5, dtype=np.uint64)]
+    sets += sets[:20]
+    alike = simhash._similar_to(sets)
+    for a in range(len(sets) - 1):
+        for rows in (np.arange(a + 1, len(sets)), np.arange(a + 1, len(sets), 3)):
+            assert alike(a, rows).tolist() == [simhash.similar(sets[a], sets[b]) for b in rows]
+
+
 def test_short_texts_alike_by_exactly_the_least(spark):
     rows = []
     for i in range(40):
